@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files, url_filter
+from . import minhash, packing, token_files, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": url_filter.query,
+    "op3_minmax_hash_dedup": minhash.query,
     "op4_token_files": token_files.query,
+    "op5_toxicity": toxicity.query,
+    "op8_warc_round_trip": warc.query,
     "op10_best_fit_packing": packing.query,
 }
 SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL}
