@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, token_files, toxicity, url_filter, warc
+from . import line_dedup, minhash, packing, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": url_filter.query,
     "op3_minmax_hash_dedup": minhash.query,
     "op4_token_files": token_files.query,
     "op5_toxicity": toxicity.query,
+    "op6_substring_dedup": substring_dedup.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_warc_round_trip": warc.query,
     "op10_best_fit_packing": packing.query,
 }
