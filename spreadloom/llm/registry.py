@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, packing, substring_dedup, token_files, toxicity, url_filter, warc
+from . import line_dedup, minhash, nearest, packing, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": url_filter.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": substring_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_warc_round_trip": warc.query,
+    "op9_balanced_lists": nearest.query,
     "op10_best_fit_packing": packing.query,
 }
 SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL}
