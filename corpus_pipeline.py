@@ -1,19 +1,46 @@
-"""Corpus pipeline over ``documents``; stages are written as Parquet and read again by the next one."""
+"""Corpus pipeline over ``documents``: every stage is written as Parquet and read again by the next one.
+
+All stages but the last return the columns of ``documents``: toxic documents go, lines that repeat earlier ones go from
+the texts, one document of each group of near duplicates stays, documents that hold benchmark items go, and the rest is
+tokenised and packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spreadloom.llm import packing
+from spreadloom.llm import decontaminate, line_dedup, minhash, packing, toxicity
 from spreadloom.llm.common import table, written
 from spreadloom.llm.tokens import default_vocabulary
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_first(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, default_vocabulary()).drop("ids")
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, nearest, packing, substring_dedup, token_files, toxicity, url_filter, warc
+from . import decontaminate, line_dedup, minhash, nearest, packing, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontaminate.query,
     "op2_url_filter": url_filter.query,
     "op3_minmax_hash_dedup": minhash.query,
     "op4_token_files": token_files.query,

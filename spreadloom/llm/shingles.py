@@ -42,13 +42,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word, and for each row the number of words before it. Words are runs without the bytes
-    0x20 and 0x09-0x0D; A-Z count as a-z. No word crosses rows."""
+    0x20 and 0x09-0x0D, or without those that ``space`` marks; A-Z count as a-z. No word crosses rows."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]])
