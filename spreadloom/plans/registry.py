@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import ladder
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ladder.QUERIES}
+SQL: dict[str, str] = {**ladder.SQL}
