@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ladder
+from . import ladder, research
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ladder.QUERIES}
-SQL: dict[str, str] = {**ladder.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ladder.QUERIES, **research.QUERIES}
+SQL: dict[str, str] = {**ladder.SQL, **research.SQL}
