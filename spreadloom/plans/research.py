@@ -150,7 +150,7 @@ def conditioned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budgeted(spark: SparkSession, d: str) -> DataFrame:
-    plans = X.clips(spark, d).select((F.col("order_key") % 1000).alias("snapshot"), "event_id", F.struct("order_key", "line").alias("seq"), (F.col("shares") * O.wcl_per_share(F.col("direction"), F.col("spread"))).alias("wcl"))
+    plans = X.clips(spark, d).select((F.col("order_key") % 1000).alias("snapshot"), "event_id", "order_key", "line", (F.col("shares") * O.wcl_per_share(F.col("direction"), F.col("spread"))).alias("wcl")).withColumn("seq", F.struct("order_key", "line", "event_id", "wcl"))
     return rounded(B.loss_budget(plans, total=400.0, per_event=60.0).select("snapshot", "event_id", "seq.order_key", "seq.line", "wcl", "used"))
 
 
@@ -284,5 +284,5 @@ SQL = {
 g AS (SELECT *, coalesce(sum(cost * depth) OVER w, 0) AS spent, coalesce(sum(depth) OVER w, 0) AS taken FROM f WHERE fails = 0 WINDOW w AS (PARTITION BY id ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), t AS (SELECT *, greatest(0, least(depth, (1000 - spent) / cost, 500 - taken)) AS take FROM g)
 SELECT id, direction, CAST(floor(sum(take)) AS BIGINT) AS shares, round(sum(take * cost), 6) AS dollars, round(sum(take * edge) / sum(take), 6) AS avg_edge, arg_max(p_long, rung) AS worst_long, arg_max(p_short, rung) AS worst_short FROM t WHERE take > 0 GROUP BY ALL HAVING floor(sum(take)) >= 10""",
     "exit_quotes": f"WITH {RANKED}, {PAIRS}, tp AS (SELECT * FROM rk WHERE side = 'bid' AND rank = 1) SELECT id, a.price AS bid_a, b.price AS bid_b, a.size AS size_a, b.size AS size_b, a.size >= 100 AND b.size >= 100 AS depth_ok FROM pr JOIN tp a ON a.token = long_token JOIN tp b ON b.token = short_token",
-    "loss_budget": """WITH p AS (SELECT l_orderkey % 1000 AS snapshot, l_suppkey AS event_id, l_orderkey AS order_key, l_linenumber AS line, l_quantity::DOUBLE * CASE WHEN l_returnflag = 'A' THEN l_discount::DOUBLE ELSE 1 - l_discount::DOUBLE END AS wcl FROM lineitem), a AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot, event_id ORDER BY order_key, line) AS eu FROM p), b AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot ORDER BY order_key, line) AS used FROM a WHERE round(eu, 6) <= 60) SELECT snapshot, event_id, order_key, line, round(wcl, 9) AS wcl, round(used, 9) AS used FROM b WHERE round(used, 6) <= 400""",
+    "loss_budget": """WITH p AS (SELECT l_orderkey % 1000 AS snapshot, l_suppkey AS event_id, l_orderkey AS order_key, l_linenumber AS line, l_quantity::DOUBLE * CASE WHEN l_returnflag = 'A' THEN l_discount::DOUBLE ELSE 1 - l_discount::DOUBLE END AS wcl FROM lineitem), a AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot, event_id ORDER BY order_key, line, event_id, wcl ROWS UNBOUNDED PRECEDING) AS eu FROM p), b AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot ORDER BY order_key, line, event_id, wcl ROWS UNBOUNDED PRECEDING) AS used FROM a WHERE round(eu, 6) <= 60) SELECT snapshot, event_id, order_key, line, round(wcl, 9) AS wcl, round(used, 9) AS used FROM b WHERE round(used, 6) <= 400""",
 }
