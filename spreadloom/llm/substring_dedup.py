@@ -10,7 +10,8 @@ representatives at equal places. Consecutive strings with the same representativ
 3. Where a bucket has different segments, one copy of each is refined again into its single strings, whose buckets
    use those of their two halves: the q-gram at the string's start and the one q bytes later.
 
-Every step is a partitioned sort read as a stream, in memory independent of the size of a bucket. The texts are
+Every step is a partitioned sort read as a stream, in memory independent of the size of a bucket. Equal segments that
+one task meets in its texts go to their bucket once, so a very common passage sends it a row a task, not a row a copy. The texts are
 written once, bucketed by row, so that later steps join their findings to them without moving them.
 """
 
@@ -113,10 +114,18 @@ def find_segments(texts: DataFrame, length: int) -> DataFrame:
                 begin, n, bucket, content = segments(data, np.array(ends), length)
                 row = np.searchsorted(ends, begin, "right")
                 first = np.array([0, *ends[:-1]])
-                at = begin - first[row] + np.array(starts)[row]
-                yield pa.RecordBatch.from_pydict({"bucket": _signed(bucket), "content": _signed(content), "rid": pa.array(np.array(ids)[row], pa.int64()), "place": pa.array(at * 256 + n, pa.int64())})
+                place = (begin - first[row] + np.array(starts)[row]) * 256 + n
+                rid = np.array(ids, np.int64)[row]
+                # equal segments of these texts are known to be repeated: one of them goes to the bucket for all
+                order = np.lexsort((content, bucket))
+                again = np.zeros(len(order), bool)
+                again[1:] = (bucket[order][1:] == bucket[order][:-1]) & (content[order][1:] == content[order][:-1])
+                known = np.zeros(len(order), bool)
+                known[order] = again | np.append(again[1:], False)
+                bucket[order[again]] = mix(rid[order[again]].astype(np.uint64) * U(_BYTE[0]) + place[order[again]].astype(np.uint64))
+                yield pa.RecordBatch.from_pydict({"bucket": _signed(bucket), "content": _signed(content), "rid": pa.array(rid), "place": pa.array(place, pa.int64()), "known": pa.array(known)})
 
-    return texts.select("rid", "data").mapInArrow(find, "bucket long, content long, rid long, place long")
+    return texts.select("rid", "data").mapInArrow(find, "bucket long, content long, rid long, place long, known boolean")
 
 
 def refine(found: DataFrame) -> DataFrame:
@@ -133,20 +142,21 @@ def refine(found: DataFrame) -> DataFrame:
                 else:
                     break
             else:
-                now = [batch.column(c).to_numpy() for c in ("bucket", "content", "rid", "place")]
+                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "content", "rid", "place", "known")]
                 if not len(now[0]):
                     continue
                 cols = [np.concatenate([[t], x]) for t, x in zip(tail, now, strict=True)] if tail is not None else now
                 more = True
-            bucket, content, rid, place = cols
+            bucket, content, rid, place, known = cols
+            known = known.astype(bool)
             m = len(bucket)
             prev_b = np.concatenate([[same_b], bucket[1:] == bucket[:-1]])
             prev_c = np.concatenate([[same_c], (bucket[1:] == bucket[:-1]) & (content[1:] == content[:-1])])
             next_b, next_c = np.append(prev_b[1:], False), np.append(prev_c[1:], False)
             k = m - 1 if more else m  # the last row waits for its successor
             rep = ~prev_c
-            repeated = (prev_c | next_c)[:k]
-            shares = (prev_b | next_b)[:k]
+            repeated = (prev_c | next_c | known)[:k]
+            shares = (prev_b | next_b | known)[:k]
             on = (rep & prev_b)[:k]
             out = [(rid[:k][shares], place[:k][shares], repeated[shares], on[shares])]
             head = np.maximum.accumulate(np.where(~prev_b, np.arange(m), -1))[:k]
