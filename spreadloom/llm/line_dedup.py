@@ -5,7 +5,7 @@ all documents in ``SLOTS`` slots, then 58 bits of hash; sorting a line's tokens
 order makes the join exact, so the bounded table of counts only decides how well it prunes. Two sets with Jaccard
 similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other
 (length filter), cannot gain more tokens than follow the shared one (positional filter), and differ in no more tokens
-than allowed by 64-bit summaries of both (each differing bit is a differing token). What passes is verified on the
+than allowed by 128-bit summaries of both (each differing bit is a differing token). What passes is verified on the
 whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
@@ -14,15 +14,14 @@ sets have 1. Lines of fewer than ``LEAST_TOKENS`` distinct tokens are left alone
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 THRESHOLD, LEAST_TOKENS = 0.85, 5
-SLOTS = 1 << 16
+SLOTS = 1 << 20  # counts of tokens by hash: 1 MB of levels in each task, whatever the number of tokens
 HASH = (1 << 58) - 1
 BROADCAST_ROWS = 200_000  # of 16 bytes each; a longer list of candidates is joined by a shuffle
 
@@ -36,16 +35,19 @@ def words(line: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> bytes:
-    """The level of each slot, 0 (rarest) to 31, from its share of all tokens. The driver gets ``SLOTS`` counts at most."""
+    """The level of each slot: 0 if it has met one token at most, else 1 (rarest) to 31 by its share of all tokens.
+    The driver gets ``SLOTS`` counts at most."""
     slots = lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    counts = {r["slot"]: r["n"] for r in slots.collect()}
-    total = sum(counts.values())
-    return bytes(max(0, 31 + math.floor(math.log2(counts[i] / total))) if i in counts else 0 for i in range(SLOTS))
+    found = slots.toArrow()
+    counts = np.zeros(SLOTS)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    levels = np.floor(31 + np.log2(np.maximum(counts, 1) / max(1.0, counts.sum())))
+    return np.where(counts <= 1, 0, np.clip(levels, 1, 31)).astype(np.uint8).tobytes()
 
 
 def token_sets(lines: DataFrame, levels: bytes, *, threshold: float, least_tokens: int) -> DataFrame:
     """doc_id, line_no, tokens (sorted), n, k1, k2 of the lines that take part."""
-    hashes = F.transform(F.filter(words(F.col("line")), lambda w: w != ""), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w))
     held = lines.select("doc_id", "line_no", F.array_distinct(hashes).alias("hashes")).where(F.size("hashes") >= least_tokens)
     level = lambda h: F.ascii(F.substring(F.lit(levels), (F.pmod(h, F.lit(SLOTS)) + 1).cast("int"), 1).cast("string"))
     token = lambda h: F.shiftleft(level(h).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
@@ -67,24 +69,28 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, least_tokens
     levels = rarity(lines)
     sets = token_sets(lines, levels, threshold=threshold, least_tokens=least_tokens)
     prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    summary = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    compact = written(sets.select("doc_id", "line_no", "n", "k1", "k2", summary.alias("bits"), prefix.alias("prefix")), "line_sets")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    place_of = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+    low = F.aggregate("tokens", none, lambda s, t: F.when(t.bitwiseAND(F.lit(64)) == 0, s.bitwiseOR(place_of(t))).otherwise(s))
+    high = F.aggregate("tokens", none, lambda s, t: F.when(t.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseOR(place_of(t))))
+    # a token in a slot that has met no other one is in no other line
+    compact = written(sets.select("doc_id", "line_no", "n", "k1", "k2", low.alias("low"), high.alias("high"), prefix.alias("prefix")), "line_sets")
     place = F.struct("doc_id", "line_no")
-    classes = compact.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix"))
+    classes = compact.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("high").alias("high"), F.any_value("prefix").alias("prefix"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line_classes")
 
-    tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "bits")
-    left = tokens.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("bits").alias("ba"))
-    right = tokens.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("bits").alias("bb"))
-    need = least_overlap(F.col("na"), F.col("nb"), threshold)
-    differ = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb")))
+    tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "low", "high").where(F.shiftright("token", 58) != 0)
+    side = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "low", "high")])
+    left, right = side("a"), side("b")
+    need = least_overlap(F.col("n_a"), F.col("n_b"), threshold)
+    differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
     passes = (
-        (F.col("a") < F.col("b"))
-        & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-        & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need)
-        & (F.col("na") + F.col("nb") - differ >= 2 * need)
+        (F.col("cid_a") < F.col("cid_b"))
+        & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
+        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
+        & (F.col("n_a") + F.col("n_b") - differ >= 2 * need)
     )
-    pairs = written(left.join(right, "token").where(passes).select("a", "b").distinct(), "line_pairs")
+    pairs = written(left.join(right, "token").where(passes).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "line_pairs")
 
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = written(classes.join(ends, "cid", "left_semi").select("cid", "k1", "k2", "first"), "line_wanted")
