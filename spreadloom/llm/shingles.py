@@ -67,7 +67,7 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     words, at = word_hashes(*text_bytes(column))
     joint = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for i in range(k):
-        joint += words[i : len(words) - k + 1 + i] * _PLACE[i]
+        joint += words[i : i + len(joint)] * _PLACE[i]
     joint = mix(joint)
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
