@@ -2,10 +2,11 @@
 
 Every hash function gives two values of a signature, the least and the greatest hash of a set: both are unbiased for
 the Jaccard similarity and their errors partly cancel, at half the evaluations. ``BANDS`` bands of ``ROWS`` values meet
-in buckets; a pair with similarity 0.75 misses all of them with probability (1 - 0.75^4)^32 = 5e-6.
+in buckets; a pair with similarity 0.75 misses all of them with probability (1 - 0.75^6)^64 = 4e-6.
 
 Equal sets are one class from the start. Inside a bucket classes are compared with its first class only; those that
-this does not join to its component are then compared with every member that is not yet in their own. So a bucket of
+this does not join to its component are then compared with every member that is not yet in their own, if sketches of
+a bit a value don't already tell them apart. So a bucket of
 n near copies costs about n comparisons, and no pair of different components is left out.
 """
 
@@ -23,8 +24,9 @@ from .graph import components
 from .shingles import U, mix, shingle_sets, slices
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 64, 6
 HASHES = BANDS * ROWS // 2
+BROADCAST_IDS = 1_000_000  # of 8 bytes; a longer list of ids meets the sets in a shuffle
 SET_BYTES = 6  # of a shingle's hash in stored sets: two sets of 400 share one by chance once in 10^9 pairs
 
 _random = np.random.default_rng(30)
@@ -33,15 +35,22 @@ _B = _random.integers(0, 2**63, HASHES, dtype=np.uint64)
 _BAND = _random.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | U(1)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The bucket keys of a set, one a band."""
+def bands(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket keys of a set, one a band, and its sketch: a bit of each value."""
     low, high = np.full(HASHES, 2**64 - 1, np.uint64), np.zeros(HASHES, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        h = shingles[at : at + 4096, None] * _A + _B
+    for at in range(0, len(shingles), 512):
+        h = shingles[at : at + 512, None] * _A + _B
         h ^= h >> U(32)
         low, high = np.minimum(low, h.min(0)), np.maximum(high, h.max(0))
-    values = np.concatenate([low, high]).reshape(ROWS, BANDS).T  # a band mixes functions, and minima with maxima
-    return mix((mix(values) * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64))
+    values = mix(np.concatenate([low, high]))
+    keys = values.reshape(ROWS, BANDS).T  # a band mixes functions, and minima with maxima
+    return mix((keys * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64)), np.packbits((values & U(1)).astype(bool)).view("<i8")
+
+
+def most_differ(percent: int) -> int:
+    """Sketch bits in which sets of the least similarity differ, and six standard deviations more: 10^-9 of pairs."""
+    n, p = BANDS * ROWS, (1 - percent / 100) / 2
+    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
 
 
 def pack_set(shingles: np.ndarray) -> bytes:
@@ -61,19 +70,21 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"), shingle)
+                found = [bands(s) if len(s) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for s in sets]
                 keys = [mix(s).sum().tobytes() + mix(s * U(3) + U(1)).sum().tobytes() for s in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "key": pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.binary()),
-                        "bands": pa.array([bands(s).astype("i8") if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        "bands": pa.array([k.astype("i8") for k, _ in found], pa.list_(pa.int64())),
+                        "sketch": pa.array([k for _, k in found], pa.list_(pa.int64())),
                         "shingles": pa.array([pack_set(s) for s in sets], pa.binary()),
                     }
                 )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(sign, "doc_id long, n long, key binary, bands array<long>, shingles binary")
+    return docs.mapInArrow(sign, "doc_id long, n long, key binary, bands array<long>, sketch array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -87,9 +98,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * both >= percent * ((len(x) + len(y)) // SET_BYTES - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = sets.join(wanted, "class", "left_semi")  # few sets are ever compared, so the others aren't moved
     right = pairs.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -100,15 +114,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     neither component_id nor kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = written(signatures(docs, shingle), "signatures")
-    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class"))
-    member = written(rows.select("doc_id", "n", "key").join(classes, "key", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), "members")
-    first = member.where("class = doc_id").select("class").distinct()
-    # ties: rows that repeat the first id are equal sets or other classes of the same id; the larger set speaks for it
-    firsts = rows.select(F.col("doc_id").alias("class"), "n", "bands", "shingles").join(first, "class", "left_semi")
-    in_bands = firsts.select("class", "n", F.explode("bands").alias("band"))
+    classes = rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    member = rows.select("doc_id", "n", "key").join(classes.select("key", "class"), "key", "left")
+    member = written(member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), "members")
+    # an id that rows repeat with other texts stands for all their sets
+    in_bands = classes.select("class", "n", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg(F.count("*").alias("m"), F.min("class").alias("first")).where("m > 1")
     buckets = written(in_bands.join(shared.select("band", "first"), "band"), "buckets")
-    sets = firsts.select("class", "n", "shingles")
+    sets = rows.where("key is not null").select(F.col("doc_id").alias("class"), "shingles")
 
     def sizes_fit(a, b):
         return (100 * F.least(a, b) >= percent * F.greatest(a, b))
@@ -119,11 +133,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     links = written(verified(star, sets, percent), "links")
     label = components(links)
     known = buckets.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    known = written(known, "labelled_buckets")
+    known = written(known.join(classes.select("class", "n", "sketch"), ["class", "n"]), "labelled_buckets")
     at_head = known.where("class = first").select("band", F.col("component").alias("head")).distinct()
-    left_out = known.join(at_head, "band").where("component <> head").select("band", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    more = left_out.join(known.select("band", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "first"), "band")
-    more = more.where((F.col("cx") != F.col("cy")) & (F.col("y") != F.col("first")) & sizes_fit(F.col("nx"), F.col("ny")))
+    left_out = known.join(at_head, "band").where("component <> head").select("band", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("sketch").alias("kx"))
+    more = left_out.join(known.select("band", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("sketch").alias("ky"), "first"), "band")
+    differ = sum((F.bit_count(F.col("kx")[i].bitwiseXOR(F.col("ky")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
+    more = more.where((differ <= most_differ(percent)) & (F.col("cx") != F.col("cy")) & (F.col("y") != F.col("first")) & sizes_fit(F.col("nx"), F.col("ny")))
     more = written(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
     links = written(links.unionByName(verified(more, sets, percent)), "links")
     final = components(links)
