@@ -97,17 +97,30 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, least_tokens
     at = wanted.select("cid", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     full = token_sets(lines.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").distinct(), levels, threshold=threshold, least_tokens=least_tokens)
-    full = written(full.join(wanted.select("cid", "k1", "k2", "first"), ["k1", "k2"]).select("cid", "first", "tokens").dropDuplicates(["cid"]), "line_tokens")
-    x = full.select(F.col("cid").alias("a"), F.col("first").alias("fa"), F.col("tokens").alias("ta"))
-    y = full.select(F.col("cid").alias("b"), F.col("first").alias("fb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    similar = pairs.join(x, "a").join(y, "b").where(both >= least_overlap(F.size("ta"), F.size("tb"), threshold))
-    late = similar.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct().withColumn("late", F.lit(True))
+    full = written(full.join(wanted.select("cid", "k1", "k2"), ["k1", "k2"]).select("cid", "tokens").dropDuplicates(["cid"]), "line_tokens")
+    firsts = wanted.select("cid", "first")
+    ordered = pairs.join(firsts.withColumnsRenamed({"cid": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"cid": "b", "first": "fb"}), "b")
+    later = F.col("fa") > F.col("fb")
+    ordered = ordered.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("early"), F.least("fa", "fb").alias("at"))
+    ordered = written(ordered, "line_order")
+    # the earliest candidate settles nearly all of a family of variants; only lines it leaves meet their other ones
+    heads = ordered.groupBy("late").agg(F.min_by("early", "at").alias("early"))
+    settled = written(_similar(heads, full, threshold).select("late").distinct(), "line_late")
+    rest = ordered.select("late", "early").join(settled, "late", "left_anti").join(heads, ["late", "early"], "left_anti")
+    late = settled.union(_similar(rest, full, threshold).select("late").distinct()).withColumn("is_late", F.lit(True)).withColumnsRenamed({"late": "cid", "is_late": "late"})
     judged = classes.join(late, "cid", "left").select("k1", "k2", "first", "late")
     out = compact.select("doc_id", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
     return out.where(F.col("late") | (place != F.col("first"))).select("doc_id", "line_no").distinct()
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (late, early) whose whole sets are similar enough."""
+    x = sets.select(F.col("cid").alias("late"), F.col("tokens").alias("tx"))
+    y = sets.select(F.col("cid").alias("early"), F.col("tokens").alias("ty"))
+    enough = F.size(F.array_intersect("tx", "ty")) >= least_overlap(F.size("tx"), F.size("ty"), threshold)
+    return pairs.join(x, "late").join(y, "early").where(enough).select("late", "early")
+
+
 def removed_by_document(docs: DataFrame, **options) -> DataFrame:
     removed = removed_lines(docs, **options)
     return removed.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))  # at most a document's lines
