@@ -26,6 +26,7 @@ from .shingles import slices, text_bytes, word_hashes
 
 PASSAGE, ITEMS, EXTRA_RANK = 64, 256, 16
 COSINE, COVERAGE = 0.3, 0.35
+MAX_DF = 0.1  # words in a larger share of passages have no weight, unless an item would keep fewer than LEAST_WORDS
 SURE, LIKELY, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 6, 0.8
 LEAST_WORDS = 5
 PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean"
@@ -154,7 +155,11 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> Da
     d = len(vocabulary)
     counts, n = passage_counts(encoded, d, passage)
     idf = np.log((1 + n) / (1 + counts)) + 1
-    idf[0] = 0.0
+    common = counts > MAX_DF * max(1, n)
+    for _, x in held:
+        if (~common[x]).sum() < LEAST_WORDS:
+            common[x] = False
+    idf[common] = idf[0] = 0.0
     rows = np.zeros((len(held), d + 1))
     for r, (_, x) in enumerate(held):
         np.add.at(rows[r], x, 1.0)
@@ -174,19 +179,26 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> Da
         idf, basis, directions, lengths, held = shared.value
         half = passage // 2
         masks = [place_masks(x) for _, x in held]
+        least = COVERAGE * lengths.min()
         for batch in batches:
             out = []
             for doc, binary in zip(batch.column("doc_id").to_pylist(), batch.column("words"), strict=True):
                 x = np.frombuffer(binary.as_buffer(), "<u4").astype(np.int64)
                 at = np.flatnonzero(x)
+                at = at[idf[x[at]] > 0]
+                if not len(at):
+                    continue
                 w, block = x[at], at // half
                 n = len(x) // half + 1
                 starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                value = idf[w].astype(np.float32)
                 sums, norms = np.zeros((n + 1, basis.shape[1]), np.float32), np.zeros(n + 1)
-                for s, e in zip(starts, np.append(starts[1:], len(w)), strict=True):
-                    v = idf[w[s:e]].astype(np.float32)
-                    sums[block[s]] = v @ basis[w[s:e]]
-                    norms[block[s]] = v @ v
+                norms[block[starts]] = np.add.reduceat(value * value, starts)
+                weight = np.zeros(n + 1)
+                weight[block[starts]] = np.add.reduceat(value, starts)
+                if (weight[:-1] + weight[1:]).max() < least:  # a projection is no longer than its words' weights together
+                    continue
+                sums[block[starts]] = np.add.reduceat(basis[w] * value[:, None], starts, axis=0)
                 both = sums[:-1] + sums[1:]
                 dots = both @ directions.T.astype(np.float32)
                 size = np.sqrt(norms[:-1] + norms[1:])[:, None] + 1e-9
