@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 THRESHOLD, LEAST_TOKENS = 0.85, 5
-SLOTS = 1 << 20  # counts of tokens by hash: 1 MB of levels in each task, whatever the number of tokens
+SLOTS = 1 << 18  # counts of tokens by hash: 256 KB of levels in each task, whatever the number of tokens
 HASH = (1 << 58) - 1
 BROADCAST_ROWS = 200_000  # of 16 bytes each; a longer list of candidates is joined by a shuffle
 
