@@ -9,7 +9,8 @@ than allowed by 128-bit summaries of both (each differing bit is a differing tok
 whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
-sets have 1. Lines of fewer than ``LEAST_TOKENS`` distinct tokens are left alone.
+sets have 1. The query and the pipeline judge every line that has a token; by default the functions leave lines of
+fewer than ``LEAST_TOKENS`` distinct tokens alone.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def deduplicate_lines(docs: DataFrame, **options) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed lines' numbers of every document."""
     docs = table(spark, sf_dir, "documents")
-    removed = removed_by_document(docs).withColumnRenamed("doc_id", "id")
+    removed = removed_by_document(docs, least_tokens=1).withColumnRenamed("doc_id", "id")
     count = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     counted = docs.select("doc_id", count.alias("n_lines"))
     none = F.array().cast("array<int>")

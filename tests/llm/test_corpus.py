@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from spreadloom.llm import decontaminate, line_dedup, minhash, nearest, packing, substring_dedup, token_files, tokens, toxicity, url_filter, warc
 from spreadloom.llm.tokens import default_vocabulary
 
@@ -143,6 +144,16 @@ def test_lines(spark, nothing):
     assert line_dedup.removed_lines(nothing).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "short\n\n}\ntwo words\na b c d e f"), (2, "Short\n }\n\nwords two\ntwo words more\na b c d e f g"), (3, "}\nshort short\nf")]
+    docs = spark.createDataFrame([(i, t, 1, "k", 2, "t", "c") for i, t in rows], DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.query(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 1, 3, 5], 3: [0, 1]}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert kept == {1: rows[0][1], 2: "\ntwo words more", 3: "f"}
+
+
 def repeats(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
