@@ -6,8 +6,8 @@ is indexed. A vector near a border goes to each of its up to ``COPIES`` closest
 memory by each task, and visits those whose distance is at most ``PRUNE`` times the smallest. Lists and visits meet in
 a join on the list; scores are exact inner products of the original vectors in double precision.
 
-Vectors of different length are compared as unit vectors with one more coordinate that makes all lengths equal, so that
-the closest are those with the largest inner product. Equal vectors are one entry with its ``K + 1`` smallest ids, which
+Vectors of different length are compared as unit vectors with one more coordinate that makes all lengths equal. A query
+is its own direction with 0 as that coordinate, so that the closest are those with the largest inner product. Equal vectors are one entry with its ``K + 1`` smallest ids, which
 is all that any list of K can hold; so a vector that recurs a million times costs one entry.
 """
 
@@ -72,6 +72,12 @@ class Lists:
         x = x / self.longest
         return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))])
 
+    @staticmethod
+    def aim(q: np.ndarray) -> np.ndarray:
+        """The queries' points: 2 - 2 (q / |q|) x / longest from the point of a candidate x."""
+        q = q / np.abs(q).max(1, keepdims=True)  # its square can't overflow or vanish
+        return np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
+
     @staticmethod
     def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
@@ -146,7 +152,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             if not batch.num_rows:
                 continue
             rows, where = [], []
-            for i, x in enumerate(index.lift(_matrix(batch.column("x")))):
+            for i, x in enumerate(index.aim(_matrix(batch.column("x")))):
                 found, far = index.closest(x, VISITS)
                 found = found[(far <= far[0] * PRUNE**2 + 1e-12)]
                 rows += [i] * len(found)

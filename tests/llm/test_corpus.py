@@ -257,6 +257,22 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0)).count() == 0 and nearest.nearest(df.where("vec_id in (20, 21)")).count() == 1
 
 
+def test_nearest_of_mixed_lengths(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((5000, 16))
+    x *= (np.exp(rng.normal(0, 1, 5000)) / np.linalg.norm(x, axis=1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, every=50).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 5000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 100
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.com/en/7?x"), (2, "https://x.com/en/1"), (3, "ftp://net/de/8"), (4, "http://m.example.net/de/81#a"), (5, "no scheme.com/en/"), (6, None), (7, "http://xcom/en/1"), (8, "http://org/es/"), (9, "://"), (1, "http://com/fr")]
     pages = spark.createDataFrame([(*r, "v", "k") for r in rows], "page_id long, url string, verdict string, key string")
