@@ -60,6 +60,11 @@ def least_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
 
+def pairs_up(n: Column, threshold: float) -> Column:
+    """Whether a set of ``n`` tokens can be similar to one that differs: of another size, or of its own with fewer shared."""
+    return (F.floor(n / F.lit(threshold) + 1e-9) > n) | (F.ceil(F.lit(threshold) * n - 1e-9) < n) | (least_overlap(n, n, threshold) < n)
+
+
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """doc_id, line_no (from 0) of every line that an earlier one is equal or similar to.
 
@@ -80,7 +85,8 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, least_tokens
     classes = compact.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("high").alias("high"), F.any_value("prefix").alias("prefix"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line_classes")
 
-    tokens = classes.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "low", "high").where(F.shiftright("token", 58) != 0)
+    # equal sets are one class already, so sets that match only when equal have no pairs to look for
+    tokens = classes.where(pairs_up(F.col("n"), threshold)).select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "low", "high").where(F.shiftright("token", 58) != 0)
     side = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "low", "high")])
     left, right = side("a"), side("b")
     need = least_overlap(F.col("n_a"), F.col("n_b"), threshold)
