@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors) by k-means with a penalty for full clusters; every vector
 is indexed. A vector near a border goes to each of its up to ``COPIES`` closest lists whose centroid is at most
 ``BORDER`` times as far as the closest one. A query finds its lists through a neighbour graph of the centroids, kept in
-memory by each task, and visits those whose distance is at most ``PRUNE`` times the smallest. Lists and visits meet in
-a join on the list; scores are exact inner products of the original vectors in double precision.
+memory by each task, and visits those whose distance is at most ``PRUNE`` times the smallest, and further ones until
+they are the home (closest list) of at least ``K + 1`` entries. Queries that still find fewer than ``K`` although there
+are more visit all lists. Lists and visits meet in a join on the list; scores are exact inner products of the original vectors in double precision.
 
 Vectors of different length are compared as unit vectors with one more coordinate that makes all lengths equal. A query
 is its own direction with 0 as that coordinate, so that the closest are those with the largest inner product. Equal vectors are one entry with its ``K + 1`` smallest ids, which
@@ -134,6 +135,18 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     lists = fit(entries)
     shared = spark.sparkContext.broadcast(lists)  # LISTS centroids and their graph
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        held = np.zeros(len(index.centres), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                held += np.bincount(index.distances(index.lift(_matrix(batch.column("x"))), index.centres).argmin(1), minlength=len(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held))), pa.array(held)], names=["list", "n"])
+
+    homes = np.zeros(len(lists.centres), np.int64)
+    for r in entries.select("x").mapInArrow(settle, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # a row for each list
+        homes[r["list"]] = r["n"]
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -154,17 +167,23 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             rows, where = [], []
             for i, x in enumerate(index.aim(_matrix(batch.column("x")))):
                 found, far = index.closest(x, VISITS)
-                found = found[(far <= far[0] * PRUNE**2 + 1e-12)]
+                near = int((far <= far[0] * PRUNE**2 + 1e-12).sum())
+                if homes[found[:near]].sum() <= k:
+                    if homes[found].sum() <= k:
+                        found = ((index.centres - x) ** 2).sum(1).argsort(kind="stable")
+                    near = max(near, int(np.searchsorted(np.cumsum(homes[found]), k + 1)) + 1)
+                found = found[:near]
                 rows += [i] * len(found)
                 where += found.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), batch.column("query_id").take(pa.array(rows)), batch.column("x").take(pa.array(rows))], names=["list", "query_id", "q"])
 
     posted = entries.select("first", "ids", "x").mapInArrow(post, "list long, first long, ids array<long>, x array<double>")
-    n_blocks = _blocks(entries, lists)
+    n_blocks = _blocks(int(homes.sum()), lists)
     posted = posted.withColumn("block", F.pmod(F.xxhash64("first"), F.lit(n_blocks)))
     queries = held.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x").dropDuplicates(["query_id"])
     visits = queries.mapInArrow(visit, "list long, query_id long, q array<double>")
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    visits = visits.withColumn("block", each(n_blocks))
 
     def score(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -173,8 +192,13 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             ids = left.column("ids").to_pylist()
             queries = right.column("query_id").to_pylist()
             for i, s in enumerate(q @ x.T):
-                best = np.argpartition(-s, k)[: k + 1] if len(s) > k + 1 else np.arange(len(s))
-                best = np.flatnonzero(s >= s[best].min() - 1e-9) if len(s) > k + 1 else best
+                most = k + 1
+                while True:  # more than once only where entries repeat ids
+                    best = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
+                    best = np.flatnonzero(s >= s[best].min() - 1e-9) if len(s) > most else best
+                    if len(best) == len(s) or len({v for j in best for v in ids[j]} - {queries[i]}) >= k:
+                        break
+                    most *= 2
                 for j in best:
                     exact = float(np.dot(q[i], x[j]))
                     for v in ids[j]:
@@ -183,10 +207,21 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                                 o.append(value)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    scored = posted.groupBy("list", "block").cogroup(visits.groupBy("list", "block")).applyInArrow(score, "query_id long, vec_id long, score double")
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = F.struct((-F.col("score")).alias("s"), "vec_id")
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("best"))  # bounded: k + 1 entries of each visited block
+    def ranked(visits: DataFrame) -> DataFrame:
+        scored = posted.groupBy("list", "block").cogroup(visits.groupBy("list", "block")).applyInArrow(score, "query_id long, vec_id long, score double")
+        scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = F.struct((-F.col("score")).alias("s"), "vec_id")
+        return scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(order)), 1, k).alias("best"))  # bounded: about k + 1 entries of each visited block
+
+    best = written(ranked(visits), "nearest")
+    fed = best.where(F.size("best") >= k).select("query_id")
+    short = queries.join(fed, "query_id", "left_anti")
+    if not short.isEmpty():
+        others = held.select("vec_id").distinct().limit(k + 1).count() - 1
+        fed = best.where(F.size("best") >= min(k, others)).select("query_id")
+        short = queries.join(fed, "query_id", "left_anti").select("query_id", F.col("x").alias("q"))
+        all_lists = short.withColumn("list", each(len(lists.centres))).withColumn("block", each(n_blocks)).select("list", "query_id", "q", "block")
+        best = best.join(fed, "query_id", "left_semi").unionByName(ranked(all_lists))
     out = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
@@ -200,9 +235,9 @@ def _smallest(pairs: DataFrame, n: int) -> DataFrame:
     return some.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, n).alias("ids"))
 
 
-def _blocks(entries: DataFrame, lists: Lists) -> int:
+def _blocks(entries: int, lists: Lists) -> int:
     """Blocks that every list is dealt to, so that one block has about ``BLOCK`` entries."""
-    return max(1, -(-entries.count() * 2 // (len(lists.centres) * BLOCK)))
+    return max(1, -(-entries * 2 // (len(lists.centres) * BLOCK)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

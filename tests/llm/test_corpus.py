@@ -154,6 +154,16 @@ def test_short_lines(spark, tmp_path):
     assert kept == {1: rows[0][1], 2: "\ntwo words more", 3: "f"}
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.5])
+def test_short_lines_by_brute_force(spark, threshold):
+    rng = np.random.default_rng(6)
+    rows = [" ".join(rng.choice(list("abcdefghij"), rng.integers(1, 10), replace=False)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, "\n".join(rows[5 * i : 5 * i + 5])) for i in range(30)], "doc_id long, text string")
+    sets = [set(r.split()) for r in rows]
+    want = [(j // 5, j % 5) for j in range(150) if any(len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) for i in range(j))]
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(docs, threshold=threshold, least_tokens=1).collect()) == want
+
+
 def repeats(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
@@ -273,6 +283,19 @@ def test_nearest_of_mixed_lengths(spark):
     assert hits >= 0.95 * 20 * 100
 
 
+def test_nearest_of_outliers(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 8)) * 0.05
+    x[:, 0] += 1
+    x[::60] = np.eye(8)[rng.integers(1, 8, 15)] + rng.standard_normal((15, 8)) * 1e-6  # alone or nearly so
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, v.tolist()) for v in np.roll(x[:40], 3, 1)]  # an id of many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for some, n in ((df, 20), (df.where("vec_id < 12"), 11)):
+        got = {r["query_id"]: r["n"] for r in nearest.nearest(some).groupBy("query_id").count().withColumnRenamed("count", "n").collect()}
+        assert got == {r["vec_id"]: n for r in some.where("vec_id % 20 = 0").distinct().select("vec_id").distinct().collect()}
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.com/en/7?x"), (2, "https://x.com/en/1"), (3, "ftp://net/de/8"), (4, "http://m.example.net/de/81#a"), (5, "no scheme.com/en/"), (6, None), (7, "http://xcom/en/1"), (8, "http://org/es/"), (9, "://"), (1, "http://com/fr")]
     pages = spark.createDataFrame([(*r, "v", "k") for r in rows], "page_id long, url string, verdict string, key string")
