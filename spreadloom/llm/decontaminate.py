@@ -4,12 +4,13 @@
    similarity with it. Later steps read these sequences, not the texts.
 2. A randomised SVD of the TF-IDF matrix of all passages (``PASSAGE`` words) together with the benchmark items, which
    weigh as much as all passages: each task adds up its share of A'A times a matrix of ``rank`` columns, twice.
-3. Windows of ``PASSAGE`` words at every half passage are projected. A window and an item are candidates if their
-   cosine and the share of the item that the window covers are large enough.
+3. Items are searched in pieces of at most ``PASSAGE`` words. Windows of ``PASSAGE`` words at every half passage are
+   projected, and for items of under ``SHORT`` words also windows of one to two times the item's length. A window and a
+   piece are candidates if their cosine and the share of the piece that the window covers are large enough.
 4. The longest common subsequence of a candidate's words with the words around the window decides: a leak has at least
    ``SURE`` of the item's words in order; a paraphrase at least ``LIKELY`` and also the item's answer, its last words.
 
-The benchmark is taken in blocks of ``ITEMS`` items, so what the driver and the tasks hold is bounded by a block.
+The benchmark is taken in blocks of about ``ITEMS`` pieces, so what the driver and the tasks hold is bounded by a block.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PASSAGE, ITEMS, EXTRA_RANK = 64, 256, 16
 COSINE, COVERAGE = 0.3, 0.35
 MAX_DF = 0.1  # words in a larger share of passages have no weight, unless an item would keep fewer than LEAST_WORDS
 SURE, LIKELY, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 6, 0.8
+SHORT = PASSAGE * (COSINE / LIKELY) ** 2  # words; the likely share of fewer is under COSINE in a passage full of benchmark words
 LEAST_WORDS = 5
 PAIRS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean"
 SPACE = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -143,12 +145,21 @@ def place_masks(item: np.ndarray) -> dict[int, int]:
     return masks
 
 
-def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> DataFrame:
-    spark = docs.sparkSession
+def pieces_of(n: int, size: int) -> int:
+    return max(1, -(-n // size))
+
+
+def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage: int) -> DataFrame:
+    """Matches of items, id and text, found by those of their pieces that ``wanted`` numbers."""
+    spark, items = docs.sparkSession, sorted(wanted)
     words, at = word_hashes(*text_bytes(pa.array([t for _, t in items], pa.string())), SPACE)
     vocabulary = np.unique(words)
     numbers = np.searchsorted(vocabulary, words) + 1
-    held = [(i, numbers[a:b]) for (i, _), a, b in zip(items, at[:-1], at[1:], strict=True) if b - a >= LEAST_WORDS]
+    held, pieces = [], []  # a piece: its item's place in held, and its first word; the last one ends with the item
+    for item, a, b in zip(items, at[:-1], at[1:], strict=True):
+        found = [k for k in sorted(wanted[item]) if k < pieces_of(b - a, passage)] if b - a >= LEAST_WORDS else []
+        pieces += [(len(held), max(0, min(k * passage, b - a - passage))) for k in found]
+        held += [(item[0], numbers[a:b])] if found else []
     if not held:
         return spark.createDataFrame([], PAIRS)
     encoded = written(sequences(docs, vocabulary), "sequences")
@@ -156,16 +167,17 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> Da
     counts, n = passage_counts(encoded, d, passage)
     idf = np.log((1 + n) / (1 + counts)) + 1
     common = counts > MAX_DF * max(1, n)
-    for _, x in held:
+    cut = [held[j][1][a : a + passage] for j, a in pieces]
+    for x in cut:
         if (~common[x]).sum() < LEAST_WORDS:
             common[x] = False
     idf[common] = idf[0] = 0.0
-    rows = np.zeros((len(held), d + 1))
-    for r, (_, x) in enumerate(held):
+    rows = np.zeros((len(cut), d + 1))
+    for r, x in enumerate(cut):
         np.add.at(rows[r], x, 1.0)
     rows *= idf
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    rank = min(d, len(held) + EXTRA_RANK)
+    rank = min(d, len(cut) + EXTRA_RANK)
     basis = np.zeros((d + 1, rank))
     basis[1:] = np.random.default_rng(1).standard_normal((d, rank))
     for _ in range(2):
@@ -173,13 +185,17 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> Da
         basis = np.linalg.qr(product)[0]
         basis[0] = 0.0
     latent = rows @ basis
-    shared = spark.sparkContext.broadcast((idf, basis.astype(np.float32), latent / np.linalg.norm(latent, axis=1, keepdims=True), np.linalg.norm(latent, axis=1), held))
+    lengths = np.linalg.norm(latent, axis=1)
+    scales = {passage // 2: np.arange(len(cut))}  # half a window's words, and the pieces it is compared with
+    for r, x in enumerate(cut):
+        half = 1 << max(1, (len(x) - 1).bit_length() - 1)
+        if len(x) < SHORT and half < passage // 2:
+            scales[half] = np.append(scales.get(half, np.zeros(0, int)), r)
+    shared = spark.sparkContext.broadcast((idf, basis.astype(np.float32), (latent / lengths[:, None]).astype(np.float32), lengths, held, pieces, scales))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, directions, lengths, held = shared.value
-        half = passage // 2
+        idf, basis, directions, lengths, held, pieces, scales = shared.value
         masks = [place_masks(x) for _, x in held]
-        least = COVERAGE * lengths.min()
         for batch in batches:
             out = []
             for doc, binary in zip(batch.column("doc_id").to_pylist(), batch.column("words"), strict=True):
@@ -188,30 +204,42 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], *, passage: int) -> Da
                 at = at[idf[x[at]] > 0]
                 if not len(at):
                     continue
-                w, block = x[at], at // half
-                n = len(x) // half + 1
-                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                value = idf[w].astype(np.float32)
-                sums, norms = np.zeros((n + 1, basis.shape[1]), np.float32), np.zeros(n + 1)
-                norms[block[starts]] = np.add.reduceat(value * value, starts)
-                weight = np.zeros(n + 1)
-                weight[block[starts]] = np.add.reduceat(value, starts)
-                if (weight[:-1] + weight[1:]).max() < least:  # a projection is no longer than its words' weights together
-                    continue
-                sums[block[starts]] = np.add.reduceat(basis[w] * value[:, None], starts, axis=0)
-                both = sums[:-1] + sums[1:]
-                dots = both @ directions.T.astype(np.float32)
-                size = np.sqrt(norms[:-1] + norms[1:])[:, None] + 1e-9
+                w, value = x[at], idf[x[at]].astype(np.float32)
                 best: dict[int, tuple[float, float, bool]] = {}
-                for i, j in zip(*np.nonzero((dots >= COSINE * size) & (dots >= COVERAGE * lengths)), strict=True):
-                    item = held[j][1]
-                    m = len(item)
-                    region = x[max(0, i * half - m) : (i + 2) * half + m]
-                    share = common_length(item, masks[j], region) / m
-                    if share >= LIKELY and share > best.get(j, (0.0,))[0]:
-                        answer = item[-ANSWER_WORDS:]
-                        found = common_length(answer, place_masks(answer), region) >= ANSWER_SHARE * len(answer)
-                        best[j] = (share, min(1.0, float(dots[i, j] / size[i, 0])), found)
+                seen: set[tuple[int, int]] = set()
+                for half, some in scales.items():
+                    block = at // half
+                    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                    n = len(x) // half + 1
+                    weight = np.zeros(n + 1)
+                    weight[block[starts]] = np.add.reduceat(value, starts)
+                    # a projection is no longer than its words' weights together
+                    windows = np.flatnonzero(weight[:-1] + weight[1:] >= COVERAGE * lengths[some].min())
+                    if not len(windows):
+                        continue
+                    sums, norms = np.zeros((n + 1, basis.shape[1]), np.float32), np.zeros(n + 1)
+                    norms[block[starts]] = np.add.reduceat(value * value, starts)
+                    sums[block[starts]] = np.add.reduceat(basis[w] * value[:, None], starts, axis=0)
+                    dots = (sums[windows] + sums[windows + 1]) @ directions[some].T
+                    size = np.sqrt(norms[windows] + norms[windows + 1])[:, None] + 1e-9
+                    for row, col in zip(*np.nonzero((dots >= COSINE * size) & (dots >= COVERAGE * lengths[some])), strict=True):
+                        i, (j, first) = int(windows[row]), pieces[some[col]]
+                        item = held[j][1]
+                        m = len(item)
+                        if m <= 2 * half:
+                            region = x[max(0, i * half - m) : (i + 2) * half + m]
+                        else:  # pieces that agree on the item's place, to an eighth of its length, share a look at all of it
+                            step = max(half, m // 8)
+                            place = (i * half - first) // step
+                            if (j, place) in seen:
+                                continue
+                            seen.add((j, place))
+                            region = x[max(0, place * step - m // 2 - half) : max(0, (place + 1) * step + m + m // 2 + half)]
+                        share = common_length(item, masks[j], region) / m
+                        if share >= LIKELY and share > best.get(j, (0.0,))[0]:
+                            answer = item[-ANSWER_WORDS:]
+                            found = common_length(answer, place_masks(answer), region) >= ANSWER_SHARE * len(answer)
+                            best[j] = (share, min(1.0, float(dots[row, col] / size[row, 0])), found)
                 out += [(doc, held[j][0], c, s, f) for j, (s, c, f) in best.items() if s >= SURE or f]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer_found"])
@@ -226,11 +254,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, passage: int = PASSAG
     Rows that repeat an id count as one document, with its best match for each item. Other columns are ignored.
     """
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    n_words = F.regexp_count("text", F.lit("[0-9A-Za-z[^\\x00-\\x7F]]+"))
+    rows = rows.distinct().withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n_words / passage).cast("int") - 1))))
     count, out = rows.count(), None
     blocks = -(-count // items) if count else 0
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = _block(docs, sorted((r["item_id"], r["text"]) for r in part.collect()), passage=passage)
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text", "piece"), F.lit(blocks)) == b)
+        wanted: dict[tuple[int, str], set[int]] = {}
+        for r in part.collect():
+            wanted.setdefault((r["item_id"], r["text"]), set()).add(r["piece"])
+        found = _block(docs, wanted, passage=passage)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], PAIRS)

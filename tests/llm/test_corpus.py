@@ -246,6 +246,22 @@ def test_decontamination(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    items = [(0, fill(700)), (1, fill(200)), (2, fill(5)), (3, fill(5)), (4, fill(12))]
+    pool = " ".join(t for _, t in items[:2]).split()
+    dense = lambda n: " ".join(rng.choice(pool, n))
+    half = " ".join(w if k % 3 or k > 5 else word() for k, w in enumerate(items[4][1].split()))
+    rows = [(i, fill(200)) for i in range(30)] + [(100, f"{fill(41)} {items[0][1]} {fill(90)}"), (101, f"{fill(70)} {items[1][1]} {fill(9)}")]
+    rows += [(102, f"{dense(150)} {items[2][1]} {dense(110)}"), (103, f"{dense(90)} {items[3][1]} {dense(150)}"), (104, f"{dense(77)} {half} {dense(150)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for some in (256, 6):  # one block and several
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, items=some).collect()} == {(100 + i, i) for i in range(5)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 8)).round(2).astype(np.float32)
