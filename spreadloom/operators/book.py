@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import wcl_per_share
+
 
 def best_quotes(book: DataFrame) -> DataFrame:
     bid, ask = F.col("side") == "bid", F.col("side") == "ask"
@@ -39,20 +41,46 @@ def combined_ladder(pairs: DataFrame, book: DataFrame) -> DataFrame:
     return both.select("id", "direction", F.row_number().over(Window.partitionBy("id").orderBy("at")).alias("rung"), "p_long", "p_short", "cost", "depth", F.round(F.col("cost") * F.col("depth"), 2).alias("notional"), "at")
 
 
-def book_walk(pairs: DataFrame, book: DataFrame, *, max_dollars: float = 1000.0, max_shares: float = 500.0, ratio: float = 0.0, fraction: float = 0.5, least: int = 10) -> DataFrame:
-    """Shares that each pair (with its target ``mu``) may take: rungs in order while their edge is at least ``ratio``
-    times their cost, within the caps of dollars and shares; fewer than ``least`` give none.
+def fee_per_share(price: Column, rate: Column, exponent: Column) -> Column:
+    """The same at a price and at the rest of 1; nothing without a rate or at 0 and 1."""
+    pq = price * (1 - price)
+    return F.when((rate > 0) & (pq > 0), rate * F.pow(pq, exponent)).otherwise(F.lit(0.0))
 
-    A running sum over the rungs replaces the walk: what a rung may take is what the caps leave before it.
+
+def book_walk(pairs: DataFrame, book: DataFrame, *, max_dollars: float = 1000.0, max_shares: float = 500.0, ratio: float = 0.0, fraction: float = 0.5, least: int = 10) -> DataFrame:
+    """Shares that each pair (with its target ``mu``) may take: rungs in order while their edge after fees is at least
+    ``ratio`` times the width of both legs and the fees at the top, within the caps of dollars, shares and the worst
+    loss; fewer than ``least`` give none.
+
+    Pairs may have ``fee_rate_long``, ``fee_exp_long`` and the same of the short leg, and ``spread`` with a
+    ``wcl_budget``; without them there are no fees and no cap on the loss. A running sum over the rungs replaces the
+    walk: what a rung may take is what the caps leave before it. Dollars leave out fees, but each take is divided by the
+    cost with them, and repeated on its rung until it is under a share.
     """
-    rungs = combined_ladder(pairs, book.withColumn("size", F.col("size") * fraction)).join(pairs.select("id", "mu"), "id")
+    column = lambda name: F.col(name).cast("double") if name in pairs.columns else F.lit(None).cast("double")
+    terms = [column(n).alias(n) for n in ("fee_rate_long", "fee_exp_long", "fee_rate_short", "fee_exp_short")]
+    a_share = wcl_per_share(F.col("direction"), column("spread"))
+    most = F.least(F.lit(float(max_shares)), F.when(a_share > 1e-9, column("wcl_budget") / F.nullif(a_share, F.lit(0.0))))  # skips nulls
+    fees = fee_per_share(F.col("p_long"), F.col("fee_rate_long"), F.col("fee_exp_long")) + fee_per_share(F.col("p_short"), F.col("fee_rate_short"), F.col("fee_exp_short"))
+    rungs = combined_ladder(pairs, book.withColumn("size", F.col("size") * fraction)).join(pairs.select("id", "mu", most.alias("most"), *terms), "id").withColumn("fee", fees)
     spread = F.col("p_long") - F.col("p_short")
     edge = F.when(F.col("direction") == "BUY", F.col("mu") - spread).otherwise(spread - F.col("mu"))
     order = Window.partitionBy("id").orderBy("rung")
-    rungs = rungs.withColumn("edge", edge).withColumn("fails", F.max((F.col("edge") < ratio * F.col("cost")).cast("int")).over(order)).where("fails = 0")
+    gate = F.lit(0.0)
+    if ratio:
+        width = lambda leg: best_quotes(book).select(F.col("token").alias(f"{leg}_token"), F.col("width").alias(f"width_{leg}"))
+        widths = pairs.select("id", "long_token", "short_token").join(width("long"), "long_token").join(width("short"), "short_token")
+        widths = widths.select("id", (F.col("width_long") + F.col("width_short")).alias("width"))
+        rungs = rungs.join(widths, "id").withColumn("full", F.col("width") + F.first("fee").over(order)).where("full > 1e-6")
+        gate = ratio * F.col("full")
+    rungs = rungs.withColumn("edge", edge - F.col("fee")).withColumn("fails", F.max((F.col("edge") < gate).cast("int")).over(order)).where("fails = 0")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     spent, taken = F.coalesce(F.sum(F.col("cost") * F.col("depth")).over(before), F.lit(0.0)), F.coalesce(F.sum("depth").over(before), F.lit(0.0))
-    take = F.greatest(F.lit(0.0), F.least(F.col("depth"), (max_dollars - F.col("spent")) / F.col("cost"), max_shares - F.col("taken")))
+    full = F.col("cost") + F.col("fee")
+    once, again = (max_dollars - F.col("spent")) / full, F.col("fee") / full
+    times = F.floor(F.when(once >= 1, F.log(once) / -F.log(again))) + 1
+    afford = F.when(F.col("fee") > 0, F.when(once >= 1, once * (1 - F.pow(again, times)) / (1 - again)).otherwise(F.lit(0.0))).otherwise(once)
+    take = F.greatest(F.lit(0.0), F.least(F.col("depth"), afford, F.col("most") - F.col("taken")))
     rungs = rungs.withColumns({"spent": spent, "taken": taken}).withColumn("take", take).where("take > 0")
     out = rungs.groupBy("id", "direction").agg(F.sum("take").alias("exact"), F.sum(F.col("take") * F.col("cost")).alias("dollars"), (F.sum(F.col("take") * F.col("edge")) / F.sum("take")).alias("avg_edge"), F.max_by("p_long", "rung").alias("worst_long"), F.max_by("p_short", "rung").alias("worst_short"))
     return out.withColumn("shares", F.floor("exact").cast("long")).where(F.col("shares") >= least).drop("exact")

@@ -159,3 +159,17 @@ def test_files(spark, tmp_path):
     (tmp_path / "metals.csv").write_text("a,b,sign,strength,why\nu1,u2,1,high,both rise, mostly\nbad line\n")
     got = files.pairs_ragged_csv(spark, str(tmp_path / "metals.csv")).collect()
     assert [(r["underlying_a"], r["sign"], r["rationale"], r["category"]) for r in got] == [("u1", 1, "both rise, mostly", "metals")]
+
+
+def test_walk_with_fees_loss_cap_and_ratio(spark):
+    levels = [("L", "ask", 0.5, 1e5), ("L", "bid", 0.49, 1e5), ("S", "ask", 0.41, 1e5), ("S", "bid", 0.4, 1e5)]
+    b = frame(spark, levels, "token string, side string, price double, size double")
+    key = "id int, direction string, long_token string, short_token string, mu double, spread double, wcl_budget double, fee_rate_long double, fee_exp_long double, fee_rate_short double, fee_exp_short double"
+    rows = [(1, "BUY", "L", "S", 0.3, 0.1, 5.0, 0.0, 1.0, 0.0, 1.0), (2, "SELL", "L", "S", -0.3, 0.1, 45.0, 0.0, 1.0, 0.0, 1.0), (3, "BUY", "L", "S", 0.3, None, None, 0.1, 1.0, 0.1, 1.0), (4, "BUY", "L", "S", 0.14, None, None, 0.1, 1.0, 0.1, 1.0)]
+    walk = lambda **o: {r["id"]: (r["shares"], round(r["avg_edge"], 6)) for r in book.book_walk(frame(spark, rows, key), b, **o).collect()}
+    assert walk(max_dollars=1e9, max_shares=1e9) == {1: (50, 0.2), 2: (50, 0.38), 3: (50_000, 0.151)}
+    assert set(walk(max_dollars=1e9, ratio=2.0)) == {1, 2, 3} and set(walk(max_dollars=1e9, ratio=2.5)) == {1, 2}
+    left, taken = 110.0, 0.0  # the reference's loop on one rung
+    while left / 1.149 >= 1:
+        taken, left = taken + left / 1.149, left - left / 1.149 * 1.1
+    assert walk(max_dollars=110.0)[3][0] == int(taken)
