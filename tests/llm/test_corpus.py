@@ -254,7 +254,8 @@ def test_decontamination_of_long_and_short_items(spark):
     pool = " ".join(t for _, t in items[:2]).split()
     dense = lambda n: " ".join(rng.choice(pool, n))
     half = " ".join(w if k % 3 or k > 5 else word() for k, w in enumerate(items[4][1].split()))
-    rows = [(i, fill(200)) for i in range(30)] + [(100, f"{fill(41)} {items[0][1]} {fill(90)}"), (101, f"{fill(70)} {items[1][1]} {fill(9)}")]
+    often = items[2][1].split()  # of less weight than what surrounds them
+    rows = [(i, f"{fill(200)} {often[i % 5]}") for i in range(30)] + [(100, f"{fill(41)} {items[0][1]} {fill(90)}"), (101, f"{fill(70)} {items[1][1]} {fill(9)}")]
     rows += [(102, f"{dense(150)} {items[2][1]} {dense(110)}"), (103, f"{dense(90)} {items[3][1]} {dense(150)}"), (104, f"{dense(77)} {half} {dense(150)}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
