@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from .common import new_path, shuffle_partitions, written
 from .tokens import encoder, in_slices
 
-NO_ID = -(2**63)  # stands in a .doc file for a null doc_id
-MANIFEST = "shard long, name string, n_docs long, n_tokens long"
+MANIFEST = "shard long, name string, n_docs long, n_null long, n_tokens long"  # n_null: documents without an id, a shard's first ones
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -73,10 +72,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 0, folder: s
         encode_texts = encoder(vocabulary)
         wide = "<u2" if encode_texts.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         fs, path = _store(folder)
-        ids, sizes, out = [], [], None
+        ids, sizes, nulls, out = [], [], 0, None
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids.append(batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
+            nulls += batch.column("doc_id").null_count
+            ids.append(batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
             for part in in_slices(texts):
                 for found in encode_texts(texts[part]):
                     out = out or fs.open_output_stream(f"{path}/{name}.bin")
@@ -86,7 +86,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, *, end_id: int = 0, folder: s
             out.close()
             _save(f"{folder}/{name}.doc", np.concatenate(ids).astype("<i8"))
             _save(f"{folder}/{name}.len", np.array(sizes, "<i8"))
-            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [f"{folder}/{name}:{wide}"], "n_docs": [len(sizes)], "n_tokens": [sum(sizes)]})
+            yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [f"{folder}/{name}:{wide}"], "n_docs": [len(sizes)], "n_null": [nulls], "n_tokens": [sum(sizes)]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
@@ -129,7 +129,7 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
                     found = [ids[local[i] : local[i + 1]].astype("<u4") for i in now]
                     doc = docs[now.start : now.stop]
                     cols = {
-                        "doc_id": pa.array(doc, pa.int64(), mask=doc == NO_ID),
+                        "doc_id": pa.array(doc, pa.int64(), mask=np.arange(now.start, now.stop) < row["n_null"]),
                         "start": pa.array(np.asarray(index[now.start : now.stop]), pa.int64()),
                         "n_tokens": pa.array([len(x) for x in found], pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),

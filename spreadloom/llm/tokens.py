@@ -3,7 +3,8 @@
 A byte-level BPE file cuts a text into words first and encodes each word alone. Where a text's white space is
 single blanks and line feeds, the parts between these can therefore be encoded alone too and remembered; any other
 text, or one that holds a special token's string, goes to the tokenizer whole. A part that begins with plain letters
-is put together from these letters and its rest, which recur more than the part. All ways give the same ids.
+and goes on with ASCII that is no letter (an apostrophe aside) is put together from these letters and its rest, which
+recur more than the part; any other part is encoded as it is. All ways give the same ids.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import numpy as np
 #: Entries kept by one Python worker in its caches of parts and of words; what comes later is encoded each time it is
 #: met. They bound memory and change no result.
 CACHE_PARTS, CACHE_WORDS = 700_000, 600_000
-#: Letters in every version of Unicode; a part's first run of these is one word to the tokenizer.
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters in every version of Unicode; a part's first run of these is one word to the tokenizer if the part ends there
+#: or goes on with a character that is surely no letter or mark.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[!-&(-@\[-`{-~]|\Z)")
 LINE = "\n"
 #: Byte-level vocabularies write a byte as a printable character: itself, or one of those from 256 on in turn.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -61,6 +61,22 @@ def test_words_encode_as_whole_texts(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_of_any_script_encode_as_whole_texts(tokenizer):
+    rng = np.random.default_rng(10)
+    letters = list("aeouğışñéÀÿœŒƒǆабαβאעرท漢かカ한012²½'’.,-!?()[]_\u0301\u200d😀ªº")
+    texts = ["x Erdoğan y"] + [f"x {''.join(rng.choice(letters, rng.integers(1, 12)))} y" for _ in range(30_000)]
+    texts += [f"a {before}{tokenizer.decode([i]).strip()}e b" for i in range(tokenizer.get_vocab_size()) for before in ("", "it")]
+    got = tokens.WordEncoder(default_vocabulary())(texts)
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
+def test_token_files_of_extreme_ids(spark):
+    docs = spark.createDataFrame([(-(2**63), "a b"), (None, "c"), (2**63 - 1, "d"), (None, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_tokens"]) for r in token_files.tokens_round_trip(docs, default_vocabulary()).orderBy("start").collect()]
+    assert got == [(None, 1), (None, 2), (-(2**63), 3), (2**63 - 1, 2)]
+
+
 def test_token_files(docs, nothing, tokenizer):
     got = [tuple(r) for r in token_files.tokens_round_trip(docs, default_vocabulary()).orderBy("start").collect()]
     want, at = [], 0
