@@ -4,13 +4,14 @@ A line's set is its distinct lower-cased tokens. Tokens are numbers: a level of
 all documents in ``SLOTS`` slots, then 58 bits of hash; sorting a line's tokens puts the rare ones first. Any fixed
 order makes the join exact, so the bounded table of counts only decides how well it prunes. Two sets with Jaccard
 similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other
-(length filter), cannot gain more tokens than follow the shared one (positional filter), and differ in no more tokens
-than allowed by 128-bit summaries of both (each differing bit is a differing token). What passes is verified on the
-whole sets.
+(length filter), cannot gain more tokens than follow the shared one (positional filter), and their first tokens differ
+in no more of them than the sets can (two summaries of ``WINDOW`` tokens; a differing bit is a differing token). What
+passes is verified on the whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
-sets have 1. The query and the pipeline judge every line that has a token; by default the functions leave lines of
-fewer than ``LEAST_TOKENS`` distinct tokens alone.
+sets have 1 and are one class from the start. Classes meet in the buckets of their prefix tokens in two rounds. First
+each is compared with a bucket's earliest member alone, which settles nearly all of a family of variants with a pair a
+member. Only classes that this leaves are joined with all members before them.
 """
 
 from __future__ import annotations
@@ -21,39 +22,53 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-THRESHOLD, LEAST_TOKENS = 0.85, 5
+THRESHOLD = 0.85
 SLOTS = 1 << 18  # counts of tokens by hash: 256 KB of levels in each task, whatever the number of tokens
 HASH = (1 << 58) - 1
-BROADCAST_ROWS = 200_000  # of 16 bytes each; a longer list of candidates is joined by a shuffle
+WINDOW = 24  # tokens in the summaries
+BROADCAST_ROWS = 100_000  # documents with some of their line numbers; more of them are joined by a shuffle
+OTHER_SPACE = "[\\t\\x0B\\f\\r]"  # white space in a line, the blank aside
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
 
 
 def words(line: Column) -> Column:
-    return F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+")
+    """Lower-case words between white space; empty strings may stand among them."""
+    low = F.lower(line)
+    return F.when(F.rlike(low, F.lit(OTHER_SPACE)), F.split(low, f"(?:{OTHER_SPACE}| )")).otherwise(F.split(low, " "))  # a plain blank is split without a pattern
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """The level of each slot: 0 if it has met one token at most, else 1 (rarest) to 31 by its share of all tokens.
-    The driver gets ``SLOTS`` counts at most."""
+def rarity(lines: DataFrame) -> Column:
+    """The level of each slot as an array: 0 if it has met one token at most, else 1 (rarest) to 31 by its share of all
+    tokens. The driver gets ``SLOTS`` counts at most."""
     slots = lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     found = slots.toArrow()
     counts = np.zeros(SLOTS)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     levels = np.floor(31 + np.log2(np.maximum(counts, 1) / max(1.0, counts.sum())))
-    return np.where(counts <= 1, 0, np.clip(levels, 1, 31)).astype(np.uint8).tobytes()
+    levels = np.where(counts <= 1, 0, np.clip(levels, 1, 31)).astype(int)
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded into one constant
 
 
-def token_sets(lines: DataFrame, levels: bytes, *, threshold: float, least_tokens: int) -> DataFrame:
-    """doc_id, line_no, tokens (sorted), n, k1, k2 of the lines that take part."""
-    hashes = F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w))
-    held = lines.select("doc_id", "line_no", F.array_distinct(hashes).alias("hashes")).where(F.size("hashes") >= least_tokens)
-    level = lambda h: F.ascii(F.substring(F.lit(levels), (F.pmod(h, F.lit(SLOTS)) + 1).cast("int"), 1).cast("string"))
-    token = lambda h: F.shiftleft(level(h).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
-    sets = held.select("doc_id", "line_no", F.sort_array(F.transform("hashes", token)).alias("tokens"))
-    return sets.select("doc_id", "line_no", "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"))
+def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
+    """The columns of ``lines`` but its text, and tokens (sorted) of those that have one."""
+    token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
+    hashes = F.array_distinct(F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w)))
+    rest = [c for c in lines.columns if c != "line"]
+    return lines.select(*rest, F.sort_array(F.transform(hashes, token)).alias("tokens")).where(F.size("tokens") > 0)
+
+
+def keys() -> list[Column]:
+    """k1, k2: 128 bits that stand for a set."""
+    return [F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2")]
+
+
+def summary(shift: int) -> Column:
+    """64 bits of the first ``WINDOW`` tokens, each of which turns one bit over."""
+    bit = "coalesce(shiftleft(1L, cast(shiftright(get(tokens, {}), {}) & 63L as int)), 0L)"
+    return F.expr(" ^ ".join(bit.format(i, shift) for i in range(WINDOW)))
 
 
 def least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -65,67 +80,76 @@ def pairs_up(n: Column, threshold: float) -> Column:
     return (F.floor(n / F.lit(threshold) + 1e-9) > n) | (F.ceil(F.lit(threshold) * n - 1e-9) < n) | (least_overlap(n, n, threshold) < n)
 
 
-def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def passes(x: str, y: str, threshold: float) -> Column:
+    """Whether the sets of two postings, named by suffixes, can be similar: lengths, positions and summaries."""
+    of = lambda c: (F.col(c + x), F.col(c + y))
+    (nx, ny), (px, py) = of("n"), of("pos")
+    need = least_overlap(nx, ny, threshold)
+    most = 2 * (F.greatest(nx, ny) - need) + F.abs(F.least(nx, F.lit(WINDOW)) - F.least(ny, F.lit(WINDOW)))
+    differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y)))
+    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & (differ("low") <= most) & (differ("high") <= most)
+
+
+POSTING = ("n", "pos", "low", "high", "doc_id", "line_no", "cid")
+
+
+def postings(classes: DataFrame, threshold: float) -> DataFrame:
+    """token and POSTING: a row for each prefix token. Equal sets are one class, so sets that match only when equal have
+    none; a token in a slot that has met no other one is in no other line."""
+    some = classes.where(pairs_up(F.col("n"), threshold)).select(F.posexplode("prefix").alias("pos", "token"), *[c for c in POSTING if c != "pos"])
+    return some.where(F.shiftright("token", 58) != 0)
+
+
+def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line_no (from 0) of every line that an earlier one is equal or similar to.
 
-    Rows without text or id have no lines here. Rows that repeat an id share their decisions, line by line. Other
-    columns are ignored; an empty table gives no rows.
+    Rows without text or id have no lines here, lines without a token are left alone. Rows that repeat an id share their
+    decisions, line by line. A text of any length is cut into its lines; a line is one set however long. Other columns
+    are ignored; an empty table gives no rows.
     """
+    docs = docs.select("doc_id", "text")
     lines = split_lines(docs)
     levels = rarity(lines)
-    sets = token_sets(lines, levels, threshold=threshold, least_tokens=least_tokens)
-    prefix = F.slice("tokens", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    place_of = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-    low = F.aggregate("tokens", none, lambda s, t: F.when(t.bitwiseAND(F.lit(64)) == 0, s.bitwiseOR(place_of(t))).otherwise(s))
-    high = F.aggregate("tokens", none, lambda s, t: F.when(t.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseOR(place_of(t))))
-    # a token in a slot that has met no other one is in no other line
-    compact = written(sets.select("doc_id", "line_no", "n", "k1", "k2", low.alias("low"), high.alias("high"), prefix.alias("prefix")), "line_sets")
-    place = F.struct("doc_id", "line_no")
-    classes = compact.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.any_value("n").alias("n"), F.any_value("low").alias("low"), F.any_value("high").alias("high"), F.any_value("prefix").alias("prefix"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "line_classes")
-
-    # equal sets are one class already, so sets that match only when equal have no pairs to look for
-    tokens = classes.where(pairs_up(F.col("n"), threshold)).select(F.posexplode("prefix").alias("pos", "token"), "cid", "n", "low", "high").where(F.shiftright("token", 58) != 0)
-    side = lambda x: tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "low", "high")])
-    left, right = side("a"), side("b")
-    need = least_overlap(F.col("n_a"), F.col("n_b"), threshold)
-    differ = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
-    passes = (
-        (F.col("cid_a") < F.col("cid_b"))
-        & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
-        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-        & (F.col("n_a") + F.col("n_b") - differ >= 2 * need)
-    )
-    pairs = written(left.join(right, "token").where(passes).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct(), "line_pairs")
-
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = written(classes.join(ends, "cid", "left_semi").select("cid", "k1", "k2", "first"), "line_wanted")
-    at = wanted.select("cid", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
-    full = token_sets(lines.join(at, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").distinct(), levels, threshold=threshold, least_tokens=least_tokens)
-    full = written(full.join(wanted.select("cid", "k1", "k2"), ["k1", "k2"]).select("cid", "tokens").dropDuplicates(["cid"]), "line_tokens")
-    firsts = wanted.select("cid", "first")
-    ordered = pairs.join(firsts.withColumnsRenamed({"cid": "a", "first": "fa"}), "a").join(firsts.withColumnsRenamed({"cid": "b", "first": "fb"}), "b")
-    later = F.col("fa") > F.col("fb")
-    ordered = ordered.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("early"), F.least("fa", "fb").alias("at"))
-    ordered = written(ordered, "line_order")
-    # the earliest candidate settles nearly all of a family of variants; only lines it leaves meet their other ones
-    heads = ordered.groupBy("late").agg(F.min_by("early", "at").alias("early"))
-    settled = written(_similar(heads, full, threshold).select("late").distinct(), "line_late")
-    rest = ordered.select("late", "early").join(settled, "late", "left_anti").join(heads, ["late", "early"], "left_anti")
-    late = settled.union(_similar(rest, full, threshold).select("late").distinct()).withColumn("is_late", F.lit(True)).withColumnsRenamed({"late": "cid", "is_late": "late"})
-    judged = classes.join(late, "cid", "left").select("k1", "k2", "first", "late")
+    n = F.size("tokens")
+    prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary(0).alias("low"), summary(6).alias("high"), prefix.alias("prefix"))
+    compact = written(compact, "line_sets")
+    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "low", "high", "prefix")])
+    classes = written(classes.select("k1", "k2", "first.*", "n", "low", "high", "prefix", F.monotonically_increasing_id().alias("cid")), "line_classes")
+
+    held = postings(classes, threshold)
+    heads = held.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", *POSTING[:4], "cid")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING])
+    near = held.join(heads, "token").where((F.col("cid") != F.col("cid_y")) & passes("", "_y", threshold))
+    settled = _similar(near, docs, classes, levels, threshold)
+    left = postings(classes.join(settled, "cid", "left_anti"), threshold)
+    before = held.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING])
+    earlier = F.struct("doc_id_y", "line_no_y") < F.struct("doc_id", "line_no")
+    near = left.join(before, "token").where(earlier & passes("", "_y", threshold))
+    late = settled.unionByName(_similar(near, docs, classes, levels, threshold)).withColumn("late", F.lit(True))
+
+    judged = classes.select("k1", "k2", "cid", F.struct("doc_id", "line_no").alias("first")).join(late, "cid", "left").select("k1", "k2", "first", "late")
     out = compact.select("doc_id", "line_no", "k1", "k2").join(judged, ["k1", "k2"])
-    return out.where(F.col("late") | (place != F.col("first"))).select("doc_id", "line_no").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (late, early) whose whole sets are similar enough."""
-    x = sets.select(F.col("cid").alias("late"), F.col("tokens").alias("tx"))
-    y = sets.select(F.col("cid").alias("early"), F.col("tokens").alias("ty"))
+    return out.where(F.col("late") | (F.struct("doc_id", "line_no") != F.col("first"))).select("doc_id", "line_no").distinct()
+
+
+def _similar(near: DataFrame, docs: DataFrame, classes: DataFrame, levels: Column, threshold: float) -> DataFrame:
+    """cid of the classes that have a pair (cid, cid_y) in ``near`` whose whole sets are similar enough."""
+    pairs = written(near.select("cid", F.col("cid_y").alias("early")).distinct(), "line_pairs")
+    ends = pairs.select("cid").union(pairs.select("early")).distinct()
+    wanted = written(classes.join(ends, "cid", "left_semi").select("cid", "k1", "k2", "doc_id", "line_no"), "line_wanted")
+    at = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))  # at most a document's lines
+    at = at.withColumnRenamed("doc_id", "id")
+    at = F.broadcast(at) if wanted.select("doc_id").distinct().count() <= BROADCAST_ROWS else at
+    some = docs.where("text is not null").join(at, F.col("doc_id").cast("long") == F.col("id")).select(F.split(F.col("text").cast("string"), "\n").alias("lines"), "numbers")
+    some = some.select(F.explode(F.transform("numbers", lambda i: F.get("lines", i))).alias("line")).where("line is not null")
+    full = token_sets(some, levels).select("tokens", *keys())
+    full = written(full.join(wanted.select("cid", "k1", "k2"), ["k1", "k2"]).select("cid", "tokens").dropDuplicates(["cid"]), "line_tokens")
+    x = full.select("cid", F.col("tokens").alias("tx"))
+    y = full.select(F.col("cid").alias("early"), F.col("tokens").alias("ty"))
     enough = F.size(F.array_intersect("tx", "ty")) >= least_overlap(F.size("tx"), F.size("ty"), threshold)
-    return pairs.join(x, "late").join(y, "early").where(enough).select("late", "early")
+    return written(pairs.join(x, "cid").join(y, "early").where(enough).select("cid").distinct(), "line_late")
 
 
 def removed_by_document(docs: DataFrame, **options) -> DataFrame:
@@ -134,20 +158,22 @@ def removed_by_document(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicate_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all columns and rows, texts without their removed lines. A text may become empty; null stays null."""
+    """``docs`` with all columns, whatever their names, and all rows, texts without their removed lines. A text may
+    become empty; null stays null, and rows without an id keep their text."""
     removed = removed_by_document(docs, **options)
     lines = F.split("text", "\n")
     # a line's number is its place, so the kept ones are picked by position
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__removed", i), x)), lambda x: x.isNotNull())
-    joined = docs.join(removed.withColumnsRenamed({"doc_id": "__id", "removed": "__removed"}), docs["doc_id"] == F.col("__id"), "left")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(docs.columns)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("found.removed", i))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = rows.join(removed.select(F.col("doc_id").alias("id"), F.struct("removed").alias("found")), "id", "left")
+    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).cast(docs.schema["text"].dataType)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed lines' numbers of every document."""
     docs = table(spark, sf_dir, "documents")
-    removed = removed_by_document(docs, least_tokens=1).withColumnRenamed("doc_id", "id")
+    removed = removed_by_document(docs).withColumnRenamed("doc_id", "id")
     count = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     counted = docs.select("doc_id", count.alias("n_lines"))
     none = F.array().cast("array<int>")

@@ -153,10 +153,10 @@ def test_lines(spark, nothing):
     a, b, c = "the quick brown fox jumps over a lazy dog today", "the quick brown fox jumps over a lazy dog now today", "entirely different words stand in this line here"
     rows = [(1, f"{a}\n{c}\nshort"), (2, f"{b}\nshort\n{a}"), (3, None), (4, ""), (2, f"{b}\nshort\n{a}"), (None, a)]
     docs = spark.createDataFrame([(i, t, 1, "k", 2, "t", "c") for i, t in rows], DOCS)
-    assert sorted(tuple(r) for r in line_dedup.removed_lines(docs).collect()) == [(2, 0), (2, 2)]
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(docs).collect()) == [(2, 0), (2, 1), (2, 2)]
     got = line_dedup.deduplicate_lines(docs)
     assert got.columns == docs.columns
-    assert sorted(((r["doc_id"] or 0, r["text"]) for r in got.collect()), key=str) == sorted([(1, rows[0][1]), (2, "short"), (2, "short"), (3, None), (4, ""), (0, a)], key=str)
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in got.collect()), key=str) == sorted([(1, rows[0][1]), (2, ""), (2, ""), (3, None), (4, ""), (0, a)], key=str)
     assert line_dedup.removed_lines(nothing).count() == 0
 
 
@@ -170,6 +170,29 @@ def test_short_lines(spark, tmp_path):
     assert kept == {1: rows[0][1], 2: "\ntwo words more", 3: "f"}
 
 
+def test_families_of_lines_by_brute_force(spark):
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in rng.integers(7, 60, 12):
+        base = list(rng.choice(vocabulary, n))
+        for _ in range(40):  # variants that often are like each other, but not like the earliest
+            line = [str(rng.choice(vocabulary)) if rng.random() < 0.06 else w for w in base]
+            rows.append("\t ".join(line) if rng.random() < 0.1 else " ".join(line))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, "\n".join(rows[8 * i : 8 * i + 8])) for i in range(60)], "doc_id int, text string")
+    sets = [set(r.split()) for r in rows]
+    want = [(j // 8, j % 8) for j in range(480) if any(len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j]) for i in range(j))]
+    assert 50 < len(want) < 430 and sorted(tuple(r) for r in line_dedup.removed_lines(docs).collect()) == want
+
+
+def test_lines_of_clashing_columns(spark):
+    names = ["id", "removed", "found", "row", "lines", "__id", "__removed", "line_no", "token", "cid"]
+    docs = spark.createDataFrame([(1, "a b\nc", *names), (2, "a b\nd", *names)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = line_dedup.deduplicate_lines(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a b\nc", *names), (2, "d", *names)]
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.5])
 def test_short_lines_by_brute_force(spark, threshold):
     rng = np.random.default_rng(6)
@@ -177,7 +200,7 @@ def test_short_lines_by_brute_force(spark, threshold):
     docs = spark.createDataFrame([(i, "\n".join(rows[5 * i : 5 * i + 5])) for i in range(30)], "doc_id long, text string")
     sets = [set(r.split()) for r in rows]
     want = [(j // 5, j % 5) for j in range(150) if any(len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) for i in range(j))]
-    assert sorted(tuple(r) for r in line_dedup.removed_lines(docs, threshold=threshold, least_tokens=1).collect()) == want
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(docs, threshold=threshold).collect()) == want
 
 
 def repeats(rows, length):
