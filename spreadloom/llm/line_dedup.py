@@ -3,29 +3,31 @@
 A line's set is its distinct lower-cased tokens. Tokens are numbers: a level of rarity in the top bits, from counts over
 all documents in ``SLOTS`` slots, then 58 bits of hash; sorting a line's tokens puts the rare ones first. Any fixed
 order makes the join exact, so the bounded table of counts only decides how well it prunes. Two sets with Jaccard
-similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other
-(length filter), cannot gain more tokens than follow the shared one (positional filter), and their first tokens differ
-in no more of them than the sets can (two summaries of ``WINDOW`` tokens; a differing bit is a differing token). What
-passes is verified on the whole sets.
+similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other (length filter),
+cannot gain more tokens than follow the shared one (positional filter), and differ in no more of their first tokens than
+the sets can (summaries of the first ``WINDOW`` and of the prefix; a differing bit is a differing token). What passes is
+verified on the whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
 sets have 1 and are one class from the start. Classes meet in the buckets of their prefix tokens in two rounds. First
 each is compared with a bucket's earliest member alone, which settles nearly all of a family of variants with a pair a
-member. Only classes that this leaves are joined with all members before them.
+member. Only classes that this leaves are joined with all members before them. Buckets of tokens that more than ``HOT``
+words are, by the table of counts, are dealt over several tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import named, table, written
 
 THRESHOLD = 0.85
 SLOTS = 1 << 18  # counts of tokens by hash: 256 KB of levels in each task, whatever the number of tokens
 HASH = (1 << 58) - 1
-WINDOW = 24  # tokens in the summaries
+WINDOW = 24  # tokens in a summary
+HOT = 1_000_000
 BROADCAST_ROWS = 100_000  # documents with some of their line numbers; more of them are joined by a shuffle
 OTHER_SPACE = "[\\t\\x0B\\f\\r]"  # white space in a line, the blank aside
 
@@ -40,16 +42,18 @@ def words(line: Column) -> Column:
     return F.when(F.rlike(low, F.lit(OTHER_SPACE)), F.split(low, f"(?:{OTHER_SPACE}| )")).otherwise(F.split(low, " "))  # a plain blank is split without a pattern
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(lines: DataFrame) -> tuple[Column, int]:
     """The level of each slot as an array: 0 if it has met one token at most, else 1 (rarest) to 31 by its share of all
-    tokens. The driver gets ``SLOTS`` counts at most."""
+    tokens; and the first level of hot tokens. The driver gets ``SLOTS`` counts at most."""
     slots = lines.select(F.explode(words(F.col("line"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     found = slots.toArrow()
     counts = np.zeros(SLOTS)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    levels = np.floor(31 + np.log2(np.maximum(counts, 1) / max(1.0, counts.sum())))
+    total = max(1.0, counts.sum())
+    levels = np.floor(31 + np.log2(np.maximum(counts, 1) / total))
     levels = np.where(counts <= 1, 0, np.clip(levels, 1, 31)).astype(int)
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")  # folded into one constant
+    hot = int(np.clip(np.floor(31 + np.log2(HOT / total)), 1, 32))
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>"), hot  # folded into one constant
 
 
 def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
@@ -57,7 +61,8 @@ def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
     token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
     hashes = F.array_distinct(F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w)))
     rest = [c for c in lines.columns if c != "line"]
-    return lines.select(*rest, F.sort_array(F.transform(hashes, token)).alias("tokens")).where(F.size("tokens") > 0)
+    # asked of the line, as a filter on the set would have it made twice
+    return lines.where(F.rlike("line", F.lit("[^ \\t\\x0B\\f\\r]"))).select(*rest, F.sort_array(F.transform(hashes, token)).alias("tokens"))
 
 
 def keys() -> list[Column]:
@@ -65,10 +70,10 @@ def keys() -> list[Column]:
     return [F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2")]
 
 
-def summary(shift: int) -> Column:
+def summary(tokens: str, shift: int) -> Column:
     """64 bits of the first ``WINDOW`` tokens, each of which turns one bit over."""
-    bit = "coalesce(shiftleft(1L, cast(shiftright(get(tokens, {}), {}) & 63L as int)), 0L)"
-    return F.expr(" ^ ".join(bit.format(i, shift) for i in range(WINDOW)))
+    bit = "coalesce(shiftleft(1L, cast(shiftright(get({}, {}), {}) & 63L as int)), 0L)"
+    return F.expr(" ^ ".join(bit.format(tokens, i, shift) for i in range(WINDOW)))
 
 
 def least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -81,23 +86,33 @@ def pairs_up(n: Column, threshold: float) -> Column:
 
 
 def passes(x: str, y: str, threshold: float) -> Column:
-    """Whether the sets of two postings, named by suffixes, can be similar: lengths, positions and summaries."""
+    """Whether the sets of two postings, named by suffixes, can be similar: lengths, positions and summaries. Of sets
+    that lack a and b tokens of each other, first windows of one length lack max(a, b) of each other at most."""
     of = lambda c: (F.col(c + x), F.col(c + y))
     (nx, ny), (px, py) = of("n"), of("pos")
     need = least_overlap(nx, ny, threshold)
-    most = 2 * (F.greatest(nx, ny) - need) + F.abs(F.least(nx, F.lit(WINDOW)) - F.least(ny, F.lit(WINDOW)))
-    differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y)))
-    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & (differ("low") <= most) & (differ("high") <= most)
+    most = 2 * (F.greatest(nx, ny) - need)
+    size = {"low": lambda n: F.least(n, F.lit(WINDOW)), "high": lambda n: F.least(prefix_size(n, threshold), F.lit(WINDOW))}
+    differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= most + F.abs(size[c](nx) - size[c](ny))
+    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low") & differ("high")
+
+
+def prefix_size(n: Column, threshold: float) -> Column:
+    return (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
 
 
 POSTING = ("n", "pos", "low", "high", "doc_id", "line_no", "cid")
 
 
+def level(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 58).cast("int")
+
+
 def postings(classes: DataFrame, threshold: float) -> DataFrame:
     """token and POSTING: a row for each prefix token. Equal sets are one class, so sets that match only when equal have
     none; a token in a slot that has met no other one is in no other line."""
-    some = classes.where(pairs_up(F.col("n"), threshold)).select(F.posexplode("prefix").alias("pos", "token"), *[c for c in POSTING if c != "pos"])
-    return some.where(F.shiftright("token", 58) != 0)
+    some = classes.where(pairs_up(F.col("n"), threshold)).withColumn("high", summary("prefix", 6))
+    return some.select(F.posexplode("prefix").alias("pos", "token"), *[c for c in POSTING if c != "pos"]).where(level(F.col("token")) != 0)
 
 
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -109,24 +124,30 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     lines = split_lines(docs)
-    levels = rarity(lines)
+    levels, hot = rarity(lines)
     n = F.size("tokens")
-    prefix = F.slice("tokens", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary(0).alias("low"), summary(6).alias("high"), prefix.alias("prefix"))
+    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary("tokens", 0).alias("low"), F.slice("tokens", 1, prefix_size(n, threshold)).alias("prefix"))
     compact = written(compact, "line_sets")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "low", "high", "prefix")])
-    classes = written(classes.select("k1", "k2", "first.*", "n", "low", "high", "prefix", F.monotonically_increasing_id().alias("cid")), "line_classes")
+    classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "low", "prefix")])
+    classes = written(classes.select("k1", "k2", "first.*", "n", "low", "prefix", F.monotonically_increasing_id().alias("cid")), "line_classes")
 
     held = postings(classes, threshold)
-    heads = held.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", *POSTING[:4], "cid")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    heads = heads.select("token", *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING])
-    near = held.join(heads, "token").where((F.col("cid") != F.col("cid_y")) & passes("", "_y", threshold))
+    parts = F.call_function("shiftleft", F.lit(1), F.greatest(level(F.col("token")) - hot + 1, F.lit(0)))  # tasks for a token's bucket
+    salt = F.pmod(F.xxhash64("cid"), parts).cast("int")
+    before = Window.partitionBy("token", salt).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    led = held.withColumn("h", F.first(F.struct(*POSTING)).over(before)).where("cid <> h.cid")
+    near = led.select("cid", *[F.col(c) for c in POSTING[:4]], *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING]).where(passes("", "_y", threshold))
     settled = _similar(near, docs, classes, levels, threshold)
-    left = postings(classes.join(settled, "cid", "left_anti"), threshold)
-    before = held.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING])
-    earlier = F.struct("doc_id_y", "line_no_y") < F.struct("doc_id", "line_no")
-    near = left.join(before, "token").where(earlier & passes("", "_y", threshold))
+
+    as_y = lambda df, *more: df.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING], *more)
+    earlier = (F.col("doc_id_y") < F.col("doc_id")) | ((F.col("doc_id_y") == F.col("doc_id")) & (F.col("line_no_y") < F.col("line_no")))
+    cold = held.where(level(F.col("token")) < hot).repartition("token")  # one shuffle serves both sides
+    near = cold.join(settled, "cid", "left_anti").join(as_y(cold), "token").where(earlier & passes("", "_y", threshold)).select("cid", "cid_y")
+    if hot < 32:
+        warm = postings(classes.where(level(F.element_at("prefix", -1)) >= hot), threshold).where(level(F.col("token")) >= hot)
+        every = warm.join(settled, "cid", "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+        near = near.unionByName(every.join(as_y(warm, salt.alias("salt")), ["token", "salt"]).where(earlier & passes("", "_y", threshold)).select("cid", "cid_y"))
     late = settled.unionByName(_similar(near, docs, classes, levels, threshold)).withColumn("late", F.lit(True))
 
     judged = classes.select("k1", "k2", "cid", F.struct("doc_id", "line_no").alias("first")).join(late, "cid", "left").select("k1", "k2", "first", "late")
@@ -164,7 +185,7 @@ def deduplicate_lines(docs: DataFrame, **options) -> DataFrame:
     lines = F.split("text", "\n")
     # a line's number is its place, so the kept ones are picked by position
     kept = F.filter(lines, lambda x, i: ~F.array_contains("found.removed", i))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(removed.select(F.col("doc_id").alias("id"), F.struct("removed").alias("found")), "id", "left")
     text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).cast(docs.schema["text"].dataType)
     return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
