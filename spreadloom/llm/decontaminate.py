@@ -3,12 +3,16 @@
 1. Documents become sequences of word numbers; only words of the benchmark have one, as no other word can add to a
    similarity with it. Later steps read these sequences, not the texts.
 2. A randomised SVD of the TF-IDF matrix of all passages (``PASSAGE`` words) together with the benchmark items, which
-   weigh as much as all passages: each task adds up its share of A'A times a matrix of ``rank`` columns, twice.
+   weigh as much as all passages. Each task adds its passages to a sketch of ``SKETCH`` rows, a passage to ``SIGNS`` of
+   them with random signs, and counts words by passage in the same pass; the sum of the sketches has the matrix's
+   leading directions, which an SVD of it and the items gives.
 3. Items are searched in pieces of at most ``PASSAGE`` words. Windows of ``PASSAGE`` words at every half passage are
    projected, and for items of under ``SHORT`` words also windows of one to two times the item's length. A window and a
    piece are candidates if their cosine and the share of the piece that the window covers are large enough.
 4. The longest common subsequence of a candidate's words with the words around the window decides: a leak has at least
-   ``SURE`` of the item's words in order; a paraphrase at least ``LIKELY`` and also the item's answer, its last words.
+   ``SURE`` of the item's words in order; a paraphrase at least ``LIKELY`` and also the item's answer. A benchmark has
+   one text an item, question first, so its last words stand for the answer. Items of fewer than ``LEAST_WORDS`` words
+   have too few for a subsequence to mean something and must stand word for word.
 
 The benchmark is taken in blocks of about ``ITEMS`` pieces, so what the driver and the tasks hold is bounded by a block.
 """
@@ -19,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import named, shuffle_partitions, table, written
 from .shingles import slices, text_bytes, word_hashes
 
 PASSAGE, ITEMS, EXTRA_RANK = 64, 256, 16
+SKETCH, SIGNS = 256, 8
 COSINE, COVERAGE = 0.3, 0.35
 MAX_DF = 0.1  # words in a larger share of passages have no weight, unless an item would keep fewer than LEAST_WORDS
 SURE, LIKELY, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 6, 0.8
@@ -70,62 +76,49 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nda
             yield np.concatenate(held), np.concatenate(blocks)
 
 
-def passage_counts(held: DataFrame, d: int, size: int) -> tuple[np.ndarray, int]:
-    """For each number the passages that have it, and how many passages have any."""
+def sketch(held: DataFrame, d: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number the passages that have it (at 0: how many passages have any), and its column of the sketch of
+    the passages' matrix of counts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(d + 1, np.int64)
+    def add_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, out = np.zeros(d + 1, np.int64), np.zeros((d + 1) * SKETCH, np.float32)
+        rng = np.random.default_rng(TaskContext.get().partitionId())  # of a written table, so a repeated task repeats it
         for words, blocks in _rows(batches, size):
-            pairs = np.unique(blocks * (d + 1) + words)
-            found += np.bincount(pairs % (d + 1), minlength=d + 1)
-            found[0] += len(np.unique(blocks))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(found)], names=["word", "n"])
-
-    rows = held.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(d + 1, np.int64)
-    for r in rows:
-        out[r["word"]] = r["n"]
-    return out, int(out[0])
-
-
-def gram_product(held: DataFrame, idf: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """A'A times ``right`` for the TF-IDF matrix A of all passages, rows of length 1."""
-    spark, (d, k) = held.sparkSession, right.shape
-    shared = spark.sparkContext.broadcast((idf, np.ascontiguousarray(right, np.float32)))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, right = shared.value
-        out = np.zeros((d, k), np.float64)
-        for words, blocks in _rows(batches, size):
-            use = idf[words] > 0
-            words, blocks = words[use].astype(np.int64), blocks[use]
-            for at in range(0, len(words), 20_000):  # a passage cut here counts as two
-                w, b = words[at : at + 20_000], blocks[at : at + 20_000]
-                starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                row = np.cumsum(np.concatenate([[False], b[1:] != b[:-1]]))
-                value = idf[w].astype(np.float32)
-                value /= np.sqrt(np.add.reduceat(value * value, starts))[row]
-                product = np.add.reduceat(right[w] * value[:, None], starts, axis=0)
-                order = np.argsort(w, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-                out[w[order][first]] += np.add.reduceat(product[row[order]] * value[order][:, None], first, axis=0)
-        some = np.flatnonzero(out.any(1))
+            pairs, times = np.unique(blocks * (d + 1) + words, return_counts=True)
+            block, word = np.divmod(pairs, d + 1)
+            _, row = np.unique(block, return_inverse=True)
+            found += np.bincount(word, minlength=d + 1)
+            found[0] += row[-1] + 1
+            place, sign = rng.integers(0, SKETCH, (SIGNS, row[-1] + 1)), rng.integers(0, 2, (SIGNS, row[-1] + 1)) * 2 - 1
+            for p, q in zip(place, sign, strict=True):
+                np.add.at(out, word * SKETCH + p[row], (times * q[row]).astype(np.float32))
+        some = np.flatnonzero(found)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([x.astype("<f4").tobytes() for x in out[some]], pa.binary())], names=["word", "row"])
+            out = out.reshape(d + 1, SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some]), pa.array([x.astype("<f4").tobytes() for x in out[some]], pa.binary())], names=["word", "n", "row"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        counts, sums = {}, {}
         for batch in batches:
-            for w, x in zip(batch.column("word").to_pylist(), batch.column("row").to_pylist(), strict=True):
+            for w, n, x in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "row")), strict=True):
+                counts[w] = counts.get(w, 0) + n
                 sums[w] = sums.get(w, 0.0) + np.frombuffer(x, "<f4").astype(float)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.astype("<f8").tobytes() for x in sums.values()], pa.binary())], names=["word", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(counts.values())), pa.array([x.astype("<f4").tobytes() for x in sums.values()], pa.binary())], names=["word", "n", "row"])
 
-    parts = held.mapInArrow(multiply, "word long, row binary").repartition(min(d, shuffle_partitions(spark)), "word").mapInArrow(add, "word long, row binary")
-    total = np.zeros((d, k))
+    schema = "word long, n long, row binary"
+    parts = held.mapInArrow(add_passages, schema).repartition(min(d, shuffle_partitions(held.sparkSession)), "word").mapInArrow(add, schema)
+    counts, out = np.zeros(d + 1, np.int64), np.zeros((d + 1, SKETCH), np.float32)
     for r in parts.collect():  # a row for each word of a block of the benchmark
-        total[r["word"]] = np.frombuffer(r["row"], "<f8")
-    return total
+        counts[r["word"]], out[r["word"]] = r["n"], np.frombuffer(r["row"], "<f4")
+    return counts, out
+
+
+def latent_basis(weighted: np.ndarray, unit: np.ndarray, rank: int) -> np.ndarray:
+    """The leading directions of the passages' sketch (words by rows) and of the items, each as heavy as all passages."""
+    scale = np.linalg.norm(weighted)
+    held = np.vstack([weighted.T / scale if scale else weighted.T, unit])
+    return np.linalg.svd(held, full_matrices=False)[2][:rank].T
 
 
 def common_length(item: np.ndarray, masks: dict[int, int], region: np.ndarray) -> int:
@@ -156,15 +149,22 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
     vocabulary = np.unique(words)
     numbers = np.searchsorted(vocabulary, words) + 1
     held, pieces = [], []  # a piece: its item's place in held, and its first word; the last one ends with the item
+    exact: dict[int, list[tuple[int, np.ndarray]]] = {}
     for item, a, b in zip(items, at[:-1], at[1:], strict=True):
-        found = [k for k in sorted(wanted[item]) if k < pieces_of(b - a, passage)] if b - a >= LEAST_WORDS else []
+        if 0 < b - a < LEAST_WORDS:
+            exact.setdefault(int(numbers[a]), []).append((item[0], numbers[a:b]))
+            continue
+        found = [k for k in sorted(wanted[item]) if k < pieces_of(b - a, passage)] if b > a else []
         pieces += [(len(held), max(0, min(k * passage, b - a - passage))) for k in found]
         held += [(item[0], numbers[a:b])] if found else []
-    if not held:
+    if not len(vocabulary):
         return spark.createDataFrame([], PAIRS)
     encoded = written(sequences(docs, vocabulary), "sequences")
+    if not held:
+        return encoded.mapInArrow(lambda batches: _verbatim(batches, exact), PAIRS)
     d = len(vocabulary)
-    counts, n = passage_counts(encoded, d, passage)
+    counts, weighted = sketch(encoded, d, passage)
+    n = int(counts[0])
     idf = np.log((1 + n) / (1 + counts)) + 1
     common = counts > MAX_DF * max(1, n)
     cut = [held[j][1][a : a + passage] for j, a in pieces]
@@ -177,13 +177,7 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
         np.add.at(rows[r], x, 1.0)
     rows *= idf
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    rank = min(d, len(cut) + EXTRA_RANK)
-    basis = np.zeros((d + 1, rank))
-    basis[1:] = np.random.default_rng(1).standard_normal((d, rank))
-    for _ in range(2):
-        product = gram_product(encoded, idf, basis, passage) + max(1, n) * (unit.T @ (unit @ basis))
-        basis = np.linalg.qr(product)[0]
-        basis[0] = 0.0
+    basis = latent_basis(weighted * idf[:, None], unit, min(d, len(cut) + EXTRA_RANK))
     latent = rows @ basis
     lengths = np.linalg.norm(latent, axis=1)
     scales = {passage // 2: np.arange(len(cut))}  # half a window's words, and the pieces it is compared with
@@ -244,14 +238,31 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer_found"])
 
-    return encoded.mapInArrow(search, PAIRS)
+    found = encoded.mapInArrow(search, PAIRS)
+    return found.unionByName(encoded.mapInArrow(lambda batches: _verbatim(batches, exact), PAIRS)) if exact else found
+
+
+def _verbatim(batches: Iterator[pa.RecordBatch], exact: dict[int, list[tuple[int, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Matches of a few words one after another, looked for at each place of their first one."""
+    firsts = np.array(sorted(exact))
+    for batch in batches:
+        out = set()
+        for doc, binary in zip(batch.column("doc_id").to_pylist(), batch.column("words"), strict=True):
+            x = np.frombuffer(binary.as_buffer(), "<u4")
+            for at in np.flatnonzero(np.isin(x, firsts)).tolist():
+                out |= {(doc, i) for i, item in exact[int(x[at])] if np.array_equal(x[at : at + len(item)], item)}
+        if out:
+            docs, items = zip(*sorted(out), strict=True)
+            ones = pa.array(np.ones(len(out)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), ones, ones, pa.array([True] * len(out))], names=["doc_id", "item_id", "cosine", "lcs", "answer_found"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, passage: int = PASSAGE, items: int = ITEMS) -> DataFrame:
     """doc_id, item_id, cosine, lcs (share of the item's words in order) and answer_found for every item in a document.
 
-    Items without id or text, or of fewer than ``LEAST_WORDS`` words, and documents without id or text match nothing.
-    Rows that repeat an id count as one document, with its best match for each item. Other columns are ignored.
+    Items without id, text or words and documents without id or text match nothing. Rows that repeat an id count as one
+    document, with its best match for each item: by lcs, ties by cosine, then by the answer. A text of any length is
+    looked at as a whole. Other columns are ignored; an empty table on either side gives no rows.
     """
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n_words = F.regexp_count("text", F.lit("[0-9A-Za-z[^\\x00-\\x7F]]+"))
@@ -272,9 +283,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, passage: int = PASSAG
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with no benchmark item in them, with all their columns."""
-    ids = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("__leak"), "left_anti")
+    """The rows of ``docs`` with no benchmark item in them, with all their columns, whatever these are called. Rows
+    without id or text stay, and so do repeated rows."""
+    ids = contaminated(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(ids, "id", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

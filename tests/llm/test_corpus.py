@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spreadloom.llm import decontaminate, line_dedup, minhash, nearest, packing, substring_dedup, token_files, tokens, toxicity, url_filter, warc
@@ -269,7 +270,7 @@ def test_toxicity(spark, nothing):
 def test_decontamination(spark, nothing):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
-    items = [(i, " ".join(word() for _ in range(30))) for i in range(20)] + [(50, None), (None, "x"), (51, "too short")]
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(20)] + [(50, None), (None, "x"), (51, "too short"), (52, "?!")]
     fill = lambda n: " ".join(word() for _ in range(n))
     rows = [(i, fill(300)) for i in range(60)]
     for i in range(10):
@@ -280,6 +281,11 @@ def test_decontamination(spark, nothing):
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id long")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(100 + i, i) for i in range(10)} | {(200 + i, i) for i in range(10)}
+    few = spark.createDataFrame([(1, "It's too short!"), (2, "too very short"), (3, "short too"), (None, "too short")], "doc_id int, text string")
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(few, bench).collect()] == [(1, 51)]
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(few, bench.where("item_id = 51")).collect()] == [(1, 51)]
+    odd = docs.select("*", *[F.lit("a").alias(c) for c in ("id", "row", "__leak", "a.b", "item_id", "words")])
+    assert decontaminate.keep_clean(odd, bench).columns == odd.columns
     clean = decontaminate.keep_clean(docs, bench)
     assert clean.columns == docs.columns and clean.count() == 63
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
