@@ -185,10 +185,12 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
         half = 1 << max(1, (len(x) - 1).bit_length() - 1)
         if len(x) < SHORT and half < passage // 2:
             scales[half] = np.append(scales.get(half, np.zeros(0, int)), r)
-    shared = spark.sparkContext.broadcast((idf, basis.astype(np.float32), (latent / lengths[:, None]).astype(np.float32), lengths, held, pieces, scales))
+    # what a word in a window adds to the window's product with each piece's direction in the latent space
+    adds = (idf[:, None] * (basis @ (latent / lengths[:, None]).T)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((idf, adds, lengths, held, pieces, scales))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, directions, lengths, held, pieces, scales = shared.value
+        idf, adds, lengths, held, pieces, scales = shared.value
         masks = [place_masks(x) for _, x in held]
         for batch in batches:
             out = []
@@ -211,10 +213,10 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
                     windows = np.flatnonzero(weight[:-1] + weight[1:] >= COVERAGE * lengths[some].min())
                     if not len(windows):
                         continue
-                    sums, norms = np.zeros((n + 1, basis.shape[1]), np.float32), np.zeros(n + 1)
+                    sums, norms = np.zeros((n + 1, len(some)), np.float32), np.zeros(n + 1)
                     norms[block[starts]] = np.add.reduceat(value * value, starts)
-                    sums[block[starts]] = np.add.reduceat(basis[w] * value[:, None], starts, axis=0)
-                    dots = (sums[windows] + sums[windows + 1]) @ directions[some].T
+                    sums[block[starts]] = np.add.reduceat(adds[w] if len(some) == adds.shape[1] else adds[np.ix_(w, some)], starts, axis=0)
+                    dots = sums[windows] + sums[windows + 1]
                     size = np.sqrt(norms[windows] + norms[windows + 1])[:, None] + 1e-9
                     for row, col in zip(*np.nonzero((dots >= COSINE * size) & (dots >= COVERAGE * lengths[some])), strict=True):
                         i, (j, first) = int(windows[row]), pieces[some[col]]
