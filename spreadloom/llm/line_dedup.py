@@ -5,8 +5,8 @@ all documents in ``SLOTS`` slots, then 58 bits of hash; sorting a line's tokens
 order makes the join exact, so the bounded table of counts only decides how well it prunes. Two sets with Jaccard
 similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other (length filter),
 cannot gain more tokens than follow the shared one (positional filter), and differ in no more of their first tokens than
-the sets can (summaries of the first ``WINDOW`` and of the prefix; a differing bit is a differing token). What passes is
-verified on the whole sets.
+the sets can (summaries of the first ``WINDOW``, of the prefix and, of long lines, of the first ``WIDE``; a differing bit
+is a differing token). What passes is verified on the whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
 sets have 1 and are one class from the start. Classes meet in the buckets of their prefix tokens in two rounds. First
@@ -26,7 +26,8 @@ from .common import named, table, written
 THRESHOLD = 0.85
 SLOTS = 1 << 18  # counts of tokens by hash: 256 KB of levels in each task, whatever the number of tokens
 HASH = (1 << 58) - 1
-WINDOW = 24  # tokens in a summary
+WINDOW = 24  # tokens in a summary of 64 bits
+LONG, WIDE = 96, 64  # lines of more tokens have a summary of 128 bits of so many
 HOT = 1_000_000
 BROADCAST_ROWS = 100_000  # documents with some of their line numbers; more of them are joined by a shuffle
 OTHER_SPACE = "[\\t\\x0B\\f\\r]"  # white space in a line, the blank aside
@@ -76,6 +77,13 @@ def summary(tokens: str, shift: int) -> Column:
     return F.expr(" ^ ".join(bit.format(tokens, i, shift) for i in range(WINDOW)))
 
 
+def wide_summary(half: int) -> Column:
+    """One half of the 128 bits of a long line, 0 for others."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda t: F.when(F.shiftright(t, 12).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", one, F.shiftright(t, 13).bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
+    return F.when(F.size("tokens") > LONG, F.aggregate(F.slice("tokens", 1, WIDE), none, lambda s, t: s.bitwiseXOR(bit(t)))).otherwise(none)
+
+
 def least_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
 
@@ -94,14 +102,18 @@ def passes(x: str, y: str, threshold: float) -> Column:
     most = 2 * (F.greatest(nx, ny) - need)
     size = {"low": lambda n: F.least(n, F.lit(WINDOW)), "high": lambda n: F.least(prefix_size(n, threshold), F.lit(WINDOW))}
     differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= most + F.abs(size[c](nx) - size[c](ny))
-    return (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low") & differ("high")
+    wide = sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in ("wide_a", "wide_b")), F.lit(0))
+    passed = (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low") & differ("high")
+    return passed & ((F.least(nx, ny) <= LONG) | (wide <= most))  # both hold WIDE tokens
 
 
 def prefix_size(n: Column, threshold: float) -> Column:
     return (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int")
 
 
-POSTING = ("n", "pos", "low", "high", "doc_id", "line_no", "cid")
+STORED = ("low", "wide_a", "wide_b", "prefix")
+SUMMARIES = ("low", "high", "wide_a", "wide_b")
+POSTING = ("n", "pos", *SUMMARIES, "doc_id", "line_no", "cid")
 
 
 def level(token: Column) -> Column:
@@ -126,18 +138,18 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     lines = split_lines(docs)
     levels, hot = rarity(lines)
     n = F.size("tokens")
-    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary("tokens", 0).alias("low"), F.slice("tokens", 1, prefix_size(n, threshold)).alias("prefix"))
+    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary("tokens", 0).alias("low"), wide_summary(0).alias("wide_a"), wide_summary(1).alias("wide_b"), F.slice("tokens", 1, prefix_size(n, threshold)).alias("prefix"))
     compact = written(compact, "line_sets")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "low", "prefix")])
-    classes = written(classes.select("k1", "k2", "first.*", "n", "low", "prefix", F.monotonically_increasing_id().alias("cid")), "line_classes")
+    classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", *STORED)])
+    classes = written(classes.select("k1", "k2", "first.*", "n", *STORED, F.monotonically_increasing_id().alias("cid")), "line_classes")
 
     held = postings(classes, threshold)
     parts = F.call_function("shiftleft", F.lit(1), F.greatest(level(F.col("token")) - hot + 1, F.lit(0)))  # tasks for a token's bucket
     salt = F.pmod(F.xxhash64("cid"), parts).cast("int")
     before = Window.partitionBy("token", salt).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     led = held.withColumn("h", F.first(F.struct(*POSTING)).over(before)).where("cid <> h.cid")
-    near = led.select("cid", *[F.col(c) for c in POSTING[:4]], *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING]).where(passes("", "_y", threshold))
+    near = led.select("cid", "n", "pos", *SUMMARIES, *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING]).where(passes("", "_y", threshold))
     settled = _similar(near, docs, classes, levels, threshold)
 
     as_y = lambda df, *more: df.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING], *more)
