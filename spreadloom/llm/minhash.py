@@ -4,10 +4,12 @@ Every hash function gives two values of a signature, the least and the greatest
 the Jaccard similarity and their errors partly cancel, at half the evaluations. ``BANDS`` bands of ``ROWS`` values meet
 in buckets; a pair with similarity 0.75 misses all of them with probability (1 - 0.75^6)^64 = 4e-6.
 
-Equal sets are one class from the start. Inside a bucket classes are compared with its first class only; those that
-this does not join to its component are then compared with every member that is not yet in their own, if sketches of
-a bit a value don't already tell them apart. So a bucket of
-n near copies costs about n comparisons, and no pair of different components is left out.
+Equal sets are one class from the start. A bucket's head is the class that meets most others over all its buckets: of
+near copies of one text, the text itself, if it is there. Members are compared with the head only. Those that this does
+not join to its component are compared with every member that is not yet in their own, unless sketches of a bit a value
+tell them apart or too much of either set is in no other set that is still compared: a family of copies that differ in
+words of their own has no pair left then. So a bucket of n near copies costs about n comparisons, and no pair of
+different components is left out.
 """
 
 from __future__ import annotations
@@ -106,6 +108,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long").distinct()
 
 
+def lonely(sets: DataFrame) -> DataFrame:
+    """class, own: how many shingles of a class's set no other of ``sets`` has; 0 where rows gave a class several sets."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, binaries in ((batch.column("class")[i : i + 1000], batch.column("shingles")[i : i + 1000]) for i in range(0, batch.num_rows, 1000)):
+                found = [unpack_set(b.as_py()).view(np.int64) for b in binaries]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["class", "shingle"])
+
+    single = sets.groupBy("class").agg(F.count("*").alias("k")).where("k = 1").select("class")
+    each = sets.mapInArrow(spread, "class long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("class").alias("class")).where("k = 1")
+    return each.groupBy("class").agg(F.count("*").alias("own")).join(single, "class")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
@@ -120,26 +137,36 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     member = written(member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), "members")
     # an id that rows repeat with other texts stands for all their sets
     in_bands = classes.select("class", "n", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.count("*").alias("m"), F.min("class").alias("first")).where("m > 1")
-    buckets = written(in_bands.join(shared.select("band", "first"), "band"), "buckets")
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = written(in_bands.join(shared, "band"), "buckets")
+    met = buckets.groupBy("class").agg(F.sum("m").alias("met"))
+    buckets = written(buckets.drop("m").join(met, "class"), "scored_buckets")
     sets = rows.where("key is not null").select(F.col("doc_id").alias("class"), "shingles")
 
     def sizes_fit(a, b):
         return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    heads = buckets.where("class = first").select("band", F.col("n").alias("n_first"))
-    star = buckets.where("class <> first").join(heads, "band").where(sizes_fit(F.col("n"), F.col("n_first")))
-    star = written(star.select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "star")
+    head = F.max(F.struct("met", (-F.col("class")).alias("c"), "n")).alias("h")
+    heads = buckets.groupBy("band").agg(head).select("band", (-F.col("h.c")).alias("head"), F.col("h.n").alias("n_head"))
+    star = buckets.join(heads, "band").where((F.col("class") != F.col("head")) & sizes_fit(F.col("n"), F.col("n_head")))
+    star = written(star.select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct(), "star")
     links = written(verified(star, sets, percent), "links")
-    label = components(links)
-    known = buckets.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    known = written(known.join(classes.select("class", "n", "sketch"), ["class", "n"]), "labelled_buckets")
-    at_head = known.where("class = first").select("band", F.col("component").alias("head")).distinct()
-    left_out = known.join(at_head, "band").where("component <> head").select("band", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("sketch").alias("kx"))
-    more = left_out.join(known.select("band", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("sketch").alias("ky"), "first"), "band")
-    differ = sum((F.bit_count(F.col("kx")[i].bitwiseXOR(F.col("ky")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
-    more = more.where((differ <= most_differ(percent)) & (F.col("cx") != F.col("cy")) & (F.col("y") != F.col("first")) & sizes_fit(F.col("nx"), F.col("ny")))
-    more = written(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest")
+    label = components(links).withColumnRenamed("node", "class")
+    known = buckets.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    at_head = known.join(heads, (known["band"] == heads["band"]) & (known["class"] == heads["head"])).select(known["band"], F.col("component").alias("done"))
+    known = written(known.join(at_head, "band").withColumn("left_out", F.col("component") != F.col("done")).drop("done", "met"), "labelled_buckets")
+    open_bands = known.where("left_out").select("band").distinct()
+    known = known.join(open_bands, "band")
+    compared = written(known.select("class").distinct(), "compared")
+    own = written(lonely(sets.join(compared, "class", "left_semi")), "lonely")
+    known = known.join(own, "class", "left").join(classes.select("class", "sketch"), "class").select("band", "class", "n", "component", "left_out", "sketch", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    side = lambda df, x: df.select("band", *[F.col(c).alias(c + x) for c in ("class", "n", "component", "sketch", "common")])
+    most = F.least("common_x", "common_y")
+    differ = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
+    more = side(known.where("left_out"), "_x").join(side(known, "_y"), "band").where(
+        (F.col("component_x") != F.col("component_y")) & sizes_fit(F.col("n_x"), F.col("n_y")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)) & (differ <= most_differ(percent))
+    )
+    more = written(more.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct(), "rest")
     links = written(links.unionByName(verified(more, sets, percent)), "links")
     final = components(links)
     out = member.join(final.withColumnRenamed("node", "class"), "class", "left")
