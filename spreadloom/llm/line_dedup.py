@@ -155,7 +155,9 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     as_y = lambda df, *more: df.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING], *more)
     earlier = (F.col("doc_id_y") < F.col("doc_id")) | ((F.col("doc_id_y") == F.col("doc_id")) & (F.col("line_no_y") < F.col("line_no")))
     cold = held.where(level(F.col("token")) < hot).repartition("token")  # one shuffle serves both sides
-    near = cold.join(settled, "cid", "left_anti").join(as_y(cold), "token").where(earlier & passes("", "_y", threshold)).select("cid", "cid_y")
+    # an outer join stays above that shuffle, where an anti join would be pushed below it
+    left = cold.join(settled.withColumn("late", F.lit(True)), "cid", "left").where("late is null")
+    near = left.join(as_y(cold), "token").where(earlier & passes("", "_y", threshold)).select("cid", "cid_y")
     if hot < 32:
         warm = postings(classes.where(level(F.element_at("prefix", -1)) >= hot), threshold).where(level(F.col("token")) >= hot)
         every = warm.join(settled, "cid", "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
