@@ -1,12 +1,14 @@
 """Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more?
 
 Fitting, on a bounded sample of labelled documents (``MAX_DOCS`` a class of at most ``MAX_CHARS`` characters, chosen by
-a hash of the id): one half trains the dictionaries, from the windows most typical of toxic and of ordinary documents.
-The other half calibrates: it tells, for each pair of compressed lengths (ordinary, toxic) of a window, how much
-likelier it is in a toxic document, and fits a logistic function of a document's largest values.
-
-A window is a word with a blank on either side, so its two lengths depend on the word alone and are remembered. Scoring
-takes each document alone, every window of its whole text, in one pass without a shuffle.
+a hash of the id): one half trains the dictionaries. Both end with the ordinary class's most frequent words, so that
+plain text is as long under either, and begin with the words that tell their own class from the other. zstandard's own
+trainer picks what is frequent in a class, which is the same in both, so content is chosen here and given to it raw.
+The other half calibrates: how much likelier a window that the toxic dictionary makes shorter by so many bytes is in a
+toxic document, and a logistic function of a document's most telling windows and of how many pass the thresholds.
+
+A window is ``WINDOW`` words with their blanks, a new one every ``STEP`` words. Scoring takes each document alone, every
+window of its whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-MAX_DOCS, MAX_CHARS = 4000, 40_000  # bounds of the sample for fitting: documents of each class, characters of each
-DICT_BYTES, LEVEL = 16384, 3
-LEAST_DOCS, LEAST_RATIO = 3, 6.0  # a window typical of one class: in so many documents, so much likelier than in the other
-CACHE_WORDS = 500_000
+MAX_DOCS, MAX_CHARS = 3000, 20_000  # bounds of the sample for fitting: documents of each class, characters of each
+WINDOW, STEP = 4, 2  # words
+COMMON_BYTES, OWN_BYTES, LEVEL = 32768, 16384, 12
+LEAST_DOCS, LEAST_RATIO = 3, 20.0  # a word that tells a class: in so many documents, so much likelier than in the other
+THRESHOLDS = (1.0, 2.0)  # calibrated log-likelihoods over which windows are counted
+CACHE_WINDOWS = 300_000
 EDGE = re.compile(r"\A\W+|\W+\Z")
 
 
@@ -35,14 +39,19 @@ EDGE = re.compile(r"\A\W+|\W+\Z")
 class Model:
     toxic: bytes
     ordinary: bytes
-    cells: dict[tuple[int, int], float]
+    gains: dict[int, float]  # bytes that the toxic dictionary saves on a window, and the log-likelihood it stands for
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
 
 
+def windows(text: str) -> list[bytes]:
+    words = text.lower().split()
+    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, max(1, len(words) - WINDOW + 1), STEP)] if words else []
+
+
 class Scorer:
-    """Holds a model's compressors and the windows it has met; at most ``CACHE_WORDS`` of them."""
+    """Holds a model's compressors and what the last windows gained; at most ``CACHE_WINDOWS`` of them, as copies recur."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
@@ -58,24 +67,26 @@ class Scorer:
         held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
 
-    def lengths(self, word: str) -> tuple[int, int]:
-        window = f" {EDGE.sub('', word)} ".encode("utf-8", "replace")
-        a, b = self.compressors
-        return len(a.compress(window)), len(b.compress(window))
+    def saved(self, window: bytes) -> int:
+        """Bytes by which the window is shorter under the toxic dictionary."""
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) >= CACHE_WINDOWS:
+                self.known.clear()
+            a, b = self.compressors
+            found = self.known[window] = len(a.compress(window)) - len(b.compress(window))
+        return found
 
     def evidence(self, text: str) -> np.ndarray:
-        """The largest values of a text's windows: first, mean of the first three, mean of all, and the logarithm of their number."""
-        known, cells = self.known, self.model.cells
-        words = text.lower().split()
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            known[w] = cells.get(self.lengths(w), 0.0)
-        if not words:
-            return np.zeros(4)
-        found = np.fromiter(map(known.__getitem__, words), float, len(words))
+        """The largest log-likelihood of a text's windows, the mean of the three largest, the mean of all, the share and
+        the logarithm of the number of those over the first threshold, the logarithm of those over the second."""
+        gains = self.model.gains
+        found = np.array([gains.get(self.saved(w), 0.0) for w in windows(text)])
+        if not len(found):
+            return np.zeros(6)
         top = np.partition(found, -3)[-3:] if len(found) > 3 else found
-        return np.array([top.max(), top.mean(), found.mean(), np.log1p(len(words))])
+        over = [(found > t).sum() for t in THRESHOLDS]
+        return np.array([top.max(), top.mean(), found.mean(), over[0] / len(found), np.log1p(over[0]), np.log1p(over[1])])
 
     def score(self, text: str | None) -> float:
         x = np.append((self.evidence(text or "") - self.model.mean) / self.model.scale, 1.0)
@@ -86,34 +97,37 @@ def _documents_with(texts: list[str]) -> Counter[str]:
     return Counter(w for t in texts for w in {EDGE.sub("", w) for w in t.lower().split()})
 
 
-def _dictionary(typical: list[str]) -> bytes:
-    """Windows in rising order of weight: zstandard reaches the end of a dictionary with the shortest offsets."""
-    return f" {' '.join(typical)} ".encode()[-DICT_BYTES:] if typical else b""
+def _telling(own: Counter[str], n: int, other: Counter[str], m: int) -> list[str]:
+    """Words of one class that are much likelier in it, the most likely last."""
+    lift = {w: (own[w] / n) / ((other[w] + 1) / m) for w in own if own[w] >= LEAST_DOCS and len(w) > 2}
+    return sorted((w for w in lift if lift[w] >= LEAST_RATIO), key=lambda w: (own[w] * np.log(lift[w]), w))
+
+
+def _content(words: list[str], most: int) -> bytes:
+    return f" {' '.join(words)} ".encode()[-most:] if words else b""
 
 
-def fit(texts: list[str], toxic: list[int], ids: list[int]) -> Model:
-    """A model from labelled texts; without one of the classes it scores everything with the other's share."""
+def fit(texts: list[str], toxic: list[int], ids: list[int], *, odds: float | None = None) -> Model:
+    """A model from labelled texts; without one of the classes it scores everything with the other's share. ``odds`` of
+    toxic to ordinary documents take the place of the sample's own."""
     half = [zlib.crc32(f"half {i}".encode()) & 1 for i in ids]
     train = [[t for t, y, h in zip(texts, toxic, half, strict=True) if y == c and not h] for c in (0, 1)]
     n0, n1 = (max(1, len(x)) for x in train)
     c0, c1 = map(_documents_with, train)
-    lift = {w: (c1[w] / n1) / ((c0[w] + 1) / n0) for w in c1 if c1[w] >= LEAST_DOCS and len(w) > 2}
-    bad = sorted((w for w in lift if lift[w] >= LEAST_RATIO), key=lambda w: (c1[w] * np.log(lift[w]), w))
-    good = [w for w, _ in sorted(c0.items(), key=lambda x: (x[1], x[0])) if w not in lift or lift[w] < LEAST_RATIO]
-    model = Model(_dictionary(bad), _dictionary(good[-4 * DICT_BYTES :]), {}, np.zeros(5), np.zeros(4), np.ones(4))
+    bad, good = _telling(c1, n1, c0, n0), _telling(c0, n0, c1, n1)
+    apart = {*bad, *good}
+    common = _content([w for w, _ in sorted(c0.items(), key=lambda x: (x[1], x[0])) if w not in apart], COMMON_BYTES)
+    model = Model(_content(bad, OWN_BYTES) + common, _content(good, OWN_BYTES) + common, {}, np.zeros(7), np.zeros(6), np.ones(6))
     rest = [(t, y) for t, y, h in zip(texts, toxic, half, strict=True) if h]
-    scorer, seen, lengths = Scorer(model), [Counter(), Counter()], {}
+    scorer, seen = Scorer(model), [Counter(), Counter()]
     for t, y in rest:
-        words = set(t.lower().split())
-        for w in {w for w in words if w not in lengths}:
-            lengths[w] = scorer.lengths(w)
-        seen[y].update({lengths[w] for w in words})
+        seen[y].update({scorer.saved(w) for w in windows(t)})
     m = [sum(1 for _, y in rest if y == c) for c in (0, 1)]
     if min(m) == 0:
         model.weights[-1] = 30.0 if m[1] > m[0] else -30.0
         return model
-    for cell in seen[0].keys() | seen[1].keys():
-        model.cells[cell] = float(np.log((seen[1][cell] + 0.5) / (m[1] + 1)) - np.log((seen[0][cell] + 0.5) / (m[0] + 1)))
+    for saved in seen[0].keys() | seen[1].keys():
+        model.gains[saved] = float(np.log((seen[1][saved] + 0.5) / (m[1] + 1)) - np.log((seen[0][saved] + 0.5) / (m[0] + 1)))
     x = np.array([scorer.evidence(t) for t, _ in rest])
     y = np.array([y for _, y in rest], float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -122,6 +136,8 @@ def fit(texts: list[str], toxic: list[int], ids: list[int]) -> Model:
     for _ in range(25):  # Newton's steps of a lightly penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
+    if odds:
+        w[-1] += np.log(odds) - np.log(m[1] / m[0])
     model.weights = w
     return model
 
@@ -131,22 +147,27 @@ def fold(doc_id) -> F.Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on the bounded sample of labelled rows outside the held-out fold."""
+    """Fit on the bounded sample of labelled rows outside the held-out fold, with the odds of all of these. The driver
+    gets ``2 * max_docs`` texts of ``max_chars`` characters at most, each id once. No rows: everything is ordinary."""
     known = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0)
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # twice as many ids as are used, for those without a text or with one over the bound
-    ids = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_docs) for c in (0, 1)]
+    first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
+    ids = [first(known.where(F.col("toxic") == c), 2 * max_docs) for c in (0, 1)]
     ids = ids[0].unionByName(ids[1])
-    usable = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    found = usable.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").toPandas()  # 2 * 2 * max_docs rows at most
-    found = found.drop_duplicates("doc_id").assign(order=lambda x: [zlib.crc32(f"{i}".encode()) for i in x.doc_id]).sort_values(["order", "doc_id"])
-    found = found.groupby("toxic").head(max_docs)
-    return fit(list(found.text), [int(y) for y in found.toxic], [int(i) for i in found.doc_id])
+    usable = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    found = usable.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
+    found = first(found.where("toxic = 0"), max_docs).unionByName(first(found.where("toxic = 1"), max_docs)).toPandas()
+    found = found.sort_values("id")
+    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
+    return fit(list(found.text), [int(y) for y in found.toxic], [int(i) for i in found.id], odds=odds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Null and empty texts get the score of no evidence; null ids
-    are kept and held_out is null for them. Repeated rows get equal scores. Other columns of ``docs`` are ignored."""
+    are kept and held_out is null for them. Repeated rows get equal scores. A text of any length is scored by all its
+    windows. Other columns of ``docs`` are ignored; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES, a small table
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +182,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` predicted as not toxic, with all their columns."""
+    """The rows of ``docs`` predicted as not toxic, with all their columns, whatever these are called. Null and empty texts
+    have the score of no evidence; repeated rows stay or go together; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
