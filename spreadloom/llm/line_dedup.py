@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import named, table, written
 
 THRESHOLD = 0.85
-SLOTS = 1 << 18  # counts of tokens by hash: 256 KB of levels in each task, whatever the number of tokens
+SLOTS = 1 << 16  # counts of tokens by hash: a constant of so many numbers, whatever the number of tokens
 HASH = (1 << 58) - 1
 WINDOW = 24  # tokens in a summary of 64 bits
 LONG, WIDE = 96, 64  # lines of more tokens have a summary of 128 bits of so many
