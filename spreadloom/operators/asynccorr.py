@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import near_dup
+
 
 def change_points(points: DataFrame) -> DataFrame:
     """Points of series (series, t, seq, p) whose value differs from the one before; ``k`` numbers them."""
@@ -72,13 +74,24 @@ def loo_r2(corr: DataFrame, *, most: int = 2000, shrink: float = 0.1) -> DataFra
 
 
 def pair_corr(bars: DataFrame, pairs: DataFrame, *, least: int = 72, least_changes: int = 48) -> DataFrame:
-    """Correlation of changes and of levels of series pairs (x, y) on their common bars (series, bar, p)."""
+    """Correlation of changes and of levels of series pairs (x, y) on their common bars (series, bar, p), and each
+    series' last value."""
     both = pairs.join(bars.withColumnsRenamed({"series": "x", "p": "px"}), "x").join(bars.withColumnsRenamed({"series": "y", "p": "py"}), ["y", "bar"])
     w = Window.partitionBy("x", "y").orderBy("bar")
     both = both.withColumns({"dx": F.col("px") - F.lag("px").over(w), "dy": F.col("py") - F.lag("py").over(w)})
     enough = (F.count("dx") >= least_changes) & (F.stddev_samp("dx") > 0) & (F.stddev_samp("dy") > 0)
-    out = both.groupBy("x", "y").agg(F.count("*").alias("n"), F.corr("px", "py").alias("level"), F.when(enough, F.corr("dx", "dy")).alias("changes"))
-    return out.where(F.col("n") >= least)
+    out = both.groupBy("x", "y").agg(F.count("*").alias("n"), F.corr("px", "py").alias("level"), F.when(enough, F.corr("dx", "dy")).alias("changes")).where(F.col("n") >= least)
+    last = bars.groupBy("series").agg(F.max_by("p", "bar").alias("last"))
+    return out.join(last.withColumnsRenamed({"series": "x", "last": "last_x"}), "x").join(last.withColumnsRenamed({"series": "y", "last": "last_y"}), "y")
+
+
+def pairs_resolve(claims: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Claims (x, y, ...) with both series' columns of a dimension (id, stem, ...), without claims of a series about
+    itself, unknown series and pairs whose stems are near duplicates."""
+    rest = [c for c in dimension.columns if c not in ("id", "stem")]
+    side = lambda x, t: dimension.select(F.col("id").alias(x), F.col("stem").alias(t), *[F.col(c).alias(f"{c}_{x}") for c in rest])
+    held = claims.where("x <> y").join(side("x", "ta"), "x").join(side("y", "tb"), "y")
+    return held.join(near_dup(held.select("x", "y", "ta", "tb")).select("x", "y"), ["x", "y"], "left_anti").withColumnsRenamed({"ta": "stem_x", "tb": "stem_y"})
 
 
 def sign_agreement(corr: DataFrame, claims: DataFrame) -> DataFrame:

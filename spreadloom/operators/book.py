@@ -95,13 +95,24 @@ def exit_quotes(due: DataFrame, book: DataFrame) -> DataFrame:
     return held.withColumn("depth_ok", (F.col("size_a") >= F.col("shares")) & (F.col("size_b") >= F.col("shares")))
 
 
-def loss_budget(plans: DataFrame, *, total: float, per_event: float) -> DataFrame:
-    """Plans (event_id, seq, wcl) of one snapshot that fit the budget left, first come first served.
+def loss_budget(plans: DataFrame, *, total: float, per_event: float, least: int = 10) -> DataFrame:
+    """Plans (snapshot, seq, event_id, shares, loss: the worst of a share) cut to what their event's budget and the total
+    one leave, first come first served; fewer than ``least`` shares are refused and use up nothing.
 
-    The events' own budgets are sums over an event's plans; the total one needs the snapshot's plans in order, which
-    are few: a handful a snapshot.
+    One ordered fold over a snapshot's plans, which are few: a handful a snapshot.
     """
-    of_event = F.sum("wcl").over(Window.partitionBy("snapshot", "event_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    fits = plans.withColumn("event_used", of_event).where(F.round("event_used", 6) <= per_event)
-    used = F.sum("wcl").over(Window.partitionBy("snapshot").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return fits.withColumn("used", used).where(F.round("used", 6) <= total)
+    held = plans.groupBy("snapshot").agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "shares", "loss"))).alias("p"))
+    item = held.schema["p"].dataType.elementType.simpleString()
+    none = F.lit(None).cast(f"struct<plan:{item},taken:bigint,wcl:double>")
+    state = F.struct(F.array_compact(F.array(none)).alias("kept"), F.lit(0.0).alias("used"))
+
+    def step(a: Column, x: Column) -> Column:
+        of_event = F.aggregate(F.filter(a["kept"], lambda k: k["plan"]["event_id"] == x["event_id"]), F.lit(0.0), lambda s, k: s + k["wcl"])
+        left = F.round(F.least(per_event - of_event, total - a["used"]), 6)
+        fits = F.when(x["loss"] > 1e-9, F.floor(F.round(left / F.nullif(x["loss"], F.lit(0.0)), 6))).otherwise(F.floor(x["shares"]))
+        taken = F.least(F.floor(x["shares"]), fits).cast("long")
+        kept = F.struct(x.alias("plan"), taken.alias("taken"), (taken * x["loss"]).alias("wcl"))
+        return F.when((left > 0) & (taken >= least), F.struct(F.concat(a["kept"], F.array(kept)).alias("kept"), (a["used"] + taken * x["loss"]).alias("used"))).otherwise(a)
+
+    out = held.select("snapshot", F.explode(F.aggregate("p", state, step)["kept"]).alias("k"))
+    return out.select("snapshot", "k.plan.event_id", "k.plan.seq", F.col("k.taken").alias("shares"), "k.wcl")

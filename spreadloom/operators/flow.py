@@ -28,10 +28,15 @@ def flow_concentration(signals: DataFrame, fills: DataFrame, *, seconds: int) ->
     return wallets.groupBy("id").agg(F.count("*").alias("wallets"), (F.max("net") / F.nullif(F.sum("net"), F.lit(0.0))).alias("top_share"))
 
 
+def leg_depth(fills: DataFrame) -> DataFrame:
+    """Span of each leg's fills in days, its wallets and fills."""
+    return fills.groupBy("event_id", "ladder_label").agg(((F.max("sec") - F.min("sec")) / 86400.0).alias("days"), F.count_distinct("wallet").alias("wallets"), F.count("*").alias("fills"))
+
+
 def flow_depth(fills: DataFrame) -> DataFrame:
-    """Span of each leg's fills in days and its wallets."""
-    legs = fills.groupBy("event_id", "ladder_label").agg(((F.max("sec") - F.min("sec")) / 86400.0).alias("days"), F.count_distinct("wallet").alias("wallets"), F.count("*").alias("fills"))
-    return legs
+    """Per event, how far back its legs' fills go: median, tenth percentile and largest span, most wallets, fills."""
+    span = lambda share: F.percentile("days", F.lit(share))
+    return leg_depth(fills).groupBy("event_id").agg(F.count("*").alias("legs"), span(0.5).alias("median_days"), span(0.1).alias("p10_days"), F.max("days").alias("max_days"), F.max("wallets").alias("most_wallets"), F.sum("fills").alias("fills"))
 
 
 def universe_fills(fills: DataFrame, legs: DataFrame) -> DataFrame:

@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .signals import leg_fee, with_legs
 from .spread import PAIR
 from .trades import greedy, tstat
 
 
+def time_grid(spreads: DataFrame, *, least: int = 60) -> DataFrame:
+    """Every bar between a pair's first and last one, with no spread where there is none, of pairs with ``least`` bars."""
+    span = spreads.groupBy(*PAIR).agg(F.min("bar").alias("lo"), F.max("bar").alias("hi"), F.count("*").alias("n")).where(F.col("n") >= least)
+    grid = span.select(*PAIR, F.explode(F.sequence("lo", "hi")).alias("bar"))
+    return grid.join(spreads.select(*PAIR, "bar", "spread"), [*PAIR, "bar"], "left")
+
+
 def diffz_signals(spreads: DataFrame, *, hs: list[int], windows: list[int], z_floor: float, least: int = 10) -> DataFrame:
-    """Candidates of every (h, W): z of the change over h rows against the W changes before, and the traded return from
-    the next row over h rows. All windows share the pair's one sorted partition; grid points become rows at the end."""
+    """Candidates of every (h, W): z of the change over h rows against the W changes before, whose deviation is sd, and
+    the traded return from the next row, whose spread is s_in, over h rows. Rows are bars: take a forward-filled panel
+    or a ``time_grid``. All windows share the pair's one sorted partition; grid points become rows at the end."""
     pair = Window.partitionBy(*PAIR).orderBy("bar")
-    held = spreads.withColumns({f"ds_{h}": F.col("spread") - F.lag("spread", h).over(pair) for h in hs} | {f"fwd_{h}": F.lead("spread", h + 1).over(pair) - F.lead("spread", 1).over(pair) for h in hs})
+    s_in = {"s_in": F.lead("spread", 1).over(pair)}
+    held = spreads.withColumns(s_in | {f"ds_{h}": F.col("spread") - F.lag("spread", h).over(pair) for h in hs} | {f"fwd_{h}": F.lead("spread", h + 1).over(pair) - F.lead("spread", 1).over(pair) for h in hs})
     points, grid = {}, []
     for h in hs:
         for w in windows:
             before, ds = pair.rowsBetween(-w, -1), f"ds_{h}"
             enough = F.count(ds).over(before) >= max(least, w // 3)
             sd = F.stddev_samp(ds).over(before)
+            points[f"sd_{h}_{w}"] = sd
             points[f"z_{h}_{w}"] = F.when(enough & (sd > 1e-9), (F.col(ds) - F.avg(ds).over(before)) / F.nullif(sd, F.lit(0.0)))
-            grid.append(F.struct(F.lit(h).alias("h"), F.lit(w).alias("w"), F.col(f"z_{h}_{w}").alias("z"), F.col(ds).alias("dS"), F.col(f"fwd_{h}").alias("fwd")))
-    out = held.withColumns(points).select(*PAIR, "bar", F.col("spread").alias("S"), F.explode(F.array(*grid)).alias("g"))
-    return out.select(*PAIR, "bar", "S", "g.*").where(F.col("z").isNotNull() & F.col("fwd").isNotNull() & (F.abs("z") >= z_floor))
+            grid.append(F.struct(F.lit(h).alias("h"), F.lit(w).alias("w"), F.col(f"z_{h}_{w}").alias("z"), F.col(f"sd_{h}_{w}").alias("sd"), F.col(ds).alias("dS"), F.col(f"fwd_{h}").alias("fwd")))
+    out = held.withColumns(points).select(*PAIR, "bar", F.col("spread").alias("S"), "s_in", F.explode(F.array(*grid)).alias("g"))
+    return out.select(*PAIR, "bar", "S", "s_in", "g.*").where(F.col("z").isNotNull() & F.col("fwd").isNotNull() & (F.abs("z") >= z_floor))
 
 
 def reversion(signals: DataFrame) -> DataFrame:
@@ -31,21 +42,62 @@ def reversion(signals: DataFrame) -> DataFrame:
     return signals.withColumn("gross", -F.signum("z") * F.col("fwd"))
 
 
-def nonoverlap_pair(signals: DataFrame, *, z: float) -> DataFrame:
-    """Earliest first, the next of a pair's (h, W) not before h bars later."""
-    return greedy(signals.where(F.abs("z") >= z), [*PAIR, "h", "w"], start="bar", free=F.col("bar") + F.col("h"))
+def level_cost(signals: DataFrame, legs: DataFrame, *, multiple: float = 1.0) -> DataFrame:
+    """cost (spreads of both legs, and twice the fees at the spread's level) and max_leg; signals with a missing leg go."""
+    held = with_legs(signals, legs, "market_spread", "fee_rate", "fee_exp")
+    fee = lambda p, leg: F.when((p > 0) & (p < 1), leg_fee(p, F.col(f"fee_rate_{leg}"), F.col(f"fee_exp_{leg}"))).otherwise(F.lit(0.0))
+    fees = fee(F.col("S"), "long") + fee(1 - F.col("S"), "short")
+    cost = multiple * (F.col("market_spread_short") + F.col("market_spread_long")) + 2 * fees
+    return held.withColumns({"cost": cost, "max_leg": F.greatest("market_spread_short", "market_spread_long")}).where("cost is not null").select(signals.columns + ["cost", "max_leg"])
+
+
+def nonoverlap_pair(signals: DataFrame, *, z: float, by: list[str] | None = None) -> DataFrame:
+    """Earliest first, the next of a pair's (h, W) no earlier than the hold of h bars and the entry bar allow."""
+    return greedy(signals.where(F.abs("z") >= z), [*PAIR, "h", "w", *(by or [])], start="bar", free=F.col("bar") + F.col("h") + 1)
 
 
 def nonoverlap_event(signals: DataFrame, *, z: float) -> DataFrame:
-    """One a window of the event; of equal bars the larger |z|, then the pair's labels."""
-    held = signals.where(F.abs("z") >= z).withColumn("rank", -F.abs("z"))
-    return greedy(held, ["event_id", "h", "w"], start="bar", free=F.col("bar") + F.col("h"), order=["rank", "short_dd", "long_dd"]).drop("rank")
+    """One a window of the event; of equal bars the larger |z|, to nine digits, then the pair's labels: mirrored pairs
+    have equal |z| up to rounding."""
+    held = signals.where(F.abs("z") >= z).withColumn("rank", -F.round(F.abs("z"), 9))
+    return greedy(held, ["event_id", "h", "w"], start="bar", free=F.col("bar") + F.col("h") + 1, order=["rank", "short_dd", "long_dd"]).drop("rank")
+
+
+def clean_signals(signals: DataFrame, *, z: float, sigma_floor: float, drop_inverted: bool = True) -> DataFrame:
+    """Signals over a floor of sigma, without entries at a negative spread, one a window of the event."""
+    held = signals.where(F.col("sd") >= sigma_floor)
+    return nonoverlap_event(held.where("s_in >= 0") if drop_inverted else held, z=z)
+
+
+def signal_funnel(signals: DataFrame, *, z: float, sigma_floor: float) -> DataFrame:
+    """Per (h, W): candidates, those over the threshold, and what the floor of sigma and the entry's sign then drop."""
+    over, low = F.abs("z") >= z, F.col("sd") < sigma_floor
+    return signals.groupBy("h", "w").agg(
+        F.count("*").alias("n"), F.count_if(over).alias("n_z"), F.count_if(over & low).alias("dropped_sigma"), F.count_if(over & ~low & (F.col("s_in") < 0)).alias("dropped_inverted"), F.count_if(over & ~low & (F.col("s_in") >= 0)).alias("n_clean")
+    )
+
+
+def deep_grid(signals: DataFrame, *, thresholds: list[float], caps: list[float], least: int = 8) -> DataFrame:
+    """Per (h, W, z, cap of the wider leg): non-overlapping reversion net of cost in hundredths, hit and t; nulls below
+    ``least`` trades. One fold over (pair, h, W, z, cap); candidates come from the same windows."""
+    points = F.array(*[F.struct(F.lit(float(t)).alias("z_enter"), F.lit(float(c)).alias("cap")) for t in thresholds for c in caps])
+    each = signals.withColumn("g", F.explode(points)).select(*signals.columns, "g.*")
+    each = each.where((F.abs("z") >= F.col("z_enter")) & (F.col("max_leg") <= F.col("cap")))
+    kept = nonoverlap_pair(each, z=0.0, by=["z_enter", "cap"]).withColumn("net", (-F.signum("z") * F.col("fwd") - F.col("cost")) * 100)
+    enough = F.count("*") >= least
+    return kept.groupBy("h", "w", "z_enter", "cap").agg(F.count("*").alias("n"), F.when(enough, F.avg("net")).alias("net_c"), F.when(enough, F.avg((F.col("net") > 0).cast("double"))).alias("hit"), tstat(F.col("net"), least).alias("t"))
 
 
 def diffz_grid(signals: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Per (h, W, z): count, mean reversion and hit."""
+    """Per (h, W, z): count, mean reversion and hit; where signals have a ``cost``, also reversion and momentum net of it."""
     each = reversion(signals).withColumn("z_enter", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where(F.abs("z") >= F.col("z_enter"))
-    return each.groupBy("h", "w", "z_enter").agg(F.count("*").alias("n"), F.avg("gross").alias("gross"), F.avg((F.col("gross") > 0).cast("double")).alias("hit"))
+    net = [F.avg(F.col("gross") - F.col("cost")).alias("rev_net"), F.avg(-F.col("gross") - F.col("cost")).alias("mom_net"), F.avg((F.col("gross") < -F.col("cost")).cast("double")).alias("mom_hit"), F.avg("cost").alias("mean_cost")] if "cost" in signals.columns else []
+    return each.groupBy("h", "w", "z_enter").agg(F.count("*").alias("n"), F.avg("gross").alias("gross"), F.avg((F.col("gross") > 0).cast("double")).alias("hit"), *net)
+
+
+def top_configs(grid: DataFrame, *, by: str, least: int, n: int = 12) -> DataFrame:
+    """The ``n`` grid points with the largest value of ``by`` among those with ``least`` trades."""
+    return grid.where((F.col("n") >= least) & F.col(by).isNotNull()).orderBy(F.desc(F.round(by, 9)), *[c for c in ("h", "w", "z_enter", "cap") if c in grid.columns]).limit(n)
 
 
 def diffz_confirm(signals: DataFrame, *, z: float) -> DataFrame:
@@ -54,13 +106,12 @@ def diffz_confirm(signals: DataFrame, *, z: float) -> DataFrame:
     return held.groupBy("h", "w").agg(*[F.avg(F.when((F.signum("z") == a) & (F.col("S") >= 0 if b > 0 else F.col("S") < 0), F.col("fwd"))).alias(f"{'up' if a > 0 else 'down'}_{'pos' if b > 0 else 'neg'}") for a in (1, -1) for b in (1, -1)])
 
 
-def event_study(signals: DataFrame, *, buckets: int = 10) -> DataFrame:
-    """Mean z and traded return by bucket of z, cut at exact percentiles."""
+def event_study(signals: DataFrame, *, buckets: int = 10, least: int = 50) -> DataFrame:
+    """Mean z and traded return by (h, W) and bucket of z, cut at the exact percentiles of a grid point with ``least`` rows."""
     cuts = [i / buckets for i in range(1, buckets)]
-    at = signals.agg(F.percentile("z", F.array(*map(F.lit, cuts))).alias("cuts"))
-    bucket = sum((F.when(F.col("z") > F.col("cuts")[i], 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
-    held = signals.withColumn("cuts", at.scalar())
-    return held.select(bucket.alias("bucket"), "z", "fwd").groupBy("bucket").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.avg("fwd").alias("mean_fwd"))
+    at = signals.groupBy("h", "w").agg(F.percentile("z", F.array(*map(F.lit, cuts))).alias("cuts"), F.count("*").alias("m")).where(F.col("m") >= least)
+    bucket = F.size(F.filter("cuts", lambda c: c < F.col("z")))
+    return signals.join(at, ["h", "w"]).groupBy("h", "w", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.avg("fwd").alias("mean_fwd"))
 
 
 def signed_symmetry(signals: DataFrame, *, z: float) -> DataFrame:
@@ -68,7 +119,7 @@ def signed_symmetry(signals: DataFrame, *, z: float) -> DataFrame:
     return reversion(signals.where(F.abs("z") >= z)).groupBy("h", "w").agg(F.count_if(up).alias("n_up"), F.count_if(~up).alias("n_down"), tstat(F.when(up, F.col("gross"))).alias("t_up"), tstat(F.when(~up, F.col("gross"))).alias("t_down"))
 
 
-def event_bootstrap(trades: DataFrame, *, draws: int = 500, value: str = "pnl") -> DataFrame:
+def event_bootstrap(trades: DataFrame, *, draws: int = 5000, value: str = "pnl") -> DataFrame:
     """Mean, 95 % interval and share of means not above 0 over resampled events.
 
     Events are reduced to (sum, n) first; a draw's i-th event comes from a hash of (draw, i), the same on every run.
@@ -121,3 +172,10 @@ def median_bar(bars: DataFrame) -> DataFrame:
     held = bars.select("event_id", "bar").distinct()
     gap = F.col("bar") - F.lag("bar").over(Window.partitionBy("event_id").orderBy("bar"))
     return held.select("event_id", gap.cast("double").alias("gap")).where("gap is not null").groupBy("event_id").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"))
+
+
+def flow_reversion_trades(spreads: DataFrame, *, h: int, window: int, least: int, z: float) -> DataFrame:
+    """Non-overlapping reversion on forward-filled legs, of pairs long enough to have a window, a change and a return."""
+    enough = spreads.groupBy(*PAIR).agg(F.count("*").alias("m")).where(F.col("m") >= least + h + 2)
+    held = diffz_signals(spreads.join(enough.drop("m"), PAIR, "left_semi"), hs=[h], windows=[window], z_floor=z, least=least)
+    return reversion(nonoverlap_pair(held, z=z))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_tokens, terms
 
 
-def tfidf_weights(docs: DataFrame, *, max_df: float = 0.6, least_docs: int = 25) -> DataFrame:
-    """id, term, w: smoothed TF-IDF of length 1 a document, without terms in more than ``max_df`` of them."""
+def tfidf_weights(docs: DataFrame, *, max_df: float = 0.6, least_docs: int = 25, most_terms: int = 50_000) -> DataFrame:
+    """id, term, w: smoothed TF-IDF of length 1 a document over words and pairs of words, of the ``most_terms`` most
+    frequent terms (ties by name) in at most ``max_df`` of the documents.
+
+    The vocabulary is a bounded table, so the counts of terms meet it in a join that needs no shuffle of their own."""
+    words = terms(F.col("text"))
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", 1, rest), F.slice("words", 2, rest), lambda a, b: F.concat_ws(" ", a, b))
     n = docs.agg(F.count("*")).scalar()
-    tf = docs.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("n", n)
-    df = df.where((F.col("n") < least_docs) | (F.col("df") <= max_df * F.col("n")))
-    held = tf.join(df, "term").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    tf = docs.select("id", words.alias("words")).select("id", F.explode(F.concat("words", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).withColumn("n", n)
+    df = df.where((F.col("n") < least_docs) | (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("total"), "term").limit(most_terms)
+    held = tf.join(df.drop("total"), "term").withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
     return held.select("id", "term", (F.col("raw") / norm).alias("w"))
 
@@ -52,15 +60,45 @@ def cap_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).drop("r")
 
 
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """Each pair once, by its best cosine over categories; ties to the first category."""
+    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min_by("category", F.struct(-F.col("cosine"), "category")).alias("category"))
+
+
 def edge_score(pairs: DataFrame, *, alpha: float = 0.5, least: float = 0.0) -> DataFrame:
     score = F.least(F.greatest(alpha * F.col("tfidf") + (1 - alpha) * F.col("cosine"), F.lit(0.0)), F.lit(1.0))
     return pairs.withColumn("score", score).where(F.col("score") >= least)
 
 
-def cluster_pairs(members: DataFrame) -> DataFrame:
-    """All pairs a < b of a cluster."""
-    left, right = (members.select("cluster", F.col("id").alias(x)) for x in "ab")
-    return left.join(right, "cluster").where("a < b")
+def cluster_pairs(members: DataFrame, *, cross_event: bool = False) -> DataFrame:
+    """All pairs a < b of a cluster; ``cross_event`` leaves out those of one event. Clusters are small by definition."""
+    more = ["event_id"] if cross_event else []
+    left, right = (members.select("cluster", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in more]) for x in "ab")
+    pairs = left.join(right, "cluster").where("a < b")
+    return pairs.where("event_id_a <> event_id_b").drop("event_id_a", "event_id_b") if cross_event else pairs
+
+
+def cluster_edge_score(members: DataFrame, vectors: DataFrame, weights: DataFrame, *, alpha: float = 0.5, least: float = 0.0, cross_event: bool = False) -> DataFrame:
+    """cluster, a, b, tfidf, cosine and their blend of all pairs inside clusters."""
+    held = vectors.select("id", unit(F.col("x")).alias("x"))
+    pairs = cluster_pairs(members, cross_event=cross_event)
+    pairs = pairs.join(held.withColumnsRenamed({"id": "a", "x": "xa"}), "a").join(held.withColumnsRenamed({"id": "b", "x": "xb"}), "b")
+    pairs = pairs.select("cluster", "a", "b", dot(F.col("xa"), F.col("xb")).alias("cosine"))
+    return edge_score(tfidf_cosine(pairs, weights), alpha=alpha, least=least)
+
+
+def typed_edges(members: DataFrame, cosines: DataFrame) -> DataFrame:
+    """Edges between all members (group, id, relation, rank, seq) of a group of two or more: from a lower rank to a
+    higher one where the group's relation, its first member's, implies, else in the members' order and undirected; with
+    the cosine of the two (a < b), if there is one. A missing rank comes last."""
+    first = members.groupBy("group").agg(F.upper(F.trim(F.min_by("relation", "seq"))).alias("kind"))
+    held = members.select("group", "id", "seq", F.coalesce(F.col("rank").try_cast("double"), F.lit(9999.0)).alias("rank")).join(first, "group")
+    implies = F.contains("kind", F.lit("IMPLIES"))
+    held = held.withColumn("place", F.struct(F.when(implies, F.col("rank")).otherwise(F.lit(0.0)).alias("r"), "seq"))
+    a = held.select("group", "kind", F.col("id").alias("source"), F.col("place").alias("pa"))
+    b = held.select("group", F.col("id").alias("target"), F.col("place").alias("pb"))
+    edges = a.join(b, "group").where("pa < pb").select("group", "source", "target", F.col("kind").alias("relation"), F.contains("kind", F.lit("IMPLIES")).alias("directed"), F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    return edges.join(cosines.select("a", "b", "cosine"), ["a", "b"], "left").drop("a", "b")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -76,14 +114,16 @@ def near_dup(pairs: DataFrame, *, least: float = 0.85) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder if there is one, so that rounds don't pile up."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """Cuts lineage in the shared folder, so that rounds don't pile up; only Spark on this machine alone makes one of its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
-    df.sparkSession.sparkContext.setCheckpointDir(folder) if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else None
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -8,31 +8,38 @@ from pyspark.sql import functions as F
 from .signals import leg_fee, with_legs
 from .spread import PAIR
 
+PRICES = ("p_short", "p_long")
 
-def numbered(spreads: DataFrame) -> DataFrame:
-    return spreads.withColumn("rn", F.row_number().over(Window.partitionBy(*PAIR).orderBy("bar")).cast("long"))
 
+def with_exits(stats: DataFrame, *, max_hold: int = 24, z_exit: float = 0.0) -> DataFrame:
+    """Beside each row of statistics: its number rn, the entry row after it, the first row of at most ``max_hold`` after
+    the entry that reverts for a BUY and for a SELL, and the horizon, the last row that a trade may reach.
 
-def trade_exit(signals: DataFrame, stats: DataFrame, *, max_hold: int = 24, z_exit: float = 0.0) -> DataFrame:
-    """Each signal's entry row, the next one, and the first of at most ``max_hold`` rows after it that reverts.
+    The frames share the statistics' own sorted partition, so looking ahead takes no join and no shuffle."""
+    pair = Window.partitionBy(*PAIR).orderBy("bar")
+    held = stats.withColumn("rn", F.row_number().over(pair).cast("long"))
+    row = F.struct("rn", "bar", *PRICES)
+    ahead = pair.rowsBetween(2, max_hold + 1)
+    reverts = lambda yes: F.min(F.when(yes, row)).over(ahead)
+    return held.withColumns({
+        "entry": F.lead(row, 1).over(pair),
+        "back_buy": reverts(F.col("z") >= z_exit),
+        "back_sell": reverts(F.col("z") <= -z_exit),
+        "horizon": F.last(row).over(pair.rowsBetween(1, max_hold + 1)),
+    })
+
+
+def _exited(signals: DataFrame, max_hold: int) -> DataFrame:
+    """Signals with an entry, their exit row and status; those on a pair's last row have none."""
+    back = F.when(F.col("direction") == "BUY", F.col("back_buy")).otherwise(F.col("back_sell"))
+    full = F.col("horizon.rn") == F.col("entry.rn") + max_hold
+    held = signals.where(F.col("entry").isNotNull())
+    return held.withColumns({"exit": F.coalesce(back, F.col("horizon")), "status": F.when(back.isNotNull(), "Z").when(full, "T").otherwise("P")})
 
-    A signal meets only the rows of its own and the next block of ``max_hold`` rows: an equi-join in place of a range
-    join, linear in signals times the hold. Signals on a pair's last row have no entry and no result.
-    """
-    rows = numbered(stats)
-    last = rows.groupBy(*PAIR).agg(F.max("rn").alias("last_rn"))
-    held = signals.select(*PAIR, "bar", "direction").join(rows.select(*PAIR, "bar", "rn"), [*PAIR, "bar"]).join(last, PAIR)
-    held = held.withColumn("entry_rn", F.col("rn") + 1).where(F.col("entry_rn") <= F.col("last_rn"))
-    held = held.withColumn("horizon", F.least(F.col("entry_rn") + max_hold, F.col("last_rn")))
-    block = F.floor(F.col("entry_rn") / max_hold)
-    looking = held.select(*PAIR, F.col("bar").alias("signal_bar"), "direction", "entry_rn", "horizon", F.explode(F.array(block, block + 1)).alias("block"))
-    ahead = rows.where("z is not null").select(*PAIR, F.floor(F.col("rn") / max_hold).alias("block"), F.col("rn").alias("at"), "z")
-    reverts = ((F.col("direction") == "BUY") & (F.col("z") >= z_exit)) | ((F.col("direction") == "SELL") & (F.col("z") <= -z_exit))
-    hits = looking.join(ahead, [*PAIR, "block"]).where((F.col("at") > F.col("entry_rn")) & (F.col("at") <= F.col("horizon")) & reverts)
-    hits = hits.groupBy(*PAIR, "signal_bar", "direction").agg(F.min("at").alias("hit"))
-    out = held.withColumnRenamed("bar", "signal_bar").join(hits, [*PAIR, "signal_bar", "direction"], "left")
-    full = F.col("horizon") == F.col("entry_rn") + max_hold
-    return out.select(*PAIR, "signal_bar", "direction", "entry_rn", F.coalesce("hit", "horizon").alias("exit_rn"), F.when(F.col("hit").isNotNull(), "Z").when(full, "T").otherwise("P").alias("status"))
+
+def trade_exit(signals: DataFrame, *, max_hold: int = 24) -> DataFrame:
+    """Each signal's entry and exit row and status, of signals picked from ``with_exits``."""
+    return _exited(signals, max_hold).select(*PAIR, F.col("bar").alias("signal_bar"), "direction", F.col("entry.rn").alias("entry_rn"), F.col("exit.rn").alias("exit_rn"), "status")
 
 
 def greedy(rows: DataFrame, keys: list[str], *, start: str, free: Column, order: list[str] | None = None) -> DataFrame:
@@ -54,13 +61,12 @@ def cooldown_fold(trades: DataFrame, *, cooldown: int = 24) -> DataFrame:
     return greedy(trades, PAIR, start="signal_bar", free=F.col("exit_bar") + cooldown, order=["direction"])
 
 
-def trades_build(signals: DataFrame, stats: DataFrame, legs: DataFrame, *, max_hold: int = 24, z_exit: float = 0.0, cooldown: int = 24, half_spread: float = 0.01, shares: int = 500) -> DataFrame:
-    """Entry on the bar after the signal, exit by reversion (Z), resolution (R), hold (T) or the panel's end (P), costs
-    of spreads and four leg fees, profit, without overlapping trades of a pair."""
-    exits = trade_exit(signals, stats, max_hold=max_hold, z_exit=z_exit)
-    rows = numbered(stats).select(*PAIR, "rn", "bar", "p_short", "p_long")
-    at = lambda which: rows.select(*PAIR, F.col("rn").alias(f"{which}_rn"), F.col("bar").alias(f"{which}_bar"), F.col("p_short").alias(f"p_short_{which}"), F.col("p_long").alias(f"p_long_{which}"))
-    held = exits.join(at("entry"), [*PAIR, "entry_rn"]).join(at("exit"), [*PAIR, "exit_rn"])
+def trades_build(signals: DataFrame, legs: DataFrame, *, max_hold: int = 24, cooldown: int = 24, half_spread: float = 0.01, shares: int = 500) -> DataFrame:
+    """Trades of signals picked from ``with_exits``: entry on the bar after the signal, exit by reversion (Z),
+    resolution (R), hold (T) or the panel's end (P), costs of spreads and four leg fees, profit, without overlapping
+    trades of a pair."""
+    price = lambda when: [F.col(f"{when}.bar").alias(f"{when}_bar"), *[F.col(f"{when}.{p}").alias(f"{p}_{when}") for p in PRICES]]
+    held = _exited(signals, max_hold).select(*PAIR, F.col("bar").alias("signal_bar"), "direction", "status", *price("entry"), *price("exit"))
     held = with_legs(held, legs, "market_spread", "resolution", "fee_rate", "fee_exp")
     resolved = F.col("resolution_short").isNotNull() | F.col("resolution_long").isNotNull()
     held = held.withColumn("status", F.when(F.col("status") == "Z", "Z").when(resolved, "R").otherwise(F.col("status")))
@@ -82,6 +88,7 @@ def trade_summary(trades: DataFrame, *by: str) -> DataFrame:
     return trades.groupBy(*by).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in "ZRTP"],
+        F.count_if(F.col("status").isin("Z", "R", "T")).alias("n_closed"),
         F.sum("pnl").alias("total"),
         F.avg("pnl").alias("mean"),
         F.avg(F.when(closed, (F.col("pnl") > 0).cast("double"))).alias("hit"),
@@ -91,3 +98,42 @@ def trade_summary(trades: DataFrame, *by: str) -> DataFrame:
 
 def tstat(values: Column, least: int = 8) -> Column:
     return F.when(F.count(values) >= least, F.avg(values) / F.nullif(F.stddev_samp(values), F.lit(0.0)) * F.sqrt(F.count(values)))
+
+
+def event_meta(legs: DataFrame) -> DataFrame:
+    """Volume and primary tag of each event: all its legs' liquidity, and the first tag of its first leg."""
+    first = F.min_by("tags", "ladder_order")
+    return legs.groupBy("event_id").agg(F.sum("liquidity").alias("volume"), F.coalesce(F.nullif(F.element_at(F.split(first, ","), 1), F.lit("")), F.lit("(none)")).alias("primary_tag"))
+
+
+def trade_buckets(trades: DataFrame, legs: DataFrame) -> DataFrame:
+    """primary_tag, tau_bucket (days from the entry to the short leg's deadline, right-closed) and vol_q (quartile of the
+    trades' event volumes, missing ones as 0, only if there are four different ones) beside each trade."""
+    deadline = legs.select("event_id", F.col("ladder_label").alias("short_dd"), "deadline_date")
+    held = trades.join(event_meta(legs), "event_id", "left").join(deadline, ["event_id", "short_dd"], "left")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("entry_bar") / 24).cast("int"))
+    tau = F.greatest(F.datediff("deadline_date", day), F.lit(1))
+    bucket = F.when(tau <= 7, "<=7d").when(tau <= 30, "8-30d").when(tau <= 90, "31-90d").when(tau <= 365, "91-365d").when(tau <= 9999, ">365d")
+    volume = F.coalesce("volume", F.lit(0.0))
+    cuts = held.agg(F.percentile(volume, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("cuts"), F.count_distinct("volume").alias("several"))
+    held = held.join(F.broadcast(cuts))  # one row
+    quartile = F.when(volume <= F.col("cuts")[0], "Q1-low").when(volume <= F.col("cuts")[1], "Q2").when(volume <= F.col("cuts")[2], "Q3").otherwise("Q4-high")
+    return held.select(*trades.columns, "volume", "primary_tag", bucket.alias("tau_bucket"), F.when(F.col("several") >= 4, quartile).alias("vol_q"))
+
+
+def top_trades(trades: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` best and the ``n`` worst trades, ties by pair and bar."""
+    key = [*PAIR, "signal_bar"]
+    best = trades.orderBy(F.desc(F.round("pnl_dollars", 6)), *key).limit(n).withColumn("side", F.lit("winner"))
+    return best.unionByName(trades.orderBy(F.round("pnl_dollars", 6), *key).limit(n).withColumn("side", F.lit("loser")))
+
+
+def equity_curve(trades: DataFrame) -> DataFrame:
+    """Cumulative profit by exit bar: of all trades, and without those of the event, or the three events, with most profit."""
+    best = Window.orderBy(F.desc(F.round("total", 6)), "event_id")  # over one row an event
+    ranks = trades.groupBy("event_id").agg(F.sum("pnl_dollars").alias("total")).select("event_id", F.row_number().over(best).alias("rank"))
+    held = trades.join(ranks, "event_id")
+    without = lambda k: F.sum(F.when(F.col("rank") > k, F.col("pnl_dollars")).otherwise(F.lit(0.0)))
+    by = held.groupBy("exit_bar").agg(F.sum("pnl_dollars").alias("pnl"), F.count("*").alias("n"), without(1).alias("pnl_x1"), without(3).alias("pnl_x3"))
+    run = Window.orderBy("exit_bar").rowsBetween(Window.unboundedPreceding, 0)  # over one row a bar
+    return by.select("exit_bar", "pnl", "n", *[F.sum(c).over(run).alias(a) for c, a in (("pnl", "equity"), ("pnl_x1", "equity_x1"), ("pnl_x3", "equity_x3"))])

@@ -36,9 +36,12 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return G.signals_rolling(stats(spark, d))
 
 
+def led_signals(spark: SparkSession, d: str) -> DataFrame:
+    return G.signals_rolling(T.with_exits(stats(spark, d)))
+
+
 def trades(spark: SparkSession, d: str) -> DataFrame:
-    s = stats(spark, d)
-    return T.trades_build(G.signals_rolling(s), s, X.universe(spark, d))
+    return T.trades_build(led_signals(spark, d), X.universe(spark, d))
 
 
 EV = """ev AS (SELECT event_id AS seq, event_type AS event_id, CAST(user_id % 4 AS INTEGER) AS ladder_order, 'L' || (user_id % 4) AS ladder_label, ts,
@@ -112,8 +115,16 @@ fold AS (SELECT event_id, short_dd, long_dd, k, true AS kept, exit_bar + 24 AS f
 tr AS (SELECT t3.* EXCLUDE (k), pnl * 500 AS pnl_dollars FROM t3 JOIN fold USING (event_id, short_dd, long_dd, k) WHERE kept)"""
 )
 W = "WITH RECURSIVE "
+BUCKETS = (
+    TRADES
+    + """, em AS (SELECT event_id, sum(liquidity) AS volume, string_split(arg_min(tags, ladder_order), ',')[1] AS primary_tag FROM legs GROUP BY 1),
+b0 AS (SELECT tr.*, volume, primary_tag, greatest(deadline_date - (DATE '1970-01-01' + CAST(entry_bar // 24 AS INTEGER)), 1) AS tau FROM tr LEFT JOIN em USING (event_id) LEFT JOIN legs ON legs.event_id = tr.event_id AND legs.ladder_label = tr.short_dd),
+b1 AS (SELECT quantile_cont(coalesce(volume, 0), [0.25, 0.5, 0.75]) AS cuts, count(DISTINCT volume) AS several FROM b0),
+bk AS (SELECT b0.*, CASE WHEN tau <= 7 THEN '<=7d' WHEN tau <= 30 THEN '8-30d' WHEN tau <= 90 THEN '31-90d' WHEN tau <= 365 THEN '91-365d' WHEN tau <= 9999 THEN '>365d' END AS tau_bucket,
+  CASE WHEN several >= 4 THEN CASE WHEN coalesce(volume, 0) <= cuts[1] THEN 'Q1-low' WHEN coalesce(volume, 0) <= cuts[2] THEN 'Q2' WHEN coalesce(volume, 0) <= cuts[3] THEN 'Q3' ELSE 'Q4-high' END END AS vol_q FROM b0, b1)"""
+)
 TRADE_COLS = ", ".join(["event_id", "short_dd", "long_dd", "signal_bar", "direction", "entry_bar", "exit_bar", "hold", "status"] + [f"round({c}, 9) AS {c}" for c in ("p_short_entry", "p_long_entry", "p_short_exit", "p_long_exit", "cost", "pnl", "pnl_dollars")])
-SUMMARY = """count(*) AS n, count(*) FILTER (status = 'Z') AS n_z, count(*) FILTER (status = 'R') AS n_r, count(*) FILTER (status = 'T') AS n_t, count(*) FILTER (status = 'P') AS n_p, round(sum(pnl), 9) AS total, round(avg(pnl), 9) AS mean,
+SUMMARY = """count(*) AS n, count(*) FILTER (status = 'Z') AS n_z, count(*) FILTER (status = 'R') AS n_r, count(*) FILTER (status = 'T') AS n_t, count(*) FILTER (status = 'P') AS n_p, count(*) FILTER (status IN ('Z', 'R', 'T')) AS n_closed, round(sum(pnl), 9) AS total, round(avg(pnl), 9) AS mean,
   round(avg(CASE WHEN status IN ('Z', 'R', 'T') AND pnl <> 0 THEN (pnl > 0)::INT END), 9) AS hit, quantile_cont(hold::DOUBLE, 0.5) AS median_hold"""
 STAT_COLS = "event_id, short_dd, long_dd, bar, round(spread, 9) AS spread, round(mu, 9) AS mu, round(sigma, 9) AS sigma, round(z, 6) AS z"
 
@@ -132,17 +143,17 @@ def _trades_summary_by(spark: SparkSession, d: str, column: str) -> DataFrame:
 def _walk_forward(spark: SparkSession, d: str) -> DataFrame:
     t = trades(spark, d)
     middle = t.agg(((F.min("entry_bar") + F.max("entry_bar")) / 2).alias("m")).scalar()
-    return rounded(T.trade_summary(t.withColumn("half", F.when(F.col("entry_bar") < middle, "first").otherwise("second")), "half"))
+    return rounded(T.trade_summary(t.withColumn("half", F.when(F.col("entry_bar") <= middle, "first").otherwise("second")), "half"))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    """Five reports in one pass: each trade is counted once for each of its segments."""
-    t = trades(spark, d)
-    legs = X.universe(spark, d).groupBy("event_id").agg(F.sum("liquidity").alias("volume"), F.element_at(F.split(F.min("tags"), ","), 1).alias("tag"))
-    t = t.join(legs, "event_id", "left")
+    """All reports in one pass: each trade is counted once for each of its segments."""
+    t = T.trade_buckets(trades(spark, d), X.universe(spark, d))
     span = F.when(F.col("hold") <= 1, "0-1").when(F.col("hold") <= 7, "2-7").when(F.col("hold") <= 16, "8-16").otherwise("17+")
-    parts = F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("value")) for k, v in (("direction", F.col("direction")), ("status", F.col("status")), ("tag", F.col("tag")), ("pair", F.concat_ws("-", "short_dd", "long_dd")), ("hold", span))])
-    return rounded(T.trade_summary(t.withColumn("s", F.explode(parts)).select("*", "s.segment", "s.value"), "segment", "value"))
+    named = {"direction": F.col("direction"), "status": F.col("status"), "primary_tag": F.col("primary_tag"), "vol_q": F.col("vol_q"), "tau_bucket": F.col("tau_bucket"), "pair": F.concat_ws("-", "short_dd", "long_dd"), "hold": span}
+    parts = F.array(*[F.struct(F.lit(k).alias("segment"), v.alias("value")) for k, v in named.items()])
+    each = t.withColumn("s", F.explode(parts)).select("*", "s.segment", "s.value").where((F.col("segment") != "vol_q") | F.col("value").isNotNull())
+    return rounded(T.trade_summary(each, "segment", "value"), 7)
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
@@ -151,13 +162,6 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades(spark, d).groupBy("direction").agg(*mean, F.avg(change).alias("d_slope")))
 
 
-def _equity(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = trades(spark, d).groupBy("exit_bar").agg(F.sum("pnl_dollars").alias("pnl"), F.count("*").alias("n"))
-    return rounded(by.withColumn("equity", F.sum("pnl").over(Window.orderBy("exit_bar").rowsBetween(Window.unboundedPreceding, 0))))
-
-
 QUERIES = {
     "price_points": lambda s, d: X.price_points(s, d).select("seq", "event_id", "ladder_order", "ladder_label", X.epoch_us(F.col("ts")).alias("us"), "p"),
     "bars_last": lambda s, d: P.bars_last(X.price_points(s, d)),
@@ -180,7 +184,7 @@ QUERIES = {
     "leg_cost_default": lambda s, d: _cols(G.leg_cost_default(signals(s, d), X.universe(s, d).where("ladder_order < 3")), *PAIR, "bar", "cost"),
     "leg_fee": lambda s, d: rounded(filled(s, d).join(X.universe(s, d).select("event_id", "ladder_label", "fee_rate", "fee_exp"), ["event_id", "ladder_label"]).select("event_id", "ladder_label", "bar", G.leg_fee(F.col("p"), F.col("fee_rate"), F.col("fee_exp")).alias("fee"))),
     "fees_attach": lambda s, d: X.universe(s, d).select("event_id", "ladder_label", F.coalesce("fee_rate", F.lit(0.0)).alias("fee_rate"), "fee_exp"),
-    "trade_exit": lambda s, d: T.trade_exit(signals(s, d), stats(s, d)),
+    "trade_exit": lambda s, d: T.trade_exit(led_signals(s, d)),
     "trades_build": lambda s, d: rounded(trades(s, d)),
     "blotter": lambda s, d: _cols(trades(s, d), *PAIR, "direction", "entry_bar", "exit_bar", "p_short_entry", "p_long_entry", "p_short_exit", "p_long_exit", "pnl"),
     "trade_summary": lambda s, d: rounded(T.trade_summary(trades(s, d))),
@@ -188,9 +192,14 @@ QUERIES = {
     "walk_forward": _walk_forward,
     "oos_split": lambda s, d: rounded(trades(s, d).groupBy((F.col("entry_bar") < 473800).alias("in_sample")).agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), T.tstat(F.col("pnl")).alias("t"))),
     "curve_shape": _curve,
-    "equity_curve": _equity,
+    "equity_curve": lambda s, d: rounded(T.equity_curve(trades(s, d)), 4),
+    "event_meta": lambda s, d: rounded(T.event_meta(X.universe(s, d)), 3),
+    "trade_buckets": lambda s, d: rounded(T.trade_buckets(trades(s, d), X.universe(s, d)).select(*PAIR, "signal_bar", "primary_tag", "tau_bucket", "vol_q")),
+    "top_trades": lambda s, d: rounded(T.top_trades(trades(s, d)).select("side", *PAIR, "signal_bar", "direction", "status", "pnl_dollars"), 6),
     "cooldown_fold": lambda s, d: trades(s, d).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("signal_bar").alias("first"), F.max("signal_bar").alias("last")),
-    "cooldown_filter": lambda s, d: G.cooldown_filter(signals(s, d), trades(s, d).select(*PAIR).distinct()).select(*PAIR, "bar"),
+    "cooldown_filter": lambda s, d: G.cooldown_filter(signals(s, d), trades(s, d).where("status <> 'Z'").select(*PAIR).distinct()).select(*PAIR, "bar"),
+    "signals_union": lambda s, d: signals(s, d).groupBy("event_id", "direction").agg(F.count("*").alias("n"), F.min("bar").alias("first"), F.max("bar").alias("last")),
+    "legs_union_distinct": lambda s, d: G.signal_legs(signals(s, d)).groupBy("event_id").agg(F.count("*").alias("legs")),
     "event_mean_t": lambda s, d: rounded(trades(s, d).groupBy("event_id").agg(F.avg("pnl").alias("m")).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), T.tstat(F.col("m"), 3).alias("t"))),
     "tstat": lambda s, d: rounded(trades(s, d).groupBy("event_id", "direction").agg(F.count("*").alias("n"), T.tstat(F.col("pnl")).alias("t"))),
 }
@@ -221,14 +230,19 @@ SQL = {
     "trades_build": f"{W}{TRADES} SELECT {TRADE_COLS} FROM tr",
     "blotter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, direction, entry_bar, exit_bar, round(p_short_entry, 9) AS p_short_entry, round(p_long_entry, 9) AS p_long_entry, round(p_short_exit, 9) AS p_short_exit, round(p_long_exit, 9) AS p_long_exit, round(pnl, 9) AS pnl FROM tr",
     "trade_summary": f"{W}{TRADES} SELECT {SUMMARY} FROM tr",
-    "segment_stats": f"""{W}{TRADES}, ev2 AS (SELECT event_id, string_split(min(tags), ',')[1] AS tag FROM legs GROUP BY 1), sgm AS (SELECT tr.*, unnest([{{'k': 'direction', 'v': direction}}, {{'k': 'status', 'v': status}}, {{'k': 'tag', 'v': tag}}, {{'k': 'pair', 'v': short_dd || '-' || long_dd}},
-  {{'k': 'hold', 'v': CASE WHEN hold <= 1 THEN '0-1' WHEN hold <= 7 THEN '2-7' WHEN hold <= 16 THEN '8-16' ELSE '17+' END}}]) AS s FROM tr LEFT JOIN ev2 USING (event_id)) SELECT s.k AS segment, s.v AS value, {SUMMARY} FROM sgm GROUP BY s.k, s.v""",
-    "walk_forward": f"{W}{TRADES}, m AS (SELECT (min(entry_bar) + max(entry_bar)) / 2.0 AS m FROM tr) SELECT CASE WHEN entry_bar < (SELECT m FROM m) THEN 'first' ELSE 'second' END AS half, {SUMMARY} FROM tr GROUP BY 1",
+    "segment_stats": f"""{W}{BUCKETS}, sgm AS (SELECT bk.*, unnest([{{'k': 'direction', 'v': direction}}, {{'k': 'status', 'v': status}}, {{'k': 'primary_tag', 'v': primary_tag}}, {{'k': 'vol_q', 'v': vol_q}}, {{'k': 'tau_bucket', 'v': tau_bucket}}, {{'k': 'pair', 'v': short_dd || '-' || long_dd}},
+  {{'k': 'hold', 'v': CASE WHEN hold <= 1 THEN '0-1' WHEN hold <= 7 THEN '2-7' WHEN hold <= 16 THEN '8-16' ELSE '17+' END}}]) AS s FROM bk) SELECT s.k AS segment, s.v AS value, {SUMMARY.replace(", 9)", ", 7)")} FROM sgm WHERE s.k <> 'vol_q' OR s.v IS NOT NULL GROUP BY s.k, s.v""",
+    "event_meta": f"WITH {LEGS} SELECT event_id, round(sum(liquidity), 3) AS volume, string_split(arg_min(tags, ladder_order), ',')[1] AS primary_tag FROM legs GROUP BY 1",
+    "trade_buckets": f"{W}{BUCKETS} SELECT event_id, short_dd, long_dd, signal_bar, primary_tag, tau_bucket, vol_q FROM bk",
+    "top_trades": f"{W}{TRADES}, w AS (SELECT 'winner' AS side, * FROM tr ORDER BY round(pnl_dollars, 6) DESC, event_id, short_dd, long_dd, signal_bar LIMIT 10), l AS (SELECT 'loser' AS side, * FROM tr ORDER BY round(pnl_dollars, 6), event_id, short_dd, long_dd, signal_bar LIMIT 10) SELECT side, event_id, short_dd, long_dd, signal_bar, direction, status, round(pnl_dollars, 6) AS pnl_dollars FROM (SELECT * FROM w UNION ALL SELECT * FROM l)",
+    "walk_forward": f"{W}{TRADES}, m AS (SELECT (min(entry_bar) + max(entry_bar)) / 2.0 AS m FROM tr) SELECT CASE WHEN entry_bar <= (SELECT m FROM m) THEN 'first' ELSE 'second' END AS half, {SUMMARY} FROM tr GROUP BY 1",
     "oos_split": f"{W}{TRADES} SELECT entry_bar < 473800 AS in_sample, count(*) AS n, round(avg(pnl), 9) AS mean, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM tr GROUP BY 1",
     "curve_shape": f"{W}{TRADES} SELECT direction, round(avg(p_short_entry - (p_short_entry + p_long_entry) / 2), 9) AS short_entry, round(avg(p_short_exit - (p_short_entry + p_long_entry) / 2), 9) AS short_exit, round(avg(p_long_entry - (p_short_entry + p_long_entry) / 2), 9) AS long_entry, round(avg(p_long_exit - (p_short_entry + p_long_entry) / 2), 9) AS long_exit, round(avg(p_long_exit - p_short_exit - p_long_entry + p_short_entry), 9) AS d_slope FROM tr GROUP BY 1",
-    "equity_curve": f"{W}{TRADES}, b AS (SELECT exit_bar, sum(pnl_dollars) AS pnl, count(*) AS n FROM tr GROUP BY 1) SELECT exit_bar, round(pnl, 9) AS pnl, n, round(sum(pnl) OVER (ORDER BY exit_bar), 9) AS equity FROM b",
+    "equity_curve": f"{W}{TRADES}, k AS (SELECT event_id, row_number() OVER (ORDER BY round(sum(pnl_dollars), 6) DESC, event_id) AS rk FROM tr GROUP BY 1), b AS (SELECT exit_bar, sum(pnl_dollars) AS pnl, count(*) AS n, coalesce(sum(pnl_dollars) FILTER (rk > 1), 0) AS x1, coalesce(sum(pnl_dollars) FILTER (rk > 3), 0) AS x3 FROM tr JOIN k USING (event_id) GROUP BY 1) SELECT exit_bar, round(pnl, 4) AS pnl, n, round(sum(pnl) OVER (ORDER BY exit_bar), 4) AS equity, round(sum(x1) OVER (ORDER BY exit_bar), 4) AS equity_x1, round(sum(x3) OVER (ORDER BY exit_bar), 4) AS equity_x3 FROM b",
     "cooldown_fold": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, count(*) AS n, min(signal_bar) AS first, max(signal_bar) AS last FROM tr GROUP BY ALL",
-    "cooldown_filter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, bar FROM sg ANTI JOIN tr USING (event_id, short_dd, long_dd)",
+    "cooldown_filter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, bar FROM sg ANTI JOIN (SELECT * FROM tr WHERE status <> 'Z') USING (event_id, short_dd, long_dd)",
+    "signals_union": f"WITH {SIGNALS}, u AS (SELECT event_id, bar, 'BUY' AS direction FROM st WHERE sigma > 1e-6 AND z <= -1.75 AND mu - spread >= 0.05 UNION ALL SELECT event_id, bar, 'SELL' FROM st WHERE sigma > 1e-6 AND z >= 1.75 AND spread - mu >= 0.05) SELECT event_id, direction, count(*) AS n, min(bar) AS first, max(bar) AS last FROM u GROUP BY ALL",
+    "legs_union_distinct": f"WITH {SIGNALS}, u AS (SELECT event_id, short_dd AS leg FROM sg UNION SELECT event_id, long_dd FROM sg) SELECT event_id, count(*) AS legs FROM u GROUP BY 1",
     "event_mean_t": f"{W}{TRADES}, e AS (SELECT event_id, avg(pnl) AS m FROM tr GROUP BY 1) SELECT count(*) AS n, round(avg(m), 9) AS mean, CASE WHEN count(*) >= 3 THEN round(avg(m) / nullif(stddev_samp(m), 0) * sqrt(count(*)), 9) END AS t FROM e",
     "tstat": f"{W}{TRADES} SELECT event_id, direction, count(*) AS n, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM tr GROUP BY ALL",
 }

@@ -64,21 +64,35 @@ def rets(spark: SparkSession, d: str) -> DataFrame:
     return A.returns(A.change_points(series(spark, d)))
 
 
+def leg_name():
+    return F.concat_ws("/", "event_id", "ladder_label")
+
+
 def hourly(spark: SparkSession, d: str) -> DataFrame:
-    filled = bars_ffill(bars_last(S.price_points(spark, d)))
-    return filled.where("ladder_order = 0").select(F.col("event_id").alias("series"), "bar", "p")
+    return bars_ffill(bars_last(S.price_points(spark, d))).select(leg_name().alias("series"), "bar", "p")
+
+
+def leg_pairs(spark: SparkSession, d: str) -> DataFrame:
+    legs = S.universe(spark, d).select(leg_name().alias("x"))
+    return legs.join(legs.withColumnRenamed("x", "y"), F.col("x") < F.col("y"))
 
 
 def correlations(spark: SparkSession, d: str) -> DataFrame:
-    return A.pair_corr(hourly(spark, d), series_pairs(spark, d))
+    return A.pair_corr(hourly(spark, d), leg_pairs(spark, d))
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    return series_pairs(spark, d).withColumn("sign", F.when((F.length("x") + F.length("y")) % 2 == 0, 1.0).otherwise(-1.0))
+    return leg_pairs(spark, d).withColumn("sign", F.when((F.length("x") + F.length("y")) % 2 == 0, 1.0).otherwise(-1.0))
+
+
+def dimension(spark: SparkSession, d: str) -> DataFrame:
+    """Legs with stems of which two neighbours on a ladder share one."""
+    stem = F.concat(F.col("event_id"), F.lit(" reaches step "), F.when(F.col("ladder_order") < 2, "low").otherwise("high"))
+    return S.universe(spark, d).select(leg_name().alias("id"), stem.alias("stem"), "liquidity")
 
 
 def text_pairs(spark: SparkSession, d: str) -> DataFrame:
-    q = S.questions(spark, d).select("market_id", "event_id", "question")
+    q = S.titles(spark, d).select("market_id", "event_id", "question")
     return q.select(F.col("market_id").alias("a"), "event_id", F.col("question").alias("ta")).join(q.select(F.col("market_id").alias("b"), "event_id", F.col("question").alias("tb")), "event_id").where("a < b")
 
 
@@ -90,14 +104,16 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     return A.hy_corr(rets(spark, d), series_pairs(spark, d)).withColumn("cluster", F.lit("all"))
 
 
-def typed(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between members of an event: implied from the earlier to the later rank."""
-    from pyspark.sql import Window
+def groups(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors in groups of ten of a label; every third group implies by rank, the others are of equal kind."""
+    v = vectors(spark, d).select("id", "category")
+    group = F.concat_ws("-", F.col("category").cast("string"), F.floor(F.col("id") / 100).cast("string"))
+    relation = F.when(F.floor(F.col("id") / 100) % 3 == 0, " implies ").otherwise("same as")
+    return v.select(group.alias("group"), "id", relation.alias("relation"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("string")).alias("rank"), F.col("id").alias("seq"))
 
-    held = S.questions(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy("end_date", "market_id")))
-    a = held.select("event_id", F.col("market_id").alias("source"), F.col("rank").alias("ra"))
-    b = held.select("event_id", F.col("market_id").alias("target"), F.col("rank").alias("rb"))
-    return a.join(b, "event_id").where("rb = ra + 1").select("event_id", "source", "target", F.lit("IMPLIES").alias("relation"), F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi"))
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    return T.typed_edges(groups(spark, d), T.cosine_candidates(vectors(spark, d), least=0.1))
 
 
 def months(spark: SparkSession, d: str) -> DataFrame:
@@ -113,26 +129,32 @@ QUERIES = {
     "resolution_flag": lambda s, d: nested(s, d).select("market_id", U.resolution_flag(F.col("prices")).alias("resolution")),
     "question_filters": lambda s, d: U.question_filters(S.questions(s, d)).select("market_id"),
     "deadline_parse": lambda s, d: S.questions(s, d).select("market_id", X.deadline(F.col("question"), as_of()).cast("string").alias("deadline")),
-    "universe_build": lambda s, d: U.universe_build(nested(s, d), as_of()).drop("deadline_date"),
-    "market_universe": lambda s, d: U.market_universe(texts(s, d).withColumn("slug", F.left(F.md5(F.col("text").cast("binary")), F.lit(2)))),
+    "universe_build": lambda s, d: rounded(U.universe_build(S.event_docs(s, d), as_of()).withColumn("deadline_date", F.col("deadline_date").cast("string")), 4),
+    "market_universe": lambda s, d: rounded(U.market_rows(S.event_docs(s, d)), 4),
+    "last_of_slug": lambda s, d: U.market_universe(texts(s, d).withColumn("slug", F.left(F.md5(F.col("text").cast("binary")), F.lit(2)))),
     "category_assign": lambda s, d: U.category_assign(S.universe(s, d), CATEGORIES).select("event_id", "ladder_label", "category"),
     "tag_filter_group": lambda s, d: U.tag_groups(S.universe(s, d), exclude=["error"], least=4).select("tag", "event_id", "ladder_label", "n"),
-    "date_strip": lambda s, d: S.questions(s, d).select("market_id", X.strip_dates(F.col("question")).alias("stem")),
-    "threshold_strip": lambda s, d: S.table(s, d, "part").select("p_partkey", X.strip_thresholds(F.concat(F.lit("Above $1,200.50k or at least "), F.col("p_size").cast("string"), F.lit("% over "), F.col("p_name"))).alias("stem")),
-    "underlying_stem": lambda s, d: S.questions(s, d).select("market_id", X.strip_thresholds(X.strip_dates(F.col("question"))).alias("stem")),
-    "norm_tokens": lambda s, d: S.questions(s, d).select("market_id", X.norm_tokens(F.col("question")).alias("tokens")),
+    "primary_tag_group": lambda s, d: U.tag_groups(S.universe(s, d), exclude=["error"], only=["click", "view", "purchase"], least=4, primary=True).select("tag", "event_id", "ladder_label", "n"),
+    "date_strip": lambda s, d: S.titles(s, d).select("market_id", X.strip_dates(F.col("question")).alias("stem")),
+    "threshold_strip": lambda s, d: S.titles(s, d).select("market_id", X.strip_thresholds(F.col("question")).alias("stem")),
+    "underlying_stem": lambda s, d: S.titles(s, d).select("market_id", X.strip_thresholds(X.strip_dates(F.col("question"))).alias("stem")),
+    "norm_tokens": lambda s, d: S.titles(s, d).select("market_id", F.array_sort(X.norm_tokens(F.col("question"))).alias("tokens")),
     "block_text": lambda s, d: texts(s, d).select("market_id", F.coalesce(F.nullif(F.trim("question"), F.lit("")), F.replace("event_id", F.lit("-"), F.lit(" "))).alias("block")),
     "near_dup": lambda s, d: rounded(T.near_dup(text_pairs(s, d)).select("a", "b", "jaccard")),
     "collapse_exclusive": lambda s, d: rounded(U.collapse_exclusive(texts(s, d)).withColumn("size", F.length("text")).drop("text")),
-    "collapse_calendar": lambda s, d: U.collapse_calendar(S.questions(s, d)),
-    "underlyings": lambda s, d: rounded(U.underlyings(S.questions(s, d).withColumn("category", F.col("status")))),
-    "topn_per_category": lambda s, d: rounded(U.underlyings(S.questions(s, d).withColumn("category", F.col("status")), n=2)),
+    "collapse_calendar": lambda s, d: U.collapse_calendar(S.titles(s, d)),
+    "calendar_mapping": lambda s, d: U.calendar_mapping(S.titles(s, d)),
+    "underlyings": lambda s, d: rounded(U.underlyings(S.titles(s, d))),
+    "topn_per_category": lambda s, d: rounded(U.underlyings(S.titles(s, d), n=2)),
     "tfidf_weights": lambda s, d: rounded(tfidf(s, d), 7),
     "cosine_candidates": lambda s, d: rounded(T.cosine_candidates(vectors(s, d)), 7),
     "cap_pairs_per_category": lambda s, d: rounded(T.cap_pairs(T.cosine_candidates(vectors(s, d), least=0.3), 5), 7),
     "tfidf_cosine": lambda s, d: rounded(scored(s, d).select("a", "b", "tfidf"), 7),
     "edge_score": lambda s, d: rounded(scored(s, d).select("a", "b", "score"), 7),
+    "best_pairs": lambda s, d: rounded(T.best_pairs(T.cap_pairs(T.cosine_candidates(vectors(s, d), least=0.2), 50)), 7),
     "cluster_pairs": lambda s, d: T.cluster_pairs(clusters(s, d)),
+    "cluster_pairs_cross_event": lambda s, d: T.cluster_pairs(clusters(s, d).withColumn("event_id", F.col("id") % 7), cross_event=True),
+    "cluster_edge_score": lambda s, d: rounded(T.cluster_edge_score(clusters(s, d), vectors(s, d), tfidf(s, d), least=0.1), 6).select("cluster", "a", "b", "tfidf", "cosine", "score"),
     "degree": lambda s, d: T.degree(edges(s, d)),
     "components": lambda s, d: T.components(edges(s, d)),
     "communities": lambda s, d: T.communities(edges(s, d)),
@@ -140,7 +162,7 @@ QUERIES = {
     "graph_summary": lambda s, d: T.components(edges(s, d)).groupBy("component").agg(F.count("*").alias("size")),
     "graph_tables": lambda s, d: texts(s, d).join(T.degree(edges(s, d)).withColumnRenamed("id", "market_id"), "market_id", "left").select("market_id", "event_id", "category", F.coalesce("degree", F.lit(0)).alias("degree")),
     "group_size_filter": lambda s, d: S.questions(s, d).groupBy("event_id").agg(F.count("*").alias("n")).where("n >= 2"),
-    "typed_edges": typed,
+    "typed_edges": lambda s, d: rounded(typed(s, d), 6),
     "change_points": lambda s, d: A.change_points(series(s, d)),
     "realised_var": lambda s, d: rounded(A.realised_var(rets(s, d))),
     "hy_overlap": lambda s, d: rounded(A.hy_cov(rets(s, d), series_pairs(s, d)), 8),
@@ -150,64 +172,100 @@ QUERIES = {
     "cluster_report": lambda s, d: rounded(A.loo_r2(matrix(s, d)).groupBy("cluster").agg(F.count("*").alias("n"), F.percentile("r2", F.lit(0.5)).alias("median_r2"), F.max("r2").alias("max_r2")), 8),
     "pair_corr": lambda s, d: rounded(correlations(s, d)),
     "sign_agreement": lambda s, d: A.sign_agreement(correlations(s, d), claims(s, d)).select("x", "y", "agrees"),
-    "pairs_resolve": lambda s, d: claims(s, d).join(S.universe(s, d).where("ladder_order = 0").select(F.col("event_id").alias("x"), F.col("liquidity").alias("lx")), "x").join(S.universe(s, d).where("ladder_order = 0").select(F.col("event_id").alias("y"), F.col("liquidity").alias("ly")), "y"),
+    "pairs_resolve": lambda s, d: rounded(A.pairs_resolve(claims(s, d), dimension(s, d)), 3),
     "date_matched_pairs": months,
-    "category_export": lambda s, d: U.underlyings(S.questions(s, d).withColumn("category", F.col("status"))).groupBy("category").agg(F.count("*").alias("n")),
+    "category_export": lambda s, d: U.underlyings(S.titles(s, d)).groupBy("category").agg(F.count("*").alias("n")),
 }
 
 Q = """q AS (SELECT o_orderkey AS market_id, o_custkey AS event_id, 'Will ' || o_orderpriority || ' order close ' || CASE WHEN o_orderkey % 7 = 0 THEN 'before ' || year(o_orderdate) WHEN o_orderkey % 5 = 0 THEN 'by ' || strftime(o_orderdate, '%B %-d') ELSE 'by ' || strftime(o_orderdate, '%B %-d, %Y') END || '?' AS question,
   o_totalprice::DOUBLE AS volume, o_orderdate::DATE AS end_date, o_orderstatus AS status, o_orderdate::DATE AS od FROM orders)"""
 N = Q + """, n AS (SELECT *, CASE WHEN market_id % 3 = 0 THEN 'B' || market_id WHEN market_id % 11 = 0 THEN NULL ELSE 'A' || market_id END AS yes_token, CASE WHEN market_id % 3 = 0 THEN 'A' || market_id WHEN market_id % 11 = 0 THEN NULL ELSE 'B' || market_id END AS no_token FROM q)"""
 DL = "CASE WHEN market_id % 7 = 0 THEN make_date(year(od) - 1, 12, 31) WHEN market_id % 5 = 0 THEN CASE WHEN (strftime(od, '2024-%m-%d'))::DATE >= DATE '2024-01-15' THEN strftime(od, '2024-%m-%d')::DATE ELSE try_cast(strftime(od, '2025-%m-%d') AS DATE) END ELSE od END"
-STEM = "'will ' || lower(o_orderpriority) || ' order close'"
-MT = "mt AS (SELECT doc_id AS market_id, source AS event_id, lang AS category, text, substr(text, 1, 80) AS question, n_chars::DOUBLE AS volume FROM documents)"
+TITLES = r"""tt AS (SELECT o_orderkey AS market_id, o_custkey AS event_id, o_totalprice::DOUBLE AS volume, o_orderstatus AS category, CASE o_orderkey % 10
+  WHEN 0 THEN 'Will the market decide on a novel marathon by ' || strftime(o_orderdate, '%B %-d, %Y') || '?'
+  WHEN 1 THEN o_orderpriority || ' reaches $5000 in 1999 shares before ' || strftime(o_orderdate, '%b. %-d') || 'th, ' || year(o_orderdate)
+  WHEN 2 THEN 'Q' || quarter(o_orderdate) || ' 2024 revenue of ' || 'Clerk#' || o_custkey || ' above 1,200.5 million - by end of 2025.'
+  WHEN 3 THEN 'GDP under 2.5% on ' || strftime(o_orderdate, '%-m/%-d/%Y') || ', says ' || o_orderpriority
+  WHEN 4 THEN '“' || 'Clerk#' || o_custkey || '” (High) reaches $1.6T in ' || strftime(o_orderdate, '%B') || ' 2026'
+  WHEN 5 THEN 'Will ' || o_orderpriority || ' be over $' || (o_orderkey % 1000) || ',000 after ' || strftime(o_orderdate, '%B') || '?'
+  WHEN 6 THEN 'Clerk#' || o_custkey || ' through 2026, at least 3 thousand units until'
+  WHEN 7 THEN 'Moreover, thunder in 2031 by May 5th and at 12,2027 for ' || o_orderpriority
+  WHEN 8 THEN ' ?'
+  ELSE 'Will (the 5) 1,550 of ‘' || o_orderpriority || '’ GPT-5 “1550” win at Omar 5?' END AS question FROM orders)"""
+_lead, _dates, _year = X.any_of(X.DATE_LEADS), X.any_of(X.DATES), X.any_of([*X.DATES, X.YEAR, X.MONTH])
+# without look-behind, the character before a year is matched and put back
+DATED = rf"""trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(question), '\b{_lead}\s+{_year}', ' ', 'g'), '{_dates}\b', ' ', 'g'), '(^|[^0-9$,.]){X.YEAR}\b', '\1 ', 'g'), '\s+', ' ', 'g')), '\b{_lead}\s*$', ''), ' ?.,-')"""
+_amounts = [r"\$\s*[0-9][0-9,]*(\.[0-9]+)?\s*[tbmk]?\b", r"[0-9]+(\.[0-9]+)?\s*%", r"[0-9][0-9,]*(\.[0-9]+)?\s*(trillion|billion|million|thousand)\b"]
+
+
+def _no_amounts(text: str) -> str:
+    for pattern in [*_amounts, *X.COMPARISONS]:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'), ' ?.,-')"
+
+
+PLAIN = TITLES + f", ts AS (SELECT *, {DATED} AS dated FROM tt), us AS (SELECT *, {_no_amounts('dated')} AS under FROM ts)"
+MT = "mt AS (SELECT doc_id AS market_id, source AS event_id, lang AS category, text, string_split(text, chr(10))[1] AS question, n_chars::DOUBLE AS volume FROM documents)"
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-TF = f"""tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM tk WHERE term NOT IN ({STOPS}) GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT term, count(*) AS df, n FROM tf, nn GROUP BY term, n HAVING n < 25 OR count(*) <= 0.6 * n), rw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df USING (term)), wt AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM rw)"""
+TF = f"""wd AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({STOPS})) AS w FROM documents), tk AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd), tf AS (SELECT id, term, count(*) AS tf FROM tk GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT term, count(*) AS df, n FROM tf, nn GROUP BY term, n HAVING n < 25 OR count(*) <= 0.6 * n ORDER BY sum(tf) DESC, term LIMIT 50000), rw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df USING (term)), wt AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM rw)"""
 VEC = "ve AS (SELECT vec_id AS id, label AS category, vec_id % 7 AS event_id, embedding::DOUBLE[] AS x FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(x, x)) AS len FROM ve), cp AS (SELECT a.category, a.id AS a, b.id AS b, list_dot_product(a.x, b.x) / (a.len * b.len) AS cosine FROM vn a JOIN vn b ON a.category = b.category AND a.id < b.id AND a.event_id <> b.event_id)"
 CH = "se AS (SELECT event_type AS series, epoch_us(ts) AS t, event_id AS seq, round(least(greatest(value / 500, 0.0), 1.0), 4) AS p FROM events), c0 AS (SELECT *, lag(p) OVER (PARTITION BY series ORDER BY t, seq) AS pp FROM se), ch AS (SELECT series, t, seq, p, row_number() OVER (PARTITION BY series ORDER BY t, seq) AS k FROM c0 WHERE pp IS NULL OR p <> pp), rt AS (SELECT * FROM (SELECT series, lag(t) OVER w AS a, t AS b, p - lag(p) OVER w AS d FROM ch WINDOW w AS (PARTITION BY series ORDER BY k)) WHERE a IS NOT NULL)"
 HY = CH + ", rv AS (SELECT series, sum(d * d) AS rv FROM rt GROUP BY 1), hc AS (SELECT x.series AS x, y.series AS y, sum(x.d * y.d) AS cov FROM rt x JOIN rt y ON x.series < y.series AND y.b > x.a AND y.a < x.b GROUP BY ALL), hr AS (SELECT x, y, cov, least(greatest(cov / sqrt(v.rv * w.rv), -0.999), 0.999) AS rho FROM hc JOIN rv v ON v.series = x JOIN rv w ON w.series = y)"
-PC = FILLED + ", hs AS (SELECT event_id AS series, bar, p FROM filled WHERE ladder_order = 0), hb AS (SELECT a.series AS x, b.series AS y, a.bar, a.p AS px, b.p AS py FROM hs a JOIN hs b ON a.bar = b.bar AND a.series < b.series), hd AS (SELECT *, px - lag(px) OVER w AS dx, py - lag(py) OVER w AS dy FROM hb WINDOW w AS (PARTITION BY x, y ORDER BY bar)), pc AS (SELECT x, y, count(*) AS n, corr(px, py) AS level, CASE WHEN count(dx) >= 48 AND stddev_samp(dx) > 0 AND stddev_samp(dy) > 0 THEN corr(dx, dy) END AS changes FROM hd GROUP BY ALL HAVING count(*) >= 72)"
+PC = FILLED + ", hs AS (SELECT event_id || '/' || ladder_label AS series, bar, p FROM filled), la AS (SELECT series, arg_max(p, bar) AS last FROM hs GROUP BY 1), hb AS (SELECT a.series AS x, b.series AS y, a.bar, a.p AS px, b.p AS py FROM hs a JOIN hs b ON a.bar = b.bar AND a.series < b.series), hd AS (SELECT *, px - lag(px) OVER w AS dx, py - lag(py) OVER w AS dy FROM hb WINDOW w AS (PARTITION BY x, y ORDER BY bar)), pc AS (SELECT x, y, count(*) AS n, corr(px, py) AS level, CASE WHEN count(dx) >= 48 AND stddev_samp(dx) > 0 AND stddev_samp(dy) > 0 THEN corr(dx, dy) END AS changes FROM hd GROUP BY ALL HAVING count(*) >= 72)"
 ED = VEC + ", ed AS (SELECT a, b FROM cp WHERE cosine >= 0.45)"
 COMP = ED + ", un AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT DISTINCT a AS id, a AS m FROM un UNION SELECT u.b, r.m FROM re r JOIN un u ON u.a = r.id AND r.m < u.b), co AS (SELECT id, min(m) AS component FROM re GROUP BY 1)"
-UND = f"un AS (SELECT o_orderstatus AS category, {STEM} AS stem, o_orderkey AS market_id, o_totalprice::DOUBLE AS volume FROM orders), uu AS (SELECT category, stem, arg_max(market_id, (volume, -market_id)) AS market_id, max(volume) AS volume, count(*) AS n_markets FROM un GROUP BY ALL), ur AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY volume DESC, stem) AS INTEGER) AS rank FROM uu)"
+UND = PLAIN + ", uu AS (SELECT category, under AS stem, arg_max(market_id, (volume, -market_id)) AS market_id, max(volume) AS volume, count(*) AS n_markets FROM us WHERE under <> '' GROUP BY ALL), ur AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY volume DESC, stem) AS INTEGER) AS rank FROM uu)"
+TOKENS = rf"""list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(translate(lower(question), '‘’“”', '''''""'), '\([^)]*\)', ' ', 'g'), '\s+'), lambda t: trim(t, '.,?''"()-')), lambda t: t <> '' AND t NOT IN ({STOPS}) AND NOT regexp_matches(t, '^[0-9][0-9.,]*$')))"""
+DOCS = f"""{N}, ed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY market_id) - 1 AS seq, sum(volume) OVER (PARTITION BY event_id) AS event_volume, CASE WHEN event_id % 13 = 0 THEN 'Red vs Blue, by date' WHEN event_id % 17 = 0 THEN 'Orders' ELSE 'Orders of ' || event_id || ' by date' END AS title,
+  'zone-' || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN ',even' ELSE '' END AS tags, CASE WHEN status = 'F' THEN 1.0::DOUBLE WHEN status = 'O' THEN NULL ELSE 0.0::DOUBLE END AS resolution, market_id % 7 / 100.0::DOUBLE AS market_spread, market_id % 4 = 0 AS neg_risk, CASE WHEN market_id % 6 = 0 THEN 0.001 ELSE 0.01 END::DOUBLE AS min_tick FROM n)"""
 SQL = {
     "token_extract": f"WITH {N} SELECT market_id, yes_token, no_token FROM n",
     "resolution_flag": "SELECT o_orderkey AS market_id, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE WHEN o_orderstatus = 'O' THEN NULL ELSE 0.0::DOUBLE END AS resolution FROM orders",
     "question_filters": f"WITH {Q} SELECT market_id FROM q WHERE (contains(lower(question), ' by ') OR contains(lower(question), 'before ')) AND NOT contains(question, ' vs ') AND NOT contains(question, ' vs. ')",
     "deadline_parse": f"WITH {Q} SELECT market_id, strftime({DL}, '%Y-%m-%d') AS deadline FROM q",
-    "universe_build": f"WITH {N}, m AS (SELECT *, coalesce({DL}, end_date) AS dd FROM n WHERE yes_token IS NOT NULL), l AS (SELECT event_id, dd, max(market_id) AS market_id, arg_max(yes_token, market_id) AS yes_token, arg_max(no_token, market_id) AS no_token FROM m GROUP BY ALL), c AS (SELECT event_id, count(*) AS n_dates FROM l GROUP BY 1 HAVING count(*) >= 2) SELECT event_id, market_id, (datediff('day', DATE '0001-01-01', dd) + 1)::DOUBLE AS ladder_order, strftime(dd, '%Y-%m-%d') AS ladder_label, yes_token, no_token, n_dates FROM l JOIN c USING (event_id)",
-    "market_universe": f"WITH {MT}, s AS (SELECT *, substr(md5(text), 1, 2) AS slug FROM mt WHERE text <> '') SELECT slug, max(market_id) AS market_id, arg_max(category, market_id) AS category FROM s GROUP BY 1",
+    "universe_build": f"WITH {DOCS}, m AS (SELECT *, coalesce({DL}, end_date) AS dd FROM ed WHERE yes_token IS NOT NULL AND title NOT LIKE '% vs %' AND title LIKE '%by%'), l AS (SELECT event_id, title, dd, arg_max(m, seq) AS m FROM m GROUP BY ALL), c AS (SELECT event_id, count(*) AS n_dates FROM l GROUP BY 1 HAVING count(*) >= 2) SELECT event_id, l.title AS title, strftime(l.dd, '%Y-%m-%d') AS deadline_date, 'calendar' AS ladder_type, (datediff('day', DATE '0001-01-01', l.dd) + 1)::DOUBLE AS ladder_order, strftime(l.dd, '%Y-%m-%d') AS ladder_label, n_dates, l.m.tags AS tags, round(l.m.event_volume, 4) AS event_volume, round(l.m.event_volume / 10, 4) AS event_liquidity, l.m.market_id AS market_id, l.m.question AS question, l.m.yes_token AS yes_token, l.m.no_token AS no_token, l.m.resolution AS resolution, l.m.volume AS market_volume, round(l.m.volume / 2, 4) AS market_liquidity, l.m.market_spread AS market_spread, l.m.neg_risk AS neg_risk, l.m.min_tick AS min_tick FROM l JOIN c USING (event_id)",
+    "last_of_slug": f"WITH {MT}, s AS (SELECT *, substr(md5(text), 1, 2) AS slug FROM mt WHERE text <> '') SELECT slug, max(market_id) AS market_id, arg_max(category, market_id) AS category FROM s GROUP BY 1",
+    "market_universe": f"WITH {DOCS}, k AS (SELECT *, 'm-' || (market_id % 5000) AS slug FROM ed), l AS (SELECT slug, arg_max(k, (event_id, seq)) AS m FROM k GROUP BY 1) SELECT slug, m.event_id AS event_id, m.title AS title, m.market_id AS market_id, m.question AS question, 'Resolves by ' || m.market_id AS criteria, m.tags AS tags, 'zone-' || (m.event_id % 5) AS primary_tag, m.neg_risk AS neg_risk, m.yes_token AS yes_token, m.no_token AS no_token, m.volume AS market_volume, round(m.volume / 2, 4) AS market_liquidity, round(m.event_volume, 4) AS event_volume FROM l",
     "category_assign": f"WITH {LEGS}, c AS (SELECT event_id, ladder_label, CASE WHEN event_id = 'purchase' THEN 'trade' WHEN event_id IN ('click', 'view') THEN 'visit' WHEN ladder_order % 2 = 0 THEN 'even' END AS category FROM legs) SELECT * FROM c WHERE category IS NOT NULL",
-    "tag_filter_group": f"WITH {LEGS}, t AS (SELECT event_id, ladder_label, unnest(string_split(tags, ',')) AS tag FROM legs), u AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM t WHERE tag <> 'error') SELECT tag, event_id, ladder_label, n FROM u WHERE n >= 4",
-    "date_strip": f"SELECT o_orderkey AS market_id, {STEM} AS stem FROM orders",
-    "threshold_strip": "SELECT p_partkey, trim(regexp_replace('or ' || lower(p_name), '\\s+', ' ', 'g')) AS stem FROM part",
-    "underlying_stem": f"SELECT o_orderkey AS market_id, {STEM} AS stem FROM orders",
+    "tag_filter_group": f"WITH {LEGS}, t AS (SELECT event_id, ladder_label, unnest(string_split(tags, ',')) AS tag FROM legs WHERE event_id <> 'error'), u AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM t) SELECT tag, event_id, ladder_label, n FROM u WHERE n >= 4",
+    "primary_tag_group": f"WITH {LEGS}, u AS (SELECT event_id AS tag, event_id, ladder_label, count(*) OVER (PARTITION BY event_id) AS n FROM legs WHERE event_id IN ('click', 'view', 'purchase')) SELECT * FROM u WHERE n >= 4",
+    "date_strip": f"WITH {PLAIN} SELECT market_id, dated AS stem FROM ts",
+    "threshold_strip": f"WITH {TITLES} SELECT market_id, {_no_amounts('lower(question)')} AS stem FROM tt",
+    "underlying_stem": f"WITH {PLAIN} SELECT market_id, under AS stem FROM us",
+    "norm_tokens": f"WITH {TITLES} SELECT market_id, list_sort({TOKENS}) AS tokens FROM tt",
+    "near_dup": f"WITH {TITLES}, k AS (SELECT market_id, event_id, {TOKENS} AS t FROM tt), j AS (SELECT a.market_id AS a, b.market_id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS jaccard FROM k a JOIN k b ON a.event_id = b.event_id AND a.market_id < b.market_id AND len(a.t) > 0 AND len(b.t) > 0) SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.85",
     "block_text": f"WITH {MT} SELECT market_id, coalesce(nullif(trim(question, ' '), ''), replace(event_id, '-', ' ')) AS block FROM mt",
     "collapse_exclusive": f"WITH {MT} SELECT event_id, arg_min(question, market_id) AS question, count(*) AS n_outcomes, sum(volume) AS volume, CAST(max(length(text)) AS INTEGER) AS size FROM mt GROUP BY 1",
-    "collapse_calendar": f"WITH s AS (SELECT {STEM} AS stem, count(*) AS n_dates, min(o_orderkey) AS first FROM orders GROUP BY 1) SELECT stem, n_dates, first, CASE WHEN n_dates > 1 THEN 'cal::' || substr(md5(stem), 1, 10) ELSE first::VARCHAR END AS id FROM s",
-    "underlyings": f"WITH {UND} SELECT * FROM ur WHERE rank <= 150",
-    "topn_per_category": f"WITH {UND} SELECT * FROM ur WHERE rank <= 2",
+    "collapse_calendar": f"WITH {PLAIN}, s AS (SELECT dated AS stem, CASE WHEN dated = '' THEN market_id END AS alone, count(*) AS n_dates, min(market_id) AS first FROM ts GROUP BY ALL) SELECT stem, n_dates, first, CASE WHEN n_dates > 1 THEN 'cal::' || substr(md5(stem), 1, 10) ELSE first::VARCHAR END AS id FROM s",
+    "calendar_mapping": f"WITH {PLAIN}, s AS (SELECT market_id, dated, count(*) OVER (PARTITION BY dated) AS n FROM ts) SELECT market_id, CASE WHEN n > 1 AND dated <> '' THEN 'cal::' || substr(md5(dated), 1, 10) ELSE market_id::VARCHAR END AS id FROM s",
+    "underlyings": f"WITH {UND} SELECT category, stem, market_id, volume, n_markets, rank FROM ur WHERE rank <= 150",
+    "topn_per_category": f"WITH {UND} SELECT category, stem, market_id, volume, n_markets, rank FROM ur WHERE rank <= 2",
     "tfidf_weights": f"WITH {TF} SELECT id, term, round(w, 7) AS w FROM wt",
     "cosine_candidates": f"WITH {VEC} SELECT category, a, b, round(cosine, 7) AS cosine FROM cp WHERE cosine >= 0.45",
     "cap_pairs_per_category": f"WITH {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cosine DESC, a, b) AS r FROM cp WHERE cosine >= 0.3) SELECT category, a, b, round(cosine, 7) AS cosine FROM r WHERE r <= 5",
     "tfidf_cosine": f"WITH {TF}, {VEC}, t AS (SELECT a, b, sum(x.w * y.w) AS tfidf FROM cp JOIN wt x ON x.id = a JOIN wt y ON y.id = b AND y.term = x.term WHERE cosine >= 0.3 GROUP BY ALL) SELECT a, b, round(coalesce(tfidf, 0), 7) AS tfidf FROM cp LEFT JOIN t USING (a, b) WHERE cosine >= 0.3",
     "edge_score": f"WITH {TF}, {VEC}, t AS (SELECT a, b, sum(x.w * y.w) AS tfidf FROM cp JOIN wt x ON x.id = a JOIN wt y ON y.id = b AND y.term = x.term WHERE cosine >= 0.3 GROUP BY ALL) SELECT a, b, round(least(greatest(0.5 * coalesce(tfidf, 0) + 0.5 * cosine, 0), 1), 7) AS score FROM cp LEFT JOIN t USING (a, b) WHERE cosine >= 0.3",
+    "best_pairs": f"WITH {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY cosine DESC, a, b) AS r FROM cp WHERE cosine >= 0.2) SELECT a, b, round(max(cosine), 7) AS cosine, arg_max(category, cosine) AS category FROM r WHERE r <= 50 GROUP BY ALL",
+    "cluster_pairs_cross_event": "SELECT a.label::VARCHAR AS cluster, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 7 <> b.vec_id % 7",
+    "cluster_edge_score": f"WITH {TF}, {VEC}, ap AS (SELECT a.category::VARCHAR AS cluster, a.id AS a, b.id AS b, list_dot_product(a.x, b.x) / (a.len * b.len) AS cosine FROM vn a JOIN vn b ON a.category = b.category AND a.id < b.id), t AS (SELECT a, b, sum(x.w * y.w) AS tfidf FROM ap JOIN wt x ON x.id = a JOIN wt y ON y.id = b AND y.term = x.term GROUP BY ALL), e AS (SELECT cluster, a, b, coalesce(tfidf, 0) AS tfidf, cosine, least(greatest(0.5 * coalesce(tfidf, 0) + 0.5 * cosine, 0), 1) AS score FROM ap LEFT JOIN t USING (a, b)) SELECT cluster, a, b, round(tfidf, 6) AS tfidf, round(cosine, 6) AS cosine, round(score, 6) AS score FROM e WHERE score >= 0.1",
     "cluster_pairs": "SELECT a.label::VARCHAR AS cluster, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id",
     "degree": f"WITH {ED} SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1",
     "components": f"WITH RECURSIVE {COMP} SELECT * FROM co",
     "graph_summary": f"WITH RECURSIVE {COMP} SELECT component, count(*) AS size FROM co GROUP BY 1",
     "graph_tables": f"WITH {ED}, {MT}, dg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1) SELECT market_id, event_id, category, coalesce(degree, 0) AS degree FROM mt LEFT JOIN dg ON id = market_id",
     "group_size_filter": "SELECT o_custkey AS event_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2",
-    "typed_edges": f"WITH {Q}, r AS (SELECT event_id, market_id, row_number() OVER (PARTITION BY event_id ORDER BY end_date, market_id) AS rank FROM q) SELECT a.event_id, a.market_id AS source, b.market_id AS target, 'IMPLIES' AS relation, least(a.market_id, b.market_id) AS lo, greatest(a.market_id, b.market_id) AS hi FROM r a JOIN r b ON a.event_id = b.event_id AND b.rank = a.rank + 1",
+    "typed_edges": f"""WITH {VEC}, gr AS (SELECT category || '-' || (id // 100) AS grp, id, CASE WHEN (id // 100) % 3 = 0 THEN 'IMPLIES' ELSE 'SAME AS' END AS relation, CASE WHEN id % 5 = 0 THEN 9999 ELSE id % 5 END AS rank FROM ve),
+e AS (SELECT a.grp AS "group", a.id AS source, b.id AS target, a.relation, a.relation = 'IMPLIES' AS directed FROM gr a JOIN gr b ON a.grp = b.grp AND CASE WHEN a.relation = 'IMPLIES' THEN (a.rank, a.id) < (b.rank, b.id) ELSE a.id < b.id END)
+SELECT "group", source, target, relation, directed, round(cosine, 6) AS cosine FROM e LEFT JOIN (SELECT * FROM cp WHERE cosine >= 0.1) c ON c.a = least(source, target) AND c.b = greatest(source, target)""",
     "change_points": f"WITH {CH} SELECT * FROM ch",
     "realised_var": f"WITH {CH} SELECT series, round(sum(d * d), 9) AS rv FROM rt GROUP BY 1",
     "hy_overlap": f"WITH {HY} SELECT x, y, round(cov, 8) AS cov FROM hc",
     "hy_corr": f"WITH {HY} SELECT x, y, round(cov, 8) AS cov, round(rho, 8) AS rho FROM hr",
     "hy_corr_matrix": f"WITH {HY} SELECT 'all' AS cluster, x, y, round(rho, 8) AS rho FROM hr",
-    "pair_corr": f"WITH {PC} SELECT x, y, n, round(level, 9) AS level, round(changes, 9) AS changes FROM pc",
+    "pair_corr": f"WITH {PC} SELECT x, y, n, round(level, 9) AS level, round(changes, 9) AS changes, round(a.last, 9) AS last_x, round(b.last, 9) AS last_y FROM pc JOIN la a ON a.series = x JOIN la b ON b.series = y",
     "sign_agreement": f"WITH {PC} SELECT x, y, sign(changes) = CASE WHEN (length(x) + length(y)) % 2 = 0 THEN 1 ELSE -1 END AS agrees FROM pc",
-    "pairs_resolve": f"WITH {LEGS}, l AS (SELECT event_id, liquidity FROM legs WHERE ladder_order = 0) SELECT a.event_id AS x, b.event_id AS y, CASE WHEN (length(a.event_id) + length(b.event_id)) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, a.liquidity AS lx, b.liquidity AS ly FROM l a JOIN l b ON a.event_id < b.event_id",
+    "pairs_resolve": f"WITH {LEGS}, l AS (SELECT event_id || '/' || ladder_label AS id, event_id || ' reaches step ' || CASE WHEN ladder_order < 2 THEN 'low' ELSE 'high' END AS stem, liquidity FROM legs) SELECT a.id AS x, b.id AS y, CASE WHEN (length(a.id) + length(b.id)) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, a.stem AS stem_x, b.stem AS stem_y, round(a.liquidity, 3) AS liquidity_x, round(b.liquidity, 3) AS liquidity_y FROM l a JOIN l b ON a.id < b.id AND a.stem <> b.stem",
     "date_matched_pairs": f"WITH b AS (SELECT substr(o_orderpriority, 1, 1) AS category, strftime(o_orderdate, '%Y-%m') AS month, arg_max(o_orderkey, (o_totalprice::DOUBLE, o_orderkey)) AS market_id FROM orders GROUP BY ALL) SELECT a.month, a.category AS ca, a.market_id AS ma, b.category AS cb, b.market_id AS mb FROM b a JOIN b ON a.month = b.month AND a.category < b.category",
     "category_export": f"WITH {UND} SELECT category, count(*) AS n FROM ur WHERE rank <= 150 GROUP BY 1",
 }

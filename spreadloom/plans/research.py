@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import book as B
@@ -17,6 +17,7 @@ from . import ladder as L
 from .ladder import PAIR, rounded
 
 HS, WS, FLOOR = [3, 6], [24, 48], 1.5
+ZS, CAPS, SIGMA = [2.0, 2.5, 3.0], [0.004, 0.006, 0.008], 0.15
 
 
 def cands(spark: SparkSession, d: str) -> DataFrame:
@@ -26,11 +27,11 @@ def cands(spark: SparkSession, d: str) -> DataFrame:
 def _grid_sql() -> str:
     over = "OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar"
     parts = []
-    ds = ", ".join(f"spread - lag(spread, {h}) {over}) AS ds{h}, lead(spread, {h + 1}) {over}) - lead(spread, 1) {over}) AS fw{h}" for h in HS)
+    ds = ", ".join(f"spread - lag(spread, {h}) {over}) AS ds{h}, lead(spread, {h + 1}) {over}) - lead(spread, 1) {over}) AS fw{h}" for h in HS) + f", lead(spread, 1) {over}) AS s_in"
     for h in HS:
         for w in WS:
             frame = f"{over} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
-            parts.append(f"SELECT event_id, short_dd, long_dd, bar, spread AS S, {h} AS h, {w} AS w, CASE WHEN count(ds{h}) {frame} >= {max(10, w // 3)} AND stddev_samp(ds{h}) {frame} > 1e-9 THEN (ds{h} - avg(ds{h}) {frame}) / stddev_samp(ds{h}) {frame} END AS z, ds{h} AS dS, fw{h} AS fwd FROM dd")
+            parts.append(f"SELECT event_id, short_dd, long_dd, bar, spread AS S, s_in, {h} AS h, {w} AS w, stddev_samp(ds{h}) {frame} AS sd, CASE WHEN count(ds{h}) {frame} >= {max(10, w // 3)} AND stddev_samp(ds{h}) {frame} > 1e-9 THEN (ds{h} - avg(ds{h}) {frame}) / stddev_samp(ds{h}) {frame} END AS z, ds{h} AS dS, fw{h} AS fwd FROM dd")
     return L.SPREADS + f", dd AS (SELECT *, {ds} FROM sp), ca AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE z IS NOT NULL AND fwd IS NOT NULL AND abs(z) >= {FLOOR})"
 
 
@@ -45,8 +46,8 @@ def _fold(name: str, source: str, keys: str, order: str, free: str) -> str:
 {name} AS (SELECT t.* FROM {name}0 t JOIN {name}f USING ({keys}, k) WHERE kept)"""
 
 
-NONOVER = CA + ", c2 AS (SELECT * FROM ca WHERE abs(z) >= 2)" + _fold("no", "c2", "event_id, short_dd, long_dd, h, w", "bar", "bar + h")
-NOEVENT = CA + ", c2 AS (SELECT * FROM ca WHERE abs(z) >= 2)" + _fold("ne", "c2", "event_id, h, w", "bar, abs(z) DESC, short_dd, long_dd", "bar + h")
+NONOVER = CA + ", c2 AS (SELECT * FROM ca WHERE abs(z) >= 2)" + _fold("no", "c2", "event_id, short_dd, long_dd, h, w", "bar", "bar + h + 1")
+NOEVENT = CA + ", c2 AS (SELECT * FROM ca WHERE abs(z) >= 2)" + _fold("ne", "c2", "event_id, h, w", "bar, round(abs(z), 9) DESC, short_dd, long_dd", "bar + h + 1")
 FILLS = """fl AS (SELECT event_id AS fill_id, event_type AS event_id, 'L' || (user_id % 4) AS ladder_label, user_id AS wallet, CASE WHEN event_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS outcome, CASE WHEN (event_id // 2) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
   value AS size, round(least(greatest(value / 500, 0.0), 1.0), 4) AS price, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS sec FROM events),
 fs AS (SELECT *, CASE WHEN outcome = 'YES' THEN price ELSE 1 - price END AS p_yes, CASE WHEN (side = 'BUY') = (outcome = 'YES') THEN size ELSE -size END AS flow FROM fl)"""
@@ -83,6 +84,9 @@ def concentrated(spark: SparkSession, d: str) -> DataFrame:
     return W.flow_concentration(g, X.fills(spark, d), seconds=6 * 3600)
 
 
+GRID = (*PAIR, "h", "w", "bar", "z", "S", "dS", "fwd")
+
+
 def raw_logs(spark: SparkSession, d: str) -> DataFrame:
     """Raw logs with words of 64 hex digits made of events."""
     word = lambda c: F.lpad(F.lower(F.hex(c.cast("long"))), 64, "0")
@@ -98,7 +102,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
-    return O.ledger_replay(L.signals(spark, d), L.spreads(spark, d).where(F.col("bar") % 5 == 0), keys=PAIR)
+    return O.ledger_replay(L.signals(spark, d), L.spreads(spark, d), keys=PAIR)
 
 
 def detected(spark: SparkSession, d: str) -> DataFrame:
@@ -110,19 +114,43 @@ def closed(spark: SparkSession, d: str) -> DataFrame:
     return O.realized_pnl(rows)
 
 
+def costed(spark: SparkSession, d: str) -> DataFrame:
+    return R.level_cost(cands(spark, d), X.universe(spark, d))
+
+
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    g = cands(spark, d).where((F.abs("z") >= 2) & (F.col("S") >= 0))
-    return R.nonoverlap_event(g, z=2.0)
+    return R.clean_signals(cands(spark, d), z=2.0, sigma_floor=SIGMA)
+
 
+def deep(spark: SparkSession, d: str) -> DataFrame:
+    return R.deep_grid(costed(spark, d), thresholds=ZS, caps=CAPS)
+
+
+def diffz_grid(spark: SparkSession, d: str) -> DataFrame:
+    return R.diffz_grid(costed(spark, d), [1.5, 2.0, 2.5, 3.0])
 
-def funnel(spark: SparkSession, d: str) -> DataFrame:
-    z, s = F.abs("z") >= 2, F.col("S") >= 0
-    return cands(spark, d).groupBy("h", "w").agg(F.count("*").alias("n"), F.count_if(z).alias("n_z"), F.count_if(z & s).alias("n_level"), F.count_if(z & s & (F.abs("dS") >= 0.05)).alias("n_size"))
+
+def on_time(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of the sparse panel on its time-true grid, where a missing bar is missing and not skipped."""
+    sparse = S.spread_panel(L.P.bars_last(X.price_points(spark, d), minutes=240))
+    return R.diffz_signals(R.time_grid(sparse), hs=[3], windows=[24], z_floor=1.0)
 
 
 def distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Trades by event, and the share of all profit that the events down to each one make."""
     t = L.trades(spark, d)
-    return rounded(t.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit"), F.min("entry_bar").alias("first"), F.max("entry_bar").alias("last"), F.count_distinct(F.floor(F.col("entry_bar") / 24)).alias("days")))
+    each = t.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit"), F.min("entry_bar").alias("first"), F.max("entry_bar").alias("last"), F.count_distinct(F.floor(F.col("entry_bar") / 24)).alias("days"))
+    best = Window.orderBy(F.desc(F.round("total", 9)), "event_id")  # over one row an event
+    share = F.sum("total").over(best.rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("total").over(Window.partitionBy()), F.lit(0.0))
+    return rounded(each.withColumns({"rank": F.row_number().over(best), "top_share": share}), 6)
+
+
+def monthly(spark: SparkSession, d: str) -> DataFrame:
+    """Trades and profit a month, empty months included."""
+    month = lambda bar: F.trunc(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(bar / 24).cast("int")), "month")
+    t = L.trades(spark, d).groupBy(month(F.col("entry_bar")).alias("month")).agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"))
+    months = t.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    return rounded(months.join(t, "month", "left").select(F.date_format("month", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pnl", F.lit(0.0)).alias("pnl")))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
@@ -133,47 +161,68 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tightness(spark: SparkSession, d: str) -> DataFrame:
-    g = leg_cost_default(R.reversion(cands(spark, d)), X.universe(spark, d))
-    each = g.withColumn("cap", F.explode(F.array(*[F.lit(c) for c in (0.008, 0.012, 0.02)]))).where(F.round("cost", 6) <= F.col("cap"))
-    return rounded(each.groupBy("h", "w", "cap").agg(F.count("*").alias("n"), F.avg(F.col("gross") - F.col("cost")).alias("net")).where("n >= 30"))
-
-
-def deep(spark: SparkSession, d: str) -> DataFrame:
-    kept = R.reversion(R.nonoverlap_pair(cands(spark, d), z=2.0))
-    return rounded(kept.groupBy("h", "w").agg(F.count("*").alias("n"), F.avg("gross").alias("net"), F.avg((F.col("gross") > 0).cast("double")).alias("hit"), tstat(F.col("gross")).alias("t")))
+    each = R.reversion(costed(spark, d)).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in CAPS]))).where(F.col("max_leg") <= F.col("cap"))
+    net = F.col("gross") - F.col("cost")
+    return rounded(each.groupBy("h", "w", "cap").agg(F.count("*").alias("n"), F.avg("gross").alias("gross"), F.avg(net).alias("net"), F.avg((net > 0).cast("double")).alias("hit")).where("n >= 30"))
 
 
 def conditioned(spark: SparkSession, d: str) -> DataFrame:
+    """Trades whose flow before the signal comes from one wallet or several, and from above or below the median share."""
     t = L.trades(spark, d).withColumn("id", F.concat_ws("|", *PAIR, F.col("signal_bar").cast("string")))
-    held = t.join(concentrated(spark, d), "id")
-    return rounded(held.groupBy((F.col("wallets") == 1).alias("lone")).agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), tstat(F.col("pnl")).alias("t")))
+    held = t.join(concentrated(spark, d), "id").where("top_share is not null").select("pnl", "top_share")
+    median = held.agg(F.percentile("top_share", F.lit(0.5)).alias("median"), F.count("*").alias("m")).where("m >= 24")
+    lone = held.select("pnl", F.when(F.col("top_share") >= 0.999, "lone").otherwise("multi").alias("part"))
+    half = held.join(F.broadcast(median)).select("pnl", F.when(F.col("top_share") >= F.col("median"), "high").otherwise("low").alias("part"))  # one row
+    return rounded(lone.unionByName(half).groupBy("part").agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), F.avg((F.col("pnl") > 0).cast("double")).alias("hit"), tstat(F.col("pnl")).alias("t")))
+
+
+def flow_reversion(spark: SparkSession, d: str) -> DataFrame:
+    """Reversion trades on forward-filled legs with the concentration of the flow before each one that is kept."""
+    kept = R.flow_reversion_trades(L.spreads(spark, d), h=6, window=48, least=20, z=2.0).withColumn("id", F.concat_ws("|", *PAIR, F.col("bar").cast("string")))
+    kept = leg_cost_default(kept, X.universe(spark, d).where("ladder_order < 3"))
+    flow = W.flow_concentration(kept.select("id", *PAIR, ((F.col("bar") + 1) * 3600).alias("sec")), X.fills(spark, d), seconds=6 * 3600)
+    return kept.join(flow, "id", "left").select(*PAIR, "bar", "z", ((F.col("gross") - F.col("cost")) * 100).alias("rev_c"), "top_share", F.coalesce("wallets", F.lit(0)).alias("wallets"))
 
 
 def budgeted(spark: SparkSession, d: str) -> DataFrame:
-    plans = X.clips(spark, d).select((F.col("order_key") % 1000).alias("snapshot"), "event_id", "order_key", "line", (F.col("shares") * O.wcl_per_share(F.col("direction"), F.col("spread"))).alias("wcl")).withColumn("seq", F.struct("order_key", "line", "event_id", "wcl"))
-    return rounded(B.loss_budget(plans, total=400.0, per_event=60.0).select("snapshot", "event_id", "seq.order_key", "seq.line", "wcl", "used"))
+    """A snapshot's plans are the lines of sixteen orders."""
+    plans = X.clips(spark, d).select(F.floor(F.col("order_key") / 16).alias("snapshot"), F.struct("order_key", "line").alias("seq"), "event_id", "shares", O.wcl_per_share(F.col("direction"), F.col("spread")).alias("loss"))
+    return rounded(B.loss_budget(plans, total=400.0, per_event=20.0).select("snapshot", "event_id", "seq.order_key", "seq.line", "shares", "wcl"), 6)
+
+
+def walked(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with fees on the long leg, a budget for the worst loss and a gate at twice the round trip's cost."""
+    p = book_pairs(spark, d).withColumns({"mu": F.when(F.col("direction") == "BUY", 0.3).otherwise(-0.3), "fee_rate_long": F.lit(0.1), "fee_exp_long": F.lit(1.0), "spread": F.lit(0.2), "wcl_budget": F.lit(60.0)})
+    return rounded(B.book_walk(p, X.book(spark, d), ratio=2.0), 6)
 
 
 QUERIES = {
-    "diffz_signals_grid": lambda s, d: rounded(cands(s, d)),
-    "deep_candidates": lambda s, d: rounded(R.diffz_signals(L.spreads(s, d), hs=[6], windows=[48], z_floor=2.0, least=20)),
+    "diffz_signals_grid": lambda s, d: rounded(cands(s, d).select(*GRID)),
+    "diffz_signals_time_grid": lambda s, d: rounded(on_time(s, d).select(*GRID)),
+    "deep_candidates": lambda s, d: rounded(R.diffz_signals(L.spreads(s, d), hs=[6], windows=[48], z_floor=2.0, least=20).select(*GRID)),
     "nonoverlap_pair": lambda s, d: rounded(R.nonoverlap_pair(cands(s, d), z=2.0).select(*PAIR, "h", "w", "bar", "z", "fwd")),
     "nonoverlap_event": lambda s, d: rounded(R.nonoverlap_event(cands(s, d), z=2.0).select(*PAIR, "h", "w", "bar", "z", "fwd")),
     "clean_signals": lambda s, d: rounded(clean(s, d).select(*PAIR, "h", "w", "bar", "z")),
-    "diffz_grid": lambda s, d: rounded(R.diffz_grid(cands(s, d), [1.5, 2.0, 2.5, 3.0])),
+    "diffz_grid": lambda s, d: rounded(diffz_grid(s, d)),
+    "top_configs": lambda s, d: rounded(R.top_configs(diffz_grid(s, d), by="rev_net", least=50, n=8)),
+    "top_configs_deep": lambda s, d: rounded(R.top_configs(deep(s, d), by="t", least=20)),
     "diffz_confirm": lambda s, d: rounded(R.diffz_confirm(cands(s, d), z=2.0)),
     "tightness_sweep": tightness,
-    "event_study": lambda s, d: rounded(R.event_study(cands(s, d).where("h = 6 and w = 48"))),
+    "event_study": lambda s, d: rounded(R.event_study(cands(s, d)), 6),
     "grid_pivot": lambda s, d: rounded(R.diffz_grid(cands(s, d), [1.5, 2.0, 2.5]).groupBy("h", "w").pivot("z_enter", [1.5, 2.0, 2.5]).agg(F.first("gross")).toDF("h", "w", "z_15", "z_20", "z_25")),
-    "deep_grid": deep,
+    "deep_grid": lambda s, d: rounded(deep(s, d), 7),
     "signed_symmetry": lambda s, d: rounded(R.signed_symmetry(cands(s, d), z=2.0)),
     "event_bootstrap": lambda s, d: rounded(R.event_bootstrap(L.trades(s, d))),
-    "signal_funnel": funnel,
+    "signal_funnel": lambda s, d: R.signal_funnel(cands(s, d), z=2.0, sigma_floor=SIGMA),
     "event_distribution": distribution,
-    "monthly_activity": daily,
+    "monthly_activity": monthly,
+    "daily_activity": daily,
+    "flow_reversion_trades": lambda s, d: rounded(flow_reversion(s, d), 7),
     "horizon_autocorr": lambda s, d: rounded(R.horizon_autocorr(L.spreads(s, d))),
     "variance_ratio": lambda s, d: rounded(R.variance_ratio(L.spreads(s, d))),
+    "variance_ratio_summary": lambda s, d: rounded(R.variance_ratio(L.spreads(s, d)).where("vr is not null").agg(F.count("*").alias("n"), F.percentile("vr", F.lit(0.5)).alias("median"), F.avg((F.col("vr") < 1).cast("double")).alias("below_1")), 7),
     "half_life": lambda s, d: rounded(R.half_life(L.spreads(s, d)), 7),
+    "half_life_summary": lambda s, d: rounded(R.half_life(L.spreads(s, d)).agg(F.count("*").alias("n"), F.count("half_life").alias("n_reverting"), F.percentile("half_life", F.lit(0.5)).alias("median")), 6),
     "tail_reversion": lambda s, d: rounded(R.tail_reversion(cands(s, d), z=2.5)),
     "stale_fraction": lambda s, d: rounded(R.stale_fraction(L.spreads(s, d))),
     "median_bar": lambda s, d: R.median_bar(L.P.bars_last(X.price_points(s, d))),
@@ -181,6 +230,7 @@ QUERIES = {
     "flow_concentration": lambda s, d: rounded(concentrated(s, d)),
     "flow_conditioned": conditioned,
     "flow_depth": lambda s, d: rounded(W.flow_depth(X.fills(s, d))),
+    "flow_depth_by_leg": lambda s, d: rounded(W.leg_depth(X.fills(s, d))),
     "fills_build": lambda s, d: X.fills(s, d),
     "universe_fills": lambda s, d: W.universe_fills(X.fills(s, d), X.universe(s, d).where("ladder_order < 2")).select("fill_id"),
     "chainlog_decode": lambda s, d: W.chainlog_decode(raw_logs(s, d), "0x" + "1".rjust(64, "0")),
@@ -192,7 +242,7 @@ QUERIES = {
     "payoff_risk": lambda s, d: rounded(O.payoff_risk(positions(s, d)).select(*O.KEY, "max_loss", "max_gain", "reward_risk"), 7),
     "recommended_size": lambda s, d: O.recommended_size(L.signals(s, d).withColumn("unit_cost", F.col("p_long") + 1 - F.col("p_short"))).select(*PAIR, "bar", "shares"),
     "held_filter": lambda s, d: O.held_filter(L.signals(s, d), ledger(s, d).where("status = 'open'"), PAIR).select(*PAIR, "bar"),
-    "exits_due": lambda s, d: O.exits_due(positions(s, d), day=8200, hold=100).select(*O.KEY, "first_day"),
+    "exits_due": lambda s, d: O.exits_due(positions(s, d), day=9240, hold=100).select(*O.KEY, "first_day"),
     "realized_pnl": lambda s, d: rounded(closed(s, d), 3),
     "ledger_replay": lambda s, d: rounded(ledger(s, d)),
     "ledger_summary": lambda s, d: rounded(O.ledger_summary(ledger(s, d))),
@@ -201,8 +251,9 @@ QUERIES = {
     "open_mtm": lambda s, d: rounded(O.open_mtm(book_pairs(s, d).select("id", F.col("long_token").alias("token_a"), F.col("short_token").alias("token_b"), F.lit(100.0).alias("shares"), F.lit(60.0).alias("cost")), B.best_quotes(X.book(s, d)).select("token", "bid")).select("id", "mtm")),
     "best_quotes": lambda s, d: rounded(B.best_quotes(X.book(s, d))),
     "book_top_n": lambda s, d: B.book_top_n(X.book(s, d), 5),
-    "combined_ladder": lambda s, d: rounded(B.combined_ladder(book_pairs(s, d), X.book(s, d)).where("rung <= 5").drop("at")),
-    "book_walk": lambda s, d: rounded(B.book_walk(book_pairs(s, d), X.book(s, d)), 6),
+    "combined_ladder": lambda s, d: rounded(B.combined_ladder(book_pairs(s, d), X.book(s, d)).drop("at")),
+    "book_walk": walked,
+    "book_walk_plain": lambda s, d: rounded(B.book_walk(book_pairs(s, d), X.book(s, d)), 6),
     "exit_quotes": lambda s, d: B.exit_quotes(book_pairs(s, d).select("id", F.col("long_token").alias("token_a"), F.col("short_token").alias("token_b"), F.lit(100.0).alias("shares")), X.book(s, d)).select("id", "bid_a", "bid_b", "size_a", "size_b", "depth_ok"),
     "loss_budget": budgeted,
 }
@@ -216,7 +267,7 @@ fd AS (SELECT event_id, k, true AS kept, [token_a, token_b] AS used FROM pk WHER
 de AS (SELECT pk.* EXCLUDE (k) FROM pk JOIN fd USING (event_id, k) WHERE kept)"""
 LEDGER = (
     L.SIGNALS
-    + """, le AS (SELECT event_id, short_dd, long_dd, bar, 1 AS kind, direction, spread FROM sg UNION ALL SELECT event_id, short_dd, long_dd, bar, 0, NULL, spread FROM sp WHERE bar % 5 = 0),
+    + """, le AS (SELECT event_id, short_dd, long_dd, bar, 1 AS kind, direction, spread FROM sg UNION ALL SELECT event_id, short_dd, long_dd, bar, 0, NULL, spread FROM sp),
 lk AS (SELECT *, row_number() OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar, kind) AS k FROM le),
 lf AS (SELECT event_id, short_dd, long_dd, k, CASE WHEN kind = 1 THEN bar END AS e_bar, CASE WHEN kind = 1 THEN direction END AS e_dir, CASE WHEN kind = 1 THEN spread END AS e_s, NULL::BIGINT AS c_bar, NULL::VARCHAR AS c_dir, NULL::DOUBLE AS c_s, NULL::BIGINT AS x_bar, NULL::DOUBLE AS x_s FROM lk WHERE k = 1
   UNION ALL SELECT t.event_id, t.short_dd, t.long_dd, t.k,
@@ -231,34 +282,56 @@ lg AS (SELECT event_id, short_dd, long_dd, c_bar AS entry_bar, c_dir AS directio
 )
 CONC = L.SIGNALS + ", " + FILLS + """, cw AS (SELECT concat_ws('|', g.event_id, short_dd, long_dd, bar) AS id, wallet, abs(sum(flow)) AS net FROM sg g JOIN fs ON fs.event_id = g.event_id AND (fs.ladder_label = short_dd OR fs.ladder_label = long_dd) AND sec > (bar + 1) * 3600 - 21600 AND sec <= (bar + 1) * 3600 GROUP BY ALL),
 cc AS (SELECT id, count(*) AS wallets, max(net) / nullif(sum(net), 0) AS top_share FROM cw GROUP BY id)"""
+COSTED = CA + ", " + L.LEGS + """, cc AS (SELECT ca.*, ls.market_spread + ll.market_spread + 2 * (CASE WHEN ll.fee_rate > 0 AND S > 0 AND S < 1 THEN ll.fee_rate * pow(S * (1 - S), ll.fee_exp) ELSE 0 END + CASE WHEN ls.fee_rate > 0 AND S > 0 AND S < 1 THEN ls.fee_rate * pow((1 - S) * S, ls.fee_exp) ELSE 0 END) AS cost,
+  greatest(ls.market_spread, ll.market_spread) AS max_leg FROM ca JOIN legs ls ON ls.event_id = ca.event_id AND ls.ladder_label = short_dd JOIN legs ll ON ll.event_id = ca.event_id AND ll.ladder_label = long_dd)"""
+_values = lambda xs: ", ".join(f"({x}::DOUBLE)" for x in xs)
+ZGRID = COSTED + f", zg AS (SELECT h, w, t AS z_enter, count(*) AS n, avg(-sign(z) * fwd) AS gross, avg((-sign(z) * fwd > 0)::INT) AS hit, avg(-sign(z) * fwd - cost) AS rev_net, avg(sign(z) * fwd - cost) AS mom_net, avg((-sign(z) * fwd < -cost)::INT) AS mom_hit, avg(cost) AS mean_cost FROM cc JOIN (VALUES {_values([1.5, 2.0, 2.5, 3.0])}) v(t) ON abs(z) >= t GROUP BY ALL)"
+ZGRID_COLS = "h, w, z_enter, n, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("gross", "hit", "rev_net", "mom_net", "mom_hit", "mean_cost"))
+DEEP = COSTED + f", c3 AS (SELECT cc.*, z_enter, cap FROM cc JOIN (VALUES {_values(ZS)}) v(z_enter) ON abs(z) >= z_enter JOIN (VALUES {_values(CAPS)}) c(cap) ON max_leg <= cap)" + _fold("dg", "c3", "event_id, short_dd, long_dd, h, w, z_enter, cap", "bar", "bar + h + 1")
+DEEP += ", dn AS (SELECT *, (-sign(z) * fwd - cost) * 100 AS net FROM dg), dd_ AS (SELECT h, w, z_enter, cap, count(*) AS n, CASE WHEN count(*) >= 8 THEN avg(net) END AS net_c, CASE WHEN count(*) >= 8 THEN avg((net > 0)::INT) END AS hit, CASE WHEN count(*) >= 8 THEN avg(net) / nullif(stddev_samp(net), 0) * sqrt(count(*)) END AS t FROM dn GROUP BY ALL)"
+TIMED = L.EV.replace("3600000000.0", "14400000000.0") + """, s0 AS (SELECT a.event_id, a.ladder_label AS short_dd, b.ladder_label AS long_dd, a.bar, b.p - a.p AS spread FROM bars a JOIN bars b ON a.event_id = b.event_id AND a.bar = b.bar AND (a.ladder_order, a.ladder_label) < (b.ladder_order, b.ladder_label)),
+g1 AS (SELECT event_id, short_dd, long_dd, min(bar) AS lo, max(bar) AS hi FROM s0 GROUP BY ALL HAVING count(*) >= 60), g0 AS (SELECT event_id, short_dd, long_dd, unnest(generate_series(lo, hi)) AS bar FROM g1), sp AS (SELECT * FROM g0 LEFT JOIN s0 USING (event_id, short_dd, long_dd, bar))"""
+_w = "OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar"
+TIMED += f", dd AS (SELECT *, spread - lag(spread, 3) {_w}) AS ds, lead(spread, 4) {_w}) - lead(spread, 1) {_w}) AS fwd FROM sp), tg AS (SELECT event_id, short_dd, long_dd, bar, spread AS S, 3 AS h, 24 AS w, fwd, ds AS dS, CASE WHEN count(ds) {_w} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) >= 10 AND stddev_samp(ds) {_w} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) > 1e-9 THEN (ds - avg(ds) {_w} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) / stddev_samp(ds) {_w} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) END AS z FROM dd)"
+FLOWREV = CA.replace(">= 16 AND", ">= 20 AND") + ", c2 AS (SELECT * FROM ca WHERE abs(z) >= 2 AND h = 6 AND w = 48)" + _fold("no", "c2", "event_id, short_dd, long_dd, h, w", "bar", "bar + h + 1") + ", " + L.LEGS + ", l3 AS (SELECT * FROM legs WHERE ladder_order < 3), " + FILLS
+FLOWREV += """, fw AS (SELECT n.event_id, short_dd, long_dd, bar, wallet, abs(sum(flow)) AS net FROM no n JOIN fs ON fs.event_id = n.event_id AND (fs.ladder_label = short_dd OR fs.ladder_label = long_dd) AND sec > (bar + 1) * 3600 - 21600 AND sec <= (bar + 1) * 3600 GROUP BY ALL),
+fc AS (SELECT event_id, short_dd, long_dd, bar, count(*) AS wallets, max(net) / nullif(sum(net), 0) AS top_share FROM fw GROUP BY ALL)"""
 R_ = "WITH RECURSIVE "
 SQL = {
     "diffz_signals_grid": f"WITH {CA} SELECT {ZC}, round(S, 9) AS S, round(dS, 9) AS dS, round(fwd, 9) AS fwd FROM ca",
+    "diffz_signals_time_grid": f"WITH {TIMED} SELECT {ZC}, round(S, 9) AS S, round(dS, 9) AS dS, round(fwd, 9) AS fwd FROM tg WHERE abs(z) >= 1 AND fwd IS NOT NULL",
     "deep_candidates": f"WITH {CA.replace('>= 16 AND', '>= 20 AND')} SELECT {ZC}, round(S, 9) AS S, round(dS, 9) AS dS, round(fwd, 9) AS fwd FROM ca WHERE h = 6 AND w = 48 AND abs(z) >= 2",
     "nonoverlap_pair": f"{R_}{NONOVER} SELECT {ZC}, round(fwd, 9) AS fwd FROM no",
     "nonoverlap_event": f"{R_}{NOEVENT} SELECT {ZC}, round(fwd, 9) AS fwd FROM ne",
-    "clean_signals": f"{R_}{NOEVENT.replace('WHERE abs(z) >= 2)', 'WHERE abs(z) >= 2 AND S >= 0)')} SELECT {ZC} FROM ne",
-    "diffz_grid": f"WITH {CA} SELECT h, w, t::DOUBLE AS z_enter, count(*) AS n, round(avg(-sign(z) * fwd), 9) AS gross, round(avg((-sign(z) * fwd > 0)::INT), 9) AS hit FROM ca JOIN (VALUES (1.5), (2.0), (2.5), (3.0)) v(t) ON abs(z) >= t GROUP BY ALL",
+    "clean_signals": f"{R_}{NOEVENT.replace('WHERE abs(z) >= 2)', f'WHERE abs(z) >= 2 AND sd >= {SIGMA} AND s_in >= 0)')} SELECT {ZC} FROM ne",
+    "diffz_grid": f"WITH {ZGRID} SELECT {ZGRID_COLS} FROM zg",
+    "top_configs": f"WITH {ZGRID} SELECT {ZGRID_COLS} FROM zg WHERE n >= 50 ORDER BY round(zg.rev_net, 9) DESC, h, w, z_enter LIMIT 8",
+    "top_configs_deep": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 9) AS net_c, round(hit, 9) AS hit, round(t, 9) AS t FROM dd_ WHERE n >= 20 AND t IS NOT NULL ORDER BY round(dd_.t, 9) DESC, h, w, z_enter, cap LIMIT 12",
     "diffz_confirm": f"WITH {CA} SELECT h, w, round(avg(fwd) FILTER (z > 0 AND S >= 0), 9) AS up_pos, round(avg(fwd) FILTER (z > 0 AND S < 0), 9) AS up_neg, round(avg(fwd) FILTER (z < 0 AND S >= 0), 9) AS down_pos, round(avg(fwd) FILTER (z < 0 AND S < 0), 9) AS down_neg FROM ca WHERE abs(z) >= 2 GROUP BY ALL",
-    "tightness_sweep": f"WITH {CA}, {L.LEGS}, tc AS (SELECT ca.*, a.market_spread + b.market_spread AS cost FROM ca JOIN legs a ON a.event_id = ca.event_id AND a.ladder_label = short_dd JOIN legs b ON b.event_id = ca.event_id AND b.ladder_label = long_dd) SELECT h, w, cap::DOUBLE AS cap, count(*) AS n, round(avg(-sign(z) * fwd - cost), 9) AS net FROM tc JOIN (VALUES (0.008), (0.012), (0.02)) v(cap) ON round(cost, 6) <= cap GROUP BY ALL HAVING count(*) >= 30",
-    "event_study": f"WITH {CA}, c6 AS (SELECT * FROM ca WHERE h = 6 AND w = 48), q AS (SELECT quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM c6), b AS (SELECT z, fwd, CAST(len(list_filter(cuts, lambda c: c < z)) AS INTEGER) AS bucket FROM c6, q) SELECT bucket, count(*) AS n, round(avg(z), 9) AS mean_z, round(avg(fwd), 9) AS mean_fwd FROM b GROUP BY 1",
+    "tightness_sweep": f"WITH {COSTED} SELECT h, w, cap, count(*) AS n, round(avg(-sign(z) * fwd), 9) AS gross, round(avg(-sign(z) * fwd - cost), 9) AS net, round(avg((-sign(z) * fwd - cost > 0)::INT), 9) AS hit FROM cc JOIN (VALUES {_values(CAPS)}) v(cap) ON max_leg <= cap GROUP BY ALL HAVING count(*) >= 30",
+    "event_study": f"WITH {CA}, q AS (SELECT h, w, quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM ca GROUP BY ALL HAVING count(*) >= 50), b AS (SELECT h, w, z, fwd, CAST(len(list_filter(cuts, lambda c: c < z)) AS INTEGER) AS bucket FROM ca JOIN q USING (h, w)) SELECT h, w, bucket, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(fwd), 6) AS mean_fwd FROM b GROUP BY ALL",
     "grid_pivot": f"WITH {CA} SELECT h, w, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 1.5), 9) AS z_15, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2), 9) AS z_20, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2.5), 9) AS z_25 FROM ca GROUP BY ALL",
-    "deep_grid": f"{R_}{NONOVER} SELECT h, w, count(*) AS n, round(avg(-sign(z) * fwd), 9) AS net, round(avg((-sign(z) * fwd > 0)::INT), 9) AS hit, CASE WHEN count(*) >= 8 THEN round(avg(-sign(z) * fwd) / nullif(stddev_samp(-sign(z) * fwd), 0) * sqrt(count(*)), 9) END AS t FROM no GROUP BY ALL",
+    "deep_grid": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 7) AS net_c, round(hit, 7) AS hit, round(t, 7) AS t FROM dd_",
     "signed_symmetry": f"WITH {CA}, g AS (SELECT *, -sign(z) * fwd AS gross FROM ca WHERE abs(z) >= 2) SELECT h, w, count(*) FILTER (z > 0) AS n_up, count(*) FILTER (z <= 0) AS n_down, CASE WHEN count(*) FILTER (z > 0) >= 8 THEN round(avg(gross) FILTER (z > 0) / stddev_samp(gross) FILTER (z > 0) * sqrt(count(*) FILTER (z > 0)), 9) END AS t_up, CASE WHEN count(*) FILTER (z <= 0) >= 8 THEN round(avg(gross) FILTER (z <= 0) / stddev_samp(gross) FILTER (z <= 0) * sqrt(count(*) FILTER (z <= 0)), 9) END AS t_down FROM g GROUP BY ALL",
-    "event_bootstrap": f"{L.W}{L.TRADES}, e AS (SELECT event_id, sum(pnl) AS s, count(*) AS n, row_number() OVER (ORDER BY event_id) - 1 AS k FROM tr GROUP BY 1), m AS (SELECT count(*) AS c FROM e), p AS (SELECT d.draw, ('0x' || substr(md5(d.draw || '-' || i.i), 1, 8))::BIGINT % m.c AS k FROM range(500) d(draw), m, LATERAL (SELECT unnest(generate_series(1, m.c)) AS i) i), b AS (SELECT draw, sum(s) / sum(n) AS mm FROM p JOIN e USING (k) GROUP BY 1) SELECT round(avg(mm), 9) AS mean, round(quantile_cont(mm, 0.025), 9) AS low, round(quantile_cont(mm, 0.975), 9) AS high, round(avg((mm <= 0)::INT), 9) AS p_le_0 FROM b",
-    "signal_funnel": f"WITH {CA} SELECT h, w, count(*) AS n, count(*) FILTER (abs(z) >= 2) AS n_z, count(*) FILTER (abs(z) >= 2 AND S >= 0) AS n_level, count(*) FILTER (abs(z) >= 2 AND S >= 0 AND abs(dS) >= 0.05) AS n_size FROM ca GROUP BY ALL",
-    "event_distribution": f"{L.W}{L.TRADES} SELECT event_id, count(*) AS n, round(sum(pnl), 9) AS total, round(avg(pnl), 9) AS mean, round(avg((pnl > 0)::INT), 9) AS hit, min(entry_bar) AS first, max(entry_bar) AS last, count(DISTINCT entry_bar // 24) AS days FROM tr GROUP BY 1",
-    "monthly_activity": f"{L.W}{L.TRADES}, t AS (SELECT entry_bar // 24 AS day, count(*) AS n, sum(pnl) AS pnl FROM tr GROUP BY 1), a AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM t) SELECT day, coalesce(n, 0) AS n, round(coalesce(pnl, 0), 9) AS pnl FROM a LEFT JOIN t USING (day)",
+    "event_bootstrap": f"{L.W}{L.TRADES}, e AS (SELECT event_id, sum(pnl) AS s, count(*) AS n, row_number() OVER (ORDER BY event_id) - 1 AS k FROM tr GROUP BY 1), m AS (SELECT count(*) AS c FROM e), p AS (SELECT d.draw, ('0x' || substr(md5(d.draw || '-' || i.i), 1, 8))::BIGINT % m.c AS k FROM range(5000) d(draw), m, LATERAL (SELECT unnest(generate_series(1, m.c)) AS i) i), b AS (SELECT draw, sum(s) / sum(n) AS mm FROM p JOIN e USING (k) GROUP BY 1) SELECT round(avg(mm), 9) AS mean, round(quantile_cont(mm, 0.025), 9) AS low, round(quantile_cont(mm, 0.975), 9) AS high, round(avg((mm <= 0)::INT), 9) AS p_le_0 FROM b",
+    "signal_funnel": f"WITH {CA} SELECT h, w, count(*) AS n, count(*) FILTER (abs(z) >= 2) AS n_z, count(*) FILTER (abs(z) >= 2 AND sd < {SIGMA}) AS dropped_sigma, count(*) FILTER (abs(z) >= 2 AND sd >= {SIGMA} AND s_in < 0) AS dropped_inverted, count(*) FILTER (abs(z) >= 2 AND sd >= {SIGMA} AND s_in >= 0) AS n_clean FROM ca GROUP BY ALL",
+    "event_distribution": f"{L.W}{L.TRADES}, e AS (SELECT event_id, count(*) AS n, sum(pnl) AS total, avg(pnl) AS mean, avg((pnl > 0)::INT) AS hit, min(entry_bar) AS first, max(entry_bar) AS last, count(DISTINCT entry_bar // 24) AS days FROM tr GROUP BY 1), r AS (SELECT *, CAST(row_number() OVER (ORDER BY round(total, 9) DESC, event_id) AS INTEGER) AS rank FROM e) SELECT event_id, n, round(total, 6) AS total, round(mean, 6) AS mean, round(hit, 6) AS hit, first, last, days, rank, round(sum(total) OVER (ORDER BY rank) / nullif(sum(total) OVER (), 0), 6) AS top_share FROM r",
+    "daily_activity": f"{L.W}{L.TRADES}, t AS (SELECT entry_bar // 24 AS day, count(*) AS n, sum(pnl) AS pnl FROM tr GROUP BY 1), a AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM t) SELECT day, coalesce(n, 0) AS n, round(coalesce(pnl, 0), 9) AS pnl FROM a LEFT JOIN t USING (day)",
+    "monthly_activity": f"{L.W}{L.TRADES}, t AS (SELECT date_trunc('month', DATE '1970-01-01' + CAST(entry_bar // 24 AS INTEGER)) AS m, count(*) AS n, sum(pnl) AS pnl FROM tr GROUP BY 1), a AS (SELECT unnest(generate_series(min(m)::TIMESTAMP, max(m)::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM t) SELECT strftime(a.m, '%Y-%m') AS month, coalesce(n, 0) AS n, round(coalesce(pnl, 0), 9) AS pnl FROM a LEFT JOIN t ON a.m = t.m",
+    "flow_reversion_trades": f"{R_}{FLOWREV} SELECT n.event_id, n.short_dd, n.long_dd, n.bar, round(z, 6) AS z, round((-sign(z) * fwd - coalesce(a.market_spread, 0.2) - coalesce(b.market_spread, 0.2)) * 100, 7) AS rev_c, round(top_share, 7) AS top_share, coalesce(wallets, 0) AS wallets FROM no n LEFT JOIN fc ON fc.event_id = n.event_id AND fc.short_dd = n.short_dd AND fc.long_dd = n.long_dd AND fc.bar = n.bar LEFT JOIN l3 a ON a.event_id = n.event_id AND a.ladder_label = n.short_dd LEFT JOIN l3 b ON b.event_id = n.event_id AND b.ladder_label = n.long_dd",
     "horizon_autocorr": f"WITH {L.SPREADS}, a AS (SELECT *, row_number() OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS rn FROM sp), b AS (SELECT event_id, short_dd, long_dd, bar, spread - lag(spread) OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS d FROM a WHERE rn % 6 = 0), c AS (SELECT *, d / nullif(stddev_pop(d) OVER (PARTITION BY event_id, short_dd, long_dd), 0) AS u FROM b WHERE d IS NOT NULL), e AS (SELECT u, lag(u) OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS v FROM c) SELECT count(*) AS n, round(corr(u, v), 9) AS rho FROM e WHERE u IS NOT NULL AND v IS NOT NULL",
     "variance_ratio": f"WITH {L.SPREADS}, a AS (SELECT event_id, short_dd, long_dd, spread - lag(spread) OVER w AS d1, spread - lag(spread, 6) OVER w AS dq FROM sp WINDOW w AS (PARTITION BY event_id, short_dd, long_dd ORDER BY bar)) SELECT event_id, short_dd, long_dd, round(var_pop(dq) / nullif(6 * var_pop(d1), 0), 9) AS vr FROM a GROUP BY ALL",
+    "variance_ratio_summary": f"WITH {L.SPREADS}, a AS (SELECT event_id, short_dd, long_dd, spread - lag(spread) OVER w AS d1, spread - lag(spread, 6) OVER w AS dq FROM sp WINDOW w AS (PARTITION BY event_id, short_dd, long_dd ORDER BY bar)), v AS (SELECT event_id, short_dd, long_dd, var_pop(dq) / nullif(6 * var_pop(d1), 0) AS vr FROM a GROUP BY ALL) SELECT count(*) AS n, round(quantile_cont(vr, 0.5), 7) AS median, round(avg((vr < 1)::INT), 7) AS below_1 FROM v WHERE vr IS NOT NULL",
     "half_life": f"WITH {L.SPREADS}, a AS (SELECT event_id, short_dd, long_dd, spread, lag(spread) OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS x FROM sp), b AS (SELECT event_id, short_dd, long_dd, covar_samp(x, spread) / nullif(var_pop(x), 0) AS phi FROM a WHERE x IS NOT NULL GROUP BY ALL) SELECT event_id, short_dd, long_dd, round(phi, 7) AS phi, CASE WHEN phi > 0 AND phi < 1 THEN round(-ln(2) / ln(phi), 7) END AS half_life FROM b",
+    "half_life_summary": f"WITH {L.SPREADS}, a AS (SELECT event_id, short_dd, long_dd, spread, lag(spread) OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS x FROM sp), b AS (SELECT event_id, short_dd, long_dd, covar_samp(x, spread) / nullif(var_pop(x), 0) AS phi FROM a WHERE x IS NOT NULL GROUP BY ALL), v AS (SELECT CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS hl FROM b) SELECT count(*) AS n, count(hl) AS n_reverting, round(quantile_cont(hl, 0.5), 6) AS median FROM v",
     "tail_reversion": f"WITH {CA} SELECT h, w, count(*) AS n, round(sum(-sign(z) * fwd) / nullif(sum(abs(dS)), 0), 9) AS share FROM ca WHERE abs(z) >= 2.5 GROUP BY ALL",
     "stale_fraction": f"WITH {L.SPREADS}, a AS (SELECT event_id, spread - lag(spread, 6) OVER (PARTITION BY event_id, short_dd, long_dd ORDER BY bar) AS d FROM sp) SELECT event_id, round(avg((d = 0)::INT), 9) AS stale FROM a WHERE d IS NOT NULL GROUP BY 1",
     "median_bar": f"WITH {L.EV}, b AS (SELECT DISTINCT event_id, bar FROM bars), g AS (SELECT event_id, bar - lag(bar) OVER (PARTITION BY event_id ORDER BY bar) AS gap FROM b) SELECT event_id, quantile_cont(gap::DOUBLE, 0.5) AS median_gap FROM g WHERE gap IS NOT NULL GROUP BY 1",
     "flow_sign": f"WITH {FILLS} SELECT fill_id, round(p_yes, 9) AS p_yes, round(flow, 9) AS flow FROM fs",
     "flow_concentration": f"WITH {CONC} SELECT id, wallets, round(top_share, 9) AS top_share FROM cc",
-    "flow_conditioned": f"{L.W}{L.TRADES}, {FILLS}, {CONC[CONC.index('cw AS'):]} SELECT wallets = 1 AS lone, count(*) AS n, round(avg(pnl), 9) AS mean, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM tr JOIN cc ON id = concat_ws('|', event_id, short_dd, long_dd, signal_bar) GROUP BY 1",
-    "flow_depth": f"WITH {FILLS} SELECT event_id, ladder_label, round((max(sec) - min(sec)) / 86400.0, 9) AS days, count(DISTINCT wallet) AS wallets, count(*) AS fills FROM fl GROUP BY ALL",
+    "flow_conditioned": f"{L.W}{L.TRADES}, {FILLS}, {CONC[CONC.index('cw AS'):]}, x AS (SELECT pnl, top_share, quantile_cont(top_share, 0.5) OVER () AS md, count(*) OVER () AS m FROM tr JOIN cc ON id = concat_ws('|', event_id, short_dd, long_dd, signal_bar) WHERE top_share IS NOT NULL), y AS (SELECT pnl, CASE WHEN top_share >= 0.999 THEN 'lone' ELSE 'multi' END AS part FROM x UNION ALL SELECT pnl, CASE WHEN top_share >= md THEN 'high' ELSE 'low' END FROM x WHERE m >= 24) SELECT part, count(*) AS n, round(avg(pnl), 9) AS mean, round(avg((pnl > 0)::INT), 9) AS hit, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM y GROUP BY 1",
+    "flow_depth": f"WITH {FILLS}, m AS (SELECT event_id, ladder_label, (max(sec) - min(sec)) / 86400.0 AS days, count(DISTINCT wallet) AS wallets, count(*) AS fills FROM fl GROUP BY ALL) SELECT event_id, count(*) AS legs, round(quantile_cont(days, 0.5), 9) AS median_days, round(quantile_cont(days, 0.1), 9) AS p10_days, round(max(days), 9) AS max_days, CAST(max(wallets) AS BIGINT) AS most_wallets, CAST(sum(fills) AS BIGINT) AS fills FROM m GROUP BY 1",
+    "flow_depth_by_leg": f"WITH {FILLS} SELECT event_id, ladder_label, round((max(sec) - min(sec)) / 86400.0, 9) AS days, count(DISTINCT wallet) AS wallets, count(*) AS fills FROM fl GROUP BY ALL",
     "fills_build": f"WITH {FILLS} SELECT * FROM fl",
     "universe_fills": f"WITH {FILLS} SELECT fill_id FROM fl WHERE ladder_label IN ('L0', 'L1')",
     "chainlog_decode": "WITH a AS (SELECT event_id, user_id, CAST(round(value * 1e6) AS BIGINT) AS w2, CAST(round(value * 2e6) + 1 AS BIGINT) AS w3, event_id % 2 AS w0 FROM events WHERE event_id % 3 = 1), b AS (SELECT *, CASE WHEN w0 = 0 THEN w2 ELSE w3 END / 1e6 AS usdc, CASE WHEN w0 = 0 THEN w3 ELSE w2 END / 1e6 AS tokens FROM a) SELECT event_id AS block, 't' || event_id AS tx, '0x' || lpad(lower(to_hex(user_id)), 40, '0') AS wallet, lpad(lower(to_hex(user_id)), 64, '0') AS token_id, CASE WHEN w0 = 0 THEN 'BUY' ELSE 'SELL' END AS side, round(tokens, 6) AS tokens, round(usdc, 6) AS usdc, round(usdc / tokens, 6) AS price, 0.001::DOUBLE AS fee FROM b WHERE tokens > 0",
@@ -270,7 +343,7 @@ SQL = {
     "payoff_risk": f"WITH {POS} SELECT event_id, direction, round({WCL}, 7) AS max_loss, round(1 - {WCL}, 7) AS max_gain, round((1 - {WCL}) / nullif({WCL}, 0), 7) AS reward_risk FROM po",
     "recommended_size": f"WITH {L.SIGNALS} SELECT event_id, short_dd, long_dd, bar, CAST(least(greatest(floor(400 * (0.5 + 0.5 * least(1.0, abs(z) / 3.0)) / nullif(p_long + 1 - p_short, 0)), 10), 500) AS BIGINT) AS shares FROM sg",
     "held_filter": f"{R_}{LEDGER} SELECT event_id, short_dd, long_dd, bar FROM sg ANTI JOIN (SELECT * FROM lg WHERE status = 'open') USING (event_id, short_dd, long_dd)",
-    "exits_due": f"WITH {POS} SELECT event_id, direction, first_day FROM po WHERE 8200 - first_day >= 100",
+    "exits_due": f"WITH {POS} SELECT event_id, direction, first_day FROM po WHERE 9240 - first_day >= 100",
     "realized_pnl": "WITH c AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'BUY' ELSE 'SELL' END AS direction, (l_extendedprice * (1 + l_tax - l_discount))::DOUBLE - l_extendedprice::DOUBLE AS pnl FROM lineitem) SELECT direction, count(*) AS n, round(sum(pnl), 3) AS total, round(avg((pnl > 0)::INT), 3) AS hit FROM c GROUP BY 1",
     "ledger_replay": f"{R_}{LEDGER} SELECT event_id, short_dd, long_dd, entry_bar, direction, round(entry_spread, 9) AS entry_spread, exit_bar, round(exit_spread, 9) AS exit_spread, status, pnl_c FROM lg",
     "ledger_summary": f"{R_}{LEDGER} SELECT count(*) FILTER (status = 'closed') AS n, count(*) FILTER (status = 'open') AS n_open, round(sum(pnl_c), 9) AS total, round(avg(pnl_c), 9) AS mean, round(avg(CASE WHEN pnl_c IS NOT NULL THEN (pnl_c > 0)::INT END), 9) AS hit FROM lg",
@@ -279,10 +352,22 @@ SQL = {
     "open_mtm": f"WITH {BOOK}, {PAIRS}, q AS (SELECT token, max(price) FILTER (side = 'bid') AS bid FROM bk GROUP BY 1) SELECT id, round(100 * (a.bid + b.bid) - 60, 9) AS mtm FROM pr LEFT JOIN q a ON a.token = long_token LEFT JOIN q b ON b.token = short_token",
     "best_quotes": f"WITH {BOOK} SELECT token, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask, round(min(price) FILTER (side = 'ask') - max(price) FILTER (side = 'bid'), 9) AS width FROM bk GROUP BY 1",
     "book_top_n": f"WITH {RANKED} SELECT * FROM rk WHERE rank <= 5",
-    "combined_ladder": f"WITH {LADDER} SELECT id, direction, rung, p_long, p_short, cost, depth, notional FROM ru WHERE rung <= 5",
-    "book_walk": f"""WITH {LADDER.replace("sum(l_quantity::DOUBLE) AS size", "sum(l_quantity::DOUBLE) * 0.5 AS size")}, e AS (SELECT *, CASE WHEN direction = 'BUY' THEN 0.05 - (p_long - p_short) ELSE p_long - p_short - 0.05 END AS edge FROM ru), f AS (SELECT *, max((edge < 0)::INT) OVER (PARTITION BY id ORDER BY rung) AS fails FROM e),
+    "combined_ladder": f"WITH {LADDER} SELECT id, direction, rung, p_long, p_short, cost, depth, notional FROM ru",
+    "book_walk_plain": f"""WITH {LADDER.replace("sum(l_quantity::DOUBLE) AS size", "sum(l_quantity::DOUBLE) * 0.5 AS size")}, e AS (SELECT *, CASE WHEN direction = 'BUY' THEN 0.05 - (p_long - p_short) ELSE p_long - p_short - 0.05 END AS edge FROM ru), f AS (SELECT *, max((edge < 0)::INT) OVER (PARTITION BY id ORDER BY rung) AS fails FROM e),
 g AS (SELECT *, coalesce(sum(cost * depth) OVER w, 0) AS spent, coalesce(sum(depth) OVER w, 0) AS taken FROM f WHERE fails = 0 WINDOW w AS (PARTITION BY id ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), t AS (SELECT *, greatest(0, least(depth, (1000 - spent) / cost, 500 - taken)) AS take FROM g)
+SELECT id, direction, CAST(floor(sum(take)) AS BIGINT) AS shares, round(sum(take * cost), 6) AS dollars, round(sum(take * edge) / sum(take), 6) AS avg_edge, arg_max(p_long, rung) AS worst_long, arg_max(p_short, rung) AS worst_short FROM t WHERE take > 0 GROUP BY ALL HAVING floor(sum(take)) >= 10""",
+    "book_walk": f"""WITH {LADDER.replace("sum(l_quantity::DOUBLE) AS size", "sum(l_quantity::DOUBLE) * 0.5 AS size")}, q AS (SELECT token, min(price) FILTER (side = 'ask') - max(price) FILTER (side = 'bid') AS width FROM bk GROUP BY 1),
+e AS (SELECT ru.*, 0.1 * (ru.p_long * (1 - ru.p_long)) AS fee, CASE WHEN ru.direction = 'BUY' THEN 0.3 - (ru.p_long - ru.p_short) ELSE ru.p_long - ru.p_short + 0.3 END AS raw, a.width + b.width AS width, CASE WHEN ru.direction = 'BUY' THEN 60 / 0.2 ELSE 60 / 0.8 END AS most FROM ru JOIN pr ON pr.id = ru.id JOIN q a ON a.token = long_token JOIN q b ON b.token = short_token WHERE a.width IS NOT NULL AND b.width IS NOT NULL),
+e2 AS (SELECT *, raw - fee AS edge, width + first_value(fee) OVER (PARTITION BY id ORDER BY rung) AS full_ FROM e), f AS (SELECT *, max((edge < 2 * full_)::INT) OVER (PARTITION BY id ORDER BY rung) AS fails FROM e2 WHERE full_ > 1e-6),
+g AS (SELECT *, coalesce(sum(cost * depth) OVER w, 0) AS spent, coalesce(sum(depth) OVER w, 0) AS taken FROM f WHERE fails = 0 WINDOW w AS (PARTITION BY id ORDER BY rung ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, (1000 - spent) / (cost + fee) AS once, fee / (cost + fee) AS again FROM g), t AS (SELECT *, greatest(0, least(depth, CASE WHEN once >= 1 THEN once * (1 - pow(again, floor(ln(CASE WHEN once >= 1 THEN once ELSE 1 END) / -ln(again)) + 1)) / (1 - again) ELSE 0 END, least(500, most) - taken)) AS take FROM h)
 SELECT id, direction, CAST(floor(sum(take)) AS BIGINT) AS shares, round(sum(take * cost), 6) AS dollars, round(sum(take * edge) / sum(take), 6) AS avg_edge, arg_max(p_long, rung) AS worst_long, arg_max(p_short, rung) AS worst_short FROM t WHERE take > 0 GROUP BY ALL HAVING floor(sum(take)) >= 10""",
     "exit_quotes": f"WITH {RANKED}, {PAIRS}, tp AS (SELECT * FROM rk WHERE side = 'bid' AND rank = 1) SELECT id, a.price AS bid_a, b.price AS bid_b, a.size AS size_a, b.size AS size_b, a.size >= 100 AND b.size >= 100 AS depth_ok FROM pr JOIN tp a ON a.token = long_token JOIN tp b ON b.token = short_token",
-    "loss_budget": """WITH p AS (SELECT l_orderkey % 1000 AS snapshot, l_suppkey AS event_id, l_orderkey AS order_key, l_linenumber AS line, l_quantity::DOUBLE * CASE WHEN l_returnflag = 'A' THEN l_discount::DOUBLE ELSE 1 - l_discount::DOUBLE END AS wcl FROM lineitem), a AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot, event_id ORDER BY order_key, line, event_id, wcl ROWS UNBOUNDED PRECEDING) AS eu FROM p), b AS (SELECT *, sum(wcl) OVER (PARTITION BY snapshot ORDER BY order_key, line, event_id, wcl ROWS UNBOUNDED PRECEDING) AS used FROM a WHERE round(eu, 6) <= 60) SELECT snapshot, event_id, order_key, line, round(wcl, 9) AS wcl, round(used, 9) AS used FROM b WHERE round(used, 6) <= 400""",
+    "loss_budget": """WITH RECURSIVE p AS (SELECT l_orderkey // 16 AS snapshot, l_suppkey AS event_id, l_orderkey AS order_key, l_linenumber AS line, l_quantity::DOUBLE AS shares, CASE WHEN l_returnflag = 'A' THEN l_discount::DOUBLE ELSE 1 - l_discount::DOUBLE END AS loss FROM lineitem),
+k AS (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY order_key, line, event_id, shares, loss) AS k FROM p),
+f AS (SELECT snapshot, 0::BIGINT AS k, 0::BIGINT AS event_id, 0::BIGINT AS order_key, 0::BIGINT AS line, 0::BIGINT AS taken, 0::DOUBLE AS wcl, 0::DOUBLE AS used, []::STRUCT(e BIGINT, w DOUBLE)[] AS held FROM k WHERE k = 1
+  UNION ALL SELECT snapshot, k, event_id, order_key, line, CASE WHEN ok THEN can ELSE 0 END, CASE WHEN ok THEN can * loss ELSE 0 END, used + CASE WHEN ok THEN can * loss ELSE 0 END, CASE WHEN ok THEN list_append(held, {'e': event_id, 'w': can * loss}) ELSE held END
+  FROM (SELECT *, remains > 0 AND can >= 10 AS ok FROM (SELECT *, CAST(least(floor(shares), CASE WHEN loss > 1e-9 THEN floor(round(remains / loss, 6)) ELSE floor(shares) END) AS BIGINT) AS can FROM
+    (SELECT t.snapshot, t.k, t.event_id, t.order_key, t.line, t.shares, t.loss, f.used, f.held, round(least(20 - coalesce(list_sum(list_transform(list_filter(f.held, lambda u: u.e = t.event_id), lambda u: u.w)), 0), 400 - f.used), 6) AS remains FROM f JOIN k t ON t.snapshot = f.snapshot AND t.k = f.k + 1) a) b) c)
+SELECT snapshot, event_id, order_key, line, taken AS shares, round(wcl, 6) AS wcl FROM f WHERE taken > 0""",
 }

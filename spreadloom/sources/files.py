@@ -14,12 +14,16 @@ def ledger_read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pairs_ragged_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Claims (a, b, sign, strength, rationale) whose last field may hold commas; a header is optional; the category is the file's name."""
-    parts = F.split("value", ",", 5)
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("category"), parts.alias("p")).where(F.size("p") == 5)
-    rows = rows.where(F.trim(F.col("p")[2]).try_cast("int").isNotNull())
+    """Claims (a, b, sign, strength, rationale) whose last field may hold commas. Blanks and quotes around a field are cut,
+    missing fields are empty, blank lines and a header are left out; the category is the file's name. ``sign`` is as
+    written, ``sign_value`` 1 or -1 by its first character."""
+    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("category"), "value")
+    header = F.startswith(F.regexp_replace(F.lower("value"), " ", ""), F.lit("underlying_a"))
+    rows = rows.where((F.trim("value") != "") & ~header).withColumn("p", F.split("value", ",", 5))
+    field = lambda i: F.trim(F.btrim(F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit(""))), F.lit('"')))
     names = ["underlying_a", "underlying_b", "sign", "strength", "rationale"]
-    return rows.select(*[F.trim(F.col("p")[i]).alias(n) for i, n in enumerate(names)], "category").withColumn("sign", F.col("sign").cast("int"))
+    sign = F.when(F.startswith("sign", F.lit("+")), 1).when(F.startswith("sign", F.lit("-")), -1)
+    return rows.select(*[field(i).alias(n) for i, n in enumerate(names)], "category").withColumn("sign_value", sign)
 
 
 def category_export(rows: DataFrame, path: str) -> None:

@@ -104,7 +104,7 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("market_id"), F.col("source").alias("event_id"), F.col("lang").alias("category"), "text", F.substring("text", 1, 80).alias("question"), F.col("n_chars").cast("double").alias("volume"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("market_id"), F.col("source").alias("event_id"), F.col("lang").alias("category"), "text", F.split("text", "\n")[0].alias("question"), F.col("n_chars").cast("double").alias("volume"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,3 +112,45 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     when = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("before "), F.year("o_orderdate").cast("string"))).when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("by "), F.date_format("o_orderdate", "MMMM d"))).otherwise(F.concat(F.lit("by "), F.date_format("o_orderdate", "MMMM d, yyyy")))
     return o.select(F.col("o_orderkey").alias("market_id"), F.col("o_custkey").alias("event_id"), F.concat(F.lit("Will "), F.col("o_orderpriority"), F.lit(" order close "), when, F.lit("?")).alias("question"), F.col("o_totalprice").cast("double").alias("volume"), F.col("o_orderdate").cast("date").alias("end_date"), F.col("o_orderstatus").alias("status"))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market_id, event_id, status and a title of ten kinds made of orders: dates and amounts written in many ways, and words
+    that only look like them."""
+    o = table(spark, sf_dir, "orders")
+    at = lambda form: F.date_format("o_orderdate", form)
+    year, p, clerk = F.year("o_orderdate").cast("string"), F.col("o_orderpriority"), F.concat(F.lit("Clerk#"), F.col("o_custkey").cast("string"))
+    n = F.col("o_orderkey")
+    kinds = [
+        F.concat(F.lit("Will the market decide on a novel marathon by "), at("MMMM d, yyyy"), F.lit("?")),
+        F.concat(p, F.lit(" reaches $5000 in 1999 shares before "), at("MMM"), F.lit(". "), at("d"), F.lit("th, "), year),
+        F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit(" 2024 revenue of "), clerk, F.lit(" above 1,200.5 million - by end of 2025.")),
+        F.concat(F.lit("GDP under 2.5% on "), at("M/d/yyyy"), F.lit(", says "), p),
+        F.concat(F.lit("\u201c"), clerk, F.lit("\u201d (High) reaches $1.6T in "), at("MMMM"), F.lit(" 2026")),
+        F.concat(F.lit("Will "), p, F.lit(" be over $"), (n % 1000).cast("string"), F.lit(",000 after "), at("MMMM"), F.lit("?")),
+        F.concat(clerk, F.lit(" through 2026, at least 3 thousand units until")),
+        F.concat(F.lit("Moreover, thunder in 2031 by May 5th and at 12,2027 for "), p),
+        F.lit(" ?"),
+        F.concat(F.lit("Will (the 5) 1,550 of \u2018"), p, F.lit("\u2019 GPT-5 \u201c1550\u201d win at Omar 5?")),
+    ]
+    text = kinds[-1]
+    for i, kind in enumerate(kinds[:-1]):
+        text = F.when(n % 10 == i, kind).otherwise(text)
+    return o.select(n.alias("market_id"), F.col("o_custkey").alias("event_id"), text.alias("question"), F.col("o_totalprice").cast("double").alias("volume"), F.col("o_orderstatus").alias("category"))
+
+
+def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested event documents made of orders: a customer's orders are the markets of its event."""
+    q = questions(spark, sf_dir)
+    key = F.col("market_id").cast("string")
+    names = F.when(F.col("market_id") % 3 == 0, F.lit('["No"," Yes "]')).when(F.col("market_id") % 11 == 0, F.lit('["Yes"]')).otherwise(F.lit('["Yes","No"]'))
+    prices = F.when(F.col("status") == "F", F.lit('["1","0"]')).when(F.col("status") == "O", F.lit('["0.5","0.5"]')).otherwise(F.lit('["0","1"]'))
+    market = F.struct(
+        F.col("market_id").alias("id"), F.concat(F.lit("m-"), (F.col("market_id") % 5000).cast("string")).alias("slug"), "question", F.concat(F.lit("Resolves by "), key).alias("description"), F.col("end_date").cast("string").alias("endDate"), names.alias("outcomes"),
+        F.concat(F.lit('["A'), key, F.lit('","B'), key, F.lit('"]')).alias("clobTokenIds"), prices.alias("outcomePrices"), "volume", (F.col("volume") / 2).alias("liquidity"), (F.col("market_id") % 7 / 100).alias("spread"), (F.col("market_id") % 4 == 0).alias("negRisk"), F.when(F.col("market_id") % 6 == 0, 0.001).alias("orderPriceMinTickSize"),
+    )
+    each = q.groupBy(F.col("event_id").alias("id")).agg(F.sort_array(F.collect_list(market)).alias("markets"), F.sum("volume").alias("volume"))  # one customer's orders
+    kind = F.when(F.col("id") % 13 == 0, "Red vs Blue, by date").when(F.col("id") % 17 == 0, "Orders").otherwise(F.concat(F.lit("Orders of "), F.col("id").cast("string"), F.lit(" by date")))
+    label = lambda slug, name: F.struct(slug.cast("string").alias("slug"), name.cast("string").alias("label"))
+    tags = F.array_compact(F.array(label(F.concat(F.lit("Zone-"), (F.col("id") % 5).cast("string")), F.lit("Zone")), F.when(F.col("id") % 2 == 0, label(F.lit(None), F.lit("Even")))))
+    return each.select("id", kind.alias("title"), tags.alias("tags"), "volume", (F.col("volume") / 10).alias("liquidity"), "markets")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,14 @@ def fills_dedup_stream(fills: DataFrame, *, late: str = "2 hours") -> DataFrame:
     return fills.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fill_id"])
 
 
-def _keyed(state_schema: str, step):
-    """A stateful function that orders a batch's rows of a key and folds them with ``step(state, row) -> (state, out)``."""
+def _keyed(step, keep_ms: int | None):
+    """A stateful function that orders a batch's rows of a key and folds them with ``step(state, row) -> (state, out)``.
+    A key that has had no row for ``keep_ms`` of processing time is forgotten, if that is given."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["bar", "kind"], kind="stable")
         now, out = (state.get if state.exists else None), []
         for row in rows.itertuples(index=False):
@@ -35,14 +39,22 @@ def _keyed(state_schema: str, step):
             state.remove() if state.exists else None
         else:
             state.update(now)
+            if keep_ms:
+                state.setTimeoutDuration(keep_ms)
         if out:
             yield pd.DataFrame(out)
 
     return run
 
 
-def signal_cooldown_stream(signals: DataFrame, *, cooldown: int = 12) -> DataFrame:
-    """Signals (key, bar, kind, direction, spread) without repeats of a key within ``cooldown`` bars of the last one let through."""
+def _timeout(keep_ms: int | None) -> str:
+    return "ProcessingTimeTimeout" if keep_ms else "NoTimeout"
+
+
+def signal_cooldown_stream(signals: DataFrame, *, cooldown: int = 12, keep_ms: int | None = None) -> DataFrame:
+    """Signals (key, bar, kind, direction, spread) without repeats of a key within ``cooldown`` bars of the last one let
+    through. A stream that runs on should give ``keep_ms``, longer than the cooldown lasts; one that ends when it has read
+    all there is must not, as timeouts would keep it running."""
 
     def step(state, row):
         if state is not None and row.bar - state[0] < cooldown:
@@ -50,15 +62,16 @@ def signal_cooldown_stream(signals: DataFrame, *, cooldown: int = 12) -> DataFra
         return (int(row.bar),), (int(row.bar), row.direction)
 
     def run(key, frames, state):
-        for out in _keyed("last long", step)(key, frames, state):
+        for out in _keyed(step, keep_ms)(key, frames, state):
             yield out.set_axis(["key", "bar", "direction"], axis=1)
 
-    return signals.groupBy("key").applyInPandasWithState(run, "key string, bar long, direction string", "last long", "append", "NoTimeout")
+    return signals.groupBy("key").applyInPandasWithState(run, "key string, bar long, direction string", "last long", "append", _timeout(keep_ms))
 
 
-def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0) -> DataFrame:
+def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0, keep_ms: int | None = None) -> DataFrame:
     """Closed ledger rows of a stream of marks (kind 0) and signals (kind 1): a key opens once, closes at the first mark
-    at least ``hold`` bars later and may open again."""
+    at least ``hold`` bars later and may open again. With ``keep_ms``, for a stream that runs
+    on, a row that has been open for so long without an event is dropped."""
 
     def step(state, row):
         if row.kind == 1 and state is None:
@@ -71,24 +84,33 @@ def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0) ->
     names = ["key", "entry_bar", "direction", "entry_spread", "exit_bar", "exit_spread", "pnl_c"]
 
     def run(key, frames, state):
-        for out in _keyed("", step)(key, frames, state):
+        for out in _keyed(step, keep_ms)(key, frames, state):
             yield out.set_axis(names, axis=1)
 
     schema = "key string, entry_bar long, direction string, entry_spread double, exit_bar long, exit_spread double, pnl_c double"
-    return events.groupBy("key").applyInPandasWithState(run, schema, "bar long, direction string, spread double", "append", "NoTimeout")
+    return events.groupBy("key").applyInPandasWithState(run, schema, "bar long, direction string, spread double", "append", _timeout(keep_ms))
 
 
 def rolling_stream(bars: DataFrame, history: str, sink: str, *, window: int = 48, min_obs: int = 20, checkpoint: str):
-    """Statistics of new spread bars: each micro-batch adds them to ``history`` and reads back the touched pairs' last
-    ``window`` bars, as a stream itself has no frames of rows."""
+    """Statistics of new spread bars, as a stream itself has no frames of rows: each micro-batch reads the last ``window``
+    bars of every pair that the one before left in ``history``, and leaves its own.
+
+    Both are written under the batch's number, so a repeated batch replaces what it wrote; ``sink`` is read as one table
+    of partitions ``batch``. Bars of a pair come in order; one that comes late takes part from then on.
+    """
     from ..operators.spread import PAIR, rolling_z
 
-    def batch(new: DataFrame, _: int) -> None:
-        spark = new.sparkSession
-        new.write.mode("append").parquet(history)
-        touched = new.groupBy(*PAIR).agg(F.min("bar").alias("from"))
-        past = spark.read.parquet(history).dropDuplicates([*PAIR, "bar"]).join(touched, PAIR)
-        held = rolling_z(past, window=window, min_obs=min_obs)
-        held.where(F.col("bar") >= F.col("from")).drop("from").write.mode("append").parquet(sink)
+    columns = [*PAIR, "bar", "spread"]
+
+    def batch(new: DataFrame, number: int) -> None:
+        new = new.select(columns).dropDuplicates([*PAIR, "bar"])
+        rows = new.withColumn("new", F.lit(True))
+        if number:
+            past = new.sparkSession.read.schema(new.schema).parquet(f"{history}/batch={number - 1}")
+            rows = rows.unionByName(past.join(new, [*PAIR, "bar"], "left_anti").withColumn("new", F.lit(False)))
+        rolling_z(rows, window=window, min_obs=min_obs).where("new").drop("new").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        last = Window.partitionBy(*PAIR).orderBy(F.desc("bar"))
+        tail = rows.withColumn("k", F.row_number().over(last)).where(F.col("k") <= window).select(columns)
+        tail.write.mode("overwrite").parquet(f"{history}/batch={number}")
 
     return bars.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from spreadloom.plans import registry
 from .oracle import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["panel_build", "signals_rolling", "trades_build", "segment_stats", "diffz_grid", "nonoverlap_event", "flow_concentration", "ledger_replay", "reconcile_detect", "book_walk", "deadline_parse", "tfidf_cosine", "components", "hy_corr", "pair_corr"]
+NAMES = sorted(registry.SQL)
 
 
 @pytest.fixture(scope="module")

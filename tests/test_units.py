@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadloom.functions.text import deadline, norm_tokens, strip_dates, strip_thresholds
-from spreadloom.operators import asynccorr, book, flow, positions, research, spread, text, trades
+from spreadloom.operators import asynccorr, book, flow, positions, research, spread, text, trades, universe
 from spreadloom.sources import files
 
 KEYS = ["event_id", "short_dd", "long_dd"]
@@ -106,24 +106,105 @@ def test_cooldown_keeps_the_first_and_what_follows_its_end(spark):
     assert sorted(r["signal_bar"] for r in trades.cooldown_fold(t, cooldown=24).collect()) == [1, 29]
 
 
-def test_nonoverlap_leaves_gaps_of_h(spark):
+def test_nonoverlap_holds_h_bars_and_the_entry_bar(spark):
     g = frame(spark, [("e", "a", "b", 3, 24, b, 2.5, 0.1) for b in (1, 2, 3, 4, 9)], "event_id string, short_dd string, long_dd string, h int, w int, bar long, z double, fwd double")
-    assert sorted(r["bar"] for r in research.nonoverlap_pair(g, z=2.0).collect()) == [1, 4, 9]
+    assert sorted(r["bar"] for r in research.nonoverlap_pair(g, z=2.0).collect()) == [1, 9]
 
 
 @pytest.mark.parametrize(
     "question, want",
-    [("Will it end by March 31, 2026?", dt.date(2026, 3, 31)), ("Will it end by Feb 3?", dt.date(2024, 2, 3)), ("Will it end by January 2?", dt.date(2025, 1, 2)), ("Will it end in 2027?", dt.date(2027, 12, 31)), ("Will it end before 2027?", dt.date(2026, 12, 31)), ("Will it end by Smarch 31, 2026?", None), ("Will it end?", None)],
+    [("Will it end by March 31, 2026?", dt.date(2026, 3, 31)), ("Will it end by Feb 3?", dt.date(2024, 2, 3)), ("Will it end by January 2?", dt.date(2025, 1, 2)), ("Will it end in 2027?", dt.date(2027, 12, 31)), ("Will it end before 2027?", dt.date(2026, 12, 31)), ("Will it end by Smarch 31, 2026?", None), ("Will it end?", None), ("Will it end by February 29, 2026?", None), ("Will it end by Feb 29?", dt.date(2024, 2, 29))],
 )
 def test_deadlines(spark, question, want):
     df = frame(spark, [(question,)], "q string")
     assert df.select(deadline(F.col("q"), F.lit("2024-01-15").cast("date"))).collect()[0][0] == want
 
 
-def test_stems_and_tokens(spark):
-    df = frame(spark, [("Will Gold reach at least $1,200.50k by December 31, 2025?",)], "q string")
-    assert df.select(strip_thresholds(strip_dates(F.col("q")))).collect()[0][0] == "will gold reach"
-    assert df.select(norm_tokens(F.lit("Will the GPT-5 (High) beat “1550”, or not?"))).collect()[0][0][:2] == ["gpt-5", "beat"]
+@pytest.mark.parametrize(
+    "question, stem",
+    [
+        ("Will Gold reach at least $1,200.50k by December 31, 2025?", "will gold reach"),
+        ("Will the market decide on a novel marathon?", "will the market decide on a novel marathon"),
+        ("$5000 in 1999 shares", "in 1999 shares"),
+        ("Closed by March 31st, 2026", "closed"),
+        ("Revenue in Q1 2025 above 3 million", "revenue"),
+        ("Landing on 3/15/2026 or after May?", "landing or"),
+        ("Omar at 12,2027 until", "omar at 12,2027"),
+        ("GDP under 2.5%,", "gdp"),
+        ("", ""),
+    ],
+)
+def test_stems(spark, question, stem):
+    assert frame(spark, [(question,)], "q string").select(strip_thresholds(strip_dates(F.col("q")))).collect()[0][0] == stem
+
+
+def test_tokens(spark):
+    tokens = lambda t: frame(spark, [(t,)], "q string").select(norm_tokens(F.col("q"))).collect()[0][0]
+    assert tokens("Will the GPT-5 (High) beat “1550”, or not?") == ["gpt-5", "beat", "not"]
+    assert tokens("‘It’s’ 12,000.5 - (a) beat beat") == ["it's", "beat"] and tokens("the 5?") == []
+
+
+def test_loss_budget_takes_only_what_it_uses(spark):
+    plans = lambda *rows: frame(spark, [(1, i, e, n, w) for i, (e, n, w) in enumerate(rows)], "snapshot int, seq int, event_id string, shares double, loss double")
+    take = lambda df, **o: [(r["event_id"], r["shares"], round(r["wcl"], 6)) for r in book.loss_budget(df, **o).orderBy("seq").collect()]
+    # the first plan is cut to the event's budget, the second finds nothing left in it, the third is another event's
+    assert take(plans(("e", 1000.0, 0.5), ("e", 100.0, 0.5), ("f", 600.0, 0.5)), total=600.0, per_event=450.0) == [("e", 900, 450.0), ("f", 300, 150.0)]
+    # a refused plan uses up nothing
+    assert take(plans(("e", 9.0, 50.0), ("e", 100.0, 0.5)), total=600.0, per_event=450.0) == [("e", 100, 50.0)]
+    assert take(plans(("e", 30.0, 0.0),), total=10.0, per_event=10.0) == [("e", 30, 0.0)]
+
+
+def test_exits_look_ahead_within_the_hold(spark):
+    rows = [("e", "a", "b", i, 0.1 * i, 0.2, z) for i, z in enumerate([-2.0, -1.0, -0.5, 0.1, 0.2, -3.0, None])]
+    stats = frame(spark, rows, "event_id string, short_dd string, long_dd string, bar long, p_short double, p_long double, z double")
+    picked = trades.with_exits(stats, max_hold=3).where("bar in (0, 1, 2, 5, 6)").withColumn("direction", F.lit("BUY"))
+    got = {r["signal_bar"]: (r["entry_rn"], r["exit_rn"], r["status"]) for r in trades.trade_exit(picked, max_hold=3).collect()}
+    assert got == {0: (2, 4, "Z"), 1: (3, 4, "Z"), 2: (4, 5, "Z"), 5: (7, 7, "P")}
+    sold = trades.with_exits(stats, max_hold=1).where("bar = 2").withColumn("direction", F.lit("SELL"))
+    assert [(r["exit_rn"], r["status"]) for r in trades.trade_exit(sold, max_hold=1).collect()] == [(5, "T")]
+
+
+def test_communities_and_modularity(spark):
+    clique = lambda xs: [(a, b, 1.0) for i, a in enumerate(xs) for b in xs[i + 1 :]]
+    edges = frame(spark, [*clique([1, 2, 3, 4]), *clique([11, 12, 13, 14]), (4, 11, 0.1)], "a long, b long, score double")
+    labels = text.communities(edges)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert len({got[i] for i in (1, 2, 3, 4)}) == 1 and len({got[i] for i in (11, 12, 13, 14)}) == 1 and got[1] != got[11]
+    q = text.modularity(edges, labels).collect()[0]
+    inside, total = 12.0, 12.1  # each clique has half of all ends
+    assert q["communities"] == 2 and abs(q["q"] - (inside / total - 2 * 0.25)) < 1e-9
+
+
+def test_explained_variance_of_a_cluster(spark):
+    import numpy as np
+
+    c = np.array([[1.0, 0.8, 0.1], [0.8, 1.0, 0.2], [0.1, 0.2, 1.0]])
+    rows = [("k", x, y, float(c[i, j])) for i, x in enumerate("abc") for j, y in enumerate("abc") if i < j]
+    got = {r["series"]: r["r2"] for r in asynccorr.loo_r2(frame(spark, rows, "cluster string, x string, y string, rho double")).collect()}
+    want = 1 - 1 / np.diag(np.linalg.inv(0.9 * c + 0.1 * np.eye(3)))
+    assert all(abs(got[n] - w) < 1e-9 for n, w in zip("abc", want))
+    with pytest.raises(Exception, match="at most 2"):
+        asynccorr.loo_r2(frame(spark, rows, "cluster string, x string, y string, rho double"), most=2).collect()
+
+
+def test_typed_edges(spark):
+    rows = [("g", 1, "implies", "2", 0), ("g", 2, "implies", None, 1), ("g", 3, "implies", "1", 2), ("h", 8, "same", "2", 1), ("h", 7, "same", "1", 0), ("i", 9, "implies", "1", 0)]
+    members = frame(spark, [(g, i, r, k, n) for g, i, r, k, n in rows], "`group` string, id int, relation string, rank string, seq int")
+    cosines = frame(spark, [(1, 3, 0.5)], "a int, b int, cosine double")
+    got = sorted((r["source"], r["target"], r["directed"], r["cosine"]) for r in text.typed_edges(members, cosines).collect())
+    assert got == [(1, 2, True, None), (3, 1, True, 0.5), (3, 2, True, None), (7, 8, False, None)]
+
+
+def test_events_explode_with_their_gaps(spark):
+    schema = "id int, title string, tags array<struct<slug:string,label:string>>, volume string, liquidity string, markets array<struct<id:int,slug:string,question:string,description:string,endDate:string,outcomes:string,clobTokenIds:string,outcomePrices:string,volume:string,liquidity:string,spread:string,negRisk:boolean,orderPriceMinTickSize:string>>"
+    market = lambda i, q, prices: (i, f"s{i}", q, " c ", "2026-01-05T00:00:00Z", '["Yes","No"]', f'["A{i}","B{i}"]', prices, "x", None, "0.02", None, None)
+    events = [
+        (1, "Done by when", [("A", "x"), (None, "Bee"), (None, None)], "10", None, [market(1, "Done by May 3, 2026?", '["1","0"]'), market(2, "Done by May 3, 2026?", "[]"), market(3, "Done by June 3, 2026?", None), market(4, "A vs B by May?", None)]),
+        (2, "Red vs Blue by May", [], None, None, [market(5, "Done by May 3, 2026?", None), market(6, "Done by June 3, 2026?", None)]),
+        (3, "By one date", None, None, None, [market(7, "Done by May 3, 2026?", None)]),
+    ]
+    got = universe.universe_build(frame(spark, events, schema), F.lit("2026-01-01").cast("date")).orderBy("ladder_order").collect()
+    assert [(r["event_id"], r["market_id"], r["ladder_label"], r["resolution"], r["tags"], r["market_volume"], r["market_spread"], r["neg_risk"], r["min_tick"]) for r in got] == [(1, 2, "2026-05-03", None, "a,bee", None, 0.02, False, 0.01), (1, 3, "2026-06-03", None, "a,bee", None, 0.02, False, 0.01)]
 
 
 def test_hayashi_yoshida_equals_all_overlaps(spark):
@@ -156,9 +237,13 @@ def test_logs_decode(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "ledger.jsonl").write_text('{"event_id":"e","entry_spread":0.1,"status":"open"}\n\nnot json\n{"event_id":"f","status":"closed"}\n')
     assert sorted(r["event_id"] for r in files.ledger_read(spark, str(tmp_path / "ledger.jsonl")).collect()) == ["e", "f"]
-    (tmp_path / "metals.csv").write_text("a,b,sign,strength,why\nu1,u2,1,high,both rise, mostly\nbad line\n")
-    got = files.pairs_ragged_csv(spark, str(tmp_path / "metals.csv")).collect()
-    assert [(r["underlying_a"], r["sign"], r["rationale"], r["category"]) for r in got] == [("u1", 1, "both rise, mostly", "metals")]
+    (tmp_path / "metals.csv").write_text('underlying_a, underlying_b,sign,strength,why\n"u1", u2 ,+1,high,"both rise, mostly"\n\nu3,u4,-\n')
+    got = files.pairs_ragged_csv(spark, str(tmp_path / "metals.csv")).orderBy("underlying_a").collect()
+    assert [(r["underlying_a"], r["underlying_b"], r["sign_value"], r["rationale"], r["category"]) for r in got] == [("u1", "u2", 1, "both rise, mostly", "metals"), ("u3", "u4", -1, "", "metals")]
+    rows = frame(spark, [("x", 1), ("y", 2), ("y", 3)], "category string, v int")
+    files.category_export(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["category=x", "category=y"]
+    assert sorted(r["v"] for r in files.trades_sink(rows, str(tmp_path / "trades")).collect()) == [1, 2, 3]
 
 
 def test_walk_with_fees_loss_cap_and_ratio(spark):
