@@ -107,10 +107,11 @@ def diffz_confirm(signals: DataFrame, *, z: float) -> DataFrame:
 
 
 def event_study(signals: DataFrame, *, buckets: int = 10, least: int = 50) -> DataFrame:
-    """Mean z and traded return by (h, W) and bucket of z, cut at the exact percentiles of a grid point with ``least`` rows."""
+    """Mean z and traded return by (h, W) and bucket of z, cut at the exact percentiles (to 1e-9) of a grid
+    point with ``least`` rows."""
     cuts = [i / buckets for i in range(1, buckets)]
     at = signals.groupBy("h", "w").agg(F.percentile("z", F.array(*map(F.lit, cuts))).alias("cuts"), F.count("*").alias("m")).where(F.col("m") >= least)
-    bucket = F.size(F.filter("cuts", lambda c: c < F.col("z")))
+    bucket = F.size(F.filter("cuts", lambda c: c + 1e-9 < F.col("z")))
     return signals.join(at, ["h", "w"]).groupBy("h", "w", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.avg("fwd").alias("mean_fwd"))
 
 

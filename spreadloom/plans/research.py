@@ -309,7 +309,7 @@ SQL = {
     "top_configs_deep": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 9) AS net_c, round(hit, 9) AS hit, round(t, 9) AS t FROM dd_ WHERE n >= 20 AND t IS NOT NULL ORDER BY round(dd_.t, 9) DESC, h, w, z_enter, cap LIMIT 12",
     "diffz_confirm": f"WITH {CA} SELECT h, w, round(avg(fwd) FILTER (z > 0 AND S >= 0), 9) AS up_pos, round(avg(fwd) FILTER (z > 0 AND S < 0), 9) AS up_neg, round(avg(fwd) FILTER (z < 0 AND S >= 0), 9) AS down_pos, round(avg(fwd) FILTER (z < 0 AND S < 0), 9) AS down_neg FROM ca WHERE abs(z) >= 2 GROUP BY ALL",
     "tightness_sweep": f"WITH {COSTED} SELECT h, w, cap, count(*) AS n, round(avg(-sign(z) * fwd), 9) AS gross, round(avg(-sign(z) * fwd - cost), 9) AS net, round(avg((-sign(z) * fwd - cost > 0)::INT), 9) AS hit FROM cc JOIN (VALUES {_values(CAPS)}) v(cap) ON max_leg <= cap GROUP BY ALL HAVING count(*) >= 30",
-    "event_study": f"WITH {CA}, q AS (SELECT h, w, quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM ca GROUP BY ALL HAVING count(*) >= 50), b AS (SELECT h, w, z, fwd, CAST(len(list_filter(cuts, lambda c: c < z)) AS INTEGER) AS bucket FROM ca JOIN q USING (h, w)) SELECT h, w, bucket, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(fwd), 6) AS mean_fwd FROM b GROUP BY ALL",
+    "event_study": f"WITH {CA}, q AS (SELECT h, w, quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM ca GROUP BY ALL HAVING count(*) >= 50), b AS (SELECT h, w, z, fwd, CAST(len(list_filter(cuts, lambda c: c + 1e-9 < z)) AS INTEGER) AS bucket FROM ca JOIN q USING (h, w)) SELECT h, w, bucket, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(fwd), 6) AS mean_fwd FROM b GROUP BY ALL",
     "grid_pivot": f"WITH {CA} SELECT h, w, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 1.5), 9) AS z_15, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2), 9) AS z_20, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2.5), 9) AS z_25 FROM ca GROUP BY ALL",
     "deep_grid": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 7) AS net_c, round(hit, 7) AS hit, round(t, 7) AS t FROM dd_",
     "signed_symmetry": f"WITH {CA}, g AS (SELECT *, -sign(z) * fwd AS gross FROM ca WHERE abs(z) >= 2) SELECT h, w, count(*) FILTER (z > 0) AS n_up, count(*) FILTER (z <= 0) AS n_down, CASE WHEN count(*) FILTER (z > 0) >= 8 THEN round(avg(gross) FILTER (z > 0) / stddev_samp(gross) FILTER (z > 0) * sqrt(count(*) FILTER (z > 0)), 9) END AS t_up, CASE WHEN count(*) FILTER (z <= 0) >= 8 THEN round(avg(gross) FILTER (z <= 0) / stddev_samp(gross) FILTER (z <= 0) * sqrt(count(*) FILTER (z <= 0)), 9) END AS t_down FROM g GROUP BY ALL",
