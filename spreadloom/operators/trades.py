@@ -129,11 +129,13 @@ def top_trades(trades: DataFrame, n: int = 10) -> DataFrame:
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
-    """Cumulative profit by exit bar: of all trades, and without those of the event, or the three events, with most profit."""
-    best = Window.orderBy(F.desc(F.round("total", 6)), "event_id")  # over one row an event
+    """Cumulative profit by exit bar: of all trades, and without those of the event, or the three events, with most
+    profit. Profits add up as decimals, so that no order of adding shows."""
+    trades = trades.withColumn("pnl_dollars", F.col("pnl_dollars").cast("decimal(28,8)"))
+    best = Window.orderBy(F.desc("total"), "event_id")  # over one row an event
     ranks = trades.groupBy("event_id").agg(F.sum("pnl_dollars").alias("total")).select("event_id", F.row_number().over(best).alias("rank"))
     held = trades.join(ranks, "event_id")
-    without = lambda k: F.sum(F.when(F.col("rank") > k, F.col("pnl_dollars")).otherwise(F.lit(0.0)))
+    without = lambda k: F.sum(F.when(F.col("rank") > k, F.col("pnl_dollars")).otherwise(F.lit(0).cast("decimal(28,8)")))
     by = held.groupBy("exit_bar").agg(F.sum("pnl_dollars").alias("pnl"), F.count("*").alias("n"), without(1).alias("pnl_x1"), without(3).alias("pnl_x3"))
     run = Window.orderBy("exit_bar").rowsBetween(Window.unboundedPreceding, 0)  # over one row a bar
-    return by.select("exit_bar", "pnl", "n", *[F.sum(c).over(run).alias(a) for c, a in (("pnl", "equity"), ("pnl_x1", "equity_x1"), ("pnl_x3", "equity_x3"))])
+    return by.select("exit_bar", F.col("pnl").cast("double").alias("pnl"), "n", *[F.sum(c).over(run).cast("double").alias(a) for c, a in (("pnl", "equity"), ("pnl_x1", "equity_x1"), ("pnl_x3", "equity_x3"))])

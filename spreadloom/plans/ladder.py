@@ -192,7 +192,7 @@ QUERIES = {
     "walk_forward": _walk_forward,
     "oos_split": lambda s, d: rounded(trades(s, d).groupBy((F.col("entry_bar") < 473800).alias("in_sample")).agg(F.count("*").alias("n"), F.avg("pnl").alias("mean"), T.tstat(F.col("pnl")).alias("t"))),
     "curve_shape": _curve,
-    "equity_curve": lambda s, d: rounded(T.equity_curve(trades(s, d)), 2),
+    "equity_curve": lambda s, d: rounded(T.equity_curve(trades(s, d)), 8),
     "event_meta": lambda s, d: rounded(T.event_meta(X.universe(s, d)), 3),
     "trade_buckets": lambda s, d: rounded(T.trade_buckets(trades(s, d), X.universe(s, d)).select(*PAIR, "signal_bar", "primary_tag", "tau_bucket", "vol_q")),
     "top_trades": lambda s, d: rounded(T.top_trades(trades(s, d)).select("side", *PAIR, "signal_bar", "direction", "status", "pnl_dollars"), 6),
@@ -238,7 +238,7 @@ SQL = {
     "walk_forward": f"{W}{TRADES}, m AS (SELECT (min(entry_bar) + max(entry_bar)) / 2.0 AS m FROM tr) SELECT CASE WHEN entry_bar <= (SELECT m FROM m) THEN 'first' ELSE 'second' END AS half, {SUMMARY} FROM tr GROUP BY 1",
     "oos_split": f"{W}{TRADES} SELECT entry_bar < 473800 AS in_sample, count(*) AS n, round(avg(pnl), 9) AS mean, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM tr GROUP BY 1",
     "curve_shape": f"{W}{TRADES} SELECT direction, round(avg(p_short_entry - (p_short_entry + p_long_entry) / 2), 9) AS short_entry, round(avg(p_short_exit - (p_short_entry + p_long_entry) / 2), 9) AS short_exit, round(avg(p_long_entry - (p_short_entry + p_long_entry) / 2), 9) AS long_entry, round(avg(p_long_exit - (p_short_entry + p_long_entry) / 2), 9) AS long_exit, round(avg(p_long_exit - p_short_exit - p_long_entry + p_short_entry), 9) AS d_slope FROM tr GROUP BY 1",
-    "equity_curve": f"{W}{TRADES}, k AS (SELECT event_id, row_number() OVER (ORDER BY round(sum(pnl_dollars), 6) DESC, event_id) AS rk FROM tr GROUP BY 1), b AS (SELECT exit_bar, sum(pnl_dollars) AS pnl, count(*) AS n, coalesce(sum(pnl_dollars) FILTER (rk > 1), 0) AS x1, coalesce(sum(pnl_dollars) FILTER (rk > 3), 0) AS x3 FROM tr JOIN k USING (event_id) GROUP BY 1) SELECT exit_bar, round(pnl, 2) AS pnl, n, round(sum(pnl) OVER (ORDER BY exit_bar), 2) AS equity, round(sum(x1) OVER (ORDER BY exit_bar), 2) AS equity_x1, round(sum(x3) OVER (ORDER BY exit_bar), 2) AS equity_x3 FROM b",
+    "equity_curve": f"{W}{TRADES}, td AS (SELECT *, pnl_dollars::DECIMAL(28, 8) AS d FROM tr), k AS (SELECT event_id, row_number() OVER (ORDER BY sum(d) DESC, event_id) AS rk FROM td GROUP BY 1), b AS (SELECT exit_bar, sum(d) AS pnl, count(*) AS n, coalesce(sum(d) FILTER (rk > 1), 0) AS x1, coalesce(sum(d) FILTER (rk > 3), 0) AS x3 FROM td JOIN k USING (event_id) GROUP BY 1) SELECT exit_bar, round(pnl::DOUBLE, 8) AS pnl, n, round(sum(pnl) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity, round(sum(x1) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity_x1, round(sum(x3) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity_x3 FROM b",
     "cooldown_fold": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, count(*) AS n, min(signal_bar) AS first, max(signal_bar) AS last FROM tr GROUP BY ALL",
     "cooldown_filter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, bar FROM sg ANTI JOIN (SELECT * FROM tr WHERE status <> 'Z') USING (event_id, short_dd, long_dd)",
     "signals_union": f"WITH {SIGNALS}, u AS (SELECT event_id, bar, 'BUY' AS direction FROM st WHERE sigma > 1e-6 AND z <= -1.75 AND mu - spread >= 0.05 UNION ALL SELECT event_id, bar, 'SELL' FROM st WHERE sigma > 1e-6 AND z >= 1.75 AND spread - mu >= 0.05) SELECT event_id, direction, count(*) AS n, min(bar) AS first, max(bar) AS last FROM u GROUP BY ALL",
