@@ -28,7 +28,8 @@ from .common import table
 
 MAX_DOCS, MAX_CHARS = 3000, 20_000  # bounds of the sample for fitting: documents of each class, characters of each
 WINDOW, STEP = 4, 2  # words
-COMMON_BYTES, OWN_BYTES, LEVEL = 32768, 16384, 12
+COMMON_BYTES, OWN_BYTES = 32768, 16384
+LEVELS = (6, 12)  # of compression; zstandard's way of matching depends on level and size together, so the better one is kept
 LEAST_DOCS, LEAST_RATIO = 3, 20.0  # a word that tells a class: in so many documents, so much likelier than in the other
 THRESHOLDS = (1.0, 2.0)  # calibrated log-likelihoods over which windows are counted
 CACHE_WINDOWS = 300_000
@@ -43,6 +44,7 @@ class Model:
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
+    level: int = LEVELS[0]
 
 
 def windows(text: str) -> list[bytes]:
@@ -55,17 +57,17 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.compressors = [self._compressor(d) for d in (model.ordinary, model.toxic)]
+        self.compressors = [self._compressor(d, model.level) for d in (model.ordinary, model.toxic)]
 
     @staticmethod
-    def _compressor(data: bytes):
+    def _compressor(data: bytes, level: int):
         import zstandard
 
         if not data:
-            return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+            return zstandard.ZstdCompressor(level=level, write_content_size=False)
         held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
+        held.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False)
 
     def saved(self, window: bytes) -> int:
         """Bytes by which the window is shorter under the toxic dictionary."""
@@ -117,29 +119,35 @@ def fit(texts: list[str], toxic: list[int], ids: list[int], *, odds: float | Non
     bad, good = _telling(c1, n1, c0, n0), _telling(c0, n0, c1, n1)
     apart = {*bad, *good}
     common = _content([w for w, _ in sorted(c0.items(), key=lambda x: (x[1], x[0])) if w not in apart], COMMON_BYTES)
-    model = Model(_content(bad, OWN_BYTES) + common, _content(good, OWN_BYTES) + common, {}, np.zeros(7), np.zeros(6), np.ones(6))
+    dictionaries = _content(bad, OWN_BYTES) + common, _content(good, OWN_BYTES) + common
     rest = [(t, y) for t, y, h in zip(texts, toxic, half, strict=True) if h]
+    y = np.array([y for _, y in rest], float)
+    if not 0 < y.sum() < len(y):
+        weights = np.append(np.zeros(6), 30.0 if y.sum() else -30.0)
+        return Model(*dictionaries, {}, weights, np.zeros(6), np.ones(6))
+    return max((_calibrated(Model(*dictionaries, {}, np.zeros(7), np.zeros(6), np.ones(6), level), rest, y, odds) for level in LEVELS), key=lambda x: x[0])[1]
+
+
+def _calibrated(model: Model, rest: list[tuple[str, int]], y: np.ndarray, odds: float | None) -> tuple[float, Model]:
+    """The likelihood of the calibrating half, and the model with its gains and weights."""
     scorer, seen = Scorer(model), [Counter(), Counter()]
-    for t, y in rest:
-        seen[y].update({scorer.saved(w) for w in windows(t)})
-    m = [sum(1 for _, y in rest if y == c) for c in (0, 1)]
-    if min(m) == 0:
-        model.weights[-1] = 30.0 if m[1] > m[0] else -30.0
-        return model
+    for t, c in rest:
+        seen[c].update({scorer.saved(w) for w in windows(t)})
+    m = len(y) - y.sum(), y.sum()
     for saved in seen[0].keys() | seen[1].keys():
         model.gains[saved] = float(np.log((seen[1][saved] + 0.5) / (m[1] + 1)) - np.log((seen[0][saved] + 0.5) / (m[0] + 1)))
     x = np.array([scorer.evidence(t) for t, _ in rest])
-    y = np.array([y for _, y in rest], float)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     x = np.hstack([(x - model.mean) / model.scale, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(25):  # Newton's steps of a lightly penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
     if odds:
         w[-1] += np.log(odds) - np.log(m[1] / m[0])
     model.weights = w
-    return model
+    return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), model
 
 
 def fold(doc_id) -> F.Column:

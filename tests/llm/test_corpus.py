@@ -370,3 +370,40 @@ def test_url_rules(spark):
     urls = spark.createDataFrame([(i, f"http://www.h{i}.com/ppp") for i in range(0, 6000, 7)], "page_id long, url string")
     blocked = {r["page_id"] for r in url_filter.filter_urls(urls, url_filter.rules_frame(spark, many)).where("verdict = 'block'").collect()}
     assert blocked == set(range(0, 3000, 7))
+
+
+def test_pipeline_stages(spark, tmp_path, tokenizer):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("bcdfglmnrstaeiou"), 5))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    item, near, line = fill(30), fill(60), fill(12)
+    plain = lambda: [f"{rng.choice(list('bcdfg'))}{rng.choice(list('aeiou'))}{rng.choice(list('lmnrs'))}{rng.choice(list('aeiou'))}" for _ in range(30)]
+    rows = [(i, " ".join(["wretch" if i % 3 == 0 and k == i % 30 else w for k, w in enumerate(plain())])) for i in range(600)]
+    cut = lambda n, end=60: " ".join(near.split()[:n]) + "\n" + " ".join(near.split()[n:end])  # noqa: E731  lines unlike each other
+    rows += [(900, cut(30)), (901, cut(20)), (902, cut(10, 59)), (903, f"{fill(40)} {item} {fill(9)}"), (904, f"{line}\n{fill(30)}"), (905, f"{line}\n{fill(30)}"), (906, None), (907, ""), (None, fill(20)), (908, fill(30)), (908, fill(30))]
+    names = ["id", "row", "found", "removed", "label", "__leak", "key", "class", "words", "score"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    spark.createDataFrame([(i, t, "en", "s", 1, *names) for i, t in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = docs.collect()
+        assert name == "best_fit_packing" or docs.columns == columns
+    ids = {n: Counter(r["doc_id"] for r in k) for n, k in kept.items()}
+    toxic, clean = {i for i in range(600) if i % 3 == 0}, {i for i in range(600) if i % 3}
+    assert len(toxic & set(ids["toxicity"])) <= 10 and len(clean - set(ids["toxicity"] )) <= 10 and {906, 907, None} <= set(ids["toxicity"])
+    texts = {r["doc_id"]: r["text"] for r in kept["line_dedup"]}
+    assert ids["line_dedup"] == ids["toxicity"] and line in texts[904] and line not in texts[905] and texts[906] is None
+    assert not {901, 902} & set(ids["minhash_dedup"]) and {900, 906, 907, None} <= set(ids["minhash_dedup"]) and ids["minhash_dedup"][908] == 1
+    assert ids["minhash_dedup"] - ids["decontamination"] == Counter({903: 1})
+    last = {r["doc_id"]: r["text"] for r in kept["decontamination"]}
+    for r in kept["best_fit_packing"]:
+        want = encoded(tokenizer, last[r["doc_id"]], 2)
+        assert r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes())
+    assert ids["best_fit_packing"] == ids["decontamination"]
+    empty = docs.sparkSession.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
