@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_DOCS, MAX_CHARS = 3000, 20_000  # bounds of the sample for fitting: documents of each class, characters of each
-WINDOW, STEP = 4, 2  # words
+WINDOW, STEP = 4, 3  # words
 COMMON_BYTES, OWN_BYTES = 32768, 16384
 LEVELS = (6, 12)  # of compression; zstandard's way of matching depends on level and size together, so the better one is kept
 LEAST_DOCS, LEAST_RATIO = 3, 20.0  # a word that tells a class: in so many documents, so much likelier than in the other
