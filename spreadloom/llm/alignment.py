@@ -6,7 +6,7 @@ long each time: an equal stretch is as many groups of one token each and is jump
 differs, shorter ones find the place; the irregular group there is resolved end by end, each pair of tokens that share
 bytes being a link, and the shift becomes the difference of the indices behind it.
 
-A byte-level BPE with a blank before each word and a piece model without pieces that go on over a blank or a line feed
+A byte-level BPE and a piece model without pieces that go on over a blank, a line feed or from letters into punctuation
 both encode a part (a word with the blank or line feed before it) as they do within the text. So the walk goes over all
 parts of a batch that are not yet known, laid end to end, and what it finds for a part is kept. Texts with other white
 space are walked over as a whole.
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -24,59 +25,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .tokens import BYTES, LINE, PRINTED, in_slices
+from .tokens import BYTES, LETTERS, LINE, PRINTED, in_slices
 
-#: Parts kept by one Python worker; what comes later is aligned each time it is met.
-CACHE_PARTS = 500_000
+#: Parts, and first letters of parts, kept by one Python worker; what comes later is aligned each time it is met.
+CACHE_PARTS = 300_000
 #: Most id pairs that are sent to every task as two arrays (13 bytes a pair); with more, links meet counts in a join.
 LOOKUP_PAIRS = 4_000_000
 #: Characters of a text of plain white space that are in work at once.
 CHUNK = 1_000_000
 BLANK = "▁"
+BAD = (-1, b"", b"")
+#: Pieces that would go on over a blank, over a line feed, or from letters into ASCII that is no letter.
+ACROSS = re.compile(f"[^{BLANK}]{BLANK}|\n|[A-Za-zÀ-ÖØ-öø-ÿ][!-@\\[-`{{-~]")
 
 _loaded: dict[tuple[str, str], Aligner] = {}
 
 
-def walk(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """The links (index in ``a``, index in ``b``) in order, and each group's first token in ``a`` and ``b``. Both lists
-    of ends are ascending and have the same last one."""
+def walk(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], list[list[tuple[int, int]]]]:
+    """Groups in order as stretches (first index in ``a``, in ``b``, number of one-to-one groups), each but the last
+    followed by one irregular group, the list of its links. Both lists of ends ascend and have the same last one."""
     i = j = 0
-    n = len(a)
-    link_a, link_b, first_a, first_b = [], [], [], []
-    while i < n:
-        step, growing = 1, True
-        while step:  # a one-to-one stretch: probes grow until one differs, then shrink
-            if a[i : i + step] == b[j : j + step] and i < n:
-                size = min(step, n - i)
-                for links, firsts, at in ((link_a, first_a, i), (link_b, first_b, j)):
-                    links.extend(range(at, at + size))
-                    firsts.extend(range(at, at + size))
-                i, j = i + size, j + size
-            else:
-                growing = False
-            step = step * 2 if growing else step // 2
+    n, m = len(a), len(b)
+    stretches, irregular = [], []
+    while True:
+        first, other, step = i, j, 1
+        while i < n and a[i : i + step] == b[j : j + step]:  # probes grow until one differs
+            i, j, step = i + step, j + step, step * 2
+        if i < n:
+            while step > 1:  # then shrink
+                step //= 2
+                if a[i : i + step] == b[j : j + step]:
+                    i, j = i + step, j + step
+        i, j = min(i, n), min(j, m)
+        stretches.append((first, other, i - first))
         if i == n:
-            break
-        first_a.append(i)
-        first_b.append(j)
-        x, y = a[i], b[j]
-        while True:  # an irregular group
-            link_a.append(i)
-            link_b.append(j)
+            return stretches, irregular
+        links, x, y = [(i, j)], a[i], b[j]
+        while x != y:  # the end that comes first moves on, until both meet
             if x < y:
                 i += 1
                 x = a[i]
-            elif y < x:
+            else:
                 j += 1
                 y = b[j]
-            else:
-                break
+            links.append((i, j))
+        irregular.append(links)
         i, j = i + 1, j + 1
-    return link_a, link_b, first_a, first_b
 
 
 class Aligner:
-    """Encodes with both tokenizers; an entry is (tokens of a, tokens of b, groups, groups as text, links as codes)."""
+    """Encodes with both tokenizers. What is known of a string is (tokens of a times 2^32 plus tokens of b, groups as
+    text, links as codes), or BAD where either tokenizer doesn't give back its bytes."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -90,86 +89,137 @@ class Aligner:
         self.bytes_a = [bytes(printed.get(c, 63) for c in self.a.id_to_token(i) or "") for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.array([*map(len, x)], "i8") for x in (self.bytes_a, self.bytes_b))
+        self.text_a, self.text_b = [*map(str, range(size))], [*map(str, range(len(pieces)))]
         self.size_b = len(pieces)
         self.wide = np.dtype("<i4" if size * self.size_b < 1 << 31 else "<i8")
         self.blank = self.b.piece_to_id(BLANK)
-        self.apart = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
-        self.apart &= not any(re.search(f"[^{BLANK}]{BLANK}|\n", p) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-
-    def text(self, text: str | None) -> tuple[int, int, int, bytes, np.ndarray, bytes]:
-        """Tokens of a and b, groups, sha256 of the groups in hex, the links' codes, and the groups as text."""
-        nothing = 0, 0, 0, b"", np.zeros(0, self.wide), b""
-        if not text:
-            return nothing
-        counts, said, codes = [0, 0, 0], [], []
-        for found in self._plain(text) if self.apart and " ".join(text.split()) == text.replace(LINE, " ") else [self._learn([" " + text], [text])]:
-            if None in found:
-                return nothing
-            *some, groups, links = zip(*found, strict=True)
-            counts = [n + sum(x) for n, x in zip(counts, some, strict=True)]
+        plain = type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
+        real = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        self.apart = plain and not any(ACROSS.search(p) for p in real)
+        self.parts: dict[str, tuple] = {}
+        self.words: dict[str, tuple] = {}
+        self.rests: dict[str, tuple] = {}
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, bytes, np.ndarray, bytes]]:
+        """For each text: tokens of a and b, sha256 of the groups in hex, the links' codes, and the groups as text. What
+        is new in all of them is learnt at once."""
+        found: list = [None] * len(texts)
+        for i, t in enumerate(texts):
+            if t and self.apart and " ".join(t.split()) == t.replace(LINE, " "):
+                found[i] = t.replace(LINE, " " + LINE).split(" ") if len(t) <= CHUNK else self._joined(self._chunks(t))
+            else:
+                found[i] = self._joined([self._learn([" " + t], [t])] if t else [])
+        plain = [i for i, x in enumerate(found) if isinstance(x, list)]
+        for i, known in zip(plain, self._known([found[i] for i in plain]), strict=True):
+            found[i] = self._joined([known])
+        return found
+
+    def _joined(self, chunks: Iterable[list[tuple]]) -> tuple[int, int, bytes, np.ndarray, bytes]:
+        total, said, codes = 0, [], []
+        for found in chunks:
+            if BAD in found:
+                said = []
+                break
+            counts, groups, links = zip(*found, strict=True)
+            total += sum(counts)
             said.append(b";".join(groups))
             codes.append(b"".join(links))
+        if not said:
+            return 0, 0, b"", np.zeros(0, self.wide), b""
         groups = b";".join(said)
-        return *counts, hashlib.sha256(groups).hexdigest().encode(), np.frombuffer(b"".join(codes), self.wide), groups
+        return total >> 32, total & (1 << 32) - 1, hashlib.sha256(groups).hexdigest().encode(), np.frombuffer(b"".join(codes), self.wide), groups
 
-    def _plain(self, text: str) -> Iterator[list[tuple | None]]:
-        """Entries of the parts of a text whose white space is single blanks and line feeds, chunk by chunk."""
-        at, known = 0, self.known
+    def _chunks(self, text: str) -> Iterator[list[tuple]]:
+        at = 0
         while at < len(text):
             end = text.find(" ", at + CHUNK)
             end = len(text) if end < 0 else end
-            parts = text[at:end].replace(LINE, " " + LINE).split(" ")
-            found = [*map(known.get, parts)]
-            if None in found:
-                late = [*dict.fromkeys(p for p, x in zip(parts, found, strict=True) if x is None and p not in known)]
-                new = dict(zip(late, self._learn([p if p[0] == LINE else " " + p for p in late], late), strict=True))
-                if len(known) < CACHE_PARTS:
-                    known.update(new)
-                found = [new.get(p) if x is None else x for p, x in zip(parts, found, strict=True)]
-            yield found
+            yield from self._known([text[at:end].replace(LINE, " " + LINE).split(" ")])
             at = end + 1
 
-    def _learn(self, spaced: list[str], plain: list[str]) -> list[tuple | None]:
-        """Entries of strings, None where the bytes of either tokenizer are not those of the string. ``plain`` leaves
-        out the blank that the second tokenizer adds; a string without one loses it afterwards."""
-        if not spaced:
+    def _known(self, texts: list[list[str]]) -> list[list[tuple]]:
+        """What is known of the parts of each text."""
+        known = self.parts
+        found = [[*map(known.get, parts)] for parts in texts]
+        gaps = [i for i, x in enumerate(found) if None in x]
+        if gaps:
+            late = [*dict.fromkeys(p for i in gaps for p, x in zip(texts[i], found[i], strict=True) if x is None)]
+            new = dict(zip(late, self._parts(late), strict=True))
+            if len(known) < CACHE_PARTS:
+                known.update(new)
+            for i in gaps:
+                found[i] = [new[p] if x is None else x for p, x in zip(texts[i], found[i], strict=True)]
+        return found
+
+    def _parts(self, parts: list[str]) -> list[tuple]:
+        """A part's first letters and its rest apart, as neither tokenizer goes on from one into the other."""
+        halves = []
+        for p in parts:
+            m = LETTERS.match(p, p[0] == LINE)
+            halves.append((p[: m.end()], p[m.end() :]) if m else (p, ""))
+        words, rests = self.words, self.rests
+        late = [*dict.fromkeys(w for w, _ in halves if w not in words)]
+        new_words = dict(zip(late, self._learn([w if w[0] == LINE else " " + w for w in late], late), strict=True))
+        late = [*dict.fromkeys(r for _, r in halves if r and r not in rests)]
+        new_rests = dict(zip(late, self._learn(late, [LINE + r for r in late], 2), strict=True))
+        out = []
+        for w, r in halves:
+            x = new_words.get(w) or words[w]
+            if r:
+                y = new_rests.get(r) or rests[r]
+                x = (x[0] + y[0], x[1] + b";" + y[1], x[2] + y[2]) if x is not BAD and y is not BAD else BAD
+            out.append(x)
+        for known, new in ((words, new_words), (rests, new_rests)):
+            if len(known) < CACHE_PARTS:
+                known.update(new)
+        return out
+
+    def _learn(self, strings: list[str], plain: list[str], extra: int = 1) -> list[tuple]:
+        """What is to be known of ``strings``. ``plain`` is what the second tokenizer is given; where a string doesn't
+        begin with a blank, the first ``extra`` pieces of it (a blank, a line feed) are not the string's."""
+        if not strings:
             return []
-        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
         ids_b = self.b.encode(plain, num_threads=1)
-        out: list[tuple | None] = [None] * len(spaced)
-        good, ends_a, ends_b, base = [], [], [], 0
-        for k, s in enumerate(spaced):
-            if s[0] != " ":
-                ids_b[k] = ids_b[k][1:] if ids_b[k][:1] == [self.blank] else []
-            raw = s.encode()
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a[k]], [self.bytes_b[i] for i in ids_b[k]]
-            if b"".join(parts_a) == raw and b"".join(parts_b) == raw:
-                good.append(k)
-                for parts, ends in ((parts_a, ends_a), (parts_b, ends_b)):
-                    at = base
-                    for x in parts:
-                        at += len(x)
-                        ends.append(at)
-                base += len(raw)
-        flat_a, flat_b = [i for k in good for i in ids_a[k]], [i for k in good for i in ids_b[k]]
-        link_a, link_b, first_a, first_b = walk(ends_a, ends_b)
-        codes = np.array(flat_a, "i8")[link_a] * self.size_b + np.array(flat_b, "i8")[link_b] if good else np.zeros(0)
-        codes = codes.astype(self.wide)
-        first_a.append(len(flat_a))
-        first_b.append(len(flat_b))
-        text_a, text_b = [*map(str, flat_a)], [*map(str, flat_b)]
-        groups = [f"{','.join(text_a[first_a[g] : first_a[g + 1]])}|{','.join(text_b[first_b[g] : first_b[g + 1]])}" for g in range(len(first_a) - 1)]
-        at_a = group = link = 0
-        for k in good:
-            n_a, n_b, begin, at_a = len(ids_a[k]), len(ids_b[k]), group, at_a + len(ids_a[k])
-            while first_a[group] < at_a:
-                group += 1
-            n_links = n_a + n_b - (group - begin)
-            out[k] = n_a, n_b, group - begin, ";".join(groups[begin:group]).encode(), codes[link : link + n_links].tobytes()
-            link += n_links
+        ids_b = [x if s[0] == " " else x[extra:] for s, x in zip(strings, ids_b, strict=True)]
+        raw = [s.encode() for s in strings]
+        flat_a, flat_b = [*chain.from_iterable(ids_a)], [*chain.from_iterable(ids_b)]
+        ends_a, ends_b = self.sizes_a[flat_a].cumsum(), self.sizes_b[flat_b].cumsum() if flat_b else np.zeros(0, "i8")
+        parts_a, parts_b = np.cumsum([*map(len, ids_a)]), np.cumsum([*map(len, ids_b)])
+        sizes, whole = np.cumsum([*map(len, raw)]), b"".join(raw)
+        bytes_a, bytes_b = b"".join(map(self.bytes_a.__getitem__, flat_a)), b"".join(map(self.bytes_b.__getitem__, flat_b))
+        if not (whole == bytes_a == bytes_b and (ends_a[parts_a - 1] == sizes).all() and (ends_b[parts_b - 1] == sizes).all()):
+            return self._some(strings, plain, extra, raw, ids_a, ids_b)
+        stretches, irregular = walk(ends_a.tolist(), ends_b.tolist())
+        said, firsts, links_a, links_b = [], [], [], []
+        text_a, text_b = [self.text_a[i] for i in flat_a], [self.text_b[i] for i in flat_b]
+        for (i, j, n), links in zip_longest(stretches, irregular, fillvalue=()):
+            if n:
+                said += map("|".join, zip(text_a[i : i + n], text_b[j : j + n], strict=True))
+                firsts += range(i, i + n)
+                links_a += range(i, i + n)
+                links_b += range(j, j + n)
+            if links:
+                (i, j), (k, m) = links[0], links[-1]
+                said.append(f"{','.join(text_a[i : k + 1])}|{','.join(text_b[j : m + 1])}")
+                firsts.append(i)
+                links_a += [x for x, _ in links]
+                links_b += [y for _, y in links]
+        codes = (np.array(flat_a, "i8")[links_a] * self.size_b + np.array(flat_b, "i8")[links_b]).astype(self.wide).tobytes()
+        groups = np.searchsorted(firsts, parts_a)
+        width, out, group, link = self.wide.itemsize, [], 0, 0
+        for a, b, g, last in zip(ids_a, ids_b, groups.tolist(), ((parts_a + parts_b - groups) * width).tolist(), strict=True):
+            out.append(((len(a) << 32) + len(b), ";".join(said[group:g]).encode(), codes[link:last]))
+            group, link = g, last
         return out
 
+    def _some(self, strings, plain, extra, raw, ids_a, ids_b) -> list[tuple]:
+        """The same where some strings are BAD."""
+        fits = [b"".join(map(self.bytes_a.__getitem__, a)) == s == b"".join(map(self.bytes_b.__getitem__, b)) for s, a, b in zip(raw, ids_a, ids_b, strict=True)]
+        good = iter(self._learn(*([x for x, fit in zip(xs, fits, strict=True) if fit] for xs in (strings, plain)), extra))
+        return [next(good) if fit else BAD for fit in fits]
+
 
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One a Python worker and pair of files; it lives as long as the worker."""
@@ -198,13 +248,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, with_groups: bool = Fals
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in in_slices(texts):
-                found = [both.text(t) for t in texts[part]]
-                pairs = [np.unique(x[4], return_counts=True) for x in found]
+                found = both(texts[part])
+                pairs = [np.unique(x[3], return_counts=True) for x in found]
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c, _ in pairs])]).astype("i4")
-                n_a, n_b, n_groups = (np.array([x[i] for x in found], "i8") for i in range(3))
-                columns = [batch.column("doc_id")[part], n_a, n_b, n_groups, n_a + n_b - n_groups, [x[3].decode() for x in found]]
+                n_a, n_b, n_links = np.array([x[0] for x in found], "i8"), np.array([x[1] for x in found], "i8"), np.array([len(x[3]) for x in found], "i8")
+                columns = [batch.column("doc_id")[part], n_a, n_b, n_a + n_b - n_links, n_links, [x[2].decode() for x in found]]
                 columns += [pa.ListArray.from_arrays(offsets, np.concatenate([x[i] for x in pairs]).astype(both.wide if i == 0 else "i4")) for i in (0, 1)]
-                columns += [[x[5].decode() for x in found]] if with_groups else []
+                columns += [[x[4].decode() for x in found]] if with_groups else []
                 yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], [c.split()[0] for c in schema.split(", ")])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, nearest, packing, substring_dedup, token_files, toxicity, url_filter, warc
+from . import alignment, centroids, decontaminate, line_dedup, minhash, mixing, nearest, packing, substring_dedup, token_files, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_round_trip": warc.query,
     "op9_balanced_lists": nearest.query,
     "op10_best_fit_packing": packing.query,
+    "op11_centroid_clustering": centroids.query,
+    "op12_entropy_mixing": mixing.query,
+    "op13_token_alignment": alignment.query,
 }
 SQL: dict[str, str] = {"op2_url_filter": url_filter.SQL}
