@@ -59,17 +59,28 @@ def chainlog_decode(logs: DataFrame, exchange: str) -> DataFrame:
     )
 
 
-def block_time_interp(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """sec of each row's block by linear interpolation between the anchors (block, sec) around it, clamped at the ends.
+def block_time_interp(rows: DataFrame, anchors: DataFrame, *, keys: list[str] | None = None, span: int = 100_000) -> DataFrame:
+    """sec of each row's block (row_id, block and ``keys``, such as a chain) by linear interpolation between the anchors
+    (block, sec) around it, clamped at the ends. Of an anchor that repeats the smallest time counts.
 
-    Rows and anchors are sorted together by ranges of ``span`` blocks; the anchors are a small dimension that is read
-    once into each range's neighbourhood by a window over the union.
+    An as-of join in ranges of ``span`` blocks: a range's first and last anchor are carried to the ranges around it over
+    a table of one row a range, and each range's different blocks meet its own anchors in a sorted pass of at most twice
+    ``span`` rows. Rows only join their block's time, so any number of them may share a block.
     """
-    both = rows.select("block", F.lit(None).cast("double").alias("s"), F.col("row_id")).unionByName(anchors.select("block", F.col("sec").cast("double").alias("s"), F.lit(None).cast("long").alias("row_id")))
-    both = both.withColumn("chain", F.lit(0)) if "chain" not in both.columns else both
-    known = F.when(F.col("s").isNotNull(), F.struct("block", "s"))
-    back = Window.partitionBy("chain").orderBy("block", F.col("s").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("chain").orderBy("block", F.col("s").isNotNull().cast("int")).rowsBetween(0, Window.unboundedFollowing)
-    held = both.withColumns({"a": F.last(known, ignorenulls=True).over(back), "b": F.first(known, ignorenulls=True).over(ahead)}).where("row_id is not null")
+    keys = keys or []
+    place = F.floor(F.col("block") / span).alias("range")
+    known = anchors.groupBy(*keys, "block").agg(F.min(F.col("sec").cast("double")).alias("s")).withColumn("anchor", F.struct(F.col("block").cast("long").alias("block"), "s"))
+    known = known.select(*keys, place, F.col("block").cast("long").alias("block"), "anchor")
+    blocks = rows.select(*keys, place, F.col("block").cast("long").alias("block")).distinct().withColumn("anchor", F.lit(None).cast(known.schema["anchor"].dataType))
+    both = known.unionByName(blocks)
+    along = Window.partitionBy(*keys)
+    up, down = (along.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("range"), F.desc("range")))
+    ranges = both.groupBy(*keys, "range").agg(F.min("anchor").alias("first"), F.max("anchor").alias("last"))
+    ranges = ranges.select(*keys, "range", F.last("last", ignorenulls=True).over(up).alias("before"), F.last("first", ignorenulls=True).over(down).alias("after"))
+    inside = Window.partitionBy(*keys, "range")
+    # an anchor stands before its own block in both directions
+    up, down = (inside.orderBy(o, F.col("anchor").isNull()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("block"), F.desc("block")))
+    held = both.join(ranges, [*keys, "range"]).withColumns({"a": F.coalesce(F.last("anchor", ignorenulls=True).over(up), "before"), "b": F.coalesce(F.last("anchor", ignorenulls=True).over(down), "after")})
     share = (F.col("block") - F.col("a.block")) / F.nullif(F.col("b.block") - F.col("a.block"), F.lit(0))
-    return held.select("row_id", "block", F.coalesce(F.col("a.s") + share * (F.col("b.s") - F.col("a.s")), F.col("a.s"), F.col("b.s")).alias("sec"))
+    times = held.where("anchor is null").select(*keys, "block", F.coalesce(F.col("a.s") + share * (F.col("b.s") - F.col("a.s")), F.col("a.s"), F.col("b.s")).alias("sec"))
+    return rows.join(times, [*keys, "block"]).select("row_id", *keys, "block", "sec")

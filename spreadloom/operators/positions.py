@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .trades import greedy
+
 KEY = ["event_id", "direction"]
 
 
@@ -64,23 +66,15 @@ def open_mtm(positions: DataFrame, bids: DataFrame) -> DataFrame:
 def ledger_replay(signals: DataFrame, marks: DataFrame, *, keys: list[str], hold: int = 24, cost_c: float = 1.0) -> DataFrame:
     """One open row a key at a time; closed by the first mark at least ``hold`` bars later, then it may open again.
 
-    Within a bar marks come before signals. One fold per key over its signals and marks.
+    Within a bar marks come before signals. Each signal looks up the mark that would close it in one sorted pass over
+    signals and marks; the rows that open are then picked among the signals alone, each after the last one's close.
     """
-    events = signals.select(*keys, "bar", F.lit(1).alias("kind"), "direction", "spread").unionByName(marks.select(*keys, "bar", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("direction"), "spread"))
-    held = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bar", "kind", "direction", "spread"))).alias("e"))
-    row = "struct<entry_bar:bigint,direction:string,entry_spread:double,exit_bar:bigint,exit_spread:double>"
-    none = F.lit(None).cast(row)
-    empty = F.struct(F.array_compact(F.array(none)).alias("done"), none.alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        opens = (x["kind"] == 1) & a["open"].isNull()
-        closes = (x["kind"] == 0) & a["open"].isNotNull() & (x["bar"] - a["open"]["entry_bar"] >= hold)
-        new = F.struct(x["bar"].alias("entry_bar"), x["direction"].alias("direction"), x["spread"].alias("entry_spread"), F.lit(None).cast("long").alias("exit_bar"), F.lit(None).cast("double").alias("exit_spread"))
-        shut = F.struct(a["open"]["entry_bar"].alias("entry_bar"), a["open"]["direction"].alias("direction"), a["open"]["entry_spread"].alias("entry_spread"), x["bar"].alias("exit_bar"), x["spread"].alias("exit_spread"))
-        return F.when(opens, F.struct(a["done"].alias("done"), new.alias("open"))).when(closes, F.struct(F.concat(a["done"], F.array(shut)).alias("done"), none.alias("open"))).otherwise(a)
-
-    finish = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
-    out = held.select(*keys, F.explode(F.aggregate("e", empty, step, finish)).alias("r")).select(*keys, "r.*")
+    asks = signals.select(*keys, (F.col("bar") + max(hold, 1)).alias("at"), F.lit(0).alias("side"), F.struct("bar", "direction", "spread").alias("signal"), F.lit(None).cast("struct<bar:bigint,spread:double>").alias("mark"))
+    tells = marks.select(*keys, F.col("bar").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(asks.schema["signal"].dataType).alias("signal"), F.struct(F.col("bar").cast("long").alias("bar"), F.col("spread").cast("double").alias("spread")).alias("mark"))
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("side"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    held = asks.unionByName(tells).withColumn("mark", F.last("mark", ignorenulls=True).over(backwards)).where("side = 0")
+    rows = held.select(*keys, F.col("signal.bar").alias("entry_bar"), F.col("signal.direction").alias("direction"), F.col("signal.spread").alias("entry_spread"), F.col("mark.bar").alias("exit_bar"), F.col("mark.spread").alias("exit_spread"))
+    out = greedy(rows, keys, start="entry_bar", free=F.coalesce(F.col("exit_bar").cast("double"), F.lit(float("inf"))), order=["direction", "entry_spread"])
     sign = F.when(F.col("direction") == "BUY", 1.0).otherwise(-1.0)
     pnl = F.round(sign * (F.col("exit_spread") - F.col("entry_spread")) * 100 - cost_c, 4)
     return out.withColumns({"status": F.when(F.col("exit_bar").isNull(), "open").otherwise("closed"), "pnl_c": pnl})

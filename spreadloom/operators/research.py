@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .quantiles import exact_percentiles
 from .signals import leg_fee, with_legs
 from .spread import PAIR
 from .trades import greedy, tstat
@@ -108,9 +110,10 @@ def diffz_confirm(signals: DataFrame, *, z: float) -> DataFrame:
 
 def event_study(signals: DataFrame, *, buckets: int = 10, least: int = 50) -> DataFrame:
     """Mean z and traded return by (h, W) and bucket of z, cut at the exact percentiles (to 1e-9) of a grid
-    point with ``least`` rows."""
+    point with ``least`` rows; the cuts come from sketches and counts, no task holds a grid point."""
+    signals = written(signals, "event_study")
     cuts = [i / buckets for i in range(1, buckets)]
-    at = signals.groupBy("h", "w").agg(F.percentile("z", F.array(*map(F.lit, cuts))).alias("cuts"), F.count("*").alias("m")).where(F.col("m") >= least)
+    at = exact_percentiles(signals, ["h", "w"], "z", cuts).select("h", "w", F.col("percentiles").alias("cuts")).where(F.col("n") >= least)
     bucket = F.size(F.filter("cuts", lambda c: c + 1e-9 < F.col("z")))
     return signals.join(at, ["h", "w"]).groupBy("h", "w", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.avg("fwd").alias("mean_fwd"))
 
@@ -150,6 +153,14 @@ def variance_ratio(spreads: DataFrame, *, q: int = 6) -> DataFrame:
     return held.groupBy(*PAIR).agg((F.var_pop("dq") / F.nullif(q * F.var_pop("d1"), F.lit(0.0))).alias("vr"))
 
 
+def variance_ratio_summary(spreads: DataFrame, *, q: int = 6) -> DataFrame:
+    """Number of pairs with a ratio, the median and the share under 1 (momentum dies out)."""
+    held = written(variance_ratio(spreads, q=q).where("vr is not null"), "variance_ratio")
+    middle = exact_percentiles(held, [], "vr", [0.5]).select(F.col("percentiles")[0].alias("median"))
+    facts = held.agg(F.count("*").alias("n"), F.avg((F.col("vr") < 1).cast("double")).alias("below_1"))
+    return facts.join(middle, F.lit(True), "left")
+
+
 def half_life(spreads: DataFrame) -> DataFrame:
     """AR(1) coefficient of each pair and the bars in which half of a gap closes."""
     pair = Window.partitionBy(*PAIR).orderBy("bar")
@@ -158,6 +169,12 @@ def half_life(spreads: DataFrame) -> DataFrame:
     return phi.withColumn("half_life", F.when((F.col("phi") > 0) & (F.col("phi") < 1), -F.log(F.lit(2.0)) / F.log("phi")))
 
 
+def half_life_summary(spreads: DataFrame) -> DataFrame:
+    held = written(half_life(spreads), "half_life")
+    middle = exact_percentiles(held, [], "half_life", [0.5]).select(F.col("percentiles")[0].alias("median"))
+    return held.agg(F.count("*").alias("n"), F.count("half_life").alias("n_reverting")).join(middle, F.lit(True), "left")
+
+
 def tail_reversion(signals: DataFrame, *, z: float = 3.0) -> DataFrame:
     held = reversion(signals.where(F.abs("z") >= z))
     return held.groupBy("h", "w").agg(F.count("*").alias("n"), (F.sum("gross") / F.nullif(F.sum(F.abs("dS")), F.lit(0.0))).alias("share"))

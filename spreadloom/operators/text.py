@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_tokens, terms
+from ..sources.shared import shared_dir
 
 
 def tfidf_weights(docs: DataFrame, *, max_df: float = 0.6, least_docs: int = 25, most_terms: int = 50_000) -> DataFrame:
@@ -114,16 +113,11 @@ def near_dup(pairs: DataFrame, *, least: float = 0.85) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder, so that rounds don't pile up; only Spark on this machine alone makes one of its own."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cuts lineage in the shared folder, so that rounds don't pile up."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

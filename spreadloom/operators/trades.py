@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .quantiles import weighted_percentiles
 from .signals import leg_fee, with_legs
 from .spread import PAIR
 
@@ -42,18 +44,58 @@ def trade_exit(signals: DataFrame, *, max_hold: int = 24) -> DataFrame:
     return _exited(signals, max_hold).select(*PAIR, F.col("bar").alias("signal_bar"), "direction", F.col("entry.rn").alias("entry_rn"), F.col("exit.rn").alias("exit_rn"), "status")
 
 
-def greedy(rows: DataFrame, keys: list[str], *, start: str, free: Column, order: list[str] | None = None) -> DataFrame:
-    """Earliest first, a row is kept if its ``start`` is not before the ``free`` of the last kept one of its key.
+#: Rows of a key that one array holds. A key of any number of rows is cut into blocks of so many.
+BLOCK = 256
 
-    The fold runs inside one aggregate over the key's signals (never its bars), ordered by start and then ``order``.
+
+def greedy(rows: DataFrame, keys: list[str], *, start: str, free: Column, order: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Earliest first, a row is kept if its ``start`` is not before the ``free`` of the last kept one of its key. Rows
+    without a start take no part; a kept row whose ``free`` is null lets the next one follow.
+
+    Rows are numbered by start and then ``order``. A row's successor, the first one it lets follow, comes from a running
+    count of starts over starts and frees sorted together. Kept rows are those that successors lead to from a key's
+    first one. Blocks of consecutive rows jump: each finds for all its rows where their chain leaves the block. A fold
+    over a key's blocks, numbers only, then finds the row by which the chain enters each, and every block follows it
+    from there. So no array of rows is longer than a block, and the work grows with the rows, not with their square.
     """
     fields = [c for c in rows.columns if c not in keys]
     first = [start, *(order or []), *[c for c in fields if c not in (start, *(order or []))]]
-    held = rows.withColumn("__free", free).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first, "__free"))).alias("s"))
-    kept = F.array_compact(F.array(F.lit(None).cast(held.schema["s"].dataType.elementType)))
-    state = F.struct(kept.alias("kept"), F.lit(None).cast("double").alias("free"))
-    step = lambda a, x: F.when(a["free"].isNull() | (x[start].cast("double") >= a["free"]), F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x["__free"].cast("double").alias("free"))).otherwise(a)
-    return held.select(*keys, F.explode(F.aggregate("s", state, step)["kept"]).alias("k")).select(*keys, *[F.col(f"k.{c}") for c in fields])
+    key = Window.partitionBy(*keys)
+    held = rows.where(F.col(start).isNotNull()).withColumn("__free", free.cast("double"))
+    held = held.select(*keys, F.struct(*fields).alias("__row"), F.col(start).cast("double").alias("__start"), "__free", F.row_number().over(key.orderBy(*first)).cast("long").alias("__n"))
+
+    # a free (side 0) counts the starts before it, a start itself (side 1) only marks its place
+    ends = F.array(F.struct(F.col("__free").alias("at"), F.lit(0).alias("side")), F.struct(F.col("__start").alias("at"), F.lit(1).alias("side")))
+    both = held.select(*keys, "__n", "__row", F.explode(ends).alias("__e")).select(*keys, "__n", F.when(F.col("__e.side") == 1, F.col("__row")).alias("__row"), "__e.at", "__e.side")
+    run = key.orderBy(F.col("at").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("before", F.sum("side").over(run))
+    follows = F.greatest(F.max(F.when(F.col("side") == 0, F.col("before"))), F.col("__n")) + 1
+    linked = both.groupBy(*keys, "__n").agg(F.first("__row", ignorenulls=True).alias("row"), follows.alias("next"))
+
+    place = F.floor((F.col("__n") - 1) / block).alias("block")
+    blocks = linked.groupBy(*keys, place).agg(F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), "next", "row"))).alias("rows"))
+    blocks = blocks.withColumn("last", F.col("rows")[F.size("rows") - 1]["n"])
+    none = F.array_compact(F.array(F.lit(None).cast("long")))
+    leaves = lambda x, later: F.when(x["next"] > F.col("last"), x["next"]).otherwise(F.get(later, (x["next"] - x["n"] - 1).cast("int")))
+    links = F.transform(F.reverse("rows"), lambda x: F.struct(x["n"].alias("n"), x["next"].alias("next")))
+    exits = F.aggregate(links, none, lambda later, x: F.concat(F.array(leaves(x, later)), later))
+    chain = F.array_sort(F.collect_list(F.struct("block", F.col("rows")[0]["n"].alias("first"), "last", exits.alias("exits"))))
+    entry = F.lit(None).cast("struct<block:bigint,entry:bigint>")
+    state = F.struct(F.lit(1).cast("long").alias("at"), F.array_compact(F.array(entry)).alias("entries"))
+
+    def enter(a: Column, b: Column) -> Column:
+        found = F.struct(b["block"].alias("block"), a["at"].alias("entry"))
+        moved = F.struct(F.get(b["exits"], (a["at"] - b["first"]).cast("int")).alias("at"), F.concat(a["entries"], F.array(found)).alias("entries"))
+        return F.when(a["at"] <= b["last"], moved).otherwise(a)
+
+    entries = blocks.groupBy(*keys).agg(F.aggregate(chain, state, enter)["entries"].alias("__e")).select(*keys, F.explode("__e").alias("__e"))
+    entries = entries.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__e.block").alias("__block"), F.col("__e.entry").alias("entry"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = blocks.join(entries, [F.col("block") == F.col("__block"), *same])
+    kept = F.array_compact(F.array(F.lit(None).cast(blocks.schema["rows"].dataType.elementType["row"].dataType)))
+    state = F.struct(F.col("entry").alias("at"), kept.alias("kept"))
+    step = lambda a, x: F.when(x["n"] == a["at"], F.struct(x["next"].alias("at"), F.concat(a["kept"], F.array(x["row"])).alias("kept"))).otherwise(a)
+    return met.select(*keys, F.explode(F.aggregate("rows", state, step)["kept"]).alias("__kept")).select(*keys, *[F.col(f"__kept.{c}").alias(c) for c in fields])
 
 
 def cooldown_fold(trades: DataFrame, *, cooldown: int = 24) -> DataFrame:
@@ -115,8 +157,10 @@ def trade_buckets(trades: DataFrame, legs: DataFrame) -> DataFrame:
     tau = F.greatest(F.datediff("deadline_date", day), F.lit(1))
     bucket = F.when(tau <= 7, "<=7d").when(tau <= 30, "8-30d").when(tau <= 90, "31-90d").when(tau <= 365, "91-365d").when(tau <= 9999, ">365d")
     volume = F.coalesce("volume", F.lit(0.0))
-    cuts = held.agg(F.percentile(volume, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("cuts"), F.count_distinct("volume").alias("several"))
-    held = held.join(F.broadcast(cuts))  # one row
+    held = written(held.withColumn("known_volume", F.coalesce("volume", F.lit(0.0))), "trade_buckets")  # read for the cuts and for the rows
+    cuts = weighted_percentiles(held, [], "known_volume", [0.25, 0.5, 0.75]).select(F.col("percentiles").alias("cuts"))
+    several = held.select("volume").distinct().agg(F.count("volume").alias("several"))
+    held = held.join(F.broadcast(several)).join(F.broadcast(cuts))  # one row each
     quartile = F.when(volume <= F.col("cuts")[0], "Q1-low").when(volume <= F.col("cuts")[1], "Q2").when(volume <= F.col("cuts")[2], "Q3").otherwise("Q4-high")
     return held.select(*trades.columns, "volume", "primary_tag", bucket.alias("tau_bucket"), F.when(F.col("several") >= 4, quartile).alias("vol_q"))
 

@@ -220,9 +220,9 @@ QUERIES = {
     "flow_reversion_trades": lambda s, d: rounded(flow_reversion(s, d), 7),
     "horizon_autocorr": lambda s, d: rounded(R.horizon_autocorr(L.spreads(s, d))),
     "variance_ratio": lambda s, d: rounded(R.variance_ratio(L.spreads(s, d))),
-    "variance_ratio_summary": lambda s, d: rounded(R.variance_ratio(L.spreads(s, d)).where("vr is not null").agg(F.count("*").alias("n"), F.percentile("vr", F.lit(0.5)).alias("median"), F.avg((F.col("vr") < 1).cast("double")).alias("below_1")), 7),
+    "variance_ratio_summary": lambda s, d: rounded(R.variance_ratio_summary(L.spreads(s, d)), 7),
     "half_life": lambda s, d: rounded(R.half_life(L.spreads(s, d)), 7),
-    "half_life_summary": lambda s, d: rounded(R.half_life(L.spreads(s, d)).agg(F.count("*").alias("n"), F.count("half_life").alias("n_reverting"), F.percentile("half_life", F.lit(0.5)).alias("median")), 6),
+    "half_life_summary": lambda s, d: rounded(R.half_life_summary(L.spreads(s, d)), 6),
     "tail_reversion": lambda s, d: rounded(R.tail_reversion(cands(s, d), z=2.5)),
     "stale_fraction": lambda s, d: rounded(R.stale_fraction(L.spreads(s, d))),
     "median_bar": lambda s, d: R.median_bar(L.P.bars_last(X.price_points(s, d))),
