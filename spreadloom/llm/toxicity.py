@@ -7,7 +7,7 @@ trainer picks what is frequent in a class, which is the same in both, so content
 The other half calibrates: how much likelier a window that the toxic dictionary makes shorter by so many bytes is in a
 toxic document, and a logistic function of a document's most telling windows and of how many pass the thresholds.
 
-A window is ``WINDOW`` words with their blanks, a new one every ``STEP`` words. Scoring takes each document alone, every
+A window is ``WINDOW`` words with their blanks, a new one every ``STEP`` words and one that ends the text. Scoring takes each document alone, every
 window of its whole text, in one pass without a shuffle.
 """
 
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 MAX_DOCS, MAX_CHARS = 3000, 20_000  # bounds of the sample for fitting: documents of each class, characters of each
-WINDOW, STEP = 4, 3  # words
+WINDOW, STEP = 4, 4  # words
 COMMON_BYTES, OWN_BYTES = 32768, 16384
 LEVELS = (6, 12)  # of compression; zstandard's way of matching depends on level and size together, so the better one is kept
 LEAST_DOCS, LEAST_RATIO = 3, 20.0  # a word that tells a class: in so many documents, so much likelier than in the other
 THRESHOLDS = (1.0, 2.0)  # calibrated log-likelihoods over which windows are counted
+END = b"\n" * 8  # zstandard begins no match in the last eight bytes
 CACHE_WINDOWS = 300_000
 EDGE = re.compile(r"\A\W+|\W+\Z")
 
@@ -48,8 +49,13 @@ class Model:
 
 
 def windows(text: str) -> list[bytes]:
+    """A window every ``STEP`` words and one that ends with the text, so that every word is in one."""
     words = text.lower().split()
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, max(1, len(words) - WINDOW + 1), STEP)] if words else []
+    if not words:
+        return []
+    last = max(0, len(words) - WINDOW)
+    starts = [*range(0, last, STEP), last]
+    return [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") + END for i in starts]
 
 
 class Scorer:
@@ -176,7 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row. Null and empty texts get the score of no evidence; null ids
     are kept and held_out is null for them. Repeated rows get equal scores. A text of any length is scored by all its
     windows. Other columns of ``docs`` are ignored; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICT_BYTES, a small table
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most OWN_BYTES and COMMON_BYTES, a small table
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

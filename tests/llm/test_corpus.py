@@ -372,6 +372,25 @@ def test_url_rules(spark):
     assert blocked == set(range(0, 3000, 7))
 
 
+def test_every_word_is_in_a_window():
+    for n in range(1, 30):
+        words = [f"w{i}" for i in range(n)]
+        found = [w.decode().split() for w in toxicity.windows(" ".join(words))]
+        assert {x for w in found for x in w} == {*words} and all(len(w) == min(n, toxicity.WINDOW) for w in found)
+    assert toxicity.windows("") == toxicity.windows(" \n") == []
+
+
+def test_a_telling_last_word_counts():
+    rng = np.random.default_rng(13)
+    plain = lambda n: " ".join(f"{rng.choice(list('bcdfg'))}{rng.choice(list('aeiou'))}{rng.choice(list('lmnrs'))}{rng.choice(list('aeiou'))}" for _ in range(n))
+    texts = [f"{plain(20)} wretch {plain(9)}" if i % 3 == 0 else plain(30) for i in range(600)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(600)], [*range(600)])
+    scorer = toxicity.Scorer(model)
+    for n in (26, 27, 28, 29, 30):
+        text = plain(n)
+        assert scorer.score(f"{text} wretch") > 0.5 > scorer.score(f"{text} {plain(1)}")
+
+
 def test_pipeline_stages(spark, tmp_path, tokenizer):
     rng = np.random.default_rng(12)
     word = lambda: "".join(rng.choice(list("bcdfglmnrstaeiou"), 5))
