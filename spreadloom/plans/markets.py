@@ -181,7 +181,7 @@ Q = """q AS (SELECT o_orderkey AS market_id, o_custkey AS event_id, 'Will ' || o
   o_totalprice::DOUBLE AS volume, o_orderdate::DATE AS end_date, o_orderstatus AS status, o_orderdate::DATE AS od FROM orders)"""
 N = Q + """, n AS (SELECT *, CASE WHEN market_id % 3 = 0 THEN 'B' || market_id WHEN market_id % 11 = 0 THEN NULL ELSE 'A' || market_id END AS yes_token, CASE WHEN market_id % 3 = 0 THEN 'A' || market_id WHEN market_id % 11 = 0 THEN NULL ELSE 'B' || market_id END AS no_token FROM q)"""
 DL = "CASE WHEN market_id % 7 = 0 THEN make_date(year(od) - 1, 12, 31) WHEN market_id % 5 = 0 THEN CASE WHEN (strftime(od, '2024-%m-%d'))::DATE >= DATE '2024-01-15' THEN strftime(od, '2024-%m-%d')::DATE ELSE try_cast(strftime(od, '2025-%m-%d') AS DATE) END ELSE od END"
-TITLES = r"""tt AS (SELECT o_orderkey AS market_id, o_custkey AS event_id, o_totalprice::DOUBLE AS volume, o_orderstatus AS category, CASE o_orderkey % 10
+TITLES = r"""tt AS (SELECT o_orderkey % 10 AS kind, o_orderkey % 1000 AS nn, lower(o_orderpriority) AS p, 'clerk#' || o_custkey AS c, o_orderdate AS od, lower(strftime(o_orderdate, '%B')) AS mon, o_orderkey AS market_id, o_custkey AS event_id, o_totalprice::DOUBLE AS volume, o_orderstatus AS category, CASE o_orderkey % 10
   WHEN 0 THEN 'Will the market decide on a novel marathon by ' || strftime(o_orderdate, '%B %-d, %Y') || '?'
   WHEN 1 THEN o_orderpriority || ' reaches $5000 in 1999 shares before ' || strftime(o_orderdate, '%b. %-d') || 'th, ' || year(o_orderdate)
   WHEN 2 THEN 'Q' || quarter(o_orderdate) || ' 2024 revenue of ' || 'Clerk#' || o_custkey || ' above 1,200.5 million - by end of 2025.'
@@ -192,21 +192,23 @@ TITLES = r"""tt AS (SELECT o_orderkey AS market_id, o_custkey AS event_id, o_tot
   WHEN 7 THEN 'Moreover, thunder in 2031 by May 5th and at 12,2027 for ' || o_orderpriority
   WHEN 8 THEN ' ?'
   ELSE 'Will (the 5) 1,550 of ‘' || o_orderpriority || '’ GPT-5 “1550” win at Omar 5?' END AS question FROM orders)"""
-_lead, _dates, _year = X.any_of(X.DATE_LEADS), X.any_of(X.DATES), X.any_of([*X.DATES, X.YEAR, X.MONTH])
-# without look-behind, the character before a year is matched and put back
-DATED = rf"""trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(question), '\b{_lead}\s+{_year}', ' ', 'g'), '{_dates}\b', ' ', 'g'), '(^|[^0-9$,.]){X.YEAR}\b', '\1 ', 'g'), '\s+', ' ', 'g')), '\b{_lead}\s*$', ''), ' ?.,-')"""
-_amounts = [r"\$\s*[0-9][0-9,]*(\.[0-9]+)?\s*[tbmk]?\b", r"[0-9]+(\.[0-9]+)?\s*%", r"[0-9][0-9,]*(\.[0-9]+)?\s*(trillion|billion|million|thousand)\b"]
-
-
-def _no_amounts(text: str) -> str:
-    for pattern in [*_amounts, *X.COMPARISONS]:
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'), ' ?.,-')"
-
-
-PLAIN = TITLES + f", ts AS (SELECT *, {DATED} AS dated FROM tt), us AS (SELECT *, {_no_amounts('dated')} AS under FROM ts)"
+# What each kind of title is without dates, without thresholds, without both, and as tokens, written out.
+LAST = "'will (the 5) 1,550 of ‘' || p || '’ gpt-5 “1550” win at omar 5'"
+OLD = "CASE WHEN year(od) < 2000 THEN ' , ' || year(od) ELSE '' END"  # years before this century are no part of a date
+DATED = f"""CASE kind WHEN 0 THEN 'will the market decide on a novel marathon' || {OLD} WHEN 1 THEN p || ' reaches $5000 in 1999 shares' || {OLD}
+  WHEN 2 THEN 'revenue of ' || c || ' above 1,200.5 million' WHEN 3 THEN 'gdp under 2.5% , says ' || p WHEN 4 THEN '“' || c || '” (high) reaches $1.6t' WHEN 5 THEN 'will ' || p || ' be over $' || nn || ',000'
+  WHEN 6 THEN c || ' , at least 3 thousand units' WHEN 7 THEN 'moreover, thunder and at 12,2027 for ' || p WHEN 8 THEN '' ELSE {LAST} END"""
+UNDER = f"""CASE kind WHEN 0 THEN 'will the market decide on a novel marathon' || {OLD} WHEN 1 THEN p || ' in 1999 shares' || {OLD} WHEN 2 THEN 'revenue of ' || c WHEN 3 THEN 'gdp , says ' || p
+  WHEN 4 THEN '“' || c || '” (high)' WHEN 5 THEN 'will ' || p || ' be' WHEN 6 THEN c || ' , units' WHEN 7 THEN 'more , th and at 12,2027 for ' || p WHEN 8 THEN '' ELSE {LAST} END"""
+BARE = f"""CASE kind WHEN 0 THEN 'will the market decide on a novel marathon by ' || mon || strftime(od, ' %-d, %Y') WHEN 1 THEN p || ' in 1999 shares before ' || lower(strftime(od, '%b. %-d')) || 'th, ' || year(od)
+  WHEN 2 THEN 'q' || quarter(od) || ' 2024 revenue of ' || c || ' - by end of 2025' WHEN 3 THEN 'gdp on ' || strftime(od, '%-m/%-d/%Y') || ', says ' || p WHEN 4 THEN '“' || c || '” (high) in ' || mon || ' 2026' WHEN 5 THEN 'will ' || p || ' be after ' || mon
+  WHEN 6 THEN c || ' through 2026, units until' WHEN 7 THEN 'more , th in 2031 by may 5th and at 12,2027 for ' || p WHEN 8 THEN '' ELSE {LAST} END"""
+TOKENS = """list_concat(CASE WHEN kind IN (1, 3, 5, 7, 9) THEN string_split(p, ' ') ELSE [] END, CASE kind WHEN 0 THEN ['market', 'decide', 'novel', 'marathon', mon] WHEN 1 THEN ['reaches', '$5000', 'shares', 'before', lower(strftime(od, '%b')), strftime(od, '%-d') || 'th']
+  WHEN 2 THEN ['q' || quarter(od), 'revenue', c, 'above', 'million', 'end'] WHEN 3 THEN ['gdp', 'under', '2.5%', strftime(od, '%-m/%-d/%Y'), 'says'] WHEN 4 THEN [c, 'reaches', '$1.6t', mon] WHEN 5 THEN ['over', '$' || nn || ',000', 'after', mon]
+  WHEN 6 THEN [c, 'through', 'least', 'thousand', 'units', 'until'] WHEN 7 THEN ['moreover', 'thunder', 'may', '5th'] WHEN 8 THEN [] ELSE ['gpt-5', 'win', 'omar'] END)"""
+PLAIN = TITLES + f", ts AS (SELECT *, {DATED} AS dated FROM tt), us AS (SELECT *, {UNDER} AS under FROM ts)"
 MT = "mt AS (SELECT doc_id AS market_id, source AS event_id, lang AS category, text, string_split(text, chr(10))[1] AS question, n_chars::DOUBLE AS volume FROM documents)"
-STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+STOPS = "'will', 'the', 'a', 'an', 'of', 'by', 'to', 'in', 'be', 'is', 'at', 'on', 'for', 'and', 'or', 'any', 'have', 'has', 'its', 'their'"
 TF = f"""wd AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({STOPS})) AS w FROM documents), tk AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM wd), tf AS (SELECT id, term, count(*) AS tf FROM tk GROUP BY ALL), nn AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT term, count(*) AS df, n FROM tf, nn GROUP BY term, n HAVING n < 25 OR count(*) <= 0.6 * n ORDER BY sum(tf) DESC, term LIMIT 50000), rw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM tf JOIN df USING (term)), wt AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM rw)"""
 VEC = "ve AS (SELECT vec_id AS id, label AS category, vec_id % 7 AS event_id, embedding::DOUBLE[] AS x FROM embeddings), vn AS (SELECT *, sqrt(list_dot_product(x, x)) AS len FROM ve), cp AS (SELECT a.category, a.id AS a, b.id AS b, list_dot_product(a.x, b.x) / (a.len * b.len) AS cosine FROM vn a JOIN vn b ON a.category = b.category AND a.id < b.id AND a.event_id <> b.event_id)"
@@ -216,7 +218,6 @@ PC = FILLED + ", hs AS (SELECT event_id || '/' || ladder_label AS series, bar, p
 ED = VEC + ", ed AS (SELECT a, b FROM cp WHERE cosine >= 0.45)"
 COMP = ED + ", un AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT DISTINCT a AS id, a AS m FROM un UNION SELECT u.b, r.m FROM re r JOIN un u ON u.a = r.id AND r.m < u.b), co AS (SELECT id, min(m) AS component FROM re GROUP BY 1)"
 UND = PLAIN + ", uu AS (SELECT category, under AS stem, arg_max(market_id, (volume, -market_id)) AS market_id, max(volume) AS volume, count(*) AS n_markets FROM us WHERE under <> '' GROUP BY ALL), ur AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY volume DESC, stem) AS INTEGER) AS rank FROM uu)"
-TOKENS = rf"""list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(translate(lower(question), '‘’“”', '''''""'), '\([^)]*\)', ' ', 'g'), '\s+'), lambda t: trim(t, '.,?''"()-')), lambda t: t <> '' AND t NOT IN ({STOPS}) AND NOT regexp_matches(t, '^[0-9][0-9.,]*$')))"""
 DOCS = f"""{N}, ed AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY market_id) - 1 AS seq, sum(volume) OVER (PARTITION BY event_id) AS event_volume, CASE WHEN event_id % 13 = 0 THEN 'Red vs Blue, by date' WHEN event_id % 17 = 0 THEN 'Orders' ELSE 'Orders of ' || event_id || ' by date' END AS title,
   'zone-' || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN ',even' ELSE '' END AS tags, CASE WHEN status = 'F' THEN 1.0::DOUBLE WHEN status = 'O' THEN NULL ELSE 0.0::DOUBLE END AS resolution, market_id % 7 / 100.0::DOUBLE AS market_spread, market_id % 4 = 0 AS neg_risk, CASE WHEN market_id % 6 = 0 THEN 0.001 ELSE 0.01 END::DOUBLE AS min_tick FROM n)"""
 SQL = {
@@ -231,7 +232,7 @@ SQL = {
     "tag_filter_group": f"WITH {LEGS}, t AS (SELECT event_id, ladder_label, unnest(string_split(tags, ',')) AS tag FROM legs WHERE event_id <> 'error'), u AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM t) SELECT tag, event_id, ladder_label, n FROM u WHERE n >= 4",
     "primary_tag_group": f"WITH {LEGS}, u AS (SELECT event_id AS tag, event_id, ladder_label, count(*) OVER (PARTITION BY event_id) AS n FROM legs WHERE event_id IN ('click', 'view', 'purchase')) SELECT * FROM u WHERE n >= 4",
     "date_strip": f"WITH {PLAIN} SELECT market_id, dated AS stem FROM ts",
-    "threshold_strip": f"WITH {TITLES} SELECT market_id, {_no_amounts('lower(question)')} AS stem FROM tt",
+    "threshold_strip": f"WITH {TITLES} SELECT market_id, {BARE} AS stem FROM tt",
     "underlying_stem": f"WITH {PLAIN} SELECT market_id, under AS stem FROM us",
     "norm_tokens": f"WITH {TITLES} SELECT market_id, list_sort({TOKENS}) AS tokens FROM tt",
     "near_dup": f"WITH {TITLES}, k AS (SELECT market_id, event_id, {TOKENS} AS t FROM tt), j AS (SELECT a.market_id AS a, b.market_id AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS jaccard FROM k a JOIN k b ON a.event_id = b.event_id AND a.market_id < b.market_id AND len(a.t) > 0 AND len(b.t) > 0) SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.85",
