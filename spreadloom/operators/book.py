@@ -27,18 +27,24 @@ def combined_ladder(pairs: DataFrame, book: DataFrame) -> DataFrame:
     """Rungs of each pair's entry (id, direction, long_token, short_token): where the size intervals of both legs'
     levels overlap, the cost of a spread share, its depth and notional.
 
-    Levels become intervals of cumulative size; a pair's few levels meet on the pair alone.
+    Levels become intervals of cumulative size. One sorted pass over the places where a level of either leg begins
+    carries both legs' prices along, so the work is the sum of both legs' levels, not their product.
     """
     total = F.sum("size").over(Window.partitionBy("token", "side").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    levels = ranked(book).select("token", "side", "price", (total - F.col("size")).alias("lo"), total.alias("hi"))
+    levels = ranked(book.where("size > 0")).select("token", "side", "price", (total - F.col("size")).alias("lo"), total.alias("hi"))
     buy = F.col("direction") == "BUY"
-    leg = lambda name, side: pairs.select("id", "direction", F.col(f"{name}_token").alias("token"), side.alias("side")).join(levels, ["token", "side"]).select("id", "direction", F.col("price").alias(f"p_{name}"), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"))
-    long, short = leg("long", F.when(buy, "ask").otherwise("bid")), leg("short", F.when(buy, "bid").otherwise("ask")).drop("direction")
-    both = long.join(short, "id").where((F.col("lo_long") < F.col("hi_short")) & (F.col("lo_short") < F.col("hi_long")))
-    lo, hi = F.greatest("lo_long", "lo_short"), F.least("hi_long", "hi_short")
+    leg = lambda name, side: pairs.select("id", "direction", F.col(f"{name}_token").alias("token"), side.alias("side")).join(levels, ["token", "side"]).select("id", "direction", F.col("lo").alias("at"), F.col("price").alias(f"p_{name}"), F.col("hi").alias(f"hi_{name}"))
+    begins = leg("long", F.when(buy, "ask").otherwise("bid")).unionByName(leg("short", F.when(buy, "bid").otherwise("ask")), allowMissingColumns=True)
+    columns = ["p_long", "p_short", "hi_long", "hi_short"]
+    begins = begins.groupBy("id", "direction", "at").agg(*[F.max(c).alias(c) for c in columns])  # both legs may begin a level at a place
+    along, whole = Window.partitionBy("id").orderBy("at"), Window.partitionBy("id")
+    carried = {c: F.last(c, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)) for c in ("p_long", "p_short")}
+    ends = {c: F.max(c).over(whole) for c in ("hi_long", "hi_short")}
+    both = begins.withColumns(carried | ends | {"next": F.lead("at").over(along)}).where("p_long is not null and p_short is not null")
+    both = both.withColumn("end", F.least("hi_long", "hi_short")).where(F.col("at") < F.col("end"))  # of two totals, neither null
     cost = F.when(buy, F.col("p_long") + 1 - F.col("p_short")).otherwise(1 - F.col("p_long") + F.col("p_short"))
-    both = both.withColumns({"cost": F.round(cost, 4), "depth": hi - lo, "at": lo})
-    return both.select("id", "direction", F.row_number().over(Window.partitionBy("id").orderBy("at")).alias("rung"), "p_long", "p_short", "cost", "depth", F.round(F.col("cost") * F.col("depth"), 2).alias("notional"), "at")
+    both = both.withColumns({"cost": F.round(cost, 4), "depth": F.least("next", "end") - F.col("at")})
+    return both.select("id", "direction", F.row_number().over(along).alias("rung"), "p_long", "p_short", "cost", "depth", F.round(F.col("cost") * F.col("depth"), 2).alias("notional"), "at")
 
 
 def fee_per_share(price: Column, rate: Column, exponent: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def bars_stream(points: DataFrame, *, minutes: int = 60, late: str = "2 hours") -> DataFrame:
@@ -22,56 +23,61 @@ def fills_dedup_stream(fills: DataFrame, *, late: str = "2 hours") -> DataFrame:
     return fills.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["fill_id"])
 
 
-def _keyed(step, keep_ms: int | None):
-    """A stateful function that orders a batch's rows of a key and folds them with ``step(state, row) -> (state, out)``.
-    A key that has had no row for ``keep_ms`` of processing time is forgotten, if that is given."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["bar", "kind"], kind="stable")
-        now, out = (state.get if state.exists else None), []
-        for row in rows.itertuples(index=False):
-            now, made = step(now, row)
+
+class Fold(StatefulProcessor):
+    """Folds each key's rows of a batch in the order of (bar, kind) with ``step(state, row) -> (state, out)``; the state
+    is one value, None where there is none. With ``ttl_ms`` a state that isn't renewed for so long expires; such a stream
+    runs until it is stopped, one that is to end when it has read all there is must not have it."""
+
+    def __init__(self, step: Callable, state: str, names: list[str], ttl_ms: int | None):
+        self.step, self.schema, self.names, self.ttl_ms = step, state, names, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("state", self.schema, self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        batch = pd.concat(list(rows)).sort_values(["bar", "kind"], kind="stable")
+        before = self.value.get() if self.value.exists() else None
+        now, out = before, []
+        for row in batch.itertuples(index=False):
+            now, made = self.step(now, row)
             out += [(*key, *made)] if made else []
         if now is None:
-            state.remove() if state.exists else None
-        else:
-            state.update(now)
-            if keep_ms:
-                state.setTimeoutDuration(keep_ms)
+            self.value.clear()
+        elif now != before:  # writing an unchanged state would renew it
+            self.value.update(now)
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, columns=self.names)
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def _timeout(keep_ms: int | None) -> str:
-    return "ProcessingTimeTimeout" if keep_ms else "NoTimeout"
+def _folded(rows: DataFrame, step: Callable, state: str, schema: str, ttl_ms: int | None) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # what value states and expiry need
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.groupBy("key").transformWithStateInPandas(Fold(step, state, names, ttl_ms), schema, "append", "processingTime" if ttl_ms else "none")
 
 
-def signal_cooldown_stream(signals: DataFrame, *, cooldown: int = 12, keep_ms: int | None = None) -> DataFrame:
+def signal_cooldown_stream(signals: DataFrame, *, cooldown: int = 12, ttl_ms: int | None = None) -> DataFrame:
     """Signals (key, bar, kind, direction, spread) without repeats of a key within ``cooldown`` bars of the last one let
-    through. A stream that runs on should give ``keep_ms``, longer than the cooldown lasts; one that ends when it has read
-    all there is must not, as timeouts would keep it running."""
+    through. State is the last bar of a key, kept in RocksDB; with ``ttl_ms``, longer than a cooldown lasts, it expires
+    so long after it was written, and the key may signal anew."""
 
     def step(state, row):
         if state is not None and row.bar - state[0] < cooldown:
             return state, None
         return (int(row.bar),), (int(row.bar), row.direction)
 
-    def run(key, frames, state):
-        for out in _keyed(step, keep_ms)(key, frames, state):
-            yield out.set_axis(["key", "bar", "direction"], axis=1)
+    return _folded(signals, step, "last long", "key string, bar long, direction string", ttl_ms)
 
-    return signals.groupBy("key").applyInPandasWithState(run, "key string, bar long, direction string", "last long", "append", _timeout(keep_ms))
 
-
-def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0, keep_ms: int | None = None) -> DataFrame:
+def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0, ttl_ms: int | None = None) -> DataFrame:
     """Closed ledger rows of a stream of marks (kind 0) and signals (kind 1): a key opens once, closes at the first mark
-    at least ``hold`` bars later and may open again. With ``keep_ms``, for a stream that runs
-    on, a row that has been open for so long without an event is dropped."""
+    at least ``hold`` bars later and may open again. State is the open row of a key; with ``ttl_ms`` a row that stays
+    open for longer is dropped."""
 
     def step(state, row):
         if row.kind == 1 and state is None:
@@ -81,14 +87,8 @@ def ledger_stream(events: DataFrame, *, hold: int = 24, cost_c: float = 1.0, kee
             return None, (state[0], state[1], state[2], int(row.bar), float(row.spread), round(sign * (row.spread - state[2]) * 100 - cost_c, 4))
         return state, None
 
-    names = ["key", "entry_bar", "direction", "entry_spread", "exit_bar", "exit_spread", "pnl_c"]
-
-    def run(key, frames, state):
-        for out in _keyed(step, keep_ms)(key, frames, state):
-            yield out.set_axis(names, axis=1)
-
     schema = "key string, entry_bar long, direction string, entry_spread double, exit_bar long, exit_spread double, pnl_c double"
-    return events.groupBy("key").applyInPandasWithState(run, schema, "bar long, direction string, spread double", "append", _timeout(keep_ms))
+    return _folded(events, step, "bar long, direction string, spread double", schema, ttl_ms)
 
 
 def rolling_stream(bars: DataFrame, history: str, sink: str, *, window: int = 48, min_obs: int = 20, checkpoint: str):

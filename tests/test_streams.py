@@ -1,5 +1,7 @@
 """Streams over files, run until they have read everything, against their batch twins."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from spreadloom.operators.positions import ledger_replay
@@ -49,6 +51,53 @@ def test_ledger_equals_its_batch_twin(spark, tmp_path):
     assert sorted((r["entry_bar"], r["exit_bar"], round(r["pnl_c"], 4)) for r in got) == sorted((r["entry_bar"], r["exit_bar"], r["pnl_c"]) for r in want) and got
 
 
+def run_until(stream, tmp_path, name, rows):
+    """For a stream that looks for expired states and so never ends: stopped once ``rows`` rows are out."""
+    out, end = str(tmp_path / name), time.time() + 60
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append").start()
+    found = []
+    while len(found) < rows and time.time() < end and query.isActive:
+        time.sleep(0.5)
+        if query.lastProgress:
+            found = stream.sparkSession.read.schema(stream.schema).parquet(out).collect()
+    query.stop()
+    return found
+
+
+def restarted(spark, tmp_path, make, schema, first, second):
+    """Rows that a stream gives for ``first``, and after a stop and a restart from its checkpoint for ``second``."""
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    stream = lambda: make(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")))
+    before = run(stream(), tmp_path, "out")
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(str(tmp_path / "in/1"))
+    after = run(stream(), tmp_path, "out")
+    return before, [r for r in after if r not in before]
+
+
+EVENTS = "key string, bar long, kind int, direction string, spread double"
+
+
+def test_cooldown_goes_on_after_a_restart(spark, tmp_path):
+    make = lambda s: streams.signal_cooldown_stream(s, cooldown=12)
+    first, second = restarted(spark, tmp_path, make, EVENTS, [("k", 0, 1, "BUY", 0.1)], [("k", b, 1, "BUY", 0.1) for b in (5, 11, 14, 20)] + [("j", 1, 1, "SELL", 0.1)])
+    assert [(r["key"], r["bar"]) for r in first] == [("k", 0)] and sorted((r["key"], r["bar"]) for r in second) == [("j", 1), ("k", 14)]
+
+
+def test_cooldown_expires(spark, tmp_path):
+    put = lambda i, bar: spark.createDataFrame([("k", bar, 1, "BUY", 0.1)], EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    put(0, 0)
+    stream = lambda: streams.signal_cooldown_stream(spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), cooldown=12, ttl_ms=1000)
+    assert [r["bar"] for r in run_until(stream(), tmp_path, "out", 1)] == [0]
+    time.sleep(2)
+    put(1, 5)
+    assert sorted(r["bar"] for r in run_until(stream(), tmp_path, "out", 2)) == [0, 5]  # the state of bar 0 is gone
+
+
+def test_ledger_goes_on_after_a_restart(spark, tmp_path):
+    first, second = restarted(spark, tmp_path, streams.ledger_stream, EVENTS, [("k", 0, 1, "SELL", 0.4), ("k", 10, 0, None, 0.1)], [("k", 24, 0, None, 0.3), ("k", 24, 1, "BUY", 0.1), ("k", 60, 0, None, 0.15)])
+    assert first == [] and sorted((r["entry_bar"], r["exit_bar"], r["pnl_c"]) for r in second) == [(0, 24, 9.0), (24, 60, 4.0)]
+
+
 def test_rolling_equals_its_batch_twin(spark, tmp_path):
     from spreadloom.operators.spread import rolling_z
 
