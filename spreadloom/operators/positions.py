@@ -107,7 +107,16 @@ def reconcile_detect(legs: DataFrame, holdings: DataFrame, *, size_min: float =
     return out.select("event_id", "short_leg", "long_leg", "direction", "token_a", "token_b", F.floor(F.least("size_a", "size_b")).cast("long").alias("shares"))
 
 
+def adopt(detected: DataFrame, tracked: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are held but not tracked."""
+    return detected.select(*keys).join(tracked.select(*keys), keys, "left_anti")
+
+
+def drop(detected: DataFrame, tracked: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are tracked but not held."""
+    return tracked.select(*keys).join(detected.select(*keys), keys, "left_anti")
+
+
 def reconcile_plan(detected: DataFrame, tracked: DataFrame, keys: list[str]) -> DataFrame:
-    """What to adopt (held but not tracked) and what to drop (tracked but not held)."""
-    adopt = detected.select(*keys).join(tracked.select(*keys), keys, "left_anti").withColumn("action", F.lit("adopt"))
-    return adopt.unionByName(tracked.select(*keys).join(detected.select(*keys), keys, "left_anti").withColumn("action", F.lit("drop")))
+    """What to adopt and what to drop."""
+    return adopt(detected, tracked, keys).withColumn("action", F.lit("adopt")).unionByName(drop(detected, tracked, keys).withColumn("action", F.lit("drop")))

@@ -129,3 +129,10 @@ def market_universe(markets: DataFrame) -> DataFrame:
     """The last market of each slug, of those with slug and text."""
     held = markets.where("slug <> '' and text is not null and text <> ''")
     return held.groupBy("slug").agg(F.max_by(F.struct("market_id", "category"), "market_id").alias("m")).select("slug", "m.*")
+
+
+def month_intersection(rows: DataFrame) -> DataFrame:
+    """ca, cb, month: the months in which two categories (ca before cb) both have a row (category, month)."""
+    held = rows.select("category", "month").distinct()
+    other = held.select("month", F.col("category").alias("cb"))
+    return held.withColumnRenamed("category", "ca").join(other, "month").where("ca < cb").select("ca", "cb", "month")

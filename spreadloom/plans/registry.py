@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ladder, markets, research
+from . import files, ladder, markets, research
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ladder.QUERIES, **research.QUERIES, **markets.QUERIES}
-SQL: dict[str, str] = {**ladder.SQL, **research.SQL, **markets.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ladder.QUERIES, **research.QUERIES, **markets.QUERIES, **files.QUERIES}
+SQL: dict[str, str] = {**ladder.SQL, **research.SQL, **markets.SQL, **files.SQL}

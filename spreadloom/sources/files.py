@@ -35,9 +35,11 @@ def read_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def pairs_ragged_csv(spark: SparkSession, path: str) -> DataFrame:
     """Claims (a, b, sign, strength, rationale) whose last field may hold commas. Blanks and quotes around a field are cut,
-    missing fields are empty, blank lines and a header are left out; the category is the file's name. ``sign`` is as
+    missing fields are empty, blank lines and a header are left out; the category is that of the folder, else the file's name. ``sign`` is as
     written, ``sign_value`` 1 or -1 by its first character."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("category"), "value")
+    place = F.input_file_name()
+    category = F.coalesce(F.nullif(F.regexp_extract(place, "/category=([^/]+)/", 1), F.lit("")), F.regexp_extract(place, r"([^/]+)\.csv$", 1))
+    rows = spark.read.text(path).select(category.alias("category"), "value")
     header = F.startswith(F.regexp_replace(F.lower("value"), " ", ""), F.lit("underlying_a"))
     rows = rows.where((F.trim("value") != "") & ~header).withColumn("p", F.split("value", ",", 5))
     field = lambda i: F.trim(F.btrim(F.trim(F.coalesce(F.get("p", F.lit(i)), F.lit(""))), F.lit('"')))
