@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +47,74 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine_candidates(vectors: DataFrame, *, least: float = 0.45) -> DataFrame:
-    """Pairs a < b of a category and of different events with a cosine of at least ``least``, in blocks by category."""
-    held = vectors.withColumn("x", unit(F.col("x")))
-    left = held.select("category", F.col("id").alias("a"), F.col("event_id").alias("ea"), F.col("x").alias("xa"))
-    right = held.select("category", F.col("id").alias("b"), F.col("event_id").alias("eb"), F.col("x").alias("xb"))
-    pairs = left.join(right, "category").where((F.col("a") < F.col("b")) & (F.col("ea") != F.col("eb")))
+#: Vectors of a category whose pairs are all compared; beyond, buckets of about BUCKET vectors, of at most BITS bits.
+FEW, BUCKET, BITS = 4096, 64, 12
+
+
+def lsh_tables(least: float, recall: float, bits: int) -> int:
+    """Tables of ``bits`` signs after which a pair at the threshold has met with probability ``recall``: a random plane
+    parts two vectors with the probability of their angle over pi."""
+    together = (1 - math.acos(least) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together))) if bits else 1
+
+
+def _buckets(vectors: DataFrame, least: float, recall: float) -> DataFrame:
+    """category, id, event_id and the buckets of each vector, one a table, numbered over all tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    tables = [lsh_tables(least, recall, k) for k in range(BITS + 1)]
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            bits, sizes = batch.column("bits").to_numpy(), batch.column("x").value_lengths().to_numpy()
+            flat, ends = batch.column("x").flatten().to_numpy(), np.cumsum(sizes)
+            out: list = [None] * len(bits)
+            for k, size in {*zip(bits.tolist(), sizes.tolist(), strict=True)}:
+                if (k, size) not in planes:
+                    planes[k, size] = np.random.default_rng(k * 100_003 + size).standard_normal((size, tables[k] * k))
+                rows = np.flatnonzero((bits == k) & (sizes == size))
+                x = np.stack([flat[ends[r] - size : ends[r]] for r in rows])
+                signs = (x @ planes[k, size] > 0).reshape(len(rows), tables[k], k)
+                number = signs @ (1 << np.arange(k)) + (np.arange(tables[k]) << k)
+                for r, n in zip(rows, number, strict=True):
+                    out[r] = n.astype("i8")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("category", "id", "event_id")), pa.array(out, pa.list_(pa.int64()))], ["category", "id", "event_id", "buckets"])
+
+    kinds = dict(vectors.dtypes)
+    return vectors.select("category", "id", "event_id", "x", "bits").mapInArrow(signed, f"category {kinds['category']}, id {kinds['id']}, event_id {kinds['event_id']}, buckets array<long>")
+
+
+def lsh_pairs(vectors: DataFrame, *, least: float, recall: float) -> DataFrame:
+    """category, a, b: pairs that share a bucket of random planes, each once. ``bits`` beside each vector."""
+    rows = _buckets(vectors, least, recall).withColumn("bucket", F.explode("buckets")).drop("buckets")
+    left = rows.select("category", "bucket", F.col("id").alias("a"), F.col("event_id").alias("ea"))
+    right = rows.select("category", "bucket", F.col("id").alias("b"), F.col("event_id").alias("eb"))
+    return left.join(right, ["category", "bucket"]).where("a < b and ea <> eb").select("category", "a", "b").distinct()
+
+
+def cosine_candidates(vectors: DataFrame, *, least: float = 0.45, recall: float = 0.99, few: int = FEW) -> DataFrame:
+    """Pairs a < b of a category and of different events with a cosine of at least ``least``.
+
+    Categories of up to ``few`` vectors compare all their pairs. Larger ones hash vectors by the sides of random planes
+    they lie on, into so many tables that a pair at the threshold shares a bucket with probability ``recall`` and closer
+    pairs with more; the cosines of pairs that do are exact. Buckets hold about ``BUCKET`` vectors at any size, so the
+    join's rows are the vectors times the tables, which grow as a small power of the size, in place of its square. For
+    thresholds near 0 hashing tells nothing and tables are many: raise ``few`` or the threshold.
+    """
+    held = vectors.select("category", "id", "event_id", unit(F.col("x")).alias("x")).where("x is not null")
+    sizes = vectors.groupBy("category").agg(F.count("*").alias("n")).withColumn("bits", F.least(F.floor(F.log2(F.col("n") / BUCKET)), F.lit(BITS)).cast("int"))
+    many = sizes.where(F.col("n") > few)
+    small = held.join(many.select("category"), "category", "left_anti")
+    left = small.select("category", F.col("id").alias("a"), F.col("event_id").alias("ea"), F.col("x").alias("xa"))
+    right = small.select("category", F.col("id").alias("b"), F.col("event_id").alias("eb"), F.col("x").alias("xb"))
+    pairs = left.join(right, "category").where((F.col("a") < F.col("b")) & (F.col("ea") != F.col("eb"))).select("category", "a", "b", "xa", "xb")
+    if not many.isEmpty():
+        large = held.join(many.select("category", "bits"), "category")
+        met = lsh_pairs(large, least=least, recall=recall)
+        x = lambda name: large.select("category", F.col("id").alias(name), F.col("x").alias(f"x{name}"))
+        pairs = pairs.unionByName(met.join(x("a"), ["category", "a"]).join(x("b"), ["category", "b"]))
     return pairs.select("category", "a", "b", dot(F.col("xa"), F.col("xb")).alias("cosine")).where(F.col("cosine") >= least)
 
 

@@ -258,3 +258,28 @@ def test_walk_with_fees_loss_cap_and_ratio(spark):
     while left / 1.149 >= 1:
         taken, left = taken + left / 1.149, left - left / 1.149 * 1.1
     assert walk(max_dollars=110.0)[3][0] == int(taken)
+
+
+def test_hashed_candidates_find_what_brute_force_finds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+
+    def made(n):
+        centres = rng.normal(size=(n // 20, 24))
+        x = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 24)) * 0.6
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    met = {}
+    for n in (1500, 3000):
+        x = made(n)
+        df = frame(spark, [("c", i, i % 7, v.tolist()) for i, v in enumerate(x)], "category string, id long, event_id long, x array<double>")
+        cos = x @ x.T
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(cos, 1) >= 0.7), strict=True) if i % 7 != j % 7}
+        got = text.cosine_candidates(df, least=0.7, few=1000).collect()
+        found = {(r["a"], r["b"]) for r in got}
+        assert len(got) == len(found) and found <= want and len(found) >= 0.95 * len(want) and all(abs(r["cosine"] - cos[r["a"], r["b"]]) < 1e-9 for r in got)
+        assert {(r["a"], r["b"]) for r in text.cosine_candidates(df, least=0.7).collect()} == want  # few enough for all pairs
+        bits = F.lit(int(np.log2(n / text.BUCKET)))
+        met[n] = text.lsh_pairs(df.withColumn("bits", bits), least=0.7, recall=0.99).count()
+    assert met[3000] < 3.5 * met[1500] and met[3000] < 3000 * 3000 / 4  # fewer than all pairs, and growing less than their number
