@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import near_dup
+from ..functions.text import STOP_WORDS
+from .text import components, near_dup
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 
 def change_points(points: DataFrame) -> DataFrame:
@@ -49,6 +55,88 @@ def hy_corr(rets: DataFrame, pairs: DataFrame) -> DataFrame:
     return held.select("x", "y", "cov", F.least(F.greatest(rho, F.lit(-0.999)), F.lit(0.999)).alias("rho"))
 
 
+DAY = 86_400_000_000  # microseconds
+
+
+def correlated_clusters(corr: DataFrame, *, least: float) -> DataFrame:
+    """cluster, series: components of the graph of series pairs (x, y, changes) whose correlation is ``least`` or more in
+    size. A cluster has the name of its smallest series."""
+    edges = corr.where(F.abs("changes") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(edges).select(F.col("component").alias("cluster"), F.col("id").alias("series"))
+
+
+def _sweep(key: tuple, asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+    """Sums over one block of series, of changes times what the series of the other block have run up to then."""
+    import numpy as np
+    import pandas as pd
+
+    cluster, _, _, begun, _ = key
+    names, code = np.unique(asks["series"].to_numpy(str), return_inverse=True)
+    t, d, out = asks["t"].to_numpy(), asks["d"].to_numpy(), []
+    for y, own in points.sort_values("t", kind="stable").groupby("series"):
+        run = np.concatenate([[0.0], own["d"].cumsum()])
+        upto = np.searchsorted(own["t"].to_numpy(), t, "left" if begun else "right")
+        sums = np.bincount(code, d * run[upto], len(names)) * (1 if begun else -1)
+        out += [(cluster, x, y, s) for x, s in zip(names, sums, strict=True) if x < y]
+    return pd.DataFrame(out, columns=["cluster", "x", "y", "part"])
+
+
+def hy_cov_clusters(rets: DataFrame, members: DataFrame, *, block: int = 32, span: int = DAY) -> DataFrame:
+    """cluster, x, y, cov of all pairs x < y of a cluster's series (cluster, series): the sum of products of changes over
+    overlapping intervals.
+
+    An interval of x overlaps those of y that have begun before its end, less those that have ended by its start. Blocks
+    of ``block`` series meet blocks of the same cluster within ``span`` of time: a block's points are sorted and summed
+    up once for all series of the other block, so a change is moved once a block and not once a partner. What a series
+    has run up to before a span comes along as one point, from sums a span that run over all spans. A task holds two
+    blocks' changes in one span.
+    """
+    number = F.row_number().over(Window.partitionBy("cluster").orderBy("series")) - 1
+    placed = members.select("cluster", "series", F.floor(number / block).cast("int").alias("block"))
+    blocks = placed.groupBy("cluster").agg(F.max("block").alias("blocks"))
+    rows = rets.join(placed, "series").join(blocks, "cluster")
+    spans = lambda t: F.floor(F.col(t) / span)
+    both = lambda begun, ended: F.array(F.struct(F.lit(True).alias("begun"), F.col(begun).alias("t")), F.struct(F.lit(False).alias("begun"), F.col(ended).alias("t")))
+    columns = ["cluster", "series", "block", "blocks", "e.begun", "e.t", "d"]
+    asks = rows.withColumn("e", F.explode(both("b", "a"))).select(*columns).withColumn("chunk", spans("t"))
+    points = rows.withColumn("e", F.explode(both("a", "b"))).select(*columns).withColumn("chunk", spans("t"))
+    grid = asks.select("cluster", "begun", "chunk").distinct().join(placed.join(blocks, "cluster"), "cluster")
+    sums = points.groupBy("cluster", "series", "begun", "chunk").agg(F.sum("d").alias("d"))
+    known = [*sums.columns[:3], "chunk"]
+    every = grid.select(*known).unionByName(sums.select(*known)).distinct().join(sums, known, "left").join(placed.join(blocks, "cluster"), ["cluster", "series"])
+    before = Window.partitionBy("cluster", "series", "begun").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.withColumn("d", F.sum("d").over(before)).where("d is not null").withColumn("t", F.lit(-(1 << 62)))
+    points = points.unionByName(carried.select(points.columns))
+    left = asks.withColumn("other", F.explode(F.sequence("block", "blocks"))).select("cluster", F.col("block").alias("i"), F.col("other").alias("j"), "begun", "chunk", "series", "t", "d")
+    right = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("cluster", F.col("other").alias("i"), F.col("block").alias("j"), "begun", "chunk", "series", "t", "d")
+    keys = ["cluster", "i", "j", "begun", "chunk"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # of one origin, so named anew
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_sweep, "cluster string, x string, y string, part double")
+    return parts.groupBy("cluster", "x", "y").agg(F.sum("part").alias("cov"))
+
+
+def hy_corr_matrix(rets: DataFrame, members: DataFrame, *, least_changes: int = 1, block: int = 32, span: int = DAY) -> DataFrame:
+    """cluster, x, y, rho of all pairs inside clusters, of series with ``least_changes`` changes or more."""
+    rv = rets.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("rv"), F.count("*").alias("n")).where(F.col("n") >= least_changes)
+    cov = hy_cov_clusters(rets, members.join(rv.select("series"), "series"), block=block, span=span)
+    held = cov.join(rv.select(F.col("series").alias("x"), F.col("rv").alias("vx")), "x").join(rv.select(F.col("series").alias("y"), F.col("rv").alias("vy")), "y").where("vx > 0 and vy > 0")
+    rho = F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))
+    return held.select("cluster", "x", "y", F.least(F.greatest(rho, F.lit(-0.999)), F.lit(0.999)).alias("rho"))
+
+
+def cluster_report(r2: DataFrame, members: DataFrame, *, words: int = 3) -> DataFrame:
+    """Per cluster: series, median and largest r2 of ``r2`` (cluster, series, r2), the commonest category and the
+    commonest words of its members' stems (cluster, series, category, stem), ties by name. Words are longer than two
+    letters, no stop words and no numbers."""
+    facts = r2.groupBy("cluster").agg(F.count("*").alias("n"), F.percentile("r2", F.lit(0.5)).alias("median_r2"), F.max("r2").alias("max_r2"))
+    first = lambda column, n: F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), column)) <= n
+    best = members.groupBy("cluster", "category").count().withColumn("first", first("category", 1)).where("first").select("cluster", "category")
+    token = members.select("cluster", F.explode(F.split(F.lower("stem"), " ")).alias("word")).where((F.length("word") > 2) & ~F.col("word").isin(STOP_WORDS) & (F.translate("word", "0123456789.", "") != ""))
+    top = token.groupBy("cluster", "word").count().withColumn("first", first("word", words)).where("first")
+    label = top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "word"))), lambda x: x["word"]), " ").alias("label"))
+    return facts.join(best, "cluster", "left").join(label, "cluster", "left")
+
+
 def loo_r2(corr: DataFrame, *, most: int = 2000, shrink: float = 0.1) -> DataFrame:
     """series, r2 of each cluster's correlation matrix (cluster, x, y, rho): 1 - 1 / diagonal of its inverse, after
     clipping eigenvalues at 0.001, a unit diagonal and shrinkage to the identity. A cluster is one matrix, so clusters

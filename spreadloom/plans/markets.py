@@ -100,8 +100,19 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "embeddings").where("embedding is not null").select(F.col("label").cast("string").alias("cluster"), F.col("vec_id").alias("id"))
 
 
+def leg_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Legs in clusters of those whose hourly changes go together."""
+    return A.correlated_clusters(correlations(spark, d), least=0.08)
+
+
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    return A.hy_corr(rets(spark, d), series_pairs(spark, d)).withColumn("cluster", F.lit("all"))
+    points = S.price_points(spark, d).select(leg_name().alias("series"), S.epoch_us(F.col("ts")).alias("t"), "seq", "p")
+    return A.hy_corr_matrix(A.returns(A.change_points(points)), leg_clusters(spark, d), span=30 * A.DAY)
+
+
+def report(spark: SparkSession, d: str) -> DataFrame:
+    members = leg_clusters(spark, d).join(dimension(spark, d).select(F.col("id").alias("series"), "stem"), "series").withColumn("category", F.substring_index("series", "/", 1))
+    return rounded(A.cluster_report(A.loo_r2(matrix(spark, d)), members), 8)
 
 
 def groups(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +180,8 @@ QUERIES = {
     "hy_corr": lambda s, d: rounded(A.hy_corr(rets(s, d), series_pairs(s, d)), 8),
     "hy_corr_matrix": lambda s, d: rounded(matrix(s, d).select("cluster", "x", "y", "rho"), 8),
     "loo_r2": lambda s, d: rounded(A.loo_r2(matrix(s, d)), 8),
-    "cluster_report": lambda s, d: rounded(A.loo_r2(matrix(s, d)).groupBy("cluster").agg(F.count("*").alias("n"), F.percentile("r2", F.lit(0.5)).alias("median_r2"), F.max("r2").alias("max_r2")), 8),
+    "cluster_report": report,
+    "correlated_clusters": leg_clusters,
     "pair_corr": lambda s, d: rounded(correlations(s, d)),
     "sign_agreement": lambda s, d: A.sign_agreement(correlations(s, d), claims(s, d)).select("x", "y", "agrees"),
     "pairs_resolve": lambda s, d: rounded(A.pairs_resolve(claims(s, d), dimension(s, d)), 3),
@@ -215,6 +227,8 @@ VEC = "ve AS (SELECT vec_id AS id, label AS category, vec_id % 7 AS event_id, em
 CH = "se AS (SELECT event_type AS series, epoch_us(ts) AS t, event_id AS seq, round(least(greatest(value / 500, 0.0), 1.0), 4) AS p FROM events), c0 AS (SELECT *, lag(p) OVER (PARTITION BY series ORDER BY t, seq) AS pp FROM se), ch AS (SELECT series, t, seq, p, row_number() OVER (PARTITION BY series ORDER BY t, seq) AS k FROM c0 WHERE pp IS NULL OR p <> pp), rt AS (SELECT * FROM (SELECT series, lag(t) OVER w AS a, t AS b, p - lag(p) OVER w AS d FROM ch WINDOW w AS (PARTITION BY series ORDER BY k)) WHERE a IS NOT NULL)"
 HY = CH + ", rv AS (SELECT series, sum(d * d) AS rv FROM rt GROUP BY 1), hc AS (SELECT x.series AS x, y.series AS y, sum(x.d * y.d) AS cov FROM rt x JOIN rt y ON x.series < y.series AND y.b > x.a AND y.a < x.b GROUP BY ALL), hr AS (SELECT x, y, cov, least(greatest(cov / sqrt(v.rv * w.rv), -0.999), 0.999) AS rho FROM hc JOIN rv v ON v.series = x JOIN rv w ON w.series = y)"
 PC = FILLED + ", hs AS (SELECT event_id || '/' || ladder_label AS series, bar, p FROM filled), la AS (SELECT series, arg_max(p, bar) AS last FROM hs GROUP BY 1), hb AS (SELECT a.series AS x, b.series AS y, a.bar, a.p AS px, b.p AS py FROM hs a JOIN hs b ON a.bar = b.bar AND a.series < b.series), hd AS (SELECT *, px - lag(px) OVER w AS dx, py - lag(py) OVER w AS dy FROM hb WINDOW w AS (PARTITION BY x, y ORDER BY bar)), pc AS (SELECT x, y, count(*) AS n, corr(px, py) AS level, CASE WHEN count(dx) >= 48 AND stddev_samp(dx) > 0 AND stddev_samp(dy) > 0 THEN corr(dx, dy) END AS changes FROM hd GROUP BY ALL HAVING count(*) >= 72)"
+CLU = PC + ", ec AS (SELECT x AS a, y AS b FROM pc WHERE abs(changes) >= 0.08), uc AS (SELECT a, b FROM ec UNION SELECT b, a FROM ec), rc AS (SELECT DISTINCT a AS id, a AS m FROM uc UNION SELECT u.b, r.m FROM rc r JOIN uc u ON u.a = r.id AND r.m < u.b), cc AS (SELECT id, min(m) AS component FROM rc GROUP BY 1)"
+LEG_CH = CH.replace("event_type AS series", "event_type || '/L' || (user_id % 4) AS series")
 ED = VEC + ", ed AS (SELECT a, b FROM cp WHERE cosine >= 0.45)"
 COMP = ED + ", un AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT DISTINCT a AS id, a AS m FROM un UNION SELECT u.b, r.m FROM re r JOIN un u ON u.a = r.id AND r.m < u.b), co AS (SELECT id, min(m) AS component FROM re GROUP BY 1)"
 UND = PLAIN + ", uu AS (SELECT category, under AS stem, arg_max(market_id, (volume, -market_id)) AS market_id, max(volume) AS volume, count(*) AS n_markets FROM us WHERE under <> '' GROUP BY ALL), ur AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY volume DESC, stem) AS INTEGER) AS rank FROM uu)"
@@ -263,7 +277,8 @@ SELECT "group", source, target, relation, directed, round(cosine, 6) AS cosine F
     "realised_var": f"WITH {CH} SELECT series, round(sum(d * d), 9) AS rv FROM rt GROUP BY 1",
     "hy_overlap": f"WITH {HY} SELECT x, y, round(cov, 8) AS cov FROM hc",
     "hy_corr": f"WITH {HY} SELECT x, y, round(cov, 8) AS cov, round(rho, 8) AS rho FROM hr",
-    "hy_corr_matrix": f"WITH {HY} SELECT 'all' AS cluster, x, y, round(rho, 8) AS rho FROM hr",
+    "correlated_clusters": f"WITH RECURSIVE {CLU} SELECT component AS cluster, id AS series FROM cc",
+    "hy_corr_matrix": f"WITH RECURSIVE {CLU}, {LEG_CH}, rv AS (SELECT series, sum(d * d) AS rv FROM rt GROUP BY 1), hc AS (SELECT c.component AS cluster, x.series AS x, y.series AS y, sum(x.d * y.d) AS cov FROM rt x JOIN cc c ON c.id = x.series JOIN cc e ON e.component = c.component AND e.id > c.id JOIN rt y ON y.series = e.id AND y.b > x.a AND y.a < x.b GROUP BY ALL) SELECT cluster, x, y, round(least(greatest(cov / sqrt(v.rv * w.rv), -0.999), 0.999), 8) AS rho FROM hc JOIN rv v ON v.series = x JOIN rv w ON w.series = y",
     "pair_corr": f"WITH {PC} SELECT x, y, n, round(level, 9) AS level, round(changes, 9) AS changes, round(a.last, 9) AS last_x, round(b.last, 9) AS last_y FROM pc JOIN la a ON a.series = x JOIN la b ON b.series = y",
     "sign_agreement": f"WITH {PC} SELECT x, y, sign(changes) = CASE WHEN (length(x) + length(y)) % 2 = 0 THEN 1 ELSE -1 END AS agrees FROM pc",
     "pairs_resolve": f"WITH {LEGS}, l AS (SELECT event_id || '/' || ladder_label AS id, event_id || ' reaches step ' || CASE WHEN ladder_order < 2 THEN 'low' ELSE 'high' END AS stem, liquidity FROM legs) SELECT a.id AS x, b.id AS y, CASE WHEN (length(a.id) + length(b.id)) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, a.stem AS stem_x, b.stem AS stem_y, round(a.liquidity, 3) AS liquidity_x, round(b.liquidity, 3) AS liquidity_y FROM l a JOIN l b ON a.id < b.id AND a.stem <> b.stem",

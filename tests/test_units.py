@@ -283,3 +283,30 @@ def test_hashed_candidates_find_what_brute_force_finds(spark):
         bits = F.lit(int(np.log2(n / text.BUCKET)))
         met[n] = text.lsh_pairs(df.withColumn("bits", bits), least=0.7, recall=0.99).count()
     assert met[3000] < 3.5 * met[1500] and met[3000] < 3000 * 3000 / 4  # fewer than all pairs, and growing less than their number
+
+
+def test_matrices_of_clusters_equal_all_overlaps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rets, brute = [], {}
+    for k in range(9):
+        ends = np.unique(rng.integers(0, 5000, 120)).tolist()
+        rets += [(f"s{k}", a, b, float(d)) for a, b, d in zip(ends, ends[1:], rng.normal(size=len(ends) - 1).round(3), strict=False)]
+    member = {f"s{k}": "one" if k < 7 else "two" for k in range(9)}
+    for x, a, b, d in rets:
+        for y, e, f, g in rets:
+            if x < y and member[x] == member[y] and e < b and f > a:
+                brute[x, y] = brute.get((x, y), 0.0) + d * g
+    df = frame(spark, rets, "series string, a long, b long, d double")
+    members = frame(spark, [(c, x) for x, c in member.items()], "cluster string, series string")
+    for block, span in ((2, 700), (32, 10_000), (3, 1)):
+        got = {(r["x"], r["y"]): r["cov"] for r in asynccorr.hy_cov_clusters(df, members, block=block, span=span).collect()}
+        assert got.keys() == brute.keys() and all(abs(got[p] - brute[p]) < 1e-9 for p in brute)
+
+
+def test_cluster_report_names_clusters(spark):
+    r2 = frame(spark, [("c", "a", 0.1), ("c", "b", 0.3), ("c", "d", 0.2), ("e", "f", 0.5)], "cluster string, series string, r2 double")
+    members = frame(spark, [("c", "a", "x", "the gold price 5"), ("c", "b", "y", "gold price of oil"), ("c", "d", "y", "gold in 12.5 oz"), ("e", "f", "z", "an")], "cluster string, series string, category string, stem string")
+    got = {r["cluster"]: (r["n"], r["median_r2"], r["max_r2"], r["category"], r["label"]) for r in asynccorr.cluster_report(r2, members).collect()}
+    assert got == {"c": (3, 0.2, 0.3, "y", "gold price oil"), "e": (1, 0.5, 0.5, "z", None)}
