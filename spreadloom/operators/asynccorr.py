@@ -185,3 +185,24 @@ def pairs_resolve(claims: DataFrame, dimension: DataFrame) -> DataFrame:
 def sign_agreement(corr: DataFrame, claims: DataFrame) -> DataFrame:
     """Whether the sign of each pair's correlation is the claimed one."""
     return corr.join(claims, ["x", "y"]).withColumn("agrees", F.signum("changes") == F.col("sign"))
+
+
+def date_matched_pairs(contracts: DataFrame, relations: DataFrame, bars: DataFrame, *, as_of: str, least: float, **more: int) -> DataFrame:
+    """Pairs of contracts of the same month within relations of underlyings, whose correlation is over ``least`` in size.
+
+    Of contracts (category, stem, deadline, volume, series) that are alive on ``as_of`` the one with most volume stands for
+    a (category, stem, month), ties to the smaller series. Relations (category, stem_a, stem_b, sign) of stems that are
+    near duplicates are left out. ``bars`` (series, bar, p) are correlated for the pairs that are left, each once.
+    """
+    live = contracts.where((F.col("deadline") >= F.lit(as_of).cast("date")) & F.col("series").isNotNull())
+    best = F.max_by(F.struct("series", "volume"), F.struct(F.coalesce("volume", F.lit(-1.0)), F.expr("-rank")))
+    ranked = live.withColumn("month", F.date_format("deadline", "yyyy-MM")).withColumn("rank", F.row_number().over(Window.partitionBy("category", "stem", F.date_format("deadline", "yyyy-MM")).orderBy("series")))
+    chosen = ranked.groupBy("category", "stem", "month").agg(best.alias("best")).select("category", "stem", "month", F.col("best.series").alias("series"))
+    side = lambda x: chosen.select("category", "month", F.col("stem").alias(f"stem_{x}"), F.col("series").alias({"a": "x", "b": "y"}[x]))
+    kept = relations.where("stem_a <> stem_b")
+    same = near_dup(kept.select(F.col("stem_a").alias("ta"), F.col("stem_b").alias("tb")).distinct()).select(F.col("ta").alias("stem_a"), F.col("tb").alias("stem_b"))
+    kept = kept.join(same, ["stem_a", "stem_b"], "left_anti")
+    pairs = kept.join(side("a"), ["category", "stem_a"]).join(side("b"), ["category", "stem_b", "month"]).where("x <> y")
+    pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("category", "month", "stem_a", "stem_b", "sign")).alias("r")).select("x", "y", "r.*")
+    corr = pair_corr(bars, pairs.select("x", "y"), **more).where(F.abs("changes") > least)
+    return pairs.join(corr, ["x", "y"]).withColumn("agrees", F.signum("changes") == F.col("sign"))

@@ -23,12 +23,15 @@ def bars_ffill(bars: DataFrame) -> DataFrame:
     return grid.join(bars, [*LEG, "bar"], "left").select(*LEG, "bar", F.last("p", ignorenulls=True).over(leg).alias("p"))
 
 
+def tau_days(bars: DataFrame, legs: DataFrame, *, minutes: int = HOUR) -> DataFrame:
+    """``bars`` with the days left to their leg's deadline, at least 1."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("bar") * minutes / 1440).cast("int"))
+    return bars.join(legs.select(*LEG, "deadline_date"), LEG).withColumn("tau_days", F.greatest(F.datediff("deadline_date", day), F.lit(1))).drop("deadline_date")
+
+
 def panel_build(points: DataFrame, legs: DataFrame, *, minutes: int = HOUR) -> DataFrame:
     """Bars with their leg's deadline and the days left to it, at least 1."""
-    bars = bars_last(points, minutes=minutes)
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("bar") * minutes / 1440).cast("int"))
-    joined = bars.join(legs.select(*LEG, "deadline_date"), LEG)
-    return joined.select(*LEG, "bar", "p", F.greatest(F.datediff("deadline_date", day), F.lit(1)).alias("tau_days"))
+    return tau_days(bars_last(points, minutes=minutes), legs, minutes=minutes).select(*LEG, "bar", "p", "tau_days")
 
 
 def distinct_dates_having(legs: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spread import PAIR
@@ -17,9 +17,11 @@ def signals_rolling(stats: DataFrame, *, z_enter: float = 1.75, d_min: float = 0
     return held.withColumn("direction", F.when(buy, "BUY").when(sell, "SELL")).where("direction is not null")
 
 
-def signals_diff(stats: DataFrame, *, z_enter: float = 2.0, z_max: float = 6.0, sigma_floor: float = 0.002, frac: float = 0.5) -> DataFrame:
-    """Fade changes of ``z_enter`` to ``z_max`` deviations; the target mean gives back ``frac`` of the change."""
+def signals_diff(stats: DataFrame, *, z_enter: float = 2.0, z_max: float = 6.0, sigma_floor: float = 0.002, frac: float = 0.5, tau_min: int = 0) -> DataFrame:
+    """Fade changes of ``z_enter`` to ``z_max`` deviations; the target mean gives back ``frac`` of the change. Where the
+    panel knows the short leg's days to its deadline, it must have ``tau_min``."""
     held = stats.where((F.col("sigma") >= sigma_floor) & (F.abs("z") >= z_enter) & (F.abs("z") <= z_max) & (F.col("spread") >= 0))
+    held = held.where(F.col("tau_short") >= tau_min) if "tau_short" in stats.columns else held
     return held.withColumn("direction", F.when(F.col("z") > 0, "SELL").otherwise("BUY")).withColumn("mu", F.col("spread") - F.lit(frac) * F.col("dS"))
 
 
@@ -34,6 +36,28 @@ def signal_legs(signals: DataFrame) -> DataFrame:
     return short.unionByName(signals.select("event_id", F.col("long_dd").alias("ladder_label"))).distinct()
 
 
+def triggered(signals: DataFrame, *, hs: list[int], z: float, cap: float) -> DataFrame:
+    """Signals of the given horizons, over the threshold, on legs no wider than ``cap`` (max_leg)."""
+    return signals.where(F.col("h").isin(hs) & (F.abs("z") >= z) & (F.col("max_leg") <= cap))
+
+
+def signal_pairs(signals: DataFrame) -> DataFrame:
+    return signals.select(*PAIR).distinct()
+
+
+def legs_with_tokens(signals: DataFrame, legs: DataFrame) -> DataFrame:
+    """The distinct legs that signals touch with their market's tokens; legs that the universe lacks go."""
+    return signal_legs(signals).join(legs.select("event_id", "ladder_label", "yes_token", "no_token"), ["event_id", "ladder_label"])
+
+
+def fees_attach(legs: DataFrame, fees: DataFrame) -> DataFrame:
+    """``legs`` with the fee_rate and fee_exp of their yes_token in a table of fees (token, fee_rate, fee_exp); legs
+    without an entry, or with a part of it missing, pay none."""
+    rows = fees.groupBy(F.col("token").alias("yes_token")).agg(F.min(F.struct("fee_rate", "fee_exp")).alias("fee"))
+    held = legs.drop("fee_rate", "fee_exp").join(rows, "yes_token", "left")
+    return held.withColumns({c: F.coalesce(F.col(f"fee.{c}"), F.lit(0.0)) for c in ("fee_rate", "fee_exp")}).drop("fee")
+
+
 def _leg(legs: DataFrame, side: str, *columns: str) -> DataFrame:
     return legs.select("event_id", F.col("ladder_label").alias(f"{side}_dd"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
@@ -81,5 +105,12 @@ def universe_filter(legs: DataFrame, *, exclude: list[str], volume: float, cap:
     return held.join(counts.select("event_id"), "event_id", "left_semi")
 
 
-def cooldown_filter(plans: DataFrame, recent: DataFrame, *, keys: list[str] = PAIR) -> DataFrame:
-    return plans.join(recent, keys, "left_anti")
+def cooldown_filter(plans: DataFrame, recent: DataFrame, *, keys: list[str] = PAIR, span: int) -> DataFrame:
+    """Plans (keys, bar, ...) whose key has no recent entry (keys, bar) within the ``span`` bars up to the plan's; at
+    exactly ``span`` bars a plan may go. One sorted pass over plans and entries of a key finds the last entry."""
+    row = F.struct(*[c for c in plans.columns if c not in keys])
+    asks = plans.select(*keys, "bar", F.lit(1).alias("side"), row.alias("plan"))
+    tells = recent.select(*keys, "bar", F.lit(0).alias("side"), F.lit(None).cast(asks.schema["plan"].dataType).alias("plan"))
+    along = Window.partitionBy(*keys).orderBy("bar", "side").rowsBetween(Window.unboundedPreceding, 0)
+    held = asks.unionByName(tells).withColumn("last", F.last(F.when(F.col("side") == 0, F.col("bar")), ignorenulls=True).over(along)).where("side = 1")
+    return held.where(F.col("last").isNull() | (F.col("bar") - F.col("last") >= span)).select(*keys, "plan.*").select(plans.columns)

@@ -11,14 +11,17 @@ PAIR = ["event_id", "short_dd", "long_dd"]
 def spread_panel(panel: DataFrame) -> DataFrame:
     """Each pair of an event's legs, short before long by (order, label), at each bar that both have.
 
-    One shuffle of the panel by event and bar serves both sides of the self-join.
+    Where the panel has a ``ladder_type``, legs pair within their type only, and pairs tell it and their ``gap``, the
+    distance of the legs' orders (days, or a threshold's units). One shuffle of the panel by event (and type) and bar
+    serves both sides of the self-join.
     """
-    tau = "tau_days" in panel.columns
+    tau, kind = "tau_days" in panel.columns, ["ladder_type"] if "ladder_type" in panel.columns else []
     cols = lambda side: [F.col("ladder_order").alias(f"o_{side}"), F.col("ladder_label").alias(f"{side}_dd"), F.col("p").alias(f"p_{side}"), *([F.col("tau_days").alias(f"tau_{side}")] if tau else [])]
-    short = panel.select("event_id", "bar", *cols("short"))
-    long = panel.select("event_id", "bar", *cols("long"))
-    pairs = short.join(long, ["event_id", "bar"]).where(F.struct("o_short", "short_dd") < F.struct("o_long", "long_dd"))
-    return pairs.select(*PAIR, "bar", "p_short", "p_long", (F.col("p_long") - F.col("p_short")).alias("spread"), *(["tau_short", "tau_long"] if tau else []))
+    short = panel.select("event_id", *kind, "bar", *cols("short"))
+    long = panel.select("event_id", *kind, "bar", *cols("long"))
+    pairs = short.join(long, ["event_id", *kind, "bar"]).where(F.struct("o_short", "short_dd") < F.struct("o_long", "long_dd"))
+    gap = [F.abs(F.col("o_long") - F.col("o_short")).cast("double").alias("gap")] if kind else []
+    return pairs.select(*PAIR, *kind, "bar", "p_short", "p_long", (F.col("p_long") - F.col("p_short")).alias("spread"), *(["tau_short", "tau_long"] if tau else []), *gap)
 
 
 def _z(x, mu, sigma):

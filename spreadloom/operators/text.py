@@ -218,3 +218,33 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     both = ends.select(F.col("la").alias("label"), "score").unionByName(ends.select(F.col("lb").alias("label"), "score")).groupBy("label").agg(F.sum("score").alias("deg"))
     held = both.join(inside, "label", "left").withColumn("m", total)
     return held.agg(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2.0))).alias("q"), F.count("*").alias("communities"))
+
+
+def graph_nodes(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` (id, ...) with their degree in ``edges`` and their label (of a community or component), if they have one."""
+    return nodes.join(degree(edges), "id", "left").join(labels.select("id", "label"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def graph_edges(edges: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` (a, b, ...) with both ends' questions and the label of the first."""
+    text = lambda x: nodes.select(F.col("id").alias(x), F.col("question").alias(f"question_{x}"))
+    return edges.join(text("a"), "a", "left").join(text("b"), "b", "left").join(labels.select(F.col("id").alias("a"), "label"), "a", "left")
+
+
+def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per category of ``nodes`` (id, category, label): nodes, labels, the size of the largest, and edges that begin there."""
+    sizes = nodes.groupBy("category", "label").agg(F.count("*").alias("size"))
+    out = sizes.groupBy("category").agg(F.sum("size").alias("nodes"), F.count("label").alias("labels"), F.max(F.when(F.col("label").isNotNull(), F.col("size"))).alias("largest"))
+    links = edges.join(nodes.select(F.col("id").alias("a"), "category"), "a").groupBy("category").agg(F.count("*").alias("edges"))
+    return out.join(links, "category", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+
+
+def top_links(edges: DataFrame, *, n: int = 8) -> DataFrame:
+    """The ``n`` strongest edges (category, a, b, score) of each category, ranked."""
+    best = Window.partitionBy("category").orderBy(F.desc(F.round("score", 9)), "a", "b")
+    return edges.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
+def relation_mix(edges: DataFrame) -> DataFrame:
+    """Edges of each relation, directed and not, and how many have a cosine."""
+    return edges.groupBy("relation", "directed").agg(F.count("*").alias("n"), F.count("cosine").alias("n_cosine"))

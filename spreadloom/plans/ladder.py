@@ -162,6 +162,19 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trades(spark, d).groupBy("direction").agg(*mean, F.avg(change).alias("d_slope")))
 
 
+def tokened(spark: SparkSession, d: str) -> DataFrame:
+    """Unresolved legs with their market's tokens."""
+    name = F.concat_ws("/", "event_id", "ladder_label")
+    return X.universe(spark, d).where("resolution is null").withColumns({"yes_token": F.concat(name, F.lit("/Y")), "no_token": F.concat(name, F.lit("/N"))})
+
+
+def _fees(spark: SparkSession, d: str) -> DataFrame:
+    legs = X.universe(spark, d).withColumn("yes_token", F.concat_ws("/", "event_id", "ladder_label"))
+    known = legs.where("event_id in ('click', 'view')").select(F.col("yes_token").alias("token"), F.when(F.col("event_id") == "click", 0.10).otherwise(0.05).alias("fee_rate"), F.when(F.col("event_id") == "click", 1.0).alias("fee_exp"))
+    return G.fees_attach(legs, known).select("event_id", "ladder_label", "fee_rate", "fee_exp")
+
+
+GAP = "(CAST(substr(long_dd, 2) AS DOUBLE) - CAST(substr(short_dd, 2) AS DOUBLE))"
 QUERIES = {
     "price_points": lambda s, d: X.price_points(s, d).select("seq", "event_id", "ladder_order", "ladder_label", X.epoch_us(F.col("ts")).alias("us"), "p"),
     "bars_last": lambda s, d: P.bars_last(X.price_points(s, d)),
@@ -169,13 +182,15 @@ QUERIES = {
     "panel_build": lambda s, d: P.panel_build(X.price_points(s, d), X.universe(s, d)),
     "tau_days": lambda s, d: P.panel_build(X.price_points(s, d), X.universe(s, d)).groupBy("event_id", "ladder_label").agg(F.min("tau_days").alias("least"), F.max("tau_days").alias("most")),
     "distinct_dates_having": lambda s, d: P.distinct_dates_having(X.universe(s, d), 3),
-    "spread_panel": lambda s, d: rounded(spreads(s, d)),
+    "spread_panel": lambda s, d: rounded(S.spread_panel(filled(s, d).withColumn("ladder_type", F.lit("calendar")))),
+    "spread_panel_types": lambda s, d: rounded(S.spread_panel(filled(s, d).withColumn("ladder_type", F.when(F.col("ladder_order") % 2 == 0, "calendar").otherwise("strike")))),
     "pair_intersection": lambda s, d: S.pair_intersection(filled(s, d)),
     "rolling_z": lambda s, d: _cols(stats(s, d), *STAT),
     "diff_rolling_z": lambda s, d: _cols(S.diff_rolling_z(spreads(s, d)), *STAT, "dS"),
     "latest_spread": lambda s, d: rounded(S.latest_spread(spreads(s, d))),
     "signals_rolling": lambda s, d: _cols(signals(s, d), *STAT, "direction"),
     "signals_diff": lambda s, d: _cols(G.signals_diff(S.diff_rolling_z(spreads(s, d))), *STAT, "dS", "direction"),
+    "signals_diff_tau": lambda s, d: _cols(G.signals_diff(S.diff_rolling_z(S.spread_panel(P.tau_days(filled(s, d), X.universe(s, d)))), tau_min=45), *STAT, "dS", "direction", "tau_short"),
     "signals_latest": lambda s, d: _cols(G.signals_latest(signals(s, d), filled(s, d)), *STAT, "direction"),
     "signal_legs": lambda s, d: G.signal_legs(signals(s, d)),
     "universe_filter": lambda s, d: G.universe_filter(X.universe(s, d), exclude=["error"], volume=100.0, cap=0.007).select("event_id", "ladder_label", "liquidity"),
@@ -183,7 +198,7 @@ QUERIES = {
     "cost_attach": lambda s, d: _cols(G.cost_attach(signals(s, d), X.universe(s, d)), *PAIR, "bar", "cost", "max_leg"),
     "leg_cost_default": lambda s, d: _cols(G.leg_cost_default(signals(s, d), X.universe(s, d).where("ladder_order < 3")), *PAIR, "bar", "cost"),
     "leg_fee": lambda s, d: rounded(filled(s, d).join(X.universe(s, d).select("event_id", "ladder_label", "fee_rate", "fee_exp"), ["event_id", "ladder_label"]).select("event_id", "ladder_label", "bar", G.leg_fee(F.col("p"), F.col("fee_rate"), F.col("fee_exp")).alias("fee"))),
-    "fees_attach": lambda s, d: X.universe(s, d).select("event_id", "ladder_label", F.coalesce("fee_rate", F.lit(0.0)).alias("fee_rate"), "fee_exp"),
+    "fees_attach": _fees,
     "trade_exit": lambda s, d: T.trade_exit(led_signals(s, d)),
     "trades_build": lambda s, d: rounded(trades(s, d)),
     "blotter": lambda s, d: _cols(trades(s, d), *PAIR, "direction", "entry_bar", "exit_bar", "p_short_entry", "p_long_entry", "p_short_exit", "p_long_exit", "pnl"),
@@ -197,7 +212,7 @@ QUERIES = {
     "trade_buckets": lambda s, d: rounded(T.trade_buckets(trades(s, d), X.universe(s, d)).select(*PAIR, "signal_bar", "primary_tag", "tau_bucket", "vol_q")),
     "top_trades": lambda s, d: rounded(T.top_trades(trades(s, d)).select("side", *PAIR, "signal_bar", "direction", "status", "pnl_dollars"), 6),
     "cooldown_fold": lambda s, d: trades(s, d).groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("signal_bar").alias("first"), F.max("signal_bar").alias("last")),
-    "cooldown_filter": lambda s, d: G.cooldown_filter(signals(s, d), trades(s, d).where("status <> 'Z'").select(*PAIR).distinct()).select(*PAIR, "bar"),
+    "cooldown_filter": lambda s, d: G.cooldown_filter(signals(s, d), trades(s, d).select(*PAIR, F.col("signal_bar").alias("bar")), span=12).select(*PAIR, "bar"),
     "signals_union": lambda s, d: signals(s, d).groupBy("event_id", "direction").agg(F.count("*").alias("n"), F.min("bar").alias("first"), F.max("bar").alias("last")),
     "legs_union_distinct": lambda s, d: G.signal_legs(signals(s, d)).groupBy("event_id").agg(F.count("*").alias("legs")),
     "event_mean_t": lambda s, d: rounded(trades(s, d).groupBy("event_id").agg(F.avg("pnl").alias("m")).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), T.tstat(F.col("m"), 3).alias("t"))),
@@ -211,13 +226,15 @@ SQL = {
     "panel_build": f"WITH {EV}, {LEGS} SELECT event_id, b.ladder_order, ladder_label, bar, p, CAST(greatest(deadline_date - (DATE '1970-01-01' + CAST(floor(bar / 24.0) AS INTEGER)), 1) AS INTEGER) AS tau_days FROM bars b JOIN legs USING (event_id, ladder_label)",
     "tau_days": f"WITH {EV}, {LEGS}, t AS (SELECT event_id, ladder_label, CAST(greatest(deadline_date - (DATE '1970-01-01' + CAST(floor(bar / 24.0) AS INTEGER)), 1) AS INTEGER) AS tau FROM bars b JOIN legs USING (event_id, ladder_label)) SELECT event_id, ladder_label, min(tau) AS least, max(tau) AS most FROM t GROUP BY ALL",
     "distinct_dates_having": f"WITH {LEGS} SELECT event_id, count(DISTINCT deadline_date) AS n_dates FROM legs GROUP BY 1 HAVING n_dates >= 3",
-    "spread_panel": f"WITH {SPREADS} SELECT event_id, short_dd, long_dd, bar, p_short, p_long, round(spread, 9) AS spread FROM sp",
+    "spread_panel": f"WITH {SPREADS} SELECT event_id, 'calendar' AS ladder_type, short_dd, long_dd, bar, p_short, p_long, round(spread, 9) AS spread, {GAP} AS gap FROM sp",
+    "spread_panel_types": f"WITH {SPREADS} SELECT event_id, CASE WHEN short_dd IN ('L0', 'L2') THEN 'calendar' ELSE 'strike' END AS ladder_type, short_dd, long_dd, bar, p_short, p_long, round(spread, 9) AS spread, {GAP} AS gap FROM sp WHERE {GAP} = 2",
     "pair_intersection": f"WITH {SPREADS} SELECT event_id, short_dd, long_dd, count(*) AS n, min(bar) AS first_bar, max(bar) AS last_bar FROM sp GROUP BY ALL HAVING count(*) >= 120",
     "rolling_z": f"WITH {STATS} SELECT {STAT_COLS} FROM st",
     "diff_rolling_z": f"WITH {DIFF} SELECT {STAT_COLS}, round(dS, 9) AS dS FROM dz",
     "latest_spread": f"WITH {SPREADS} SELECT event_id, short_dd, long_dd, round(arg_max(spread, bar), 9) AS spread, max(bar) AS bar FROM sp GROUP BY ALL",
     "signals_rolling": f"WITH {SIGNALS} SELECT {STAT_COLS}, direction FROM sg",
     "signals_diff": f"WITH {DIFF} SELECT event_id, short_dd, long_dd, bar, round(spread, 9) AS spread, round(spread - 0.5 * dS, 9) AS mu, round(sigma, 9) AS sigma, round(z, 6) AS z, round(dS, 9) AS dS, CASE WHEN z > 0 THEN 'SELL' ELSE 'BUY' END AS direction FROM dz WHERE sigma >= 0.002 AND abs(z) >= 2 AND abs(z) <= 6 AND spread >= 0",
+    "signals_diff_tau": f"WITH {DIFF}, {LEGS}, t AS (SELECT dz.*, CAST(greatest(deadline_date - (DATE '1970-01-01' + CAST(floor(bar / 24.0) AS INTEGER)), 1) AS INTEGER) AS tau_short FROM dz JOIN legs ON legs.event_id = dz.event_id AND ladder_label = short_dd) SELECT event_id, short_dd, long_dd, bar, round(spread, 9) AS spread, round(spread - 0.5 * dS, 9) AS mu, round(sigma, 9) AS sigma, round(z, 6) AS z, round(dS, 9) AS dS, CASE WHEN z > 0 THEN 'SELL' ELSE 'BUY' END AS direction, tau_short FROM t WHERE sigma >= 0.002 AND abs(z) >= 2 AND abs(z) <= 6 AND spread >= 0 AND tau_short >= 45",
     "signals_latest": f"WITH {SIGNALS} SELECT {STAT_COLS}, direction FROM sg WHERE bar = (SELECT max(bar) FROM filled)",
     "signal_legs": f"WITH {SIGNALS} SELECT event_id, short_dd AS ladder_label FROM sg UNION SELECT event_id, long_dd FROM sg",
     "universe_filter": f"WITH {LEGS}, k AS (SELECT * FROM legs WHERE NOT list_contains(string_split(tags, ','), 'error') AND coalesce(liquidity, 100) >= 100 AND coalesce(market_spread, 0) <= 0.007) SELECT event_id, ladder_label, liquidity FROM k WHERE event_id IN (SELECT event_id FROM k GROUP BY 1 HAVING count(DISTINCT ladder_label) >= 2)",
@@ -225,7 +242,7 @@ SQL = {
     "cost_attach": f"WITH {SIGNALS}, {LEGS} SELECT g.event_id, short_dd, long_dd, bar, round(ls.market_spread + ll.market_spread + 2 * ({_fee('p_short', 's')} + {_fee('p_long', 'l')}), 9) AS cost, greatest(ls.market_spread, ll.market_spread) AS max_leg FROM sg g JOIN legs ls ON ls.event_id = g.event_id AND ls.ladder_label = short_dd JOIN legs ll ON ll.event_id = g.event_id AND ll.ladder_label = long_dd",
     "leg_cost_default": f"WITH {SIGNALS}, {LEGS}, l3 AS (SELECT * FROM legs WHERE ladder_order < 3) SELECT g.event_id, short_dd, long_dd, bar, round(coalesce(a.market_spread, 0.2) + coalesce(b.market_spread, 0.2), 9) AS cost FROM sg g LEFT JOIN l3 a ON a.event_id = g.event_id AND a.ladder_label = short_dd LEFT JOIN l3 b ON b.event_id = g.event_id AND b.ladder_label = long_dd",
     "leg_fee": f"WITH {FILLED}, {LEGS} SELECT event_id, ladder_label, bar, round({FEE.format(p='p', r='fee_rate', e='fee_exp')}, 9) AS fee FROM filled JOIN legs USING (event_id, ladder_label)",
-    "fees_attach": f"WITH {LEGS} SELECT event_id, ladder_label, fee_rate, fee_exp FROM legs",
+    "fees_attach": f"WITH {LEGS} SELECT event_id, ladder_label, CASE event_id WHEN 'click' THEN 0.10::DOUBLE WHEN 'view' THEN 0.05 ELSE 0 END AS fee_rate, CASE event_id WHEN 'click' THEN 1.0::DOUBLE ELSE 0 END AS fee_exp FROM legs",
     "trade_exit": f"WITH {EXITS} SELECT * FROM ex",
     "trades_build": f"{W}{TRADES} SELECT {TRADE_COLS} FROM tr",
     "blotter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, direction, entry_bar, exit_bar, round(p_short_entry, 9) AS p_short_entry, round(p_long_entry, 9) AS p_long_entry, round(p_short_exit, 9) AS p_short_exit, round(p_long_exit, 9) AS p_long_exit, round(pnl, 9) AS pnl FROM tr",
@@ -240,7 +257,7 @@ SQL = {
     "curve_shape": f"{W}{TRADES} SELECT direction, round(avg(p_short_entry - (p_short_entry + p_long_entry) / 2), 9) AS short_entry, round(avg(p_short_exit - (p_short_entry + p_long_entry) / 2), 9) AS short_exit, round(avg(p_long_entry - (p_short_entry + p_long_entry) / 2), 9) AS long_entry, round(avg(p_long_exit - (p_short_entry + p_long_entry) / 2), 9) AS long_exit, round(avg(p_long_exit - p_short_exit - p_long_entry + p_short_entry), 9) AS d_slope FROM tr GROUP BY 1",
     "equity_curve": f"{W}{TRADES}, td AS (SELECT *, pnl_dollars::DECIMAL(28, 8) AS d FROM tr), k AS (SELECT event_id, row_number() OVER (ORDER BY sum(d) DESC, event_id) AS rk FROM td GROUP BY 1), b AS (SELECT exit_bar, sum(d) AS pnl, count(*) AS n, coalesce(sum(d) FILTER (rk > 1), 0) AS x1, coalesce(sum(d) FILTER (rk > 3), 0) AS x3 FROM td JOIN k USING (event_id) GROUP BY 1) SELECT exit_bar, round(pnl::DOUBLE, 8) AS pnl, n, round(sum(pnl) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity, round(sum(x1) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity_x1, round(sum(x3) OVER (ORDER BY exit_bar)::DOUBLE, 8) AS equity_x3 FROM b",
     "cooldown_fold": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, count(*) AS n, min(signal_bar) AS first, max(signal_bar) AS last FROM tr GROUP BY ALL",
-    "cooldown_filter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, bar FROM sg ANTI JOIN (SELECT * FROM tr WHERE status <> 'Z') USING (event_id, short_dd, long_dd)",
+    "cooldown_filter": f"{W}{TRADES} SELECT event_id, short_dd, long_dd, bar FROM sg WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.event_id = sg.event_id AND tr.short_dd = sg.short_dd AND tr.long_dd = sg.long_dd AND sg.bar - tr.signal_bar BETWEEN 0 AND 11)",
     "signals_union": f"WITH {SIGNALS}, u AS (SELECT event_id, bar, 'BUY' AS direction FROM st WHERE sigma > 1e-6 AND z <= -1.75 AND mu - spread >= 0.05 UNION ALL SELECT event_id, bar, 'SELL' FROM st WHERE sigma > 1e-6 AND z >= 1.75 AND spread - mu >= 0.05) SELECT event_id, direction, count(*) AS n, min(bar) AS first, max(bar) AS last FROM u GROUP BY ALL",
     "legs_union_distinct": f"WITH {SIGNALS}, u AS (SELECT event_id, short_dd AS leg FROM sg UNION SELECT event_id, long_dd FROM sg) SELECT event_id, count(*) AS legs FROM u GROUP BY 1",
     "event_mean_t": f"{W}{TRADES}, e AS (SELECT event_id, avg(pnl) AS m FROM tr GROUP BY 1) SELECT count(*) AS n, round(avg(m), 9) AS mean, CASE WHEN count(*) >= 3 THEN round(avg(m) / nullif(stddev_samp(m), 0) * sqrt(count(*)), 9) END AS t FROM e",

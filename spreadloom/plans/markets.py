@@ -127,12 +127,34 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
     return T.typed_edges(groups(spark, d), T.cosine_candidates(vectors(spark, d), least=0.1))
 
 
-def months(spark: SparkSession, d: str) -> DataFrame:
-    """The largest question of each priority and month, paired across priorities in the same month."""
-    q = S.questions(spark, d).select(F.regexp_extract("question", r"Will (\d)", 1).alias("category"), F.date_format("end_date", "yyyy-MM").alias("month"), "market_id", "volume")
-    best = q.groupBy("category", "month").agg(F.max_by("market_id", F.struct("volume", "market_id")).alias("market_id"))
-    b = best.select("month", F.col("category").alias("cb"), F.col("market_id").alias("mb"))
-    return best.withColumnsRenamed({"category": "ca", "market_id": "ma"}).join(b, "month").where("ca < cb")
+def month_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Legs of the same month within relations of all stems, in place of proposed ones."""
+    contracts = dimension(spark, d).join(S.universe(spark, d).select(leg_name().alias("id"), "deadline_date"), "id").select(F.lit("all").alias("category"), "stem", F.col("deadline_date").alias("deadline"), F.col("liquidity").alias("volume"), F.col("id").alias("series"))
+    stems = contracts.select("category", F.col("stem").alias("stem_a")).distinct()
+    relations = stems.join(stems.withColumnRenamed("stem_a", "stem_b"), "category").where("stem_a < stem_b")
+    relations = relations.withColumn("sign", F.when((F.length("stem_a") + F.length("stem_b")) % 2 == 0, 1.0).otherwise(-1.0))
+    return rounded(A.date_matched_pairs(contracts, relations, hourly(spark, d), as_of="2024-03-15", least=0.02))
+
+
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return T.components(edges(spark, d)).withColumnRenamed("component", "label")
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).select(F.col("market_id").alias("id"), "event_id", "category", "question")
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    out = T.graph_nodes(nodes(spark, d).drop("question"), edges(spark, d), components(spark, d))
+    return out.withColumnsRenamed({"id": "market_id", "label": "component"})
+
+
+def graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    return T.graph_summary(T.graph_nodes(nodes(spark, d), edges(spark, d), components(spark, d)), edges(spark, d))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return T.cosine_candidates(vectors(spark, d), least=0.3).withColumnRenamed("cosine", "score")
 
 
 QUERIES = {
@@ -171,7 +193,11 @@ QUERIES = {
     "communities": lambda s, d: T.communities(edges(s, d)),
     "community_modularity": lambda s, d: rounded(T.modularity(edges(s, d), T.communities(edges(s, d))), 6),
     "graph_summary": lambda s, d: T.components(edges(s, d)).groupBy("component").agg(F.count("*").alias("size")),
-    "graph_tables": lambda s, d: texts(s, d).join(T.degree(edges(s, d)).withColumnRenamed("id", "market_id"), "market_id", "left").select("market_id", "event_id", "category", F.coalesce("degree", F.lit(0)).alias("degree")),
+    "graph_tables": graph_nodes,
+    "graph_edges": lambda s, d: rounded(T.graph_edges(edges(s, d), nodes(s, d), components(s, d)), 7),
+    "graph_category_summary": graph_summary,
+    "graph_top_links": lambda s, d: rounded(T.top_links(links(s, d)), 7),
+    "graph_relations": lambda s, d: T.relation_mix(typed(s, d)),
     "group_size_filter": lambda s, d: S.questions(s, d).groupBy("event_id").agg(F.count("*").alias("n")).where("n >= 2"),
     "typed_edges": lambda s, d: rounded(typed(s, d), 6),
     "change_points": lambda s, d: A.change_points(series(s, d)),
@@ -185,7 +211,7 @@ QUERIES = {
     "pair_corr": lambda s, d: rounded(correlations(s, d)),
     "sign_agreement": lambda s, d: A.sign_agreement(correlations(s, d), claims(s, d)).select("x", "y", "agrees"),
     "pairs_resolve": lambda s, d: rounded(A.pairs_resolve(claims(s, d), dimension(s, d)), 3),
-    "date_matched_pairs": months,
+    "date_matched_pairs": month_pairs,
     "category_export": lambda s, d: U.underlyings(S.titles(s, d)).groupBy("category").agg(F.count("*").alias("n")),
 }
 
@@ -268,7 +294,11 @@ SQL = {
     "degree": f"WITH {ED} SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1",
     "components": f"WITH RECURSIVE {COMP} SELECT * FROM co",
     "graph_summary": f"WITH RECURSIVE {COMP} SELECT component, count(*) AS size FROM co GROUP BY 1",
-    "graph_tables": f"WITH {ED}, {MT}, dg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1) SELECT market_id, event_id, category, coalesce(degree, 0) AS degree FROM mt LEFT JOIN dg ON id = market_id",
+    "graph_tables": f"WITH RECURSIVE {COMP}, {MT}, dg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM ed UNION ALL SELECT b FROM ed) GROUP BY 1) SELECT market_id, event_id, category, coalesce(degree, 0) AS degree, component FROM mt LEFT JOIN dg ON dg.id = market_id LEFT JOIN co ON co.id = market_id",
+    "graph_edges": f"WITH RECURSIVE {COMP}, {MT} SELECT a, b, round(cosine, 7) AS score, x.question AS question_a, y.question AS question_b, component AS label FROM cp LEFT JOIN mt x ON x.market_id = a LEFT JOIN mt y ON y.market_id = b LEFT JOIN co ON co.id = a WHERE cosine >= 0.45",
+    "graph_category_summary": f"WITH RECURSIVE {COMP}, {MT}, s AS (SELECT category, component, count(*) AS size FROM mt LEFT JOIN co ON co.id = market_id GROUP BY ALL), e AS (SELECT category, count(*) AS edges FROM ed JOIN mt ON market_id = a GROUP BY 1) SELECT s.category, CAST(sum(size) AS BIGINT) AS nodes, count(component) AS labels, max(size) FILTER (component IS NOT NULL) AS largest, coalesce(max(edges), 0) AS edges FROM s LEFT JOIN e ON e.category IS NOT DISTINCT FROM s.category GROUP BY s.category",
+    "graph_top_links": f"WITH {VEC}, r AS (SELECT category, a, b, cosine, CAST(row_number() OVER (PARTITION BY category ORDER BY round(cosine, 9) DESC, a, b) AS INTEGER) AS rank FROM cp WHERE cosine >= 0.3) SELECT category, a, b, round(cosine, 7) AS score, rank FROM r WHERE rank <= 8",
+    "graph_relations": f"WITH {VEC}, gr AS (SELECT category || '-' || (id // 100) AS grp, id, CASE WHEN (id // 100) % 3 = 0 THEN 'IMPLIES' ELSE 'SAME AS' END AS relation FROM ve), e AS (SELECT a.relation, a.id AS a, b.id AS b FROM gr a JOIN gr b ON a.grp = b.grp AND a.id < b.id) SELECT relation, relation = 'IMPLIES' AS directed, count(*) AS n, count(cosine) AS n_cosine FROM e LEFT JOIN (SELECT a, b, cosine FROM cp WHERE cosine >= 0.1) c USING (a, b) GROUP BY ALL",
     "group_size_filter": "SELECT o_custkey AS event_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 2",
     "typed_edges": f"""WITH {VEC}, gr AS (SELECT category || '-' || (id // 100) AS grp, id, CASE WHEN (id // 100) % 3 = 0 THEN 'IMPLIES' ELSE 'SAME AS' END AS relation, CASE WHEN id % 5 = 0 THEN 9999 ELSE id % 5 END AS rank FROM ve),
 e AS (SELECT a.grp AS "group", a.id AS source, b.id AS target, a.relation, a.relation = 'IMPLIES' AS directed FROM gr a JOIN gr b ON a.grp = b.grp AND CASE WHEN a.relation = 'IMPLIES' THEN (a.rank, a.id) < (b.rank, b.id) ELSE a.id < b.id END)
@@ -282,6 +312,6 @@ SELECT "group", source, target, relation, directed, round(cosine, 6) AS cosine F
     "pair_corr": f"WITH {PC} SELECT x, y, n, round(level, 9) AS level, round(changes, 9) AS changes, round(a.last, 9) AS last_x, round(b.last, 9) AS last_y FROM pc JOIN la a ON a.series = x JOIN la b ON b.series = y",
     "sign_agreement": f"WITH {PC} SELECT x, y, sign(changes) = CASE WHEN (length(x) + length(y)) % 2 = 0 THEN 1 ELSE -1 END AS agrees FROM pc",
     "pairs_resolve": f"WITH {LEGS}, l AS (SELECT event_id || '/' || ladder_label AS id, event_id || ' reaches step ' || CASE WHEN ladder_order < 2 THEN 'low' ELSE 'high' END AS stem, liquidity FROM legs) SELECT a.id AS x, b.id AS y, CASE WHEN (length(a.id) + length(b.id)) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, a.stem AS stem_x, b.stem AS stem_y, round(a.liquidity, 3) AS liquidity_x, round(b.liquidity, 3) AS liquidity_y FROM l a JOIN l b ON a.id < b.id AND a.stem <> b.stem",
-    "date_matched_pairs": f"WITH b AS (SELECT substr(o_orderpriority, 1, 1) AS category, strftime(o_orderdate, '%Y-%m') AS month, arg_max(o_orderkey, (o_totalprice::DOUBLE, o_orderkey)) AS market_id FROM orders GROUP BY ALL) SELECT a.month, a.category AS ca, a.market_id AS ma, b.category AS cb, b.market_id AS mb FROM b a JOIN b ON a.month = b.month AND a.category < b.category",
+    "date_matched_pairs": f"WITH {PC}, {LEGS}, c0 AS (SELECT event_id || '/' || ladder_label AS id, event_id || ' reaches step ' || CASE WHEN ladder_order < 2 THEN 'low' ELSE 'high' END AS stem, liquidity, strftime(deadline_date, '%Y-%m') AS month FROM legs WHERE deadline_date >= DATE '2024-03-15'), c1 AS (SELECT stem, month, id FROM c0 QUALIFY row_number() OVER (PARTITION BY stem, month ORDER BY liquidity DESC, id) = 1), r AS (SELECT a.id AS x, b.id AS y, 'all' AS category, a.month AS month, a.stem AS stem_a, b.stem AS stem_b, CASE WHEN (length(a.stem) + length(b.stem)) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS sign FROM c1 a JOIN c1 b ON a.month = b.month AND a.stem < b.stem) SELECT r.*, n, round(level, 9) AS level, round(changes, 9) AS changes, round(l.last, 9) AS last_x, round(m.last, 9) AS last_y, sign(changes) = sign AS agrees FROM r JOIN pc USING (x, y) JOIN la l ON l.series = x JOIN la m ON m.series = y WHERE abs(changes) > 0.02",
     "category_export": f"WITH {UND} SELECT category, count(*) AS n FROM ur WHERE rank <= 150 GROUP BY 1",
 }

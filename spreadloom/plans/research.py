@@ -10,7 +10,7 @@ from ..operators import flow as W
 from ..operators import positions as O
 from ..operators import research as R
 from ..operators import spread as S
-from ..operators.signals import leg_cost_default, signals_latest
+from ..operators.signals import leg_cost_default, legs_with_tokens, signal_pairs, signals_latest, triggered
 from ..operators.trades import greedy, tstat
 from ..sources import fixtures as X
 from . import ladder as L
@@ -208,6 +208,8 @@ QUERIES = {
     "top_configs_deep": lambda s, d: rounded(R.top_configs(deep(s, d), by="t", least=20)),
     "diffz_confirm": lambda s, d: rounded(R.diffz_confirm(cands(s, d), z=2.0)),
     "tightness_sweep": tightness,
+    "signal_legs_tokens": lambda s, d: legs_with_tokens(triggered(costed(s, d), hs=[6], z=2.5, cap=0.006), L.tokened(s, d)),
+    "signal_pairs": lambda s, d: signal_pairs(triggered(costed(s, d), hs=[6], z=2.5, cap=0.006)),
     "event_study": lambda s, d: rounded(R.event_study(cands(s, d)), 6),
     "grid_pivot": lambda s, d: rounded(R.diffz_grid(cands(s, d), [1.5, 2.0, 2.5]).groupBy("h", "w").pivot("z_enter", [1.5, 2.0, 2.5]).agg(F.first("gross")).toDF("h", "w", "z_15", "z_20", "z_25")),
     "deep_grid": lambda s, d: rounded(deep(s, d), 7),
@@ -297,6 +299,7 @@ FLOWREV = CA.replace(">= 16 AND", ">= 20 AND") + ", c2 AS (SELECT * FROM ca WHER
 FLOWREV += """, fw AS (SELECT n.event_id, short_dd, long_dd, bar, wallet, abs(sum(flow)) AS net FROM no n JOIN fs ON fs.event_id = n.event_id AND (fs.ladder_label = short_dd OR fs.ladder_label = long_dd) AND sec > (bar + 1) * 3600 - 21600 AND sec <= (bar + 1) * 3600 GROUP BY ALL),
 fc AS (SELECT event_id, short_dd, long_dd, bar, count(*) AS wallets, max(net) / nullif(sum(net), 0) AS top_share FROM fw GROUP BY ALL)"""
 R_ = "WITH RECURSIVE "
+TRIGGERED = f"{CA}, {L.LEGS}, tg AS (SELECT ca.* FROM ca JOIN legs a ON a.event_id = ca.event_id AND a.ladder_label = short_dd JOIN legs b ON b.event_id = ca.event_id AND b.ladder_label = long_dd WHERE h = 6 AND abs(z) >= 2.5 AND greatest(a.market_spread, b.market_spread) <= 0.006)"
 SQL = {
     "diffz_signals_grid": f"WITH {CA} SELECT {ZC}, round(S, 9) AS S, round(dS, 9) AS dS, round(fwd, 9) AS fwd FROM ca",
     "diffz_signals_time_grid": f"WITH {TIMED} SELECT {ZC}, round(S, 9) AS S, round(dS, 9) AS dS, round(fwd, 9) AS fwd FROM tg WHERE abs(z) >= 1 AND fwd IS NOT NULL",
@@ -309,6 +312,8 @@ SQL = {
     "top_configs_deep": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 9) AS net_c, round(hit, 9) AS hit, round(t, 9) AS t FROM dd_ WHERE n >= 20 AND t IS NOT NULL ORDER BY round(dd_.t, 9) DESC, h, w, z_enter, cap LIMIT 12",
     "diffz_confirm": f"WITH {CA} SELECT h, w, round(avg(fwd) FILTER (z > 0 AND S >= 0), 9) AS up_pos, round(avg(fwd) FILTER (z > 0 AND S < 0), 9) AS up_neg, round(avg(fwd) FILTER (z < 0 AND S >= 0), 9) AS down_pos, round(avg(fwd) FILTER (z < 0 AND S < 0), 9) AS down_neg FROM ca WHERE abs(z) >= 2 GROUP BY ALL",
     "tightness_sweep": f"WITH {COSTED} SELECT h, w, cap, count(*) AS n, round(avg(-sign(z) * fwd), 9) AS gross, round(avg(-sign(z) * fwd - cost), 9) AS net, round(avg((-sign(z) * fwd - cost > 0)::INT), 9) AS hit FROM cc JOIN (VALUES {_values(CAPS)}) v(cap) ON max_leg <= cap GROUP BY ALL HAVING count(*) >= 30",
+    "signal_legs_tokens": f"WITH {TRIGGERED}, lg AS (SELECT event_id, short_dd AS ladder_label FROM tg UNION SELECT event_id, long_dd FROM tg) SELECT event_id, ladder_label, event_id || '/' || ladder_label || '/Y' AS yes_token, event_id || '/' || ladder_label || '/N' AS no_token FROM lg JOIN legs USING (event_id, ladder_label) WHERE resolution IS NULL",
+    "signal_pairs": f"WITH {TRIGGERED} SELECT DISTINCT event_id, short_dd, long_dd FROM tg",
     "event_study": f"WITH {CA}, q AS (SELECT h, w, quantile_cont(z, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM ca GROUP BY ALL HAVING count(*) >= 50), b AS (SELECT h, w, z, fwd, CAST(len(list_filter(cuts, lambda c: c + 1e-9 < z)) AS INTEGER) AS bucket FROM ca JOIN q USING (h, w)) SELECT h, w, bucket, count(*) AS n, round(avg(z), 6) AS mean_z, round(avg(fwd), 6) AS mean_fwd FROM b GROUP BY ALL",
     "grid_pivot": f"WITH {CA} SELECT h, w, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 1.5), 9) AS z_15, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2), 9) AS z_20, round(avg(-sign(z) * fwd) FILTER (abs(z) >= 2.5), 9) AS z_25 FROM ca GROUP BY ALL",
     "deep_grid": f"{R_}{DEEP} SELECT h, w, z_enter, cap, n, round(net_c, 7) AS net_c, round(hit, 7) AS hit, round(t, 7) AS t FROM dd_",
