@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fills_build(sources: list[DataFrame], legs: DataFrame) -> DataFrame:
+    """The fills (asset, side, size, price, sec, ...) of all sources, columns by name and missing ones null, each with the
+    leg and outcome whose token its asset is; fills of unknown tokens go."""
+    all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    tokens = F.explode(F.array(F.struct(F.col("yes_token").alias("asset"), F.lit("YES").alias("outcome")), F.struct(F.col("no_token").alias("asset"), F.lit("NO").alias("outcome"))))
+    return all_.join(legs.select("event_id", "ladder_label", tokens.alias("t")).select("event_id", "ladder_label", "t.*"), "asset")
+
+
 def flow_sign(fills: DataFrame) -> DataFrame:
     """The YES price of each fill and its bullish flow: buying YES or selling NO counts up."""
     yes = F.col("outcome") == "YES"

@@ -128,7 +128,7 @@ def event_bootstrap(trades: DataFrame, *, draws: int = 5000, value: str = "pnl")
 
     Events are reduced to (sum, n) first; a draw's i-th event comes from a hash of (draw, i), the same on every run.
     """
-    events = trades.groupBy("event_id").agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    events = written(trades.groupBy("event_id").agg(F.sum(value).alias("s"), F.count("*").alias("n")), "event_sums")
     ranked = events.withColumn("k", F.row_number().over(Window.orderBy("event_id")) - 1)
     size = events.agg(F.count("*")).scalar()
     picks = events.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), size)))

@@ -101,6 +101,14 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return W.block_time_interp(e.select(F.col("event_id").alias("block"), F.col("event_id").alias("row_id")), e.where(F.col("event_id") % 500 == 0).select(F.col("event_id").alias("block"), "sec"))
 
 
+def union_of_fills(spark: SparkSession, d: str) -> DataFrame:
+    """Fills of two sources, of which one doesn't know wallets, tagged by their tokens."""
+    name = lambda last: F.concat_ws("/", "event_id", "ladder_label", last)
+    all_ = X.fills(spark, d).withColumn("asset", name(F.left("outcome", F.lit(1)))).drop("event_id", "ladder_label", "outcome")
+    legs = X.universe(spark, d).withColumns({"yes_token": name(F.lit("Y")), "no_token": name(F.lit("N"))})
+    return W.fills_build([all_.where("fill_id % 3 > 0"), all_.where("fill_id % 3 = 0").drop("wallet")], legs).select("fill_id", "event_id", "ladder_label", "asset", "outcome", "side", "size", "price", "sec", "wallet")
+
+
 def ledger(spark: SparkSession, d: str) -> DataFrame:
     return O.ledger_replay(L.signals(spark, d), L.spreads(spark, d), keys=PAIR)
 
@@ -233,7 +241,7 @@ QUERIES = {
     "flow_conditioned": conditioned,
     "flow_depth": lambda s, d: rounded(W.flow_depth(X.fills(s, d))),
     "flow_depth_by_leg": lambda s, d: rounded(W.leg_depth(X.fills(s, d))),
-    "fills_build": lambda s, d: X.fills(s, d),
+    "fills_build": union_of_fills,
     "universe_fills": lambda s, d: W.universe_fills(X.fills(s, d), X.universe(s, d).where("ladder_order < 2")).select("fill_id"),
     "chainlog_decode": lambda s, d: W.chainlog_decode(raw_logs(s, d), "0x" + "1".rjust(64, "0")),
     "block_time_interp": lambda s, d: rounded(blocks(s, d), 3),
@@ -337,7 +345,7 @@ SQL = {
     "flow_conditioned": f"{L.W}{L.TRADES}, {FILLS}, {CONC[CONC.index('cw AS'):]}, x AS (SELECT pnl, top_share, quantile_cont(top_share, 0.5) OVER () AS md, count(*) OVER () AS m FROM tr JOIN cc ON id = concat_ws('|', event_id, short_dd, long_dd, signal_bar) WHERE top_share IS NOT NULL), y AS (SELECT pnl, CASE WHEN top_share >= 0.999 THEN 'lone' ELSE 'multi' END AS part FROM x UNION ALL SELECT pnl, CASE WHEN top_share >= md THEN 'high' ELSE 'low' END FROM x WHERE m >= 24) SELECT part, count(*) AS n, round(avg(pnl), 9) AS mean, round(avg((pnl > 0)::INT), 9) AS hit, CASE WHEN count(*) >= 8 THEN round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(count(*)), 9) END AS t FROM y GROUP BY 1",
     "flow_depth": f"WITH {FILLS}, m AS (SELECT event_id, ladder_label, (max(sec) - min(sec)) / 86400.0 AS days, count(DISTINCT wallet) AS wallets, count(*) AS fills FROM fl GROUP BY ALL) SELECT event_id, count(*) AS legs, round(quantile_cont(days, 0.5), 9) AS median_days, round(quantile_cont(days, 0.1), 9) AS p10_days, round(max(days), 9) AS max_days, CAST(max(wallets) AS BIGINT) AS most_wallets, CAST(sum(fills) AS BIGINT) AS fills FROM m GROUP BY 1",
     "flow_depth_by_leg": f"WITH {FILLS} SELECT event_id, ladder_label, round((max(sec) - min(sec)) / 86400.0, 9) AS days, count(DISTINCT wallet) AS wallets, count(*) AS fills FROM fl GROUP BY ALL",
-    "fills_build": f"WITH {FILLS} SELECT * FROM fl",
+    "fills_build": f"WITH {FILLS} SELECT fill_id, event_id, ladder_label, event_id || '/' || ladder_label || '/' || outcome[1] AS asset, outcome, side, size, price, sec, CASE WHEN fill_id % 3 > 0 THEN wallet END AS wallet FROM fl",
     "universe_fills": f"WITH {FILLS} SELECT fill_id FROM fl WHERE ladder_label IN ('L0', 'L1')",
     "chainlog_decode": "WITH a AS (SELECT event_id, user_id, CAST(round(value * 1e6) AS BIGINT) AS w2, CAST(round(value * 2e6) + 1 AS BIGINT) AS w3, event_id % 2 AS w0 FROM events WHERE event_id % 3 = 1), b AS (SELECT *, CASE WHEN w0 = 0 THEN w2 ELSE w3 END / 1e6 AS usdc, CASE WHEN w0 = 0 THEN w3 ELSE w2 END / 1e6 AS tokens FROM a) SELECT event_id AS block, 't' || event_id AS tx, '0x' || lpad(lower(to_hex(user_id)), 40, '0') AS wallet, lpad(lower(to_hex(user_id)), 64, '0') AS token_id, CASE WHEN w0 = 0 THEN 'BUY' ELSE 'SELL' END AS side, round(tokens, 6) AS tokens, round(usdc, 6) AS usdc, round(usdc / tokens, 6) AS price, 0.001::DOUBLE AS fee FROM b WHERE tokens > 0",
     "block_time_interp": "WITH e AS (SELECT event_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS sec FROM events), a AS (SELECT event_id AS block, sec, lead(event_id) OVER (ORDER BY event_id) AS nb, lead(sec) OVER (ORDER BY event_id) AS ns FROM e WHERE event_id % 500 = 0) SELECT e.event_id AS row_id, e.event_id AS block, round(coalesce(a.sec + (e.event_id - a.block) / (a.nb - a.block)::DOUBLE * (a.ns - a.sec), a.sec)::DOUBLE, 3) AS sec FROM e ASOF JOIN a ON e.event_id >= a.block",
