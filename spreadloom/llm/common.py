@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_tables: list[str] = []  # folders that stages of a pipeline have written for themselves and that are still there
+_in_stage = False
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,17 +46,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
+        if _in_stage:
+            _tables.append(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {name.rpartition("/")[0] for name in df.inputFiles()}
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` wrote for ``df``, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        _delete(df.sparkSession, folder)
+        _tables[:] = [t for t in _tables if t.rpartition("/")[2] != folder.rpartition("/")[2]]
+
+
+def release(docs: DataFrame) -> None:
+    """Delete what stages have written for themselves, but for what ``docs`` reads. From then on shuffles are freed when
+    the query that made them ends."""
+    spark, kept = docs.sparkSession, {f.rpartition("/")[2] for f in _folders(docs)}
+    spark.conf.set(FREE_SHUFFLES, "true")
+    for folder in [t for t in _tables if t.rpartition("/")[2] not in kept]:
+        _delete(spark, folder)
+        _tables.remove(folder)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage that begins by deleting what the stages before it wrote for themselves, as their rows are written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _in_stage
+        release(docs)
+        _in_stage = True
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _in_stage = False
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

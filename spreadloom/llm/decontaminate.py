@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import named, shuffle_partitions, table, written
-from .shingles import slices, text_bytes, word_hashes
+from .shingles import lower_bytes, slices, word_hashes
 
 PASSAGE, ITEMS, EXTRA_RANK = 64, 256, 16
 SKETCH, SIGNS = 256, 8
@@ -47,7 +47,7 @@ def sequences(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words, at = word_hashes(*text_bytes(part.column("text")), SPACE)
+                words, at = word_hashes(*lower_bytes(part.column("text")), SPACE)
                 place = np.searchsorted(vocabulary, words)
                 found = np.where(vocabulary[np.minimum(place, len(vocabulary) - 1)] == words, place + 1, 0).astype("<u4")
                 rows = [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -145,7 +145,7 @@ def pieces_of(n: int, size: int) -> int:
 def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage: int) -> DataFrame:
     """Matches of items, id and text, found by those of their pieces that ``wanted`` numbers."""
     spark, items = docs.sparkSession, sorted(wanted)
-    words, at = word_hashes(*text_bytes(pa.array([t for _, t in items], pa.string())), SPACE)
+    words, at = word_hashes(*lower_bytes(pa.array([t for _, t in items], pa.string())), SPACE)
     vocabulary = np.unique(words)
     numbers = np.searchsorted(vocabulary, words) + 1
     held, pieces = [], []  # a piece: its item's place in held, and its first word; the last one ends with the item

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import named, table, written
+from .common import discard, named, table, written
 
 THRESHOLD = 0.85
 SLOTS = 1 << 16  # counts of tokens by hash: a constant of so many numbers, whatever the number of tokens
@@ -184,7 +184,10 @@ def _similar(near: DataFrame, docs: DataFrame, classes: DataFrame, levels: Colum
     x = full.select("cid", F.col("tokens").alias("tx"))
     y = full.select(F.col("cid").alias("early"), F.col("tokens").alias("ty"))
     enough = F.size(F.array_intersect("tx", "ty")) >= least_overlap(F.size("tx"), F.size("ty"), threshold)
-    return written(pairs.join(x, "cid").join(y, "early").where(enough).select("cid").distinct(), "line_late")
+    late = written(pairs.join(x, "cid").join(y, "early").where(enough).select("cid").distinct(), "line_late")
+    for done in (pairs, wanted, full):
+        discard(done)
+    return late
 
 
 def removed_by_document(docs: DataFrame, **options) -> DataFrame:

@@ -42,6 +42,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lower_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the text in lower case, letters of all scripts included."""
+    import pyarrow.compute as pc
+
+    return text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word, and for each row the number of words before it. Words are runs without the bytes
     0x20 and 0x09-0x0D, or without those that ``space`` marks; A-Z count as a-z. No word crosses rows."""

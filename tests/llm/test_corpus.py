@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import pathlib
 import re
 import zlib
 from collections import Counter
@@ -372,6 +373,26 @@ def test_url_rules(spark):
     assert blocked == set(range(0, 3000, 7))
 
 
+def test_decontamination_folds_letters_of_all_scripts(spark):
+    item = "l'été où l'école fermée à côté du château brûlé était déjà oubliée par ses élèves"
+    fill = " ".join(f"wort{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{fill} {item.upper()} {fill}"), (2, fill), (3, item.title())], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.select("doc_id").distinct().collect()) == [1, 3]
+
+
+def test_stages_delete_what_the_stages_before_wrote(spark, docs):
+    common = minhash.written.__globals__
+    first = common["tidy"](lambda spark, docs, d: common["written"](docs, "one"))
+    made = first(spark, docs, "")
+    folder = made.inputFiles()[0].rpartition("/")[0].rpartition(":")[2]
+    rows = made.count()
+    lazy = common["tidy"](lambda spark, docs, d: docs)(spark, made, "")  # still reads it
+    assert lazy.count() == rows and pathlib.Path(folder).exists()
+    common["tidy"](lambda spark, docs, d: docs)(spark, docs, "")
+    assert not pathlib.Path(folder).exists()
+
+
 def test_every_word_is_in_a_window():
     for n in range(1, 30):
         words = [f"w{i}" for i in range(n)]
