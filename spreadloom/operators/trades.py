@@ -62,6 +62,8 @@ def greedy(rows: DataFrame, keys: list[str], *, start: str, free: Column, order:
     first = [start, *(order or []), *[c for c in fields if c not in (start, *(order or []))]]
     key = Window.partitionBy(*keys)
     held = rows.where(F.col(start).isNotNull()).withColumn("__free", free.cast("double"))
+    # blocks are read twice; a shuffle that Spark doesn't take for redundant keeps it from making the rows twice
+    held = held.repartition(F.xxhash64(*keys))
     held = held.select(*keys, F.struct(*fields).alias("__row"), F.col(start).cast("double").alias("__start"), "__free", F.row_number().over(key.orderBy(*first)).cast("long").alias("__n"))
 
     # a free (side 0) counts the starts before it, a start itself (side 1) only marks its place
