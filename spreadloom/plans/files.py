@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import positions as O
@@ -17,7 +17,8 @@ from . import markets as M
 from . import research as R
 from .ladder import PAIR, rounded
 
-PAIR_KEY = F.concat_ws("|", *PAIR)
+def pair_key() -> Column:
+    return F.concat_ws("|", *PAIR)
 
 
 def ledger_files(spark: SparkSession, d: str) -> str:
@@ -79,7 +80,7 @@ def fills_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signal_rows(spark: SparkSession, d: str) -> DataFrame:
-    return L.signals(spark, d).select(PAIR_KEY.alias("key"), "bar", F.lit(1).alias("kind"), "direction", "spread")
+    return L.signals(spark, d).select(pair_key().alias("key"), "bar", F.lit(1).alias("kind"), "direction", "spread")
 
 
 def cooldown_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def cooldown_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
-    marks = L.spreads(spark, d).select(PAIR_KEY.alias("key"), "bar", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("direction"), "spread")
+    marks = L.spreads(spark, d).select(pair_key().alias("key"), "bar", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("direction"), "spread")
     return rounded(streamed(_signal_rows(spark, d).unionByName(marks), streams.ledger_stream, "ledger-events"))
 
 
