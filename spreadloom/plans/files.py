@@ -28,8 +28,8 @@ def ledger_files(spark: SparkSession, d: str) -> str:
     closed = key % 4 == 0
     row = F.struct(
         F.col("o_custkey").cast("string").alias("event_id"), F.col("o_orderpriority").alias("short_dd"), F.col("o_orderstatus").alias("long_dd"),
-        F.when(key % 2 == 0, "BUY").otherwise("SELL").alias("direction"), key.cast("string").alias("entry_ts"), F.round(total / 1e6, 6).alias("entry_spread"), (key % 7).cast("double").alias("z"),
-        F.when(closed, "closed").otherwise("open").alias("status"), F.when(closed, F.round(total / 1000, 2)).alias("pnl_c"),
+        F.when(key % 2 == 0, "BUY").otherwise("SELL").alias("direction"), key.cast("string").alias("entry_ts"), total.alias("entry_spread"), (key % 7).cast("double").alias("z"),
+        F.when(closed, "closed").otherwise("open").alias("status"), F.when(closed, total / 4).alias("pnl_c"),
     )
     line = F.when(key % 997 == 5, F.left(F.to_json(row), F.lit(25))).when(key % 101 == 7, F.lit(" ")).otherwise(F.to_json(row))
     rows = fixtures.table(spark, d, "orders").select(F.col("o_orderstatus").alias("kind"), (key % 8).alias("part"), key.alias("key"), line.alias("value"))
@@ -132,7 +132,7 @@ QUERIES = {
     "drop": lambda s, d: O.drop(*held_and_tracked(s, d)),
 }
 BAD, BLANK = "o_orderkey % 997 = 5", "o_orderkey % 101 = 7"
-LEDGER_SQL = "o_custkey::VARCHAR AS event_id, o_orderpriority AS short_dd, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, o_orderkey::VARCHAR AS entry_ts, round(o_totalprice::DOUBLE / 1e6, 6) AS entry_spread, (o_orderkey % 7)::DOUBLE AS z, CASE WHEN o_orderkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN round(o_totalprice::DOUBLE / 1000, 2) END AS pnl_c"
+LEDGER_SQL = "o_custkey::VARCHAR AS event_id, o_orderpriority AS short_dd, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS direction, o_orderkey::VARCHAR AS entry_ts, o_totalprice::DOUBLE AS entry_spread, (o_orderkey % 7)::DOUBLE AS z, CASE WHEN o_orderkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice::DOUBLE / 4 END AS pnl_c"
 COOLED = L.SIGNALS + R._fold("cd", "sg", "event_id, short_dd, long_dd", "bar", "bar + 12")
 SQL = {
     "trades_sink": f"{L.W}{L.TRADES} SELECT {L.TRADE_COLS} FROM tr",
