@@ -37,7 +37,7 @@ def first_centroids(kept: DataFrame, number: int, seed: int) -> np.ndarray:
     """The vectors whose ``seed:vec_id`` has the smallest sha256, in that order; ties by components, null ids last."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = kept.orderBy(order.asc_nulls_last(), "x").select("x").limit(number).collect()
-    return np.array([r["x"] for r in rows], "i8").reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], "i8")
 
 
 def products(x: np.ndarray, change: np.ndarray) -> np.ndarray:
@@ -51,8 +51,8 @@ def products(x: np.ndarray, change: np.ndarray) -> np.ndarray:
     return x.astype("i8") @ change.T
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1).astype(kind, copy=False)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), width).astype("i8", copy=False)
 
 
 def assign(state: DataFrame, change: np.ndarray, squares: np.ndarray) -> DataFrame:
@@ -62,8 +62,8 @@ def assign(state: DataFrame, change: np.ndarray, squares: np.ndarray) -> DataFra
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("x"), "i8")
-            dots = products(x, change) + (_matrix(batch.column("products"), "i8") if known else 0)
+            x = _matrix(batch.column("x"), change.shape[1])
+            dots = products(x, change) + (_matrix(batch.column("products"), len(squares)) if known else 0)
             far = (x * x).sum(1)[:, None] - 2 * dots + squares
             near = far.argmin(1) if len(far) else np.zeros(0, int)
             ends = pa.array(np.arange(0, len(x) * len(squares) + 1, len(squares), dtype="i4"))
