@@ -5,7 +5,7 @@ all documents in ``SLOTS`` slots, then 58 bits of hash; sorting a line's tokens
 order makes the join exact, so the bounded table of counts only decides how well it prunes. Two sets with Jaccard
 similarity t share a token among the first n - ceil(t n) + 1 of each (prefix filter), have sizes within t of each other (length filter),
 cannot gain more tokens than follow the shared one (positional filter), and differ in no more of their first tokens than
-the sets can (summaries of the first ``WINDOW``, of the prefix and, of long lines, of the first ``WIDE``; a differing bit
+the sets can (summaries of the first ``WINDOW``, of the prefix and, of lines of more, two of all tokens; a differing bit
 is a differing token). What passes is verified on the whole sets.
 
 A line is removed if an earlier line, by doc_id and then line number, has similarity of at least ``THRESHOLD``; equal
@@ -27,7 +27,6 @@ THRESHOLD = 0.85
 SLOTS = 1 << 16  # counts of tokens by hash: a constant of so many numbers, whatever the number of tokens
 HASH = (1 << 58) - 1
 WINDOW = 24  # tokens in a summary of 64 bits
-LONG, WIDE = 96, 64  # lines of more tokens have a summary of 128 bits of so many
 HOT = 1_000_000
 BROADCAST_ROWS = 100_000  # documents with some of their line numbers; more of them are joined by a shuffle
 OTHER_SPACE = "[\\t\\x0B\\f\\r]"  # white space in a line, the blank aside
@@ -77,11 +76,11 @@ def summary(tokens: str, shift: int) -> Column:
     return F.expr(" ^ ".join(bit.format(tokens, i, shift) for i in range(WINDOW)))
 
 
-def wide_summary(half: int) -> Column:
-    """One half of the 128 bits of a long line, 0 for others."""
+def wide_summary(shift: int) -> Column:
+    """64 bits of all tokens of a line of more than ``WINDOW``, 0 for others."""
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    bit = lambda t: F.when(F.shiftright(t, 12).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", one, F.shiftright(t, 13).bitwiseAND(F.lit(63)).cast("int"))).otherwise(none)
-    return F.when(F.size("tokens") > LONG, F.aggregate(F.slice("tokens", 1, WIDE), none, lambda s, t: s.bitwiseXOR(bit(t)))).otherwise(none)
+    bit = lambda t: F.call_function("shiftleft", one, F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(F.size("tokens") > WINDOW, F.aggregate("tokens", none, lambda s, t: s.bitwiseXOR(bit(t)))).otherwise(none)
 
 
 def least_overlap(a: Column, b: Column, threshold: float) -> Column:
@@ -94,17 +93,18 @@ def pairs_up(n: Column, threshold: float) -> Column:
 
 
 def passes(x: str, y: str, threshold: float) -> Column:
-    """Whether the sets of two postings, named by suffixes, can be similar: lengths, positions and summaries. Of sets
-    that lack a and b tokens of each other, first windows of one length lack max(a, b) of each other at most."""
+    """Whether the sets of two postings, named by suffixes, can be similar: lengths, positions and summaries. Sets that
+    lack a and b tokens of each other differ in a + b; first windows of one length lack max(a, b) of each other at most."""
     of = lambda c: (F.col(c + x), F.col(c + y))
     (nx, ny), (px, py) = of("n"), of("pos")
     need = least_overlap(nx, ny, threshold)
     most = 2 * (F.greatest(nx, ny) - need)
     size = {"low": lambda n: F.least(n, F.lit(WINDOW)), "high": lambda n: F.least(prefix_size(n, threshold), F.lit(WINDOW))}
     differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= most + F.abs(size[c](nx) - size[c](ny))
-    wide = sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in ("wide_a", "wide_b")), F.lit(0))
-    passed = (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low") & differ("high")
-    return passed & ((F.least(nx, ny) <= LONG) | (wide <= most))  # both hold WIDE tokens
+    both, none = F.least(nx, ny) > WINDOW, F.greatest(nx, ny) <= WINDOW
+    whole = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= nx + ny - 2 * need
+    passed = (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low")
+    return passed & F.when(both, whole("wide_a") & whole("wide_b")).when(none, whole("low") & differ("high")).otherwise(F.lit(True))
 
 
 def prefix_size(n: Column, threshold: float) -> Column:
@@ -123,7 +123,7 @@ def level(token: Column) -> Column:
 def postings(classes: DataFrame, threshold: float) -> DataFrame:
     """token and POSTING: a row for each prefix token. Equal sets are one class, so sets that match only when equal have
     none; a token in a slot that has met no other one is in no other line."""
-    some = classes.where(pairs_up(F.col("n"), threshold)).withColumn("high", summary("prefix", 6))
+    some = classes.where(pairs_up(F.col("n"), threshold)).withColumn("high", F.when(F.col("n") <= WINDOW, summary("prefix", 6)).otherwise(F.lit(0).cast("long")))
     return some.select(F.posexplode("prefix").alias("pos", "token"), *[c for c in POSTING if c != "pos"]).where(level(F.col("token")) != 0)
 
 
@@ -138,7 +138,7 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     lines = split_lines(docs)
     levels, hot = rarity(lines)
     n = F.size("tokens")
-    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary("tokens", 0).alias("low"), wide_summary(0).alias("wide_a"), wide_summary(1).alias("wide_b"), F.slice("tokens", 1, prefix_size(n, threshold)).alias("prefix"))
+    compact = token_sets(lines, levels).select("doc_id", "line_no", n.alias("n"), *keys(), summary("tokens", 0).alias("low"), wide_summary(12).alias("wide_a"), wide_summary(18).alias("wide_b"), F.slice("tokens", 1, prefix_size(n, threshold)).alias("prefix"))
     compact = written(compact, "line_sets")
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     classes = compact.groupBy("k1", "k2").agg(first, *[F.any_value(c).alias(c) for c in ("n", *STORED)])
