@@ -14,7 +14,8 @@
    one text an item, question first, so its last words stand for the answer. Items of fewer than ``LEAST_WORDS`` words
    have too few for a subsequence to mean something and must stand word for word.
 
-The benchmark is taken in blocks of about ``ITEMS`` pieces, so what the driver and the tasks hold is bounded by a block.
+The benchmark is taken in blocks of about ``ITEMS`` pieces, so what the driver and the tasks hold is bounded by a block
+and by the words of ``SHARED`` blocks, which share one pass over the texts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import named, shuffle_partitions, table, written
 from .shingles import lower_bytes, slices, word_hashes
 
 PASSAGE, ITEMS, EXTRA_RANK = 64, 256, 16
+SHARED = 64  # blocks of ITEMS pieces that one pass over the texts encodes for; about SHARED * ITEMS * PASSAGE words at most
 SKETCH, SIGNS = 256, 8
 COSINE, COVERAGE = 0.3, 0.35
 MAX_DF = 0.1  # words in a larger share of passages have no weight, unless an item would keep fewer than LEAST_WORDS
@@ -58,6 +60,23 @@ def sequences(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return docs.mapInArrow(encode, "doc_id long, words binary")
 
 
+def narrowed(encoded: DataFrame, vocabulary: np.ndarray, part: np.ndarray) -> DataFrame:
+    """``encoded`` with the numbers of ``part``, some words of ``vocabulary``, and without the texts that have none."""
+    if len(part) == len(vocabulary):
+        return encoded
+    number = np.zeros(len(vocabulary) + 1, "<u4")
+    number[np.searchsorted(vocabulary, part) + 1] = np.arange(1, len(part) + 1)
+    shared = encoded.sparkSession.sparkContext.broadcast(number)  # of the words of SHARED blocks
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shared.value[np.frombuffer(x.as_buffer(), "<u4")] for x in batch.column("words")]
+            keep = [i for i, x in enumerate(rows) if x.any()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep, pa.int64())), pa.array([rows[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "words"])
+
+    return encoded.mapInArrow(renumber, "doc_id long, words binary")
+
+
 def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers above 0 and the passage (of ``size`` words, numbered from 0) that each is in, for a few texts at a time."""
     for batch in batches:
@@ -142,9 +161,10 @@ def pieces_of(n: int, size: int) -> int:
     return max(1, -(-n // size))
 
 
-def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage: int) -> DataFrame:
-    """Matches of items, id and text, found by those of their pieces that ``wanted`` numbers."""
-    spark, items = docs.sparkSession, sorted(wanted)
+def _block(texts: DataFrame, known: np.ndarray, wanted: dict[tuple[int, str], set[int]], *, passage: int) -> DataFrame:
+    """Matches of items, id and text, found by those of their pieces that ``wanted`` numbers, in texts encoded with the
+    words ``known``."""
+    spark, items = texts.sparkSession, sorted(wanted)
     words, at = word_hashes(*lower_bytes(pa.array([t for _, t in items], pa.string())), SPACE)
     vocabulary = np.unique(words)
     numbers = np.searchsorted(vocabulary, words) + 1
@@ -159,7 +179,7 @@ def _block(docs: DataFrame, wanted: dict[tuple[int, str], set[int]], *, passage:
         held += [(item[0], numbers[a:b])] if found else []
     if not len(vocabulary):
         return spark.createDataFrame([], PAIRS)
-    encoded = written(sequences(docs, vocabulary), "sequences")
+    encoded = narrowed(texts, known, vocabulary)
     if not held:
         return encoded.mapInArrow(lambda batches: _verbatim(batches, exact), PAIRS)
     d = len(vocabulary)
@@ -271,13 +291,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, passage: int = PASSAG
     rows = rows.distinct().withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n_words / passage).cast("int") - 1))))
     count, out = rows.count(), None
     blocks = -(-count // items) if count else 0
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text", "piece"), F.lit(blocks)) == b)
-        wanted: dict[tuple[int, str], set[int]] = {}
-        for r in part.collect():
-            wanted.setdefault((r["item_id"], r["text"]), set()).add(r["piece"])
-        found = _block(docs, wanted, passage=passage)
-        out = found if out is None else out.unionByName(found)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text", "piece"), F.lit(max(1, blocks))))
+    for first in range(0, blocks, SHARED):
+        part = rows.where(F.col("block").between(first, first + SHARED - 1)).groupBy("block", "item_id", "text").agg(F.collect_set("piece").alias("pieces"))
+        wanted: dict[int, dict[tuple[int, str], set[int]]] = {}
+        for r in part.collect():  # the items of SHARED blocks
+            wanted.setdefault(r["block"], {})[r["item_id"], r["text"]] = set(r["pieces"])
+        if not wanted:
+            continue
+        texts = sorted({t for some in wanted.values() for _, t in some})
+        known = np.unique(word_hashes(*lower_bytes(pa.array(texts, pa.string())), SPACE)[0])
+        if not len(known):
+            continue
+        encoded = written(sequences(docs, known), "sequences")
+        for b in sorted(wanted):
+            found = _block(encoded, known, wanted[b], passage=passage)
+            out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], PAIRS)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "answer_found")).alias("m"))

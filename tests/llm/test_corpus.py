@@ -309,6 +309,20 @@ def test_decontamination_of_long_and_short_items(spark):
         assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, items=some).collect()} == {(100 + i, i) for i in range(5)}
 
 
+def test_blocks_of_a_benchmark_share_a_pass(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    fill = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    items = [(i, fill(30)) for i in range(24)] + [(24, fill(3))]
+    rows = [(i, f"{fill(80)} {t} {fill(40)}") for i, t in items] + [(100 + i, fill(120)) for i in range(10)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    passes, encode = [], decontaminate.sequences
+    monkeypatch.setattr(decontaminate, "sequences", lambda *a: passes.append(1) or encode(*a))
+    leaks = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, items=5).collect()}
+    assert leaks() == {(i, i) for i in range(25)} and len(passes) == 1  # 5 blocks
+    monkeypatch.setattr(decontaminate, "SHARED", 2)
+    assert leaks() == {(i, i) for i in range(25)} and len(passes) == 4
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 8)).round(2).astype(np.float32)
