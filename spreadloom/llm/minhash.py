@@ -6,19 +6,21 @@ in buckets; a pair with similarity 0.75 misses all of them with probability (1 -
 
 Equal sets are one class from the start. A bucket's head is the class that meets most others over all its buckets: of
 near copies of one text, the text itself, if it is there. Members are compared with the head only. Those that this does
-not join to its component are compared with every member that is not yet in their own, unless sketches of a bit a value
-tell them apart or too much of either set is in no other set that is still compared: a family of copies that differ in
-words of their own has no pair left then. So a bucket of n near copies costs about n comparisons, and no pair of
-different components is left out.
+not join to its component can be similar to further members only if both sets have enough shingles that are not rare, or
+if they share a rare one. So pairs meet by shingles that at most ``RARE`` of the compared sets have; where these don't
+settle a pair, by those that few have (``SELDOM``, and a ``SHARE`` of the sets that a class meets); and only sets that
+still can be similar meet in their buckets, in steps of sizes that fit. Sketches of a bit a value tell more of them
+apart. Every bound is on the whole sets, so no pair of different components is left out, but for a sketch's odds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -29,6 +31,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 64, 6
 HASHES = BANDS * ROWS // 2
 BROADCAST_IDS = 1_000_000  # of 8 bytes; a longer list of ids meets the sets in a shuffle
+RARE, SELDOM, SHARE = 8, 128, 64  # sets that have a rare shingle; those that a seldom one has, and its share of the sets met
 SET_BYTES = 6  # of a shingle's hash in stored sets: two sets of 400 share one by chance once in 10^9 pairs
 
 _random = np.random.default_rng(30)
@@ -108,8 +111,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long").distinct()
 
 
-def lonely(sets: DataFrame) -> DataFrame:
-    """class, own: how many shingles of a class's set no other of ``sets`` has; 0 where rows gave a class several sets."""
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """class, shingle, df: a class's shingles that at most ``SELDOM`` of ``sets`` have, and how many have them."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +121,13 @@ def lonely(sets: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["class", "shingle"])
 
-    single = sets.groupBy("class").agg(F.count("*").alias("k")).where("k = 1").select("class")
-    each = sets.mapInArrow(spread, "class long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("class").alias("class")).where("k = 1")
-    return each.groupBy("class").agg(F.count("*").alias("own")).join(single, "class")
+    each = sets.mapInArrow(spread, "class long, shingle long")
+    return each.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where(F.col("df") <= SELDOM)
+
+
+def size_step(n: Column) -> Column:
+    """Sizes of sets in steps of a twentieth."""
+    return F.floor(F.log(n) / math.log(1.05))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -154,19 +161,55 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
     label = components(links).withColumnRenamed("node", "class")
     known = buckets.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     at_head = known.join(heads, (known["band"] == heads["band"]) & (known["class"] == heads["head"])).select(known["band"], F.col("component").alias("done"))
-    known = written(known.join(at_head, "band").withColumn("left_out", F.col("component") != F.col("done")).drop("done", "met"), "labelled_buckets")
+    known = written(known.join(at_head, "band").withColumn("left_out", F.col("component") != F.col("done")).drop("done"), "labelled_buckets")
     open_bands = known.where("left_out").select("band").distinct()
     known = known.join(open_bands, "band")
     compared = written(known.select("class").distinct(), "compared")
-    own = written(lonely(sets.join(compared, "class", "left_semi")), "lonely")
-    known = known.join(own, "class", "left").join(classes.select("class", "sketch"), "class").select("band", "class", "n", "component", "left_out", "sketch", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-    side = lambda df, x: df.select("band", *[F.col(c).alias(c + x) for c in ("class", "n", "component", "sketch", "common")])
-    most = F.least("common_x", "common_y")
+    compared_sets = sets.join(compared, "class", "left_semi")
+    found = written(rare_shingles(compared_sets), "rare_shingles")
+    several = compared_sets.groupBy("class").agg(F.count("*").alias("k")).where("k > 1").select("class", F.lit(True).alias("several"))
+    one = known.groupBy("class").agg(F.max("left_out").alias("open"), *[F.any_value(c).alias(c) for c in ("n", "component", "met")])
+    limit = F.when(F.col("open"), F.greatest(F.lit(RARE), F.least(F.lit(SELDOM), F.floor(F.col("met") / SHARE)))).otherwise(RARE).alias("limit")
+    one = written(one.select("class", "n", "component", "open", limit).join(several, "class", "left"), "open_classes")
+    count = lambda c: F.count_if(F.col("df") <= c)
+    rare = found.join(one.select("class", "limit", "several"), "class").groupBy("class").agg(*[F.when(F.any_value("several"), 0).otherwise(count(c)).alias(a) for c, a in ((F.lit(RARE), "rare"), (F.col("limit"), "seldom"))])
+    # of a class of several sets every shingle counts as common
+    one = one.join(rare, "class", "left").join(classes.select("class", "sketch").dropDuplicates(["class"]), "class")
+    one = one.select("class", "n", "component", "open", "limit", F.coalesce("several", F.lit(False)).alias("several"), "sketch", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"), (F.col("n") - F.coalesce("seldom", F.lit(0))).alias("often"))
+    one = written(one, "counted_classes")
+
+    of = lambda df, x, *on: df.select(*on, *[F.col(c).alias(c + x) for c in df.columns if c not in on])
+    size = F.col("n_x") + F.col("n_y")
+    enough = lambda both: (100 + percent) * both >= percent * size
+    apart = F.col("component_x") != F.col("component_y")
     differ = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(BANDS * ROWS // 64)), F.lit(0))
-    more = side(known.where("left_out"), "_x").join(side(known, "_y"), "band").where(
-        (F.col("component_x") != F.col("component_y")) & sizes_fit(F.col("n_x"), F.col("n_y")) & (100 * most >= percent * (F.col("n_x") + F.col("n_y") - most)) & (differ <= most_differ(percent))
-    )
-    more = written(more.select(F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b")).distinct(), "rest")
+    alike = sizes_fit(F.col("n_x"), F.col("n_y")) & (differ <= most_differ(percent))
+    unsure = F.col("several_x") | F.col("several_y")
+    least = lambda c: F.least(c + "_x", c + "_y")
+    ordered = (F.least("class_x", "class_y").alias("a"), F.greatest("class_x", "class_y").alias("b"))
+
+    # without a rare shingle in both, two sets share what is common in either at most
+    short = one.select("class", "component", "open", "n", "common", "often", "limit", "several")
+    by_rare = found.where(F.col("df").between(2, RARE)).drop("df").join(short.select("class", "component", "open"), "class")
+    met_rare = of(by_rare.where("open"), "_x", "shingle").join(of(by_rare, "_y", "shingle"), "shingle").where(apart & (~F.col("open_y") | (F.col("class_x") < F.col("class_y"))))
+    met_rare = met_rare.groupBy("class_x", "class_y").agg(F.count("*").alias("s")).join(of(one, "_x"), "class_x").join(of(one, "_y"), "class_y")
+    met_rare = met_rare.where(unsure | (alike & enough(least("common") + F.col("s")))).select(*ordered)
+    # and so for shingles that few of the sets have that one of the two meets
+    seldom = found.where("df > 1").join(short, "class")
+    seldom_x = seldom.where(F.col("open") & ~F.col("several") & (F.col("often") < F.col("common")) & (F.col("df") <= F.col("limit"))).drop("df", "limit", "open")
+    met_seldom = of(seldom_x, "_x", "shingle").join(of(seldom.drop("df", "limit", "open", "often"), "_y", "shingle"), "shingle").where(apart & ~enough(F.col("often_x")) & (unsure | (sizes_fit(F.col("n_x"), F.col("n_y")) & enough(least("common")))))
+    met_seldom = met_seldom.groupBy("class_x", "class_y", "n_x", "n_y", "often_x", "several_y").agg(F.count("*").alias("s")).where(F.col("several_y") | enough(F.col("often_x") + F.col("s"))).select(*ordered)
+    # all others meet in their bands, in steps of sizes that can be similar
+    known = known.select("band", "class", "n", "left_out").join(one.select("class", "component", "sketch", "often", "several"), "class")
+    known = known.withColumn("often", F.when(F.col("several"), F.col("n")).otherwise(F.col("often"))).drop("several")
+    known = written(known, "open_buckets")
+    top = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("often") * (100 + percent) / percent) - F.col("n"))
+    low = F.ceil(F.col("n") * percent / 100)
+    left = known.where(F.col("left_out") & (low <= top)).withColumn("step", F.explode(F.sequence(size_step(low), size_step(top))))
+    every = known.withColumn("step", size_step(F.col("n")))
+    once = ~F.col("left_out_y") | (F.col("class_x") < F.col("class_y"))
+    met_often = of(left, "_x", "band", "step").join(of(every, "_y", "band", "step"), ["band", "step"]).where(apart & once & alike & enough(least("often"))).select(*ordered)
+    more = written(met_rare.unionByName(met_seldom).unionByName(met_often).distinct(), "rest")
     links = written(links.unionByName(verified(more, sets, percent)), "links")
     final = components(links)
     out = member.join(final.withColumnRenamed("node", "class"), "class", "left")
