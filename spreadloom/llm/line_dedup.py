@@ -99,12 +99,12 @@ def passes(x: str, y: str, threshold: float) -> Column:
     (nx, ny), (px, py) = of("n"), of("pos")
     need = least_overlap(nx, ny, threshold)
     most = 2 * (F.greatest(nx, ny) - need)
-    size = {"low": lambda n: F.least(n, F.lit(WINDOW)), "high": lambda n: F.least(prefix_size(n, threshold), F.lit(WINDOW))}
+    size = {"low": lambda n: F.least(n, F.lit(WINDOW)), "second": lambda n: F.least(prefix_size(n, threshold), F.lit(WINDOW))}
     differ = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= most + F.abs(size[c](nx) - size[c](ny))
     both, none = F.least(nx, ny) > WINDOW, F.greatest(nx, ny) <= WINDOW
     whole = lambda c: F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) <= nx + ny - 2 * need
     passed = (F.least(nx, ny) >= F.lit(threshold) * F.greatest(nx, ny) - 1e-9) & (F.least(nx - px, ny - py) >= need) & differ("low")
-    return passed & F.when(both, whole("wide_a") & whole("wide_b")).when(none, whole("low") & differ("high")).otherwise(F.lit(True))
+    return passed & F.when(both, whole("second") & whole("wide_b")).when(none, whole("low") & differ("second")).otherwise(F.lit(True))
 
 
 def prefix_size(n: Column, threshold: float) -> Column:
@@ -112,7 +112,7 @@ def prefix_size(n: Column, threshold: float) -> Column:
 
 
 STORED = ("low", "wide_a", "wide_b", "prefix")
-SUMMARIES = ("low", "high", "wide_a", "wide_b")
+SUMMARIES = ("low", "second", "wide_b")  # second: of the prefix, or of all tokens if there are over ``WINDOW``
 POSTING = ("n", "pos", *SUMMARIES, "doc_id", "line_no", "cid")
 
 
@@ -123,10 +123,17 @@ def level(token: Column) -> Column:
 def postings(classes: DataFrame, threshold: float) -> DataFrame:
     """token and POSTING: a row for each prefix token. Equal sets are one class, so sets that match only when equal have
     none; a token in a slot that has met no other one is in no other line."""
-    some = classes.where(pairs_up(F.col("n"), threshold)).withColumn("high", F.when(F.col("n") <= WINDOW, summary("prefix", 6)).otherwise(F.lit(0).cast("long")))
+    some = classes.where(pairs_up(F.col("n"), threshold)).withColumn("second", F.when(F.col("n") <= WINDOW, summary("prefix", 6)).otherwise(F.col("wide_a")))
     return some.select(F.posexplode("prefix").alias("pos", "token"), *[c for c in POSTING if c != "pos"]).where(level(F.col("token")) != 0)
 
 
+def led(held: DataFrame, salt: Column) -> DataFrame:
+    """Postings beside their bucket's earliest one (_y), itself aside. Its columns are taken one by one: a struct of them
+    would be made of every posting and shuffled with it."""
+    before = Window.partitionBy("token", salt).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return held.select("*", *[F.first(c).over(before).alias(f"{c}_y") for c in POSTING]).where("cid <> cid_y")
+
+
 def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line_no (from 0) of every line that an earlier one is equal or similar to.
 
@@ -147,9 +154,7 @@ def removed_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame
     held = postings(classes, threshold)
     parts = F.call_function("shiftleft", F.lit(1), F.greatest(level(F.col("token")) - hot + 1, F.lit(0)))  # tasks for a token's bucket
     salt = F.pmod(F.xxhash64("cid"), parts).cast("int")
-    before = Window.partitionBy("token", salt).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    led = held.withColumn("h", F.first(F.struct(*POSTING)).over(before)).where("cid <> h.cid")
-    near = led.select("cid", "n", "pos", *SUMMARIES, *[F.col(f"h.{c}").alias(f"{c}_y") for c in POSTING]).where(passes("", "_y", threshold))
+    near = led(held, salt).where(passes("", "_y", threshold))
     settled = _similar(near, docs, classes, levels, threshold)
 
     as_y = lambda df, *more: df.select("token", *[F.col(c).alias(f"{c}_y") for c in POSTING], *more)

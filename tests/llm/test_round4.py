@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from spreadloom.llm import minhash
+from spreadloom.llm import line_dedup, minhash
 
 
 def smallest_reachable(n, links):
@@ -59,3 +59,17 @@ def test_ids_of_several_texts_in_a_family(spark):
     want = smallest_reachable(70, links)
     got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(enumerate(want)) and 5 < len(set(want)) < 65
+
+
+def test_postings_are_shuffled_without_a_copy_of_themselves(spark, monkeypatch):
+    plans, plain = [], line_dedup.written
+
+    def seen(df, name):
+        if name == "line_pairs":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    lines = ["a b c d e f g h i j", "a b c d e f g h i j k", "a b c d e f g h i j k l"]
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()) == [(1, 1), (1, 2)]
+    assert "Window" in plans[0] and "struct" not in plans[0]
