@@ -87,8 +87,9 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000):
-    """Parts of a batch with about ``most`` bytes of text, so that very long texts don't multiply in memory."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000):
+    """Parts of a batch with about ``most`` bytes of text, so that very long texts don't multiply in memory: hashing takes
+    some 40 bytes for each, 16 of which a worker keeps as powers."""
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
