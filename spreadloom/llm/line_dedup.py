@@ -58,7 +58,8 @@ def rarity(lines: DataFrame) -> tuple[Column, int]:
 
 def token_sets(lines: DataFrame, levels: Column) -> DataFrame:
     """The columns of ``lines`` but its text, and tokens (sorted) of those that have one."""
-    token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
+    # never null, so that Spark sorts plain numbers
+    token = lambda h: F.shiftleft(F.coalesce(F.get(levels, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), F.lit(0)).cast("long"), 58).bitwiseOR(h.bitwiseAND(F.lit(HASH)))
     hashes = F.array_distinct(F.transform(F.array_remove(words(F.col("line")), ""), lambda w: F.xxhash64(w)))
     rest = [c for c in lines.columns if c != "line"]
     # asked of the line, as a filter on the set would have it made twice
