@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,24 +89,56 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count_if(closed).alias("n"), F.count_if(~closed).alias("n_open"), F.sum(pnl).alias("total"), F.avg(pnl).alias("mean"), F.avg((pnl > 0).cast("double")).alias("hit"))
 
 
+def _pair_off(owned: pa.Table, balance: float) -> pa.Table:
+    """The pairs of one event's held legs (leg, o: whether yes, token, size) that a walk over all pairs takes, ordered by
+    short leg, long leg, direction, tokens and sizes."""
+    owned = owned.combine_chunks()
+    place = lambda c: pc.rank(owned.column(c).combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+    leg, token, yes, size = place("leg"), place("token"), owned.column("o").to_numpy(), owned.column("size").to_numpy()
+    order = np.lexsort((size, token, ~yes, leg))  # that of long legs: BUY, a long yes, comes first
+    leg, token, yes, size = leg[order], token[order], yes[order], size[order]
+    used = np.zeros(len(order) + 1, bool)
+    ends = np.searchsorted(leg, leg, "right")
+
+    def partner(s: int, at: int) -> int:
+        """The first long leg from ``at`` on that short leg ``s`` can have; the number of all, if none."""
+        step = 64
+        while at < len(leg):
+            part = slice(at, at + step)
+            fits = (yes[part] != yes[s]) & ~used[token[part]] & (np.minimum(size[part], size[s]) >= balance * np.maximum(size[part], size[s]))
+            if fits.any():
+                return at + int(fits.argmax())
+            at, step = at + step, min(step * 4, 1 << 16)
+        return at
+
+    a, b, begin = [], [], 0
+    while begin < len(leg):
+        end = int(ends[begin])
+        nexts = {s: end for s in range(begin, end)}
+        while nexts:
+            nexts = {s: found for s, at in nexts.items() if not used[token[s]] and (found := partner(s, at)) < len(leg)}
+            if nexts:
+                s, at = min(nexts.items(), key=lambda x: (leg[x[1]], ~yes[x[1]], token[x[1]], token[x[0]], size[x[1]], size[x[0]]))
+                used[token[s]] = used[token[at]] = True
+                a.append(order[at])
+                b.append(order[s])
+        begin = end
+    long, short = owned.take(pa.array(a, pa.int64())), owned.take(pa.array(b, pa.int64()))
+    direction = pc.if_else(long.column("o"), "BUY", "SELL")
+    return pa.table([long.column("event_id"), short.column("leg"), long.column("leg"), direction, long.column("token"), short.column("token"), long.column("size"), short.column("size")], names=["event_id", "short_leg", "long_leg", "direction", "token_a", "token_b", "size_a", "size_b"])
+
+
 def reconcile_detect(legs: DataFrame, holdings: DataFrame, *, size_min: float = 1.0, balance: float = 0.5) -> DataFrame:
     """Pairs of held legs with opposite outcomes and like sizes; each token in at most one, earlier pairs first.
 
-    All leg pairs that the holdings allow come from equi-joins; a fold per event gives out the tokens.
+    An event's held legs are one group, in which the tokens are given out by a walk over short legs: each takes the first
+    partner that is left. So a task holds an event's held legs, not their pairs.
     """
-    held = holdings.where(F.col("size") >= size_min).select("token", "size")
-    owned = legs.withColumn("side", F.explode(F.array(F.struct(F.lit("yes").alias("o"), F.col("yes").alias("token")), F.struct(F.lit("no").alias("o"), F.col("no").alias("token"))))).select("event_id", "leg", "side.o", "side.token").join(held, "token")
-    lo = owned.select("event_id", F.col("leg").alias("short_leg"), F.col("o").alias("short_o"), F.col("token").alias("token_b"), F.col("size").alias("size_b"))
-    hi = owned.select("event_id", F.col("leg").alias("long_leg"), F.col("o").alias("long_o"), F.col("token").alias("token_a"), F.col("size").alias("size_a"))
-    pairs = lo.join(hi, "event_id").where((F.col("short_leg") < F.col("long_leg")) & (F.col("short_o") != F.col("long_o")) & (F.least("size_a", "size_b") >= balance * F.greatest("size_a", "size_b")))
-    pairs = pairs.withColumn("direction", F.when(F.col("long_o") == "yes", "BUY").otherwise("SELL"))
-    fields = ["short_leg", "long_leg", "direction", "token_a", "token_b", "size_a", "size_b"]
-    each = pairs.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
-    item = each.schema["p"].dataType.elementType
-    state = F.struct(F.array_compact(F.array(F.lit(None).cast(item))).alias("kept"), F.array().cast("array<string>").alias("used"))
-    free = lambda a, x: ~F.array_contains(a["used"], x["token_a"]) & ~F.array_contains(a["used"], x["token_b"])
-    step = lambda a, x: F.when(free(a, x), F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), F.concat(a["used"], F.array(x["token_a"], x["token_b"])).alias("used"))).otherwise(a)
-    out = each.select("event_id", F.explode(F.aggregate("p", state, step)["kept"]).alias("k")).select("event_id", "k.*")
+    held = holdings.where(F.col("size") >= size_min).select("token", F.col("size").cast("double").alias("size"))
+    owned = legs.withColumn("side", F.explode(F.array(F.struct(F.lit(True).alias("o"), F.col("yes").alias("token")), F.struct(F.lit(False).alias("o"), F.col("no").alias("token"))))).select("event_id", "leg", "side.o", "side.token").join(held, "token")
+    kinds = dict(legs.dtypes)
+    schema = f"event_id {kinds['event_id']}, short_leg {kinds['leg']}, long_leg {kinds['leg']}, direction string, token_a string, token_b string, size_a double, size_b double"
+    out = owned.where("event_id is not null and leg is not null").groupBy("event_id").applyInArrow(lambda owned: _pair_off(owned, balance), schema)
     return out.select("event_id", "short_leg", "long_leg", "direction", "token_a", "token_b", F.floor(F.least("size_a", "size_b")).cast("long").alias("shares"))
 
 

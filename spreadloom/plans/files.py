@@ -106,7 +106,7 @@ def rolling_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def held_and_tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    found = R.detected(spark, d)
+    found = written(R.detected(spark, d), "detected")
     extra = found.where("short_leg % 3 = 0").withColumn("direction", F.lit("NONE"))
     return found, found.where("short_leg % 2 = 0").unionByName(extra), ["event_id", "short_leg", "long_leg", "direction"]
 

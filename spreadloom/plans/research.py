@@ -13,6 +13,7 @@ from ..operators import spread as S
 from ..operators.signals import leg_cost_default, legs_with_tokens, signal_pairs, signals_latest, triggered
 from ..operators.trades import greedy, tstat
 from ..sources import fixtures as X
+from ..sources.shared import written
 from . import ladder as L
 from .ladder import PAIR, rounded
 
@@ -117,6 +118,12 @@ def detected(spark: SparkSession, d: str) -> DataFrame:
     return O.reconcile_detect(X.event_legs(spark, d), X.holdings(spark, d))
 
 
+def planned(spark: SparkSession, d: str) -> DataFrame:
+    held = written(detected(spark, d), "detected")
+    tracked = held.where("short_leg % 2 = 0").unionByName(held.where("short_leg % 3 = 0").withColumn("direction", F.lit("NONE")))
+    return O.reconcile_plan(held, tracked, ["event_id", "short_leg", "long_leg", "direction"])
+
+
 def closed(spark: SparkSession, d: str) -> DataFrame:
     rows = X.table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "BUY").otherwise("SELL").alias("direction"), F.col("l_extendedprice").cast("double").alias("cost"), (F.col("l_extendedprice") * (1 + F.col("l_tax") - F.col("l_discount"))).cast("double").alias("proceeds"))
     return O.realized_pnl(rows)
@@ -257,7 +264,7 @@ QUERIES = {
     "ledger_replay": lambda s, d: rounded(ledger(s, d)),
     "ledger_summary": lambda s, d: rounded(O.ledger_summary(ledger(s, d))),
     "reconcile_detect": detected,
-    "reconcile_plan": lambda s, d: O.reconcile_plan(detected(s, d), detected(s, d).where("short_leg % 2 = 0").unionByName(detected(s, d).where("short_leg % 3 = 0").withColumn("direction", F.lit("NONE"))), ["event_id", "short_leg", "long_leg", "direction"]),
+    "reconcile_plan": planned,
     "open_mtm": lambda s, d: rounded(O.open_mtm(book_pairs(s, d).select("id", F.col("long_token").alias("token_a"), F.col("short_token").alias("token_b"), F.lit(100.0).alias("shares"), F.lit(60.0).alias("cost")), B.best_quotes(X.book(s, d)).select("token", "bid")).select("id", "mtm")),
     "best_quotes": lambda s, d: rounded(B.best_quotes(X.book(s, d))),
     "book_top_n": lambda s, d: B.book_top_n(X.book(s, d), 5),
