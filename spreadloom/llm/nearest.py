@@ -27,7 +27,7 @@ K, EVERY = 20, 20
 SAMPLE, LISTS = 20_000, 256  # the bound of the fitting sample, and the most lists; both bound what tasks hold
 COPIES, BORDER = 4, 1.15
 VISITS, PRUNE, DEGREE = 56, 1.6, 16
-BLOCK = 4096  # entries of a list scored together
+BLOCK, QUERIES = 4096, 256  # entries of a list and queries scored together
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -103,6 +103,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+def _products(q: np.ndarray, x: np.ndarray) -> Iterator[np.ndarray]:
+    """Each query's inner products with all entries; those of ``QUERIES`` queries are held at a time."""
+    for begin in range(0, len(q), QUERIES):
+        yield from q[begin : begin + QUERIES] @ x.T
+
+
 def fit(entries: DataFrame, *, sample: int = SAMPLE) -> Lists | None:
     """Lists from at most ``sample`` entries, those with the least hash of their id."""
     longest = entries.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0]
@@ -191,7 +197,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
             x, q = (_matrix(t.column(c).combine_chunks()) for t, c in ((left, "x"), (right, "q")))
             ids = left.column("ids").to_pylist()
             queries = right.column("query_id").to_pylist()
-            for i, s in enumerate(q @ x.T):
+            for i, s in enumerate(_products(q, x)):
                 most = k + 1
                 while True:  # more than once only where entries repeat ids
                     best = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
