@@ -81,7 +81,22 @@ def _sweep(key: tuple, asks: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(out, columns=["cluster", "x", "y", "part"])
 
 
-def hy_cov_clusters(rets: DataFrame, members: DataFrame, *, block: int = 32, span: int = DAY) -> DataFrame:
+#: Changes of a block of series within a span that a task holds, about, and how often a span may be halved for it.
+CHANGES, HALVINGS = 250_000, 20
+
+
+def _fitting(rows: DataFrame, span: int, most: int) -> int:
+    """``span``, halved until no block's changes within a span are more than ``most``; at most ``HALVINGS`` times."""
+    finest = max(1, span >> HALVINGS)
+    counts = rows.groupBy("cluster", "block", F.floor(F.col("b") / finest).alias("at")).agg(F.count("*").alias("n"))
+    levels = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))))
+    whole = levels.groupBy("cluster", "block", "level", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level"))).alias("at"))
+    largest = {r["level"]: r["n"] for r in whole.agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("n")).collect()}
+    fits = [k for k, n in largest.items() if n <= most]
+    return min(span, finest << max(fits, default=0))
+
+
+def hy_cov_clusters(rets: DataFrame, members: DataFrame, *, block: int = 32, span: int = DAY, most: int = CHANGES) -> DataFrame:
     """cluster, x, y, cov of all pairs x < y of a cluster's series (cluster, series): the sum of products of changes over
     overlapping intervals.
 
@@ -89,12 +104,13 @@ def hy_cov_clusters(rets: DataFrame, members: DataFrame, *, block: int = 32, spa
     of ``block`` series meet blocks of the same cluster within ``span`` of time: a block's points are sorted and summed
     up once for all series of the other block, so a change is moved once a block and not once a partner. What a series
     has run up to before a span comes along as one point, from sums a span that run over all spans. A task holds two
-    blocks' changes in one span.
+    blocks' changes in one span; where those would be more than ``most`` a block, spans are halved until they aren't.
     """
     number = F.row_number().over(Window.partitionBy("cluster").orderBy("series")) - 1
     placed = members.select("cluster", "series", F.floor(number / block).cast("int").alias("block"))
     blocks = placed.groupBy("cluster").agg(F.max("block").alias("blocks"))
     rows = rets.join(placed, "series").join(blocks, "cluster")
+    span = _fitting(rows, span, most)
     spans = lambda t: F.floor(F.col(t) / span)
     both = lambda begun, ended: F.array(F.struct(F.lit(True).alias("begun"), F.col(begun).alias("t")), F.struct(F.lit(False).alias("begun"), F.col(ended).alias("t")))
     columns = ["cluster", "series", "block", "blocks", "e.begun", "e.t", "d"]
